@@ -133,7 +133,7 @@ def attach_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value
     keys = list(keys)
     q = group_quantiles(df, keys, value, probs, names, mode)
     if not keys:
-        return stats.crossJoin(F.broadcast(q))
+        return stats.join(F.broadcast(q), how="left")
     qr = q.select(*[F.col(k).alias(f"_qk_{k}") for k in keys], *[c for c in q.columns if c not in keys])
     cond = None
     for k in keys:

@@ -13,6 +13,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 OPERATORS: dict[str, tuple[str, ...]] = {}
+DIGITS: dict[str, int | None] = {}
+SCHEMA_DIR = "/root/testdata/sf0.001"
 
 
 def register(name: str, ops: tuple[str, ...] = (), sql: str | None = None, digits: int | None = 4):
@@ -28,6 +30,7 @@ def register(name: str, ops: tuple[str, ...] = (), sql: str | None = None, digit
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         OPERATORS[name] = ops
+        DIGITS[name] = digits
         if sql is not None:
             ORACLE[name] = sql
         return run
@@ -36,4 +39,29 @@ def register(name: str, ops: tuple[str, ...] = (), sql: str | None = None, digit
 
 
 def load_all() -> None:
-    from hearth.plans import q_medallion  # noqa: F401
+    from hearth.plans import q_describe, q_medallion  # noqa: F401
+
+
+def rounded_oracle(schema_dir: str = SCHEMA_DIR) -> dict[str, str]:
+    """Oracle SQL with the same float rounding the Spark side applies. The
+    float columns of each statement are found with DuckDB ``DESCRIBE`` over
+    a schema-only copy of the tables (no rows are needed)."""
+    import duckdb
+
+    from hearth.sources.tables import TABLES
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{schema_dir}/{t}.parquet') LIMIT 0")
+    out = {}
+    for name, sql in ORACLE.items():
+        d = DIGITS.get(name)
+        if d is None:
+            out[name] = sql
+            continue
+        cols = con.execute(f"DESCRIBE {sql}").fetchall()
+        m = float(10 ** d)
+        rep = [f'round(CAST("{c[0]}" AS DOUBLE) * {m}) / {m} AS "{c[0]}"' for c in cols
+               if c[1] in ("DOUBLE", "FLOAT", "REAL")]
+        out[name] = f"SELECT * REPLACE ({', '.join(rep)}) FROM ({sql})" if rep else sql
+    return out

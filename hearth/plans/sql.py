@@ -34,7 +34,7 @@ bronze AS (
          {title('region')} AS region, {title('area')} AS area,
          CASE WHEN length(trim(zip_code)) < 4 THEN lpad(trim(zip_code), 4, '0') ELSE trim(zip_code) END AS zip_code,
          purchase_price, sqm, sqm_price, no_rooms, year_build,
-         "dk_ann_infl_rate%", "yield_on_mortgage_credit_bonds%",
+         "dk_ann_infl_rate%", "yield_on_mortgage_credit_bonds%", "%_change_between_offer_and_purchase",
          CAST(year(date) AS INTEGER) AS year_sale,
          CAST(year(date) AS VARCHAR) || '-Q' || CAST(quarter(date) AS VARCHAR) AS quarter_id
   FROM raw),

@@ -62,6 +62,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1950) + F.col("p_size")).cast("long").alias("year_build"),
         (F.lit(100.0) * F.col("l_tax")).alias("dk_ann_infl_rate%"),
         (F.lit(100.0) * F.col("l_discount")).alias("yield_on_mortgage_credit_bonds%"),
+        (F.lit(100.0) * (F.col("l_tax") - F.col("l_discount"))).alias("%_change_between_offer_and_purchase"),
     )
 
 
@@ -80,7 +81,8 @@ SELECT o.o_orderdate AS date,
        CAST(l.l_linenumber AS BIGINT) AS no_rooms,
        CAST(1950 + p.p_size AS BIGINT) AS year_build,
        100.0 * l.l_tax AS "dk_ann_infl_rate%",
-       100.0 * l.l_discount AS "yield_on_mortgage_credit_bonds%"
+       100.0 * l.l_discount AS "yield_on_mortgage_credit_bonds%",
+       100.0 * (l.l_tax - l.l_discount) AS "%_change_between_offer_and_purchase"
 FROM lineitem l
 JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey
