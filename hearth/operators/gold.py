@@ -77,7 +77,7 @@ def drawdown_episodes(series: DataFrame, keys: list[str], order_col: str, value_
     x = F.col(value_col)
     s = series.select(*keys, order_col, value_col).withColumn("_i", F.row_number().over(w) - 1)
     s = s.withColumn("_cm", F.max(x).over(cum))
-    s = s.withColumn("_dd", (x - F.col("_cm")) / F.col("_cm"))
+    s = s.withColumn("_dd", F.try_divide(x - F.col("_cm"), F.col("_cm")))
     sig = F.when(F.col("_dd") < enter, 1).when(F.col("_dd") > exit_, 0)
     s = s.withColumn("_st", F.last(sig, ignorenulls=True).over(cum))
     # first position at which the running max reached its current value
