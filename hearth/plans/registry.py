@@ -39,7 +39,7 @@ def register(name: str, ops: tuple[str, ...] = (), sql: str | None = None, digit
 
 
 def load_all() -> None:
-    from hearth.plans import q_describe, q_medallion  # noqa: F401
+    from hearth.plans import q_describe, q_medallion, q_profile  # noqa: F401
 
 
 def rounded_oracle(schema_dir: str = SCHEMA_DIR) -> dict[str, str]:
@@ -59,7 +59,11 @@ def rounded_oracle(schema_dir: str = SCHEMA_DIR) -> dict[str, str]:
         if d is None:
             out[name] = sql
             continue
-        cols = con.execute(f"DESCRIBE {sql}").fetchall()
+        try:
+            cols = con.execute(f"DESCRIBE {sql}").fetchall()
+        except Exception:  # leave the statement as written; the check reports it
+            out[name] = sql
+            continue
         m = float(10 ** d)
         rep = [f'round(CAST("{c[0]}" AS DOUBLE) * {m}) / {m} AS "{c[0]}"' for c in cols
                if c[1] in ("DOUBLE", "FLOAT", "REAL")]
