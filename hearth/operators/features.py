@@ -443,6 +443,8 @@ def leak_guard(columns: Sequence[str], forbidden: Sequence[str] = FORBIDDEN_FEAT
 
 def cardinalities(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     """Distinct counts of the candidate categorical columns (one small row to the driver)."""
+    if not cols:
+        return {}
     row = df.agg(*[F.count_distinct(_c(c)).alias(c) for c in cols]).first()
     return {c: int(row[c]) for c in cols}
 

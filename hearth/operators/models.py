@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -113,14 +114,19 @@ def walk_forward_search(df: DataFrame, folds: DataFrame, features: Sequence[str]
     spark = df.sparkSession
     rows = []
     fold_list = folds.orderBy("fold_id").collect()  # a handful of (train_end, val_year) rows
-    for t, params in enumerate(draw_trials(n_trials, seed)):
-        rmses = []
-        for f in fold_list:
-            tr, va = impute_with_train_medians(df.where(_c(year_col) <= f.train_end), df.where(_c(year_col) == f.val_year), features, mode)
-            model = gbt_from_reference_params(params, label).fit(assemble(tr, features))
-            pr = model.transform(assemble(va, features))
-            rmses.append(pr.agg(F.sqrt(F.avg((_c(label) - F.col("prediction")) ** 2))).first()[0])
-        rows.append((t, json.dumps(params), float(np.mean(rmses)), [float(x) for x in rmses]))
+
+    def score(params, f):
+        tr, va = impute_with_train_medians(df.where(_c(year_col) <= f.train_end), df.where(_c(year_col) == f.val_year), features, mode)
+        model = gbt_from_reference_params(params, label).fit(assemble(tr, features))
+        pr = model.transform(assemble(va, features))
+        return pr.agg(F.sqrt(F.avg((_c(label) - F.col("prediction")) ** 2))).first()[0]
+
+    # the folds are independent Spark jobs: submit them together so the
+    # scheduler interleaves their many small per-tree stages
+    with ThreadPoolExecutor(max_workers=max(1, len(fold_list))) as pool:
+        for t, params in enumerate(draw_trials(n_trials, seed)):
+            rmses = list(pool.map(lambda f: score(params, f), fold_list))
+            rows.append((t, json.dumps(params), float(np.mean(rmses)), [float(x) for x in rmses]))
     return spark.createDataFrame(rows, "trial int, params string, mean_rmse double, rmse_per_fold array<double>")
 
 
@@ -144,14 +150,19 @@ def regressors(label: str, seed: int = 42) -> dict:
 
 def leaderboard(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, names: Sequence[str] | None = None,
                 mode: str = "sorted") -> DataFrame:
-    """M5: holdout metrics of each algorithm, best RMSE first."""
-    out = None
-    for name, est in regressors(label).items():
-        if names and name not in names:
-            continue
+    """M5: holdout metrics of each algorithm (fitted concurrently), best RMSE first."""
+    todo = [(n, e) for n, e in regressors(label).items() if not names or n in names]
+
+    def run(item):
+        name, est = item
         pred, _ = fit_predict(train, test, features, label, est)
-        m = regression_metrics(pred, label, "prediction", mode).withColumn("model", F.lit(name))
-        out = m if out is None else out.unionByName(m)
+        return regression_metrics(pred, label, "prediction", mode).withColumn("model", F.lit(name)).checkpoint(eager=True)
+
+    with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+        parts = list(pool.map(run, todo))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.orderBy("rmse")
 
 
@@ -173,11 +184,13 @@ def leak_test(df: DataFrame, features: Sequence[str], label: str, seed: int = 42
     """Q21: linear regression on a deterministic hash sample of at most
     ``sample_rows`` rows (the sample is the feature), 80/20 by hash;
     holdout R^2 above ``limit`` means a leak."""
-    h = F.xxhash64(*[_c(c) for c in df.columns], F.lit(seed))
-    n = df.count()
+    # materialize the narrow projection first: filters over many derived
+    # columns otherwise make the optimizer's constraint inference blow up
+    base = df.select(*[_c(c) for c in features], _c(label)).checkpoint(eager=True)
+    n = base.count()
     frac = min(1.0, sample_rows / max(n, 1))
-    d = df.withColumn("_h", h).where((F.abs(F.col("_h")) % 1_000_000) < int(frac * 1_000_000))
-    d = d.na.drop(subset=list(features) + [label])
+    d = base.withColumn("_h", F.xxhash64(*[_c(c) for c in base.columns], F.lit(seed)))
+    d = d.where((F.abs(F.col("_h")) % 1_000_000) < int(frac * 1_000_000)).na.drop()
     tr, te = d.where(F.abs(F.col("_h") % 5) != 0), d.where(F.abs(F.col("_h") % 5) == 0)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"),
                             StandardScaler(inputCol="raw", outputCol="features"),

@@ -8,7 +8,7 @@ from hearth.config import DRIVER_CONFIG as CFG
 from hearth.functions.dist import f_pvalue, t_pvalue
 from hearth.operators import describe as D
 from hearth.operators import hypotheses as H
-from hearth.plans.layers import bronze_table
+from hearth.plans.layers import bronze_table, materialize
 from hearth.plans.registry import register
 from hearth.plans.sql import with_ctes
 
@@ -64,13 +64,22 @@ ryv AS (SELECT *, CASE WHEN count(yoy) OVER w >= 3 THEN stddev_samp(yoy) OVER w
 
 
 def _prep(spark, sf_dir):
-    return H.prepare(bronze_table(spark, sf_dir, CFG), REGION_MAP, TYPE_MAP, cpi_base_year=CFG.cpi_base_year, mode=M)
+    """The study's cleaned, deflated sales (written once per session and input)."""
+    return materialize(spark, "hyp_prep", lambda: H.prepare(bronze_table(spark, sf_dir, CFG), REGION_MAP, TYPE_MAP,
+                                                             cpi_base_year=CFG.cpi_base_year, mode=M),
+                       (sf_dir, repr(CFG), repr(REGION_MAP), repr(TYPE_MAP)))
+
+
+def _agg(spark, sf_dir):
+    """A27 quarterly table shared by the later steps (written once per session and input)."""
+    return materialize(spark, "hyp_quarterly", lambda: H.quarterly_by_region_type(_prep(spark, sf_dir), M),
+                       (sf_dir, repr(CFG), repr(REGION_MAP), repr(TYPE_MAP)))
 
 
 @register("hyp_quarterly_agg", ("A27", "P12", "P15", "F17"), with_ctes(HYP_CTES, "SELECT * FROM hagg"))
 def hyp_quarterly_agg(spark, sf_dir):
     """Quarterly median real sqm price, count and mean yield by region x type."""
-    return H.quarterly_by_region_type(_prep(spark, sf_dir), M)
+    return _agg(spark, sf_dir)
 
 
 @register("hyp_national_macro", ("A27", "W16"), with_ctes(HYP_CTES, "SELECT * FROM hmacro"))
@@ -87,8 +96,7 @@ ntb AS (SELECT house_type_clean, coalesce(arg_min(price_sqm, quarter_date) FILTE
     "SELECT nt.*, nt.price_sqm / ntb.base * 100.0 AS price_norm FROM nt JOIN ntb ON nt.house_type_clean = ntb.house_type_clean"))
 def hyp_national_by_type(spark, sf_dir):
     """National series per house type (median of regional medians)."""
-    p = _prep(spark, sf_dir)
-    return H.national_by_type(H.quarterly_by_region_type(p, M), NORM_FROM, M)
+    return H.national_by_type(_agg(spark, sf_dir), NORM_FROM, M)
 
 
 @register("hyp_cross_correlation", ("W17",), with_ctes(HYP_CTES, """
@@ -124,7 +132,7 @@ def hyp_level_ols_pvalue(spark, sf_dir):
 @register("hyp_regional_yoy", ("W19",), with_ctes(HYP_CTES, "SELECT region_clean, quarter_date, price_sqm, yoy, yoy_vol4 FROM ryv"))
 def hyp_regional_yoy(spark, sf_dir):
     """YoY change and rolling volatility of the two H2 regions."""
-    agg = H.quarterly_by_region_type(_prep(spark, sf_dir), M)
+    agg = _agg(spark, sf_dir)
     s = agg.where((F.col("house_type_clean") == H2_TYPE) & F.col("region_clean").isin(REGION_A, REGION_B))
     return H.yoy_and_volatility(s, ["region_clean"]).select("region_clean", "quarter_date", "price_sqm", "yoy", "yoy_vol4")
 
@@ -150,7 +158,7 @@ SELECT levene_w, levene_df2, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) /
        n1 + n2 - 2 AS t_df FROM lv"""))
 def hyp_levene_ttest(spark, sf_dir):
     """T3 + T4: Levene W and pooled t statistic between the two regions."""
-    agg = H.quarterly_by_region_type(_prep(spark, sf_dir), M)
+    agg = _agg(spark, sf_dir)
     s = agg.where((F.col("house_type_clean") == H2_TYPE) & F.col("region_clean").isin(REGION_A, REGION_B))
     return H.levene_and_ttest(H.yoy_and_volatility(s, ["region_clean"]), "region_clean", REGION_A, REGION_B)
 
@@ -182,7 +190,7 @@ tr AS (SELECT w.house_type_clean, w.episode, pk.ppos, pk.pval, arg_min(w.pos, st
        tpos - ppos AS quarters_to_trough FROM tr"""))
 def hyp_episode_drawdowns(spark, sf_dir):
     """Drawdown and speed per house type and episode."""
-    agg = H.quarterly_by_region_type(_prep(spark, sf_dir), M)
+    agg = _agg(spark, sf_dir)
     nt = H.national_by_type(agg, NORM_FROM, M)
     return H.bounded_drawdowns(nt, ["house_type_clean"], EPISODES).withColumn(
         "quarters_to_trough", F.col("quarters_to_trough").cast("long"))

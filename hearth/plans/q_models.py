@@ -24,7 +24,7 @@ CANDIDATES = ("sqm", "no_rooms", "year_build", "property_age", "sqm_per_room", "
               "quarter_cos", "dayofweek_sin", "dayofweek_cos", "years_since_start", "time_trend", "crisis_period",
               "dk_ann_infl_rate%", "yield_on_mortgage_credit_bonds%", "rolling_regional_mean", "rolling_regional_median",
               "rolling_regional_std", "rolling_regional_cv", "rolling_regional_count", "rolling_regional_p90",
-              "region_target_encoded", "region_frequency", "house_type_Large", "house_type_Medium", "house_type_Promo",
+              "region_frequency", "house_type_Large", "house_type_Medium", "house_type_Promo",
               "house_type_Small", "house_type_Standard")
 CRITICAL = ("sqm", "no_rooms", "year_build", "property_age")
 # Study parameter: density / distance lookups per region of the driver data (the
@@ -60,18 +60,26 @@ def _candidates(df):
 def feature_scores(spark, sf_dir):
     """Low-variance filter, then correlation / F / binned-MI scores on training years."""
     d = feature_frame(spark, sf_dir)
-    X.leak_guard(d.drop(LABEL).columns)
     cols = _candidates(d)
+    X.leak_guard(cols)
     low = set(ML.low_variance_columns(d, cols))
     cols = [c for c in cols if c not in low]
     tr = d.where(F.col("year") < CFG.holdout_start_year)
     return ML.feature_scores(tr, cols, LABEL)
 
 
+_SELECTED: dict = {}
+
+
 def _selected(spark, sf_dir):
-    d = feature_frame(spark, sf_dir)
-    sc = feature_scores(spark, sf_dir)
-    return d, ML.select_features(sc, CRITICAL)
+    """E13 + P17: the selected features (scored once per session and input)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SELECTED:
+        sc = feature_scores(spark, sf_dir)
+        feats = ML.select_features(sc, CRITICAL)
+        X.leak_guard(feats)
+        _SELECTED[key] = feats
+    return feature_frame(spark, sf_dir), _SELECTED[key]
 
 
 @register("leak_test", ("Q21",))
@@ -90,27 +98,36 @@ def walk_forward_search(spark, sf_dir):
     return ML.walk_forward_search(d, folds, feats, LABEL, n_trials=1, seed=42, mode=M)
 
 
+_FINAL: dict = {}
+
+
+def _final_model(spark, sf_dir):
+    """M3: the final boosting model on all pre-holdout years (fitted once per
+    session and input; the holdout predictions are written to the shared folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FINAL:
+        d, feats = _selected(spark, sf_dir)
+        params = ML.draw_trials(1, 42)[0]
+        tr, te = ML.impute_with_train_medians(d.where(F.col("year") < CFG.holdout_start_year),
+                                              d.where(F.col("year") >= CFG.holdout_start_year), feats, M)
+        pred, model = ML.fit_predict(tr, te, feats, LABEL, ML.gbt_from_reference_params(params, LABEL))
+        _FINAL[key] = (pred.select(LABEL, "prediction").checkpoint(eager=True), model, feats)
+    return _FINAL[key]
+
+
 @register("holdout_metrics", ("M3", "M4", "M6", "Q22"))
 def holdout_metrics(spark, sf_dir):
     """M3 + M4 + M6: final boosting fit on pre-holdout years, holdout metrics
     (log and DKK scale), importance guard."""
-    d, feats = _selected(spark, sf_dir)
-    params = ML.draw_trials(1, 42)[0]
-    tr, te = ML.impute_with_train_medians(d.where(F.col("year") < CFG.holdout_start_year),
-                                          d.where(F.col("year") >= CFG.holdout_start_year), feats, M)
-    pred, model = ML.fit_predict(tr, te, feats, LABEL, ML.gbt_from_reference_params(params, LABEL))
-    imp = ML.feature_importance(model, feats, spark)
-    ok = ML.importance_guard(imp)
+    pred, model, feats = _final_model(spark, sf_dir)
+    ok = ML.importance_guard(ML.feature_importance(model, feats, spark))
     return ML.regression_metrics(pred, LABEL, "prediction", M).withColumn("importance_guard_ok", F.lit(ok))
 
 
 @register("feature_importance", ("M6",))
 def feature_importance(spark, sf_dir):
     """M6: top-10 importances of the final boosting model."""
-    d, feats = _selected(spark, sf_dir)
-    params = ML.draw_trials(1, 42)[0]
-    tr, te = ML.impute_with_train_medians(d.where(F.col("year") < CFG.holdout_start_year), d.limit(0), feats, M)
-    _, model = ML.fit_predict(tr, te, feats, LABEL, ML.gbt_from_reference_params(params, LABEL))
+    _, model, feats = _final_model(spark, sf_dir)
     return ML.feature_importance(model, feats, spark)
 
 
