@@ -463,3 +463,49 @@ def encode_categoricals(df: DataFrame, cols: Sequence[str], target: str, region_
         out = frequency_encoding(out, [region_col])
     return out
 
+
+
+# F6 / F14 / E18 ---------------------------------------------------------------
+ROOM_SIZE_LABELS = ("Small", "Medium", "Large", "XLarge")
+
+
+def size_features_b(df: DataFrame, sqm_col: str = "sqm", rooms_col: str = "no_rooms", mode: str = "sorted") -> DataFrame:
+    """rooms cut at 2 / 4 / 6 (right-closed), size tertiles at q33 / q67,
+    or, when those coincide, equal-count tertiles of the row order by size
+    (ties by position, via the skew-proof global rank); sqm per room and
+    rooms per sqm."""
+    s, r = _c(sqm_col), _c(rooms_col)
+    rooms_cat = F.when(r <= 2, ROOM_SIZE_LABELS[0]).when(r <= 4, ROOM_SIZE_LABELS[1]).when(r <= 6, ROOM_SIZE_LABELS[2]) \
+        .when(r.isNotNull(), ROOM_SIZE_LABELS[3])
+    thr = scalar_quantiles(df, sqm_col, [0.33, 0.67], ["_s33", "_s67"], mode)
+    out = df.crossJoin(F.broadcast(thr))
+    by_value = F.when(s <= F.col("_s33"), SIZE_LABELS[0]).when(s <= F.col("_s67"), SIZE_LABELS[1]).when(s.isNotNull(), SIZE_LABELS[2])
+    out = out.withColumns({"rooms_category": rooms_cat, "size_category": by_value,
+                           "sqm_per_room": F.try_divide(s, r.cast("double")),
+                           "rooms_sqm_ratio": F.try_divide(r.cast("double"), s)})
+    degenerate = thr.where(F.col("_s33") >= F.col("_s67")).count() > 0  # one row
+    if degenerate:
+        v = out.where(s.isNotNull()).withColumn("_row", F.monotonically_increasing_id())
+        rk = rank_within_groups(v, [], [s, F.col("_row")])
+        tert = F.when(F.col("_rank") < F.col("_n") / 3.0, SIZE_LABELS[0]).when(
+            F.col("_rank") < 2 * F.col("_n") / 3.0, SIZE_LABELS[1]).otherwise(SIZE_LABELS[2])
+        out = rk.withColumn("size_category", tert).drop("_rank", "_n", "_row").unionByName(
+            out.where(s.isNull()), allowMissingColumns=True)
+    return out.drop("_s33", "_s67")
+
+
+LEGACY_LEAK_COLUMNS = ("price_per_sqm", "price_zscore", "price_category", "is_premium", "price_deviation_from_median")
+
+
+def drop_legacy_leaks(df: DataFrame) -> DataFrame:
+    """remove columns of the older pipeline that were computed from the target."""
+    return df.drop(*[c for c in LEGACY_LEAK_COLUMNS if c in df.columns])
+
+
+def save_stats(stats: DataFrame, path: str) -> None:
+    """Store fitted statistics (scaler / encoder tables) as Parquet."""
+    stats.write.mode("overwrite").parquet(path)
+
+
+def load_stats(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

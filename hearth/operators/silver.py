@@ -103,3 +103,37 @@ def silver(bronze_df: DataFrame, cfg: EngineConfig = EngineConfig(), centroids:
     if centroids is not None:
         out = join_postal_centroids(out, centroids)
     return out
+
+
+def report_flags(df: DataFrame, iqr_factor: float = 3.0, mode: str = "sorted") -> DataFrame:
+    """P10: the profiling report's flags, none of which drops a row: city
+    NULL -> 'Unknown', macro rates missing, sales type classifiable, build
+    year before 1800, preliminary period (before 1995) and extreme price /
+    sqm-price outliers outside [Q1 - 3 IQR, Q3 + 3 IQR] of the whole column."""
+    out = df
+    if "city" in df.columns:
+        out = out.withColumn("city", F.coalesce(F.col("city"), F.lit("Unknown")))
+    q = group_quantiles(df, [], "purchase_price", [0.25, 0.75], ["_p1", "_p3"], mode).crossJoin(
+        group_quantiles(df, [], "sqm_price", [0.25, 0.75], ["_s1", "_s3"], mode))
+    out = out.crossJoin(F.broadcast(q))
+
+    def outside(c, lo, hi):
+        iqr = F.col(hi) - F.col(lo)
+        return all_false_if_null((F.col(c) < F.col(lo) - iqr_factor * iqr) | (F.col(c) > F.col(hi) + iqr_factor * iqr))
+
+    return out.withColumns({
+        "macro_nulo": F.col("dk_ann_infl_rate%").isNull() | F.col("yield_on_mortgage_credit_bonds%").isNull(),
+        "sales_type_valido": ~all_false_if_null(F.col("sales_type") == "-"),
+        "year_build_flag": all_false_if_null(F.col("year_build") < 1800),
+        "periodo_preliminar": all_false_if_null(F.year("date") < 1995),
+        "purchase_price_outlier": outside("purchase_price", "_p1", "_p3"),
+        "sqm_price_outlier": outside("sqm_price", "_s1", "_s3"),
+    }).drop("_p1", "_p3", "_s1", "_s3")
+
+
+def complete_cases(df: DataFrame, cols=None, min_year_build: int = 1800, min_price: float = 100_000,
+                   max_price: float = 50_000_000) -> DataFrame:
+    """The report's cleaning rules: build year >= 1800, price within
+    [100 k, 50 M], then rows without any NULL in ``cols`` (all columns by default)."""
+    out = df.where((F.col("year_build") >= min_year_build) & F.col("purchase_price").between(min_price, max_price))
+    return out.na.drop(subset=list(cols) if cols else None)

@@ -39,7 +39,7 @@ def register(name: str, ops: tuple[str, ...] = (), sql: str | None = None, digit
 
 
 def load_all() -> None:
-    from hearth.plans import q_describe, q_features, q_hypotheses, q_medallion, q_models, q_profile, q_text  # noqa: F401
+    from hearth.plans import q_describe, q_extra, q_features, q_hypotheses, q_medallion, q_models, q_profile, q_text  # noqa: F401
 
 
 def rounded_oracle(schema_dir: str = SCHEMA_DIR) -> dict[str, str]:
