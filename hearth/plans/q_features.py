@@ -216,7 +216,7 @@ def rare_zip_grouping(spark, sf_dir):
     return d.groupBy("zip_code_grouped").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("one_hot_house_type", ("E1",), with_layers("""
+@register("one_hot_house_type", ("E1", "U2"), with_layers("""
 SELECT house_id, no_rooms, date, purchase_price, """ + ", ".join(
     f"CAST(house_type = '{v}' AS INTEGER) AS house_type_{v}" for v in ("Large", "Medium", "Promo", "Small", "Standard"))
     + " FROM bronze"))

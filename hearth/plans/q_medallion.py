@@ -75,7 +75,7 @@ price_index AS (SELECT q.region, q.quarter_id, q.real_sqm_price_median, q.n_tran
                 FROM pi_q q LEFT JOIN pi_b b ON q.region = b.region)"""
 
 
-@register("kpi_price_index", ("A2", "A3", "J4", "P11", "F16"), with_ctes(
+@register("kpi_price_index", ("A2", "A3", "J4", "P11", "F16", "P19"), with_ctes(
     PRICE_INDEX_SQL_CTES,
     f"SELECT region, quarter_id, {r('real_sqm_price_median')} AS real_sqm_price_median, n_transactions, "
     f"{r('price_index')} AS price_index, year_sale, quarter_num FROM price_index"))

@@ -56,7 +56,7 @@ def _candidates(df):
     return [c for c in CANDIDATES if c in df.columns and c not in FORBIDDEN_FEATURES]
 
 
-@register("feature_scores", ("E12", "E13", "E11", "E17", "P17", "P16"))
+@register("feature_scores", ("E12", "E13", "E11", "E17", "P17", "P16", "J9"))
 def feature_scores(spark, sf_dir):
     """Low-variance filter, then correlation / F / binned-MI scores on training years."""
     d = feature_frame(spark, sf_dir)

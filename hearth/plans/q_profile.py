@@ -200,7 +200,7 @@ def word_frequency(spark, sf_dir):
     return P.word_frequency(read_table(spark, sf_dir, "documents"), "text", 100)
 
 
-@register("outlier_extremes", ("K4",), """
+@register("outlier_extremes", ("K4", "U1"), """
 WITH qq AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
 o AS (SELECT e.value FROM events e CROSS JOIN qq WHERE e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1))
 SELECT * FROM (SELECT 'largest' AS side, value FROM o ORDER BY value DESC LIMIT 3)
