@@ -406,9 +406,13 @@ def fold_table(spark, min_train_end: int, max_train_end: int, holdout_start: int
 
 
 def walk_forward_sizes(df: DataFrame, folds: DataFrame, year_col: str = "year") -> DataFrame:
-    """Rows per fold role from one aggregation per year (years x folds is tiny)."""
+    """Rows per fold role from one aggregation per year; the handful of
+    fold definitions is attached to each per-year row as an array."""
+    fl = folds.collect()  # a few (fold_id, train_end, val_year) rows
+    arr = F.array(*[F.struct(F.lit(f.fold_id).alias("fold_id"), F.lit(f.train_end).alias("train_end"),
+                             F.lit(f.val_year).alias("val_year")) for f in fl])
     per_year = df.groupBy(_c(year_col).alias("_y")).agg(F.count(F.lit(1)).alias("_k"))
-    j = folds.crossJoin(F.broadcast(per_year))
+    j = per_year.withColumn("_f", F.explode(arr)).select("_y", "_k", "_f.*")
     return j.groupBy("fold_id", "train_end", "val_year").agg(
         F.sum(F.when(F.col("_y") <= F.col("train_end"), F.col("_k")).otherwise(0)).alias("train_size"),
         F.sum(F.when(F.col("_y") == F.col("val_year"), F.col("_k")).otherwise(0)).alias("val_size"))

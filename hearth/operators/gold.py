@@ -138,12 +138,11 @@ def bond_elasticity(volume: DataFrame, silver_df: DataFrame, cfg: EngineConfig =
         "delta_pct_volume": (F.try_divide(F.col("n_transactions"), F.lag("n_transactions").over(w)) - 1) * 100.0,
         "delta_bps_yield": (F.col("yield_median") - F.lag("yield_median").over(w)) * 100.0,
     })
-    lags = m.sparkSession.createDataFrame([(int(k),) for k in cfg.elasticity_lags], "lag_quarters int")
     m = m.withColumn("_r", F.row_number().over(w))
-    # lag k of the yield change: shift by k rows in quarter order
-    shifted = m.select(F.col("_r"), F.col("delta_bps_yield").alias("_yl"))
-    pairs = (m.crossJoin(F.broadcast(lags))
-             .join(shifted.withColumnRenamed("_r", "_rs"), F.col("_rs") == F.col("_r") - F.col("lag_quarters"), "left")
+    # lag k of the yield change: shift by k rows in quarter order (one row per quarter and lag)
+    shifted = m.select(F.col("_r").alias("_rs"), F.col("delta_bps_yield").alias("_yl"))
+    pairs = (m.withColumn("lag_quarters", F.explode(F.array(*[F.lit(int(k)) for k in cfg.elasticity_lags])))
+             .join(shifted, F.col("_rs") == F.col("_r") - F.col("lag_quarters"), "left")
              .where(F.col("delta_pct_volume").isNotNull() & F.col("_yl").isNotNull()))
     y, xx = F.col("delta_pct_volume"), F.col("_yl")
     res = pairs.groupBy("lag_quarters").agg(

@@ -95,10 +95,10 @@ def cross_correlation(macro: DataFrame, max_lag: int = 12) -> DataFrame:
     with a yield, with the 95 % band 1.96 / sqrt(n)."""
     m = macro.where(F.col("bond_yield").isNotNull())
     m = m.withColumn("_i", F.row_number().over(Window.orderBy("quarter_date")))
-    lags = m.sparkSession.range(0, max_lag + 1).select(F.col("id").cast("int").alias("lag"))
-    a = m.select(F.col("_i").alias("_ia"), F.col("bond_yield").alias("_b"))
+    a = m.select(F.col("_i").alias("_ia"), F.col("bond_yield").alias("_b"),
+                 F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     b = m.select(F.col("_i").alias("_ib"), F.col("total_vol").cast("double").alias("_v"))
-    pairs = a.crossJoin(F.broadcast(lags)).join(b, F.col("_ib") == F.col("_ia") + F.col("lag"))
+    pairs = a.join(b, F.col("_ib") == F.col("_ia") + F.col("lag"))
     n = m.agg(F.count(F.lit(1)).alias("n"))
     r = pairs.groupBy("lag").agg(F.corr("_b", "_v").alias("r"))
     return r.crossJoin(F.broadcast(n)).withColumn("ci95", 1.96 / F.sqrt(F.col("n").cast("double")))
@@ -164,10 +164,9 @@ def bounded_drawdowns(series: DataFrame, keys: Sequence[str], episodes: Sequence
     """W20 + W21 + W22: for each series and episode window [start, end]: the
     first maximum, the first minimum after it, the drawdown (%) and the number
     of quarters from peak to trough."""
-    spark = series.sparkSession
-    ep = spark.createDataFrame(list(episodes), "episode string, start string, end string")
-    ep = ep.select("episode", F.to_timestamp("start").alias("_s"), F.to_timestamp("end").alias("_e"))
-    s = series.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ep))
+    ep = F.array(*[F.struct(F.lit(e).alias("episode"), F.to_timestamp(F.lit(a)).alias("_s"), F.to_timestamp(F.lit(b)).alias("_e"))
+                   for e, a, b in episodes])
+    s = series.where(F.col(value).isNotNull()).withColumn("_ep", F.explode(ep)).select("*", "_ep.*").drop("_ep")
     s = s.where((F.col("quarter_date") >= F.col("_s")) & (F.col("quarter_date") <= F.col("_e")))
     g = [*keys, "episode"]
     w = Window.partitionBy(*g).orderBy("quarter_date")
