@@ -74,7 +74,7 @@ def national_macro(d: DataFrame, norm_from: str = "1992-01-01", mode: str = "sor
 
 def normalise(df: DataFrame, value: str, out: str, keys: Sequence[str], norm_from: str) -> DataFrame:
     """Value / (first value at or after ``norm_from``, else the first) x 100."""
-    after = F.col("quarter_date") >= F.lit(norm_from).cast("timestamp")
+    after = F.to_date("quarter_date") >= F.lit(norm_from).cast("date")  # date compare: independent of the session zone
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     base = F.coalesce(F.min_by(F.when(after, F.col(value)), F.when(after, F.col("quarter_date"))).over(w),
                       F.min_by(F.col(value), F.col("quarter_date")).over(w))
@@ -164,10 +164,10 @@ def bounded_drawdowns(series: DataFrame, keys: Sequence[str], episodes: Sequence
     """W20 + W21 + W22: for each series and episode window [start, end]: the
     first maximum, the first minimum after it, the drawdown (%) and the number
     of quarters from peak to trough."""
-    ep = F.array(*[F.struct(F.lit(e).alias("episode"), F.to_timestamp(F.lit(a)).alias("_s"), F.to_timestamp(F.lit(b)).alias("_e"))
+    ep = F.array(*[F.struct(F.lit(e).alias("episode"), F.lit(a).cast("date").alias("_s"), F.lit(b).cast("date").alias("_e"))
                    for e, a, b in episodes])
     s = series.where(F.col(value).isNotNull()).withColumn("_ep", F.explode(ep)).select("*", "_ep.*").drop("_ep")
-    s = s.where((F.col("quarter_date") >= F.col("_s")) & (F.col("quarter_date") <= F.col("_e")))
+    s = s.where((F.to_date("quarter_date") >= F.col("_s")) & (F.to_date("quarter_date") <= F.col("_e")))
     g = [*keys, "episode"]
     w = Window.partitionBy(*g).orderBy("quarter_date")
     s = s.withColumn("_pos", F.row_number().over(w) - 1)
