@@ -163,3 +163,20 @@ def rank_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str |
     j = s2.join(b, cond, "inner")
     rank = F.col("_start") + (F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) - F.col("_first"))
     return j.select(*[s2[c] for c in df.columns], rank.alias("_rank"), F.col("_n"))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` in ``order`` within each group, as a
+    distributed prefix sum: the rows are range-sorted (a hot group spans many
+    partitions), summed inside each sorted partition by a window over that
+    partition only, and offset by the totals of the group's earlier partitions."""
+    keys = list(keys)
+    s, _ = sorted_blocks(df, keys, order)
+    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    part = Window.partitionBy("_pid", *keys).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_local", F.sum(F.col(value)).over(part))
+    tot = s.groupBy("_pid", *keys).agg(F.sum(F.col(value)).alias("_bsum"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("_before", F.coalesce(F.sum("_bsum").over(w), F.lit(0)))
+    j = s.join(tot.drop("_bsum"), ["_pid", *keys]) if keys else s.join(tot.drop("_bsum"), "_pid")
+    return j.withColumn(out, F.col("_before") + F.col("_local")).drop("_before", "_local", "_pid", "_mid")

@@ -66,12 +66,15 @@ def round_to(c: str | Column, digits: int = 4) -> Column:
     return F.round(col(c).cast("double") * m) / m
 
 
-def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every float column (outputs compared by value hash)."""
+def round_doubles(df: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Round every float column and widen every integral column to bigint
+    (outputs are compared with the oracle by schema and value hash)."""
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and digits is not None:
             out.append(round_to(F.col(f"`{f.name}`"), digits).alias(f.name))
+        elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
+            out.append(F.col(f"`{f.name}`").cast("long").alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

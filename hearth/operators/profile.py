@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.functions.quantile import group_quantiles
+from hearth.functions.quantile import group_quantiles, rank_within_groups, running_sum
 from hearth.functions.stats import grouped_stats
 
 # --- fixed values (reference thresholds) ------------------------------------
@@ -229,20 +229,26 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
 
 def top_n_with_other(df: DataFrame, col: str, top_n: int = 10) -> DataFrame:
     """K5 / Q10: proportions of the top_n - 1 values plus 'other' when there
-    are more than top_n values (ties broken by value); else all values."""
+    are more than top_n values (ties broken by value); else all values. Only
+    the top_n rows are ever ordered (TakeOrderedAndProject); the rest is summed."""
     vc = value_counts(df, [col]).drop("column_name")
-    w = Window.orderBy(F.desc("n"), "value")
-    vc = vc.withColumn("_rk", F.row_number().over(w)).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy()))
-    label = F.when((F.col("_k") > top_n) & (F.col("_rk") >= top_n), F.lit("other")).otherwise(F.col("value"))
-    return vc.groupBy(label.alias("category")).agg(F.sum("proportion").alias("proportion"), F.sum("n").alias("n"))
+    tot = vc.agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"), F.sum("proportion").alias("_p"))
+    top = vc.orderBy(F.desc("n"), "value").limit(top_n)
+    top = top.withColumn("_rk", F.row_number().over(Window.orderBy(F.desc("n"), "value"))).crossJoin(F.broadcast(tot))
+    kept = top.where((F.col("_k") <= top_n) | (F.col("_rk") < top_n)).select(F.col("value").alias("category"), "proportion", "n")
+    head = top.where(F.col("_rk") < top_n).agg(F.sum("n").alias("_hn"), F.sum("proportion").alias("_hp"))
+    other = tot.where(F.col("_k") > top_n).crossJoin(head).select(
+        F.lit("other").alias("category"), (F.col("_p") - F.coalesce(F.col("_hp"), F.lit(0.0))).alias("proportion"),
+        (F.col("_n") - F.coalesce(F.col("_hn"), F.lit(0))).alias("n"))
+    return kept.unionByName(other)
 
 
 def pareto(df: DataFrame, col: str) -> DataFrame:
-    """K6 + W7: categories by count desc with cumulative proportion."""
+    """K6 + W7: categories by count desc with their rank and cumulative
+    proportion (distributed prefix sum over the global order, no single-partition window)."""
     vc = value_counts(df, [col]).drop("column_name")
-    w = Window.orderBy(F.desc("n"), "value").rowsBetween(Window.unboundedPreceding, 0)
-    return vc.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc("n"), "value")),
-                           "cumulative_proportion": F.sum("proportion").over(w)})
+    r = rank_within_groups(vc, [], [F.desc("n"), F.col("value")]).withColumn("rank", F.col("_rank") + 1).drop("_rank", "_n")
+    return running_sum(r, [], [F.col("rank")], "proportion", "cumulative_proportion")
 
 
 def word_frequency(df: DataFrame, col: str, top: int = 100) -> DataFrame:

@@ -23,8 +23,7 @@ def register(name: str, ops: tuple[str, ...] = (), sql: str | None = None, digit
 
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = fn(spark, sf_dir)
-            return round_doubles(df, digits) if digits is not None else df
+            return round_doubles(fn(spark, sf_dir), digits)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -54,18 +53,24 @@ def rounded_oracle(schema_dir: str = SCHEMA_DIR) -> dict[str, str]:
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{schema_dir}/{t}.parquet') LIMIT 0")
     out = {}
+    widen = ("INTEGER", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER", "USMALLINT", "UTINYINT")
     for name, sql in ORACLE.items():
         d = DIGITS.get(name)
-        if d is None:
-            out[name] = sql
-            continue
         try:
             cols = con.execute(f"DESCRIBE {sql}").fetchall()
         except Exception:  # leave the statement as written; the check reports it
             out[name] = sql
             continue
-        m = float(10 ** d)
-        rep = [f'round(CAST("{c[0]}" AS DOUBLE) * {m}) / {m} AS "{c[0]}"' for c in cols
-               if c[1] in ("DOUBLE", "FLOAT", "REAL")]
+        rep = []
+        for c in cols:
+            n, t = c[0], c[1]
+            if t in ("DOUBLE", "FLOAT", "REAL") or t.startswith("DECIMAL"):
+                if d is not None:
+                    m = float(10 ** d)
+                    rep.append(f'round(CAST("{n}" AS DOUBLE) * {m}) / {m} AS "{n}"')
+                elif t.startswith("DECIMAL"):
+                    rep.append(f'CAST("{n}" AS DOUBLE) AS "{n}"')
+            elif t in widen:
+                rep.append(f'CAST("{n}" AS BIGINT) AS "{n}"')
         out[name] = f"SELECT * REPLACE ({', '.join(rep)}) FROM ({sql})" if rep else sql
     return out
