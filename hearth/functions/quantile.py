@@ -25,6 +25,10 @@ from hearth.session import ensure_checkpoint_dir
 _LOW_BITS = (1 << 33) - 1
 # Above this many rows the table of wanted ranks is joined by shuffle, not broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
+# mode "auto": when no group holds more rows than this, Spark's exact percentile
+# aggregate is used (its per-group buffer is then bounded by this many values);
+# otherwise the range-sorted path.
+AUTO_MAX_GROUP_ROWS = 1_000_000
 
 
 def _qname(p: float) -> str:
@@ -107,11 +111,15 @@ def _sorted_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, mode: str = "sorted", accuracy: int = 100_000) -> DataFrame:
+                    names: Sequence[str] | None = None, mode: str = "auto", accuracy: int = 100_000) -> DataFrame:
     """One row per group present with at least one non-null value:
     ``keys + names`` (default names ``q_0_5`` ...)."""
     keys = list(keys)
     names = list(names or [_qname(p) for p in probs])
+    if mode == "auto":
+        sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"))
+        biggest = sizes.agg(F.max("_g")).first()[0] or 0  # one number to the driver
+        mode = "aggregate" if biggest <= AUTO_MAX_GROUP_ROWS else "sorted"
     if mode == "sorted":
         return _sorted_quantiles(df, keys, value, probs, names)
     x = F.col(value).cast("double")
@@ -127,7 +135,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
 
 def attach_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                     names: Sequence[str] | None = None, mode: str = "sorted") -> DataFrame:
+                     names: Sequence[str] | None = None, mode: str = "auto") -> DataFrame:
     """Left-join group quantiles of ``df`` onto a per-group ``stats`` table
     (null-safe on keys; groups without values get nulls)."""
     keys = list(keys)
@@ -143,7 +151,7 @@ def attach_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value
 
 
 def scalar_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str] | None = None,
-                     mode: str = "sorted") -> DataFrame:
+                     mode: str = "auto") -> DataFrame:
     """A one-row DataFrame of whole-column quantiles (to cross-join as a scalar)."""
     return group_quantiles(df, [], value, probs, names, mode)
 

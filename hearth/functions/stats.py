@@ -66,7 +66,7 @@ def _agg(fn: str, c: str) -> Column:
 
 
 def grouped_stats(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, str, str]],
-                  mode: str = "sorted") -> DataFrame:
+                  mode: str = "auto") -> DataFrame:
     """specs: (output name, function, column). Functions: count (non-null),
     size (rows), mean, std, var, min, max, sum, median, q25, q75, q10, q90,
     q33, q67, or ``qNN.NNN`` for any probability."""

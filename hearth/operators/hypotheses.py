@@ -28,7 +28,7 @@ def map_with_fallback(col: str, mapping: Mapping[str, str]) -> Column:
 
 def prepare(df: DataFrame, region_map: Mapping[str, str], type_map: Mapping[str, str],
             regular_sale: str = "Alm. Salg", yield_col: str = "yield_on_mortgage_credit_bonds%",
-            infl_col: str = "dk_ann_infl_rate%", cpi_base_year: int = 2024, mode: str = "sorted") -> DataFrame:
+            infl_col: str = "dk_ann_infl_rate%", cpi_base_year: int = 2024, mode: str = "auto") -> DataFrame:
     """P12 + P15 + F17 + CPI deflation of the study: regular sales with date,
     sqm price, region and type; cleaned labels; quarter start; real prices
     with missing quarterly inflation counted as 0 %."""
@@ -53,7 +53,7 @@ def prepare(df: DataFrame, region_map: Mapping[str, str], type_map: Mapping[str,
                           "real_sqm_price": F.col("sqm_price") * F.col("deflator")})
 
 
-def quarterly_by_region_type(d: DataFrame, mode: str = "sorted") -> DataFrame:
+def quarterly_by_region_type(d: DataFrame, mode: str = "auto") -> DataFrame:
     """Median real sqm price, count and mean yield per quarter x region x type."""
     keys = ["quarter_date", "year", "quarter_num", "region_clean", "house_type_clean"]
     g = d.groupBy(*keys).agg(F.count("real_sqm_price").alias("transactions"), F.avg("bond_yield").alias("bond_yield"))
@@ -61,7 +61,7 @@ def quarterly_by_region_type(d: DataFrame, mode: str = "sorted") -> DataFrame:
     return g.join(med, keys, "left")
 
 
-def national_macro(d: DataFrame, norm_from: str = "1992-01-01", mode: str = "sorted") -> DataFrame:
+def national_macro(d: DataFrame, norm_from: str = "1992-01-01", mode: str = "auto") -> DataFrame:
     """A27 + W16: national quarterly median real sqm price, volume, mean
     yield, the year, and the price normalised to its first quarter on or
     after ``norm_from``."""
@@ -81,7 +81,7 @@ def normalise(df: DataFrame, value: str, out: str, keys: Sequence[str], norm_fro
     return df.withColumn(out, F.col(value) / base * 100.0)
 
 
-def national_by_type(agg: DataFrame, norm_from: str = "1992-01-01", mode: str = "sorted") -> DataFrame:
+def national_by_type(agg: DataFrame, norm_from: str = "1992-01-01", mode: str = "auto") -> DataFrame:
     """Per type and quarter, the median of the regional medians and the
     summed transactions, normalised per type."""
     s = agg.groupBy("house_type_clean", "quarter_date").agg(F.sum("transactions").alias("transactions"))

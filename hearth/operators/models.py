@@ -49,7 +49,7 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def impute_with_train_medians(train: DataFrame, other: DataFrame, cols: Sequence[str], mode: str = "sorted"):
+def impute_with_train_medians(train: DataFrame, other: DataFrame, cols: Sequence[str], mode: str = "auto"):
     """Medians of the training rows (NaN / inf as missing, 0 when none) filled into both frames."""
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), _c(c).cast("double").alias("v")) for c in cols])).alias("_kv"))
     long = long.select("_kv.k", F.when(~F.isnan("_kv.v") & (F.abs("_kv.v") != float("inf")), F.col("_kv.v")).alias("v"))
@@ -90,7 +90,7 @@ def draw_trials(n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction", mode: str = "sorted") -> DataFrame:
+def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction", mode: str = "auto") -> DataFrame:
     """M3/M4 (one row): r2, rmse, mae, mape (%), medae, n, plus rmse / mae after expm1."""
     y, p = _c(label), _c(prediction)
     d = pred.select(y.cast("double").alias("y"), p.cast("double").alias("p"))
@@ -108,7 +108,7 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
 
 
 def walk_forward_search(df: DataFrame, folds: DataFrame, features: Sequence[str], label: str, n_trials: int = 1,
-                        seed: int = 42, year_col: str = "year", mode: str = "sorted") -> DataFrame:
+                        seed: int = 42, year_col: str = "year", mode: str = "auto") -> DataFrame:
     """M2: each trial is fitted on every fold's training years (medians
     imputed from them) and scored by RMSE on the validation year."""
     spark = df.sparkSession
@@ -149,7 +149,7 @@ def regressors(label: str, seed: int = 42) -> dict:
 
 
 def leaderboard(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, names: Sequence[str] | None = None,
-                mode: str = "sorted") -> DataFrame:
+                mode: str = "auto") -> DataFrame:
     """M5: holdout metrics of each algorithm (fitted concurrently), best RMSE first."""
     todo = [(n, e) for n, e in regressors(label).items() if not names or n in names]
 

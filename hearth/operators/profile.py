@@ -160,7 +160,7 @@ def dagostino_k2(g1: Column, g2: Column, n: Column) -> Column:
     return zs * zs + zk * zk
 
 
-def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, mode: str = "sorted") -> DataFrame:
+def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, mode: str = "auto") -> DataFrame:
     """Q5 + Q6 + Q7: per numeric column: describe() figures, adjusted skewness
     and kurtosis, CV %, IQR outliers, concentration (p90 - p10) / range,
     D'Agostino K^2 and Jarque-Bera with chi^2(2) p-values, and the flags."""
@@ -257,7 +257,7 @@ def word_frequency(df: DataFrame, col: str, top: int = 100) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(top)
 
 
-def outlier_extremes(df: DataFrame, col: str, k: int = 3, mode: str = "sorted") -> DataFrame:
+def outlier_extremes(df: DataFrame, col: str, k: int = 3, mode: str = "auto") -> DataFrame:
     """K4: the k largest and k smallest IQR outliers of a column."""
     q = group_quantiles(df, [], col, [0.25, 0.75], ["_q1", "_q3"], mode)
     d = df.select(_c(col).cast("double").alias("value")).crossJoin(F.broadcast(q))
@@ -281,7 +281,7 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
                     (F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_end"), "n")
 
 
-def percentile_vector(df: DataFrame, col: str, probs: Sequence[float] = PERCENTILES, mode: str = "sorted") -> DataFrame:
+def percentile_vector(df: DataFrame, col: str, probs: Sequence[float] = PERCENTILES, mode: str = "auto") -> DataFrame:
     """Q17: percentile vector (one row, columns p1 ... p99) and boxplot numbers."""
     names = [f"p{int(round(p * 100))}" for p in probs]
     return group_quantiles(df, [], col, probs, names, mode)

@@ -29,7 +29,7 @@ def _kv(section: str, pairs: Sequence[tuple[str, Column]]) -> Column:
                                for k, v in pairs]))
 
 
-def business_insights(df: DataFrame, mode: str = "sorted") -> DataFrame:
+def business_insights(df: DataFrame, mode: str = "auto") -> DataFrame:
     """Q13 (one row): price median / mean / cv, sqm median and q75, most
     common room count, share of the top region, build-year quartiles."""
     st = grouped_stats(df, [], [("price_median", "median", "purchase_price"), ("price_mean", "mean", "purchase_price"),
@@ -46,7 +46,7 @@ def business_insights(df: DataFrame, mode: str = "sorted") -> DataFrame:
         "rooms_mode", "top_region", "top_region_share", "year_build_q25", "year_build_median", "year_build_q75")
 
 
-def executive_summary(df: DataFrame, mode: str = "sorted") -> DataFrame:
+def executive_summary(df: DataFrame, mode: str = "auto") -> DataFrame:
     """Long KPI table: totals, median price by house type and by
     region with their share of sales, and the sales channels by volume."""
     tot = df.agg(F.count(F.lit(1)).alias("n"))
@@ -104,7 +104,7 @@ def column_null_pct(df: DataFrame) -> DataFrame:
     return allc.join(s.select("column_name", F.col("null_percentage").alias("null_pct")), "column_name", "left").fillna(0.0, ["null_pct"])
 
 
-def complete_analysis(df: DataFrame, mode: str = "sorted") -> dict[str, DataFrame]:
+def complete_analysis(df: DataFrame, mode: str = "auto") -> dict[str, DataFrame]:
     """Q15: the analysis facade: quality, profiles, summary, recommendations."""
     num = P.numeric_profile(df, mode=mode)
     cat = P.categorical_profile(df)
