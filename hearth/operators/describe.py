@@ -36,10 +36,6 @@ def _bround(df: DataFrame, cols: Sequence[str], d: int = 0) -> DataFrame:
     return df.withColumns({c: F.bround(F.col(c).cast("double"), d) for c in cols})
 
 
-def _stats(df, keys, value, fns, prefix=""):
-    return [(f"{prefix}{fn}", fn, value) for fn in fns]
-
-
 def price_stats(df: DataFrame, group: str = "region", value: str = PRICE, mode: str = "auto") -> DataFrame:
     """Count, mean, median, std, q25, q75, min, max (rounded to 0) and the
     95 % t confidence interval of the mean per group, sorted by mean desc."""

@@ -18,10 +18,6 @@ def _b(spark, sf_dir):
     return bronze_table(spark, sf_dir, CFG).withColumn("year", F.col("year_sale"))
 
 
-def _keys(df):
-    return df.select(*KEY)
-
-
 @register("date_features", ("F1", "F2", "F3"), with_layers("""
 SELECT house_id, no_rooms, date, purchase_price, year(date) AS year_sale, month(date) AS month_sale, day(date) AS day_sale,
        isodow(date) - 1 AS dayofweek_sale, quarter(date) AS quarter_sale,

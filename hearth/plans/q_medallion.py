@@ -18,10 +18,6 @@ FLAGS = ("is_pre_1995_record", "is_family_sale", "is_unclassified_sale", "is_mis
          "is_low_sample_cell", "is_outlier_price")
 
 
-def _q(c: str) -> str:
-    return f'"{c}"' if "%" in c else c
-
-
 @register("bronze_enforced", ("S1", "P1", "P2", "P3"), with_layers(
     "SELECT " + ", ".join(r(c) + f" AS {c}" if c in ("purchase_price", "sqm", "sqm_price") else c for c in BRONZE_COLS)
     + ', ' + r('"dk_ann_infl_rate%"') + ' AS infl_pct FROM bronze'))

@@ -73,10 +73,10 @@ clean AS (SELECT * FROM silver WHERE {excl})"""
 
 
 def with_layers(body: str, cfg: EngineConfig = DRIVER_CONFIG) -> str:
-    """``body`` may start with further CTEs (``name AS (...), ...``) followed by SELECT;
-    pass it as ``"cte1 AS (...) SELECT ..."`` via ``with_layers_ctes``."""
+    """The layer views followed by one SELECT statement."""
     return f"WITH {layers(cfg)}\n{body}"
 
 
 def with_ctes(ctes: str, select: str, cfg: EngineConfig = DRIVER_CONFIG) -> str:
+    """The layer views, further CTEs (``name AS (...), ...``) and a SELECT."""
     return f"WITH {layers(cfg)},\n{ctes}\n{select}"
