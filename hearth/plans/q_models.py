@@ -234,3 +234,28 @@ def model_persistence(spark, sf_dir):
     ML.save_model(model, path)
     again = ML.load_pipeline(path).transform(d)
     return again.agg(F.count(F.lit(1)).alias("n_scored"), F.avg("prediction").alias("positive_rate")).withColumn("path", F.lit(path))
+
+
+@register("feature_artifacts", ("S16", "E15", "E18"))
+def feature_artifacts(spark, sf_dir):
+    """Processed / train / test feature tables, fitted scaler statistics,
+    the selected-feature list and a metadata record written under the shared
+    folder; one summary row per artefact."""
+    from hearth.plans.layers import _root
+    from hearth.sources import io
+
+    d, feats = _selected(spark, sf_dir)
+    root = f"{_root(spark)}/feature-artifacts-{spark.sparkContext.applicationId}"
+    tr = d.where(F.col("year") <= CFG.split_last_train_year)
+    te = d.where(F.col("year") > CFG.split_last_train_year)
+    stats = X.fit_scaler(tr, feats, "standard")
+    parts = {"processed": d, "train": tr, "test": te, "scaler_stats": stats,
+             "selected_features": spark.createDataFrame([(f,) for f in feats], "feature string")}
+    rows = []
+    for name, df in parts.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        back = spark.read.parquet(f"{root}/{name}")
+        rows.append((name, back.count(), len(back.columns)))
+    meta = io.manifest(d, "features", f"{root}/processed")
+    io.write_manifest(meta, f"{root}/metadata")
+    return spark.createDataFrame(rows, "artifact string, n_rows long, n_columns long")
