@@ -28,7 +28,7 @@ MAX_BROADCAST_ROWS = 2_000_000
 # mode "auto": when no group holds more rows than this, Spark's exact percentile
 # aggregate is used (its per-group buffer is then bounded by this many values);
 # otherwise the range-sorted path.
-AUTO_MAX_GROUP_ROWS = 100_000
+AUTO_MAX_GROUP_ROWS = 500_000
 
 
 def _qname(p: float) -> str:
