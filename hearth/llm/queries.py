@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from hearth.llm.exact_dedup import LOWER, UPPER, exact_groups
+from hearth.llm.mixing import mix_sources
 from hearth.llm.ngram_join import ngram_jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
@@ -49,3 +49,34 @@ FROM documents d JOIN reach ON reach.doc_id = d.doc_id LEFT JOIN jn ON jn.doc_id
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, Jaccard 0.75 or more."""
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def mix_sql(docs: str = "documents") -> str:
+    """CTEs up to ``mix`` (doc_id, source, text, size, source_size, target, taken) over the table ``docs``."""
+    return f"""mt AS (SELECT *, CAST(len({WORDS_SQL.format("coalesce(text, '')")}) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mkey,
+         coalesce('s' || source, 'n') AS sid FROM {docs}),
+ms AS (SELECT sid, any_value(source) AS src, CAST(sum(size) AS BIGINT) AS source_size FROM mt GROUP BY sid),
+mw AS (SELECT *, [1.0, 2.0, 3.0][(row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM ms),
+ml AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+         / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM mw),
+mg AS (SELECT level AS lv FROM ml WHERE level * weight <= cap ORDER BY cap / weight, sid LIMIT 1),
+mp AS (SELECT sid, source_size, least(cap, lv * weight) AS target, CAST(floor(least(cap, lv * weight) + 0.5) AS BIGINT) AS budget FROM ml CROSS JOIN mg),
+mq AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM mp),
+mb AS (SELECT mt.*, mq.source_size, mq.target, mq.epochs, mq.budget - mq.epochs * mq.source_size AS rest,
+         coalesce(sum(size) OVER (PARTITION BY mt.sid ORDER BY mkey, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+       FROM mt JOIN mq ON mt.sid = mq.sid),
+mix AS (SELECT *, CAST(epochs * size + greatest(0, least(rest - before, size)) AS BIGINT) AS taken FROM mb)"""
+
+
+@query("op2_mixing", f"WITH {mix_sql()} SELECT doc_id, size, source_size, target, taken FROM mix")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents' sources at weights 1, 2, 3, at most 3 epochs of each."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op4_exact_dedup", f"""WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents; the largest doc_id of each stays."""
+    return exact_groups(table(spark, sf_dir, "documents"))
