@@ -265,7 +265,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def _candidate_sets(d: DataFrame, classes: DataFrame, width: int, magnitude, hot: int) -> DataFrame:
     """``(cls, n, gid, shingles)`` of the classes that share enough prefix shingles to have a partner."""
-    entries = d.select("text").mapInArrow(_prefix_rows(width, magnitude, hot), "token bigint, cls bigint, surely int").repartition("token")
+    entries = d.select("text").mapInArrow(_prefix_rows(width, magnitude, hot), "token bigint, cls bigint, surely int")
+    entries = entries.where("token IS NOT NULL").repartition("token")  # one exchange for the grouping and the join
     spread = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("surely").alias("most"))
     live = (entries.join(spread.where("lo < hi OR most > 0").select("token", (F.col("lo") < F.col("hi")).alias("shared")), "token")
             .select("token", "cls", F.when(F.col("surely") > 0, F.col("surely")).otherwise(F.col("shared").cast("int")).alias("k")).distinct())

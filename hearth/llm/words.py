@@ -107,3 +107,11 @@ def chunks(offsets: np.ndarray, limit: int = _BLOCK_BYTES) -> Iterator[tuple[int
         b = min(max(b, a + 1), n)
         yield a, b
         a = b
+
+
+def byte_offsets(column: pa.Array) -> np.ndarray:
+    """n+1 byte offsets of the values of a string or binary column; a null has no bytes."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
