@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from hearth.llm import words as W
 
 Batches = Iterator[pa.RecordBatch]
-MAX_WORDS = 500_000  # words in a task's table, then it starts anew
+MAX_WORDS = 800_000  # words in a task's table, then it starts anew
 _LONG_WORD = 64
-_WORDS_AT_ONCE = 1 << 18
+_LONG_TEXT, _WORDS_AT_ONCE = 1 << 20, 1 << 17
 # The characters with Unicode's White_Space property.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # White space up to the last one before a word; a word with the space before it; that last one if it is no space.
@@ -85,28 +85,34 @@ class Codec:
         ids = iter(self.tokenizer.encode_batch_fast(flat, add_special_tokens=False))
         return {w: b"".join([array("I", next(ids).ids).tobytes() for _ in of]) for w, of in zip(words, pieces)}
 
-    def _pack(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in self.known]
+    def _pack(self, lists: list[list[str]]) -> list[bytes]:
+        new = set().union(*lists).difference(self.known)
         if len(self.known) + len(new) > MAX_WORDS:
             self.known.clear()
-            new = list(set(words))
-        got: dict[str, bytes] = {}
-        for i in range(0, len(new), 4096):
-            got |= self._learn(new[i:i + 4096])
-        self.known.update((w, x) for w, x in got.items() if len(w) <= _LONG_WORD)
-        return b"".join([got[w] if w in got else self.known[w] for w in words])
-
-    def encode(self, text: str) -> bytes:
-        if len(text) < _WORDS_AT_ONCE:
-            return self._pack(_WORDS.findall(text))
-        found, parts = _WORDS.finditer(text), []
-        while words := [m.group() for m in islice(found, _WORDS_AT_ONCE)]:
-            parts.append(self._pack(words))
-        return b"".join(parts)
+            new = set().union(*lists)
+        words, got = list(new), {}
+        for i in range(0, len(words), 4096):
+            got |= self._learn(words[i:i + 4096])
+        self.known.update(got)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in lists]
+        for w in got:
+            if len(w) > _LONG_WORD:
+                del self.known[w]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; a long text goes through in parts, so its words are never all held."""
+        out: list[bytes] = [b""] * len(texts)
+        short = [i for i, t in enumerate(texts) if len(t) < _LONG_TEXT]
+        for i, ids in zip(short, self._pack([_WORDS.findall(texts[i]) for i in short])):
+            out[i] = ids
+        for i, t in enumerate(texts):
+            if len(t) >= _LONG_TEXT:
+                found, parts = _WORDS.finditer(t), []
+                while words := [m.group() for m in islice(found, _WORDS_AT_ONCE)]:
+                    parts += self._pack([words])
+                out[i] = b"".join(parts)
+        return out
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of each id's bytes; ids that share a character both cover it."""
@@ -155,7 +161,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, ranks: str, pattern: str, text_co
         for whole in batches:
             for batch in _slices(whole, text_col):
                 texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                ids = [c.encode(t) for t in texts]
+                ids = c.encode(texts)
                 made = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
                 if offsets:
                     spans = [c.offsets(t, x) for t, x in zip(texts, ids)]

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hearth.llm.bpe import bpe_decode, bpe_encode
 from hearth.llm.exact_dedup import LOWER, UPPER, exact_groups
+from hearth.llm.langid import fit_profiles, identify_language
 from hearth.llm.mixing import mix_sources
 from hearth.llm.ngram_join import ngram_jaccard_components
 
@@ -26,6 +30,17 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def vocabulary() -> dict[str, str]:
+    """The byte-level vocabulary that the queries use: the library's file, the ranks and the pattern."""
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            "pattern": public_tokenizers.PATTERN}
+
+
+def held_out(doc_id="doc_id"):
+    """Documents whose crc32 of the id as text is divisible by 5 (a null id counts as empty text)."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -74,9 +89,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text to byte-level BPE ids and back; digests of both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe_encode(docs, **vocabulary()).select("doc_id", "n_tokens", "ids")
+    back = bpe_decode(ids, **vocabulary(), text=False)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op4_exact_dedup", f"""WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents; the largest doc_id of each stays."""
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by profiles learned on those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = fit_profiles(docs.where(~held_out()))
+    return identify_language(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).drop("text")
