@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.graph import cut
+from hearth.llm.graph import HOT_SHARE, cut, spread_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_ROW = 32
@@ -36,34 +36,70 @@ def _is_set(page: str, cell: Column) -> Column:
     return F.coalesce(F.bit_get(byte, (bit % 8).cast("int")) == 1, F.lit(False))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(<id>, keep_id, group_size, kept, text_sha256)`` and ``carry`` per row of ``docs``.
+def _sha(text_col: str) -> Column:
+    return F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty.
-    The row with the largest id of each group is kept (null ids come last); of
-    rows that repeat that id exactly one is. ``carry`` columns (small ones) come
-    out unchanged; other columns are not read.
-    """
-    norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.sha2(norm.cast("binary"), 256).alias("sha"),
-                           F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(f"c_{c}") for c in carry)))
-    wanted = BITS_PER_ROW * max(rows.count(), 1)
+
+def _pages(rows: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """Pass 1: (the bitmaps of the cells that two rows or more fall into, their bits)."""
+    wanted = BITS_PER_ROW * max(total, 1)
     bits = min(max(1 << (wanted - 1).bit_length(), MIN_BITS), MAX_BITS)
     cells = rows.select(F.explode(F.array(*_cells(bits))).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pages = cells.groupBy(F.floor(F.col("cell") / _PAGE_BITS).alias("page")).agg(
-        F.bitmap_construct_agg((F.col("cell") % _PAGE_BITS)).alias("bitmap"))
-    asked = rows
+    return cells.groupBy(F.floor(F.col("cell") / _PAGE_BITS).alias("page")).agg(
+        F.bitmap_construct_agg(F.col("cell") % _PAGE_BITS).alias("bitmap")), bits
+
+
+def _ask(rows: DataFrame, pages: DataFrame, bits: int) -> DataFrame:
+    """Pass 2: ``rows`` with ``maybe``, false where the bitmaps prove that no other row has the hash."""
     for i, cell in enumerate(_cells(bits)):
         page = F.broadcast(pages.select(F.col("page").alias(f"p{i}"), F.col("bitmap").alias(f"b{i}")))
-        asked = asked.join(page, F.floor(cell / _PAGE_BITS) == F.col(f"p{i}"), "left").withColumn(f"hit{i}", _is_set(f"b{i}", cell)).drop(f"p{i}", f"b{i}")
-    asked = cut(asked.withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1"))
-
-    groups = asked.where("maybe").groupBy("sha").agg(F.max(F.struct("id", "row")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = asked.where("maybe").join(groups, "sha", "left")
-    alone = asked.where("NOT maybe")
-    extra = [F.col(f"c_{c}").alias(c) for c in carry]
-    return alone.select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-                        F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), *extra).union(
-        again.select(F.col("id").alias(id_col), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
-                     F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-                     F.coalesce(F.col("row") == F.col("top.row"), F.lit(True)).alias("kept"), F.col("sha").alias("text_sha256"), *extra))
+        rows = rows.join(page, F.floor(cell / _PAGE_BITS) == F.col(f"p{i}"), "left").withColumn(f"hit{i}", _is_set(f"b{i}", cell)).drop(f"p{i}", f"b{i}")
+    return rows.withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
+
+
+def _groups(asked: DataFrame) -> DataFrame:
+    return cut(asked.where("maybe").groupBy("sha").agg(F.max(F.struct("id", "row")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return cut(docs.select(F.col(id_col).alias("id"), _sha(text_col).alias("sha"), F.monotonically_increasing_id().alias("row")))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(<id>, keep_id, group_size, kept, text_sha256)`` per row of ``docs``.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty.
+    The row with the largest id of each group is kept (null ids come last); of
+    rows that repeat that id exactly one is. Other columns are not read.
+    """
+    rows = _slim(docs, id_col, text_col)
+    total = rows.count()
+    asked = cut(_ask(rows, *_pages(rows, total)))
+    again = spread_join(asked.where("maybe"), _groups(asked), "sha", F.col("n") * HOT_SHARE >= total)
+    one = F.lit(1).cast("long")
+    return asked.where("NOT maybe").select(
+        F.col("id").alias(id_col), F.col("id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"),
+        F.col("sha").alias("text_sha256")).union(again.select(
+            F.col("id").alias(id_col), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
+            F.coalesce("n", one).alias("group_size"), F.coalesce(F.col("row") == F.col("top.row"), F.lit(True)).alias("kept"),
+            F.col("sha").alias("text_sha256")))
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every group of equal texts, the one with the largest id, all columns unchanged.
+
+    Rows that the bitmaps clear pass through with their text unshuffled.
+    """
+    rows = _slim(docs, id_col, text_col)
+    total = rows.count()
+    pages, bits = _pages(rows, total)
+    pages = cut(pages)
+    groups = _groups(cut(_ask(rows, pages, bits)))
+    names = docs.columns
+    full = docs.select(*(F.col(c).alias(f"c_{c}") for c in names), F.col(id_col).alias("id"), _sha(text_col).alias("sha"))
+    asked = _ask(full, pages, bits)
+    again = spread_join(asked.where("maybe"), groups, "sha", F.col("n") * HOT_SHARE >= total)
+    single = again.where("n IS NULL")
+    best = again.where(F.col("n").isNotNull() & F.col("id").eqNullSafe(F.col("top.id"))).dropDuplicates(["sha"])
+    out = [F.col(f"c_{c}").alias(c) for c in names]
+    return asked.where("NOT maybe").select(*out).union(single.select(*out)).union(best.select(*out))

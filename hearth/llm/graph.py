@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.session import ensure_checkpoint_dir
@@ -43,3 +43,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return ids.join(edges.select(F.col("u").alias("id"), "v"), "id", "left").select(
         "id", F.coalesce("v", "id").alias("component"))
+
+
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, hot: Column) -> DataFrame:
+    """Left join of ``rows`` to ``groups`` (one row a key) that no frequent key holds up.
+
+    ``hot`` marks the groups of one ``HOT_SHARE``-th of all rows or more. There
+    are ``HOT_SHARE`` of them at most, whatever the input, so they are broadcast;
+    only the rows of the other keys are shuffled.
+    """
+    few = groups.where(hot)
+    at_once = rows.join(F.broadcast(few), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return at_once.unionByName(rest.join(groups.where(~hot), key, "left").select(at_once.columns))

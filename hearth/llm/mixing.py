@@ -52,8 +52,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id",
-                text_col: str = "text", source_col: str = "source", seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(<id>, size, source_size, target, taken)`` and ``carry`` per row of ``docs``.
+                text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """``(<id>, size, source_size, target, taken)`` per row of ``docs``.
 
     ``taken`` counts the words that the mix takes from the row, repeats counted:
     a source's whole epochs, and in the last one its first rows by hash key until
@@ -61,8 +61,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     words only. It is ``max_epochs * size`` at most. A null text has size 0, a
     null source is a source of its own and the last one; rows that repeat an id
     are ordered by size and are interchangeable beyond that. Other columns are
-    not read, unless named in ``carry``.
+    not read.
     """
+    return _mix(docs, weights, max_epochs, id_col, text_col, source_col, seed).select(
+        F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, id_col: str, text_col: str, source_col: str, seed: str,
+         carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, size, source_size, target, taken)`` and the columns ``carry`` as ``c_<name>``."""
     sid = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
     slim = docs.select(F.col(id_col).alias("id"), sid.alias("sid"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     slim = cut(slim)
@@ -85,20 +92,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     inner = Window.partitionBy("sid", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = placed(full).join(plan, ["sid", "range"]).withColumn("before", F.col("skip") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("rest") - F.col("before"), F.col("size")))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"c_{c}").alias(c) for c in carry))
+    return out.select("id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"c_{c}") for c in carry))
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id",
+                    text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The mix itself: a row for each time that a document is taken, with the columns of ``docs``.
 
     Rows that nothing is taken from go. The one row of a source at which its
     budget ends comes with its first words, joined by one space.
     """
     names = docs.columns
-    mixed = mix_sources(docs, text_col=text_col, carry=tuple(names), **options).select("size", "taken", *(F.col(c).alias(f"m_{c}") for c in names))
+    mixed = _mix(docs, weights, max_epochs, id_col, text_col, source_col, seed, carry=tuple(names))
     whole = F.floor(F.col("taken") / F.col("size"))
     left = F.col("taken") - whole * F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
     rows = mixed.where("taken > 0").withColumn("part", F.explode(copies))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col(f"m_{text_col}"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
-    return rows.select(*(F.when(F.col("part") > 0, cut_text).otherwise(F.col(f"m_{c}")).alias(c) if c == text_col else F.col(f"m_{c}").alias(c) for c in names))
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col(f"c_{text_col}"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    return rows.select(*(F.when(F.col("part") > 0, cut_text).otherwise(F.col(f"c_{c}")).alias(c) if c == text_col else F.col(f"c_{c}").alias(c) for c in names))

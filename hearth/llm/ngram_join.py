@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.llm import words as W
-from hearth.llm.graph import connected_components, cut
+from hearth.llm.graph import HOT_SHARE, connected_components, cut, spread_join
 
 WIDTH = 5
 COUNTERS = 1 << 20
@@ -258,8 +258,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     least = (classes.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     lowest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = (least.where((F.col("rows") > 1) | (F.col("component") != F.col("cls")) | F.col("linked").isNotNull())
-             .join(lowest, "component").select("cls", "component_id"))
-    return own.join(label, "cls", "left").select(
+             .join(lowest, "component").select("cls", "component_id", "rows"))
+    label = cut(label)
+    return spread_join(own.where("n > 0"), label, "cls", F.col("rows") * HOT_SHARE >= own.count()).select("id", "n", "component_id").union(
+        own.where("n = 0").select("id", "n", F.col("id"))).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
