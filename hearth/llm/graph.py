@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.session import ensure_checkpoint_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the cluster's shared checkpoint folder and go on from there.
+
+    Columnar and compressed, so it takes a fraction of a row checkpoint. The
+    tables of an application share one folder, which goes when Python exits.
+    """
+    spark = df.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hearth-llm/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_ROOTS: set[str] = set()
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended; its folder is the cluster's to clean
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -19,7 +42,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating large-star and small-star rounds: each round is two grouped
     minima and two joins over the links, which only get fewer. The frame is
-    checkpointed every round and stays distributed; the driver sees one
+    written every round and stays distributed; the driver sees one
     fingerprint of the round. Links with a null end and self links are ignored
     (a self link still names its id).
     """

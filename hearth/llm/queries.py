@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.llm.bpe import bpe_decode, bpe_encode
+from hearth.llm.embedding_dedup import embedding_near_duplicates
 from hearth.llm.exact_dedup import LOWER, UPPER, exact_groups
 from hearth.llm.langid import fit_profiles, identify_language
 from hearth.llm.mixing import mix_sources
@@ -112,3 +113,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = fit_profiles(docs.where(~held_out()))
     return identify_language(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).drop("text")
+
+
+@query("op9_embedding_dedup", """WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, x) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.x = l.a),
+c AS (SELECT vec_id, min(x) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.vec_id""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of the same label at cosine 0.98, over all rows."""
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
