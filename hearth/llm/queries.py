@@ -12,6 +12,7 @@ from hearth.llm.bpe import bpe_decode, bpe_encode
 from hearth.llm.embedding_dedup import embedding_near_duplicates
 from hearth.llm.exact_dedup import LOWER, UPPER, exact_groups
 from hearth.llm.langid import fit_profiles, identify_language
+from hearth.llm.line_dedup import drop_recurring_lines
 from hearth.llm.mixing import mix_sources
 from hearth.llm.ngram_join import ngram_jaccard_components
 
@@ -128,3 +129,10 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings of the same label at cosine 0.98, over all rows."""
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs in five texts or more."""
+    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
