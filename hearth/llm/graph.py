@@ -82,3 +82,14 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, hot: Column) -> Da
     at_once = rows.join(F.broadcast(few), key)
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
     return at_once.unionByName(rest.join(groups.where(~hot), key, "left").select(at_once.columns))
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def fitting(small: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``small`` (a written table of narrow rows), marked for broadcast if its rows take ``BROADCAST_BYTES`` at most.
+
+    Beyond that it comes back as it is and Spark shuffles the join.
+    """
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small

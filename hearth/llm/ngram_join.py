@@ -27,11 +27,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.llm import words as W
-from hearth.llm.graph import HOT_SHARE, connected_components, cut, spread_join
+from hearth.llm.graph import HOT_SHARE, connected_components, cut, fitting, spread_join
 
 WIDTH = 5
 COUNTERS = 1 << 20
@@ -169,25 +169,38 @@ def _prefix_rows(width: int, magnitude, hot: int) -> Callable[[Batches], Batches
 
 
 def _set_rows(width: int, magnitude) -> Callable[[Batches], Batches]:
+    """(class, size, group, whole set) of the texts whose class is the one they were chosen for.
+
+    The group is a hash of the size and the prefix. A class that several equal
+    rows bring in comes once a task; a second copy would only repeat links.
+    """
+
     def run(batches: Batches) -> Batches:
+        seen: set[int] = set()
         for batch in batches:
-            cls, sets, head = [], [], []
-            for _, s in shingle_sets(batch.column("text"), width):
-                if len(s):
+            wanted = batch.column("cls").to_pylist()
+            cls, sets, group = [], [], []
+            for i, s in shingle_sets(batch.column("text"), width):
+                if len(s) and wanted[i] not in seen and _class_of(s) == wanted[i]:
+                    seen.add(wanted[i])
                     p, _ = _prefix(s, magnitude.value)
-                    cls.append(_class_of(s))
+                    cls.append(wanted[i])
                     sets.append(s.tobytes())
-                    head.append(int(W.mix64(W.window_hashes(p, len(p))).view(np.int64)[0]) if len(p) <= 64 else _class_of(p))
+                    group.append(_class_of(np.append(p, _U64(len(s)))))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()),
-                                              pa.array(head, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "n", "head", "shingles"])
+                                              pa.array(group, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "n", "gid", "shingles"])
 
     return run
 
 
 def _group_entries(magnitude) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        seen: set[int] = set()
         for batch in batches:
             for gid, raw in zip(batch.column("gid").to_pylist(), batch.column("shingles")):
+                if gid in seen:
+                    continue
+                seen.add(gid)
                 s = np.frombuffer(raw.as_py(), dtype=_U64)
                 p, _ = _prefix(s, magnitude.value)
                 yield pa.RecordBatch.from_arrays(
@@ -212,9 +225,11 @@ def _verify(batches: Batches) -> Batches:
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
+    pairs = cut(pairs.select("a", "b").distinct())
     s = sets.select("cls", "shingles")
-    both = (pairs.join(s.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(s.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b"))
+    x = s.select(F.col("cls").alias("a"), F.col("shingles").alias("x")).join(fitting(pairs), "a")
+    y = s.join(fitting(cut(pairs.select(F.col("b").alias("cls")).distinct())), "cls", "left_semi")
+    both = x.join(y.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
 
 
@@ -266,45 +281,45 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _candidate_sets(d: DataFrame, classes: DataFrame, width: int, magnitude, hot: int) -> DataFrame:
-    """``(cls, n, gid, shingles)`` of the classes that share enough prefix shingles to have a partner."""
+    """``(cls, n, gid, shingles)`` of the classes that share enough prefix shingles to have a partner.
+
+    The window holds one shingle's classes; cold cells bound their number.
+    """
     entries = d.select("text").mapInArrow(_prefix_rows(width, magnitude, hot), "token bigint, cls bigint, surely int")
-    entries = entries.where("token IS NOT NULL").repartition("token")  # one exchange for the grouping and the join
-    spread = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("surely").alias("most"))
-    live = (entries.join(spread.where("lo < hi OR most > 0").select("token", (F.col("lo") < F.col("hi")).alias("shared")), "token")
-            .select("token", "cls", F.when(F.col("surely") > 0, F.col("surely")).otherwise(F.col("shared").cast("int")).alias("k")).distinct())
+    of = Window.partitionBy("token")
+    live = (entries.withColumn("shared", F.min("cls").over(of) < F.max("cls").over(of)).where("shared OR surely > 0")
+            .select("token", "cls", F.when(F.col("surely") > 0, F.col("surely")).otherwise(1).alias("k")).distinct())
     shared = live.groupBy("cls").agg(F.sum("k").alias("k"))
     alive = classes.join(shared, "cls").where(F.col("k") >= F.least(1 + F.floor(F.floor((3 * F.col("n") + 3) / 4) / 20), F.col("n")))
-    reps = alive.select("rep").distinct()
-    texts = d.join(reps, d.id.eqNullSafe(reps.rep), "left_semi")
-    found = texts.select("text").mapInArrow(_set_rows(width, magnitude), "cls bigint, n bigint, head bigint, shingles binary")
-    found = cut(found.join(alive.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
-    groups = found.groupBy("n", "head").agg(F.min("cls").alias("gid"))
-    return found.join(groups, ["n", "head"]).select("cls", "n", "gid", "shingles")
+    alive = fitting(cut(alive.select("rep", "cls")), 48)
+    texts = d.join(alive, d.id.eqNullSafe(alive.rep)).select("cls", "text")
+    return texts.mapInArrow(_set_rows(width, magnitude), "cls bigint, n bigint, gid bigint, shingles binary")
 
 
 def _components(sets: DataFrame, magnitude) -> DataFrame:
     """``(cls, component, linked)`` of every class that has a link."""
-    entries = sets.where("cls = gid").select("gid", "shingles").mapInArrow(_group_entries(magnitude), "token bigint, gid bigint, n bigint, pos bigint")
-    entries = cut(entries)
-    of = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("gid", "n")).alias("first")).where("k > 1")
+    entries = cut(sets.select("gid", "shingles").mapInArrow(_group_entries(magnitude), "token bigint, gid bigint, n bigint, pos bigint"))
+    of = entries.groupBy("token").agg(F.min("gid").alias("first"), F.max("gid").alias("last")).where("first < last")
     live = cut(entries.join(of.select("token", "first"), "token"))
 
-    near = (live.where((F.col("gid") != F.col("first.gid")) & _sized("n", "first.n"))
-            .groupBy("gid", F.col("first.gid").alias("other")).agg(F.count(F.lit(1)).alias("k"))
-            .groupBy("gid").agg(F.max_by("other", F.struct("k", "other")).alias("b")).select(F.col("gid").alias("a"), "b"))
-    inside = sets.where("cls <> gid").select(F.col("cls").alias("a"), F.col("gid").alias("b"))
+    head = cut(sets.groupBy("gid").agg(F.min("cls").alias("head"), F.any_value("n").alias("n")))
+    near = (live.where("gid <> first").groupBy("gid", F.col("first").alias("other")).agg(F.count(F.lit(1)).alias("k"), F.any_value("n").alias("n"))
+            .join(fitting(head.select(F.col("gid").alias("other"), F.col("head").alias("b"), F.col("n").alias("m"))), "other")
+            .where(_sized("n", "m")).groupBy("gid").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
+    near = near.join(head.select("gid", F.col("head").alias("a")), "gid").select("a", "b")
+    inside = sets.select("gid", "cls").distinct().join(head.select("gid", "head"), "gid").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
     first = cut(_linked(near.union(inside), sets))
     comp = cut(connected_components(first))
 
-    member = sets.select("cls", "gid", "n").join(comp, F.col("id") == F.col("cls"), "left").select(
+    member = sets.select("cls", "gid", "n").distinct().join(comp, F.col("id") == F.col("cls"), "left").select(
         "cls", "gid", "n", F.coalesce("component", "cls").alias("comp"))
     member = cut(member)
-    group = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    placed = live.select("token", "gid", "n", "pos").join(group, "gid")
+    group = cut(member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    placed = live.select("token", "gid", "n", "pos").join(fitting(group), "gid")
     by_comp = placed.groupBy("token", "lo").agg(F.count(F.lit(1)).alias("k"), F.max("hi").alias("hi"))
     open_ = by_comp.groupBy("token").agg(F.max_by("lo", F.struct("k", "lo")).alias("main"), F.min("lo").alias("least"),
                                          F.max("hi").alias("most")).where("least < most").select("token", "main")
-    x = cut(placed.join(open_, "token").withColumn("minor", (F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("main"))))
+    x = cut(placed.join(fitting(cut(open_)), "token").withColumn("minor", (F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("main"))))
     a = x.where("minor").select("token", *(F.col(c).alias(f"a_{c}") for c in ("gid", "n", "pos", "lo", "hi")))
     b = x.select("token", "minor", *(F.col(c).alias(f"b_{c}") for c in ("gid", "n", "pos", "lo", "hi")))
     apart = (F.col("a_lo") != F.col("b_lo")) | (F.col("a_lo") != F.col("a_hi")) | (F.col("b_lo") != F.col("b_hi"))
