@@ -12,9 +12,11 @@ from hearth.llm.bpe import bpe_decode, bpe_encode
 from hearth.llm.embedding_dedup import embedding_near_duplicates
 from hearth.llm.exact_dedup import LOWER, UPPER, exact_groups
 from hearth.llm.langid import fit_profiles, identify_language
+from hearth.llm.license_scan import scan_licenses
 from hearth.llm.line_dedup import drop_recurring_lines
 from hearth.llm.mixing import mix_sources
 from hearth.llm.ngram_join import ngram_jaccard_components
+from hearth.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +138,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template recurs in five texts or more."""
     out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram piece counts of every whole text, with the score of its best segmentation."""
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document names, by sentence rules."""
+    out = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("doc_id", join("licenses"), join("sentences"), join("unmatched"))
