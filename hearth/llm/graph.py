@@ -69,27 +69,30 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
 
 HOT_SHARE = 1000
+BROADCAST_BYTES = 32 << 20
+
+
+def fitting(small: DataFrame, row_bytes: int = 32, size: Column | None = None) -> DataFrame:
+    """``small`` (a written table), marked for broadcast if its rows take ``BROADCAST_BYTES`` at most.
+
+    Its size is its rows times ``row_bytes``, or the sum of ``size`` over them.
+    Beyond the bound it comes back as it is and Spark shuffles the join.
+    """
+    held = small.count() * row_bytes if size is None else small.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(small) if held <= BROADCAST_BYTES else small
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, key: str, hot: Column) -> DataFrame:
-    """Left join of ``rows`` to ``groups`` (one row a key) that no frequent key holds up.
+    """Left join of ``rows`` to ``groups`` (a written table, one narrow row a key) that no frequent key holds up.
 
-    ``hot`` marks the groups of one ``HOT_SHARE``-th of all rows or more. There
-    are ``HOT_SHARE`` of them at most, whatever the input, so they are broadcast;
-    only the rows of the other keys are shuffled.
+    Groups that fit are broadcast. Otherwise ``hot`` marks those of one
+    ``HOT_SHARE``-th of all rows or more: there are ``HOT_SHARE`` of them at
+    most, whatever the input, so they are broadcast and only the rows of the
+    other keys are shuffled.
     """
+    if groups.count() * 64 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups), key, "left")
     few = groups.where(hot)
     at_once = rows.join(F.broadcast(few), key)
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
     return at_once.unionByName(rest.join(groups.where(~hot), key, "left").select(at_once.columns))
-
-
-BROADCAST_BYTES = 32 << 20
-
-
-def fitting(small: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """``small`` (a written table of narrow rows), marked for broadcast if its rows take ``BROADCAST_BYTES`` at most.
-
-    Beyond that it comes back as it is and Spark shuffles the join.
-    """
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small

@@ -22,7 +22,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearth.llm import cells as C
 from hearth.llm import words as W
 from hearth.llm.graph import HOT_SHARE, connected_components, cut, fitting, spread_join
 
 WIDTH = 5
 COUNTERS = 1 << 20
-_CELLS_PER_ROW = 1 << 14
 _U64 = np.uint64
 
 Batches = Iterator[pa.RecordBatch]
@@ -66,62 +65,30 @@ def _class_of(shingles: np.ndarray) -> int:
     return int(W.mix64(W.mix64(shingles ^ _U64(0xA5A5A5A5)).sum(keepdims=True) + _U64(len(shingles))).view(np.int64)[0]) if len(shingles) else 0
 
 
-def _cells(shingles: np.ndarray, counters: int) -> np.ndarray:
-    return (shingles & _U64(counters - 1)).astype(np.int64)
-
-
 def _signatures(width: int, counters: int, schema: pa.Schema) -> Callable[[Batches], Batches]:
     """Per document its id, set size and class; per task its shingle counts."""
 
     def run(batches: Batches) -> Batches:
-        counts = np.zeros(counters, dtype=np.int64)
+        counts = C.CellCounts(counters)
         for batch in batches:
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            held, size = [], 0
             for i, s in shingle_sets(batch.column("text"), width):
                 n[i], cls[i] = len(s), _class_of(s)
-                held.append(s)
-                size += len(s)
-                if size > 1 << 20:
-                    counts += np.bincount(_cells(np.concatenate(held), counters), minlength=counters)
-                    held, size = [], 0
-            if size:
-                counts += np.bincount(_cells(np.concatenate(held), counters), minlength=counters)
+                counts.add(s)
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(schema.field("id").type), pa.array(n), pa.array(cls),
                                               none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        if counts.any():
-            rows = [zlib.compress(counts[k:k + _CELLS_PER_ROW].tobytes(), 1) for k in range(0, counters, _CELLS_PER_ROW)]
-            none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays([none.cast(schema.field("id").type), none.cast(pa.int64()), none.cast(pa.int64()),
-                                              pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
+        rows = counts.rows()
+        none = pa.nulls(len(rows))
+        yield pa.RecordBatch.from_arrays([none.cast(schema.field("id").type), none.cast(pa.int64()), none.cast(pa.int64()),
+                                          pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
 
     return run
 
 
-def _sum_cells(batches: Batches) -> Batches:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for cell, raw in zip(batch.column("cell").to_pylist(), batch.column("counts")):
-            part = np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.int64)
-            total[cell] = total[cell] + part if cell in total else part
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())],
-                                     names=["cell", "counts"])
-
-
-def _magnitudes(counts: DataFrame, counters: int) -> tuple[np.ndarray, int]:
-    """(magnitude of every cell, the magnitude from which a cell is hot); ``counters`` bytes."""
-    cells = np.zeros(counters, dtype=np.int64)
-    step = min(_CELLS_PER_ROW, counters)
-    for row in counts.repartition("cell").mapInArrow(_sum_cells, "cell int, counts binary").toLocalIterator():
-        cells[row.cell * step:(row.cell + 1) * step] = np.frombuffer(zlib.decompress(row.counts), dtype=np.int64)
-    hot = int(np.ceil(np.log2(32 + 8 * cells.mean())))
-    return np.log2(np.maximum(cells, 1)).astype(np.uint8), hot
-
-
 def _prefix(shingles: np.ndarray, magnitude: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(prefix shingles in the global order, their magnitudes)."""
-    size = magnitude[_cells(shingles, len(magnitude))]
+    size = magnitude[C.cells(shingles, len(magnitude))]
     n = len(shingles)
     order = np.argsort(size, kind="stable")[:n - _needed(n) + int(_extra(n))]
     return shingles[order], size[order]
@@ -263,7 +230,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     out = pa.schema([("id", to_arrow_type(kind)), ("n", pa.int64()), ("cls", pa.int64()), ("cell", pa.int32()), ("counts", pa.binary())])
     rows = cut(d.mapInArrow(_signatures(width, counters, out), f"id {kind.simpleString()}, n bigint, cls bigint, cell int, counts binary"))
     own = rows.where("cell IS NULL").select("id", "n", "cls")
-    table, hot = _magnitudes(rows.where("cell IS NOT NULL").select("cell", "counts"), counters)
+    table, hot = C.magnitudes(rows.where("cell IS NOT NULL").select("cell", "counts"), counters)
     magnitude = spark.sparkContext.broadcast(table)
 
     classes = cut(own.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")))

@@ -16,6 +16,7 @@ from hearth.llm.license_scan import scan_licenses
 from hearth.llm.line_dedup import drop_recurring_lines
 from hearth.llm.mixing import mix_sources
 from hearth.llm.ngram_join import ngram_jaccard_components
+from hearth.llm.substring_dedup import remove_repeated_windows
 from hearth.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +153,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     join = lambda c: F.array_join(c, ",").alias(c)
     return out.select("doc_id", join("licenses"), join("sentences"), join("unmatched"))
+
+
+@query("op8_substring_dedup", f"""WITH w AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM p),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM g WHERE k > 1),
+r AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda y: w[y]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that also start earlier."""
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
