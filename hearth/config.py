@@ -88,12 +88,8 @@ class EngineConfig:
     outlier_quantiles: tuple[float, float] = OUTLIER_PRICE_QUANTILES
     exclude_flags: tuple[str, ...] = ("is_family_sale", "is_unclassified_sale")
     reference_year_for_age: int = 2024
-    # "auto": exact; Spark's percentile aggregate when the largest group is at most
-    #   AUTO_MAX_GROUP_ROWS (measured first), else the skew-proof sorted path;
-    # "sorted": always range sort + rank pick (see functions.quantile);
-    # "aggregate": Spark's exact percentile aggregate (one buffer per group);
-    # "approx": percentile_approx sketch.
-    quantile_mode: str = "auto"
+    # "exact" (see functions.quantile) or "approx" (percentile_approx sketch).
+    quantile_mode: str = "exact"
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "EngineConfig":

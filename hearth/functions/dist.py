@@ -1,14 +1,18 @@
-"""Tail probabilities of the F and t distributions as Arrow-batched pandas
-UDFs (scipy is not available). They are applied to already aggregated rows
-(one per test), never to the fact table.
-
-The regularized incomplete beta function uses the continued fraction of
-Numerical Recipes (modified Lentz), accurate to ~1e-12.
+"""Tail probabilities and quantiles of the F and t distributions as
+Arrow-batched pandas UDFs (scipy is not available). They are applied to already
+aggregated rows (one per test), never to the fact table.
+
+The regularized incomplete beta function I_x(a, b) is a ratio of two integrals
+of ``sin(u)^(2a-1) cos(u)^(2b-1)`` (put t = sin(u)^2 in the beta integral): up to
+and beyond ``u = asin(sqrt(x))``. Each is taken by Gauss-Legendre panels over the
+part of its range that carries weight, relative to the largest value there, so
+both small tails and large parameters keep their digits.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,46 +20,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny, eps = 1e-300, 1e-15
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, 1000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+_NEGLIGIBLE = 60.0  # exp(-60) of the largest value is left out
+
+
+def _log_weight(u, a: float, b: float):
+    with np.errstate(divide="ignore"):
+        left = (2 * a - 1) * np.log(np.sin(u)) if a != 0.5 else 0.0 * u
+        right = (2 * b - 1) * np.log(np.cos(u)) if b != 0.5 else 0.0 * u
+    return left + right
+
+
+def _log_integral(lo: float, hi: float, a: float, b: float) -> float:
+    """Log of the integral of the weight from ``lo`` to ``hi`` (a, b at least 1/2: one peak)."""
+    if hi <= lo:
+        return -math.inf
+    peak = min(max(math.atan2(math.sqrt(max(2 * a - 1, 0.0)), math.sqrt(max(2 * b - 1, 0.0))), lo), hi) if a != b or a != 0.5 else lo
+    at = [float(_log_weight(np.float64(p), a, b)) for p in (lo, peak, hi)]
+    top = max(at)
+
+    def edge(far: float) -> float:
+        """Where the weight has become negligible between the peak and ``far``."""
+        if float(_log_weight(np.float64(far), a, b)) > top - _NEGLIGIBLE:
+            return far
+        near = peak
+        for _ in range(80):
+            mid = (near + far) / 2
+            if float(_log_weight(np.float64(mid), a, b)) > top - _NEGLIGIBLE:
+                near = mid
+            else:
+                far = mid
+        return far
+
+    total = 0.0
+    for x, y in ((edge(lo), peak), (peak, edge(hi))):
+        cuts = np.linspace(x, y, 25)
+        half, mid = (cuts[1:] - cuts[:-1]) / 2, (cuts[1:] + cuts[:-1]) / 2
+        u = mid[:, None] + half[:, None] * _NODES[None, :]
+        total += float((np.exp(_log_weight(u, a, b) - top) * _WEIGHTS[None, :] * half[:, None]).sum())
+    return top + math.log(total) if total > 0 else -math.inf
 
 
 def betainc(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta I_x(a, b)."""
+    """Regularized incomplete beta I_x(a, b) for a, b of 1/2 or more."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+    u = math.atan2(math.sqrt(x), math.sqrt(1.0 - x))
+    below, above = _log_integral(0.0, u, a, b), _log_integral(u, math.pi / 2, a, b)
+    return 1.0 / (1.0 + math.exp(min(above - below, 700.0)))
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:
@@ -85,6 +99,31 @@ def _t_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(float(a), float(b)) if pd.notna(a) and pd.notna(b) else np.nan for a, b in zip(t, df)])
 
 
+@lru_cache(maxsize=4096)
+def t_two_sided_quantile(p: float, df: float) -> float:
+    """The t whose two-sided tail probability is ``p``, by bisection."""
+    if not df >= 1 or not 0 < p < 1:
+        return float("nan")
+    lo, hi = 0.0, 1.0
+    while t_two_sided(hi, df) > p:
+        hi *= 2
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_two_sided(mid, df) > p else (lo, mid)
+    return (lo + hi) / 2
+
+
+@F.pandas_udf(T.DoubleType())
+def _t_q_udf(p: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_two_sided_quantile(float(a), float(b)) if pd.notna(b) else None for a, b in zip(p, df)], dtype="float64")
+
+
+def t_quantile(p: Column, df: Column) -> Column:
+    """Two-sided t quantile; NULL below one degree of freedom."""
+    q = _t_q_udf(p.cast("double"), df.cast("double"))
+    return F.when(df >= 1, q)
+
+
 def f_pvalue(f: Column, d1: Column, d2: Column) -> Column:
     return _f_sf_udf(f.cast("double"), d1.cast("double"), d2.cast("double"))
 

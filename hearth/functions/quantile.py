@@ -1,21 +1,23 @@
 """Exact group quantiles and in-group ranks that hold up under skew.
 
-Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
-one buffer, so one group holding a third of the rows lands in one task. The
-``sorted`` mode instead range-partitions the (keys, value) projection: a hot
-group is cut across many partitions by value. Each partition is sorted, every
-row gets ``monotonically_increasing_id`` (partition id in the high bits, row
-position in the low 33 bits), and the projection is checkpointed so both
-passes see the same partitioning. A small per-(partition, group) block table
-gives every block's starting rank; the rows at the wanted ranks are then
-picked by id. Interpolation is linear between the ranks ``floor`` and ``ceil``
-of ``(n-1)*p``, the same as pandas ``quantile``, Spark ``percentile`` and
-DuckDB ``quantile_cont``.
+Quantiles work on counts of distinct values, so a value that holds most rows is
+one row. The values of a group fall into buckets by magnitude (256 to a power of
+two); the buckets' counts give the bucket of every wanted rank, and only the
+distinct values of those buckets are summed up in order. All columns and
+probabilities of a call go through together, in one plan, without an action on
+the driver. Interpolation is linear between the ranks ``floor`` and ``ceil`` of
+``(n-1)*p``, the same as pandas ``quantile``, Spark ``percentile`` and DuckDB
+``quantile_cont``.
+
+Ranks use a range sort with a running row id as last key, so equal values are
+split as well: every row gets ``monotonically_increasing_id`` (partition id in
+the high bits, row position in the low 33 bits) and a small per-(partition,
+group) block table gives every block's starting rank.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +25,9 @@ from pyspark.sql import functions as F
 from hearth.session import ensure_checkpoint_dir
 
 _LOW_BITS = (1 << 33) - 1
-# Above this many rows the table of wanted ranks is joined by shuffle, not broadcast.
+# A table of at most this many (narrow) rows may be broadcast: 2M rows of ids and counts stay under 64 MB.
 MAX_BROADCAST_ROWS = 2_000_000
-# mode "auto": when no group holds more rows than this, Spark's exact percentile
-# aggregate is used (its per-group buffer is then bounded by this many values);
-# otherwise the range-sorted path.
-AUTO_MAX_GROUP_ROWS = 500_000
+_BUCKETS_PER_BINADE, _OFFSET = 256, 300_000
 
 
 def _qname(p: float) -> str:
@@ -54,8 +53,10 @@ def sorted_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     n = _numparts(df)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     s = (
-        df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
-        .sortWithinPartitions(*[F.col(k) for k in keys], *order_cols)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(n, *[F.col(k) for k in keys], *order_cols, F.col("_tie"))
+        .sortWithinPartitions(*[F.col(k) for k in keys], *order_cols, F.col("_tie"))
+        .drop("_tie")
         .withColumn("_mid", F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
@@ -73,85 +74,97 @@ def sorted_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return s, blocks
 
 
-def _sorted_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    s, blocks = sorted_blocks(v, keys, ["_v"])
-    prob_arr = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    t = (
-        blocks.select("*", F.explode(prob_arr).alias("_q"))
-        .withColumn("_pos", (F.col("_n") - 1).cast("double") * F.col("_q.p"))
-        .withColumn("_lo", F.floor("_pos").cast("long"))
-        .withColumn("_hi", F.ceil("_pos").cast("long"))
-        .select(*keys, "_pid", "_first", "_start", "_cnt", "_pos", "_lo", "_hi", F.col("_q.pi").alias("_pi"),
-                F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_lo").alias("r")),
-                                  F.struct(F.lit(1).alias("side"), F.col("_hi").alias("r")))).alias("_t"))
-        .where((F.col("_t.r") >= F.col("_start")) & (F.col("_t.r") < F.col("_start") + F.col("_cnt")))
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            "_pi", "_pos", "_lo", "_hi", F.col("_t.side").alias("_side"),
-            (F.shiftleft("_pid", 33) + F.col("_first") + (F.col("_t.r") - F.col("_start"))).alias("_mid"),
-        )
-        .checkpoint(eager=True)
-    )
-    picked = checked_join(s.select("_mid", "_v"), t, "_mid")
-    kk = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
-    per_prob = picked.groupBy(*[f"_k{i}" for i in range(len(keys))], "_pi").agg(
-        F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"),
-    )
-    interp = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
-        (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi")
-    )
-    per_prob = per_prob.withColumn("_q", interp)
-    out = per_prob.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(
-        *[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)]
-    )
-    return out.select(*kk, *names)
+def _bucket(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises; equal values share it."""
+    size = F.lit(_OFFSET) + F.when(F.abs(v) == float("inf"), F.lit(_OFFSET)).otherwise(F.floor(F.log2(F.abs(v)) * _BUCKETS_PER_BINADE))
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
+
+
+def quantile_table(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[tuple[float, str]]]) -> DataFrame:
+    """``keys`` and one column per wanted (probability, name) of each value
+    column, for every group with at least one value; exact."""
+    kk = [f"_k{i}" for i in range(len(keys))]
+    cols = list(wanted)
+    pairs = F.array(*[F.struct(F.lit(j).alias("c"), F.col(c).cast("double").alias("v")) for j, c in enumerate(cols)])
+    rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, kk)], F.explode(pairs).alias("_x")).select(*kk, "_x.c", "_x.v")
+    seen = (rows.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy(*kk, "c", "v").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("b", _bucket(F.col("v"))))
+    w = Window.partitionBy(*kk, "c")
+    buckets = (seen.groupBy(*kk, "c", "b").agg(F.sum("n").alias("n"))
+               .withColumn("start", F.sum("n").over(w.orderBy("b")) - F.col("n")).withColumn("total", F.sum("n").over(w)))
+    probs = F.array(*[F.struct(F.lit(j).alias("c"), F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
+                      for j, c in enumerate(cols) for i, (p, _) in enumerate(wanted[c])])
+    pos = (F.col("total") - 1).cast("double") * F.col("q.p")
+    want = buckets.withColumn("q", F.explode(F.filter(probs, lambda q: q.c == F.col("c")))).withColumn("pos", pos)
+    want = want.withColumn("r", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor("pos").alias("at")),
+                                                  F.struct(F.lit(1).alias("side"), F.ceil("pos").alias("at")))))
+    want = (want.where((F.col("r.at") >= F.col("start")) & (F.col("r.at") < F.col("start") + F.col("n")))
+            .groupBy(*[F.col(k).alias(f"w{k}") for k in kk], F.col("c").alias("wc"), F.col("b").alias("wb"))
+            .agg(F.collect_list(F.struct(F.col("q.i").alias("i"), F.col("r.side").alias("side"), (F.col("r.at") - F.col("start")).alias("at"), "pos")).alias("ranks")))
+    same = (F.col("c") == F.col("wc")) & (F.col("b") == F.col("wb"))
+    for k in kk:
+        same = same & F.col(k).eqNullSafe(F.col(f"w{k}"))
+    inside = seen.join(want, same).withColumn("end", F.sum("n").over(Window.partitionBy(*kk, "c", "b").orderBy("v")))
+    hits = inside.select(*kk, "c", "v", F.explode(F.filter("ranks", lambda t: (t["at"] < F.col("end")) & (t["at"] >= F.col("end") - F.col("n")))).alias("t"))
+
+    def pick(j: int, i: int, side: int, x: str) -> Column:
+        return F.max(F.when((F.col("c") == j) & (F.col("t.i") == i) & (F.col("t.side") == side), F.col(x)))
+
+    out = hits.groupBy(*kk).agg(F.count(F.lit(1)).alias("_nn"), *[
+        c for j, name in enumerate(cols) for i in range(len(wanted[name]))
+        for c in (pick(j, i, 0, "v").alias(f"lo_{j}_{i}"), pick(j, i, 1, "v").alias(f"hi_{j}_{i}"), pick(j, i, 0, "t.pos").alias(f"pos_{j}_{i}"))])
+
+    def between(j: int, i: int) -> Column:
+        lo, hi, pos = F.col(f"lo_{j}_{i}"), F.col(f"hi_{j}_{i}"), F.col(f"pos_{j}_{i}")
+        return F.when(F.floor(pos) == F.ceil(pos), lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
+
+    return out.where("_nn > 0").select(*[F.col(a).alias(k) for k, a in zip(keys, kk)], *[
+        between(j, i).alias(n) for j, name in enumerate(cols) for i, (_, n) in enumerate(wanted[name])])
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, mode: str = "auto", accuracy: int = 100_000) -> DataFrame:
+                    names: Sequence[str] | None = None, mode: str = "exact", accuracy: int = 100_000) -> DataFrame:
     """One row per group present with at least one non-null value:
     ``keys + names`` (default names ``q_0_5`` ...)."""
     keys = list(keys)
     names = list(names or [_qname(p) for p in probs])
-    if mode == "auto":
-        sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"))
-        biggest = sizes.agg(F.max("_g")).first()[0] or 0  # one number to the driver
-        mode = "aggregate" if biggest <= AUTO_MAX_GROUP_ROWS else "sorted"
-    if mode == "sorted":
-        return _sorted_quantiles(df, keys, value, probs, names)
+    if mode == "exact":
+        return quantile_table(df, keys, {value: list(zip(probs, names))})
+    if mode != "approx":
+        raise ValueError(f"unknown quantile mode {mode!r}")
     x = F.col(value).cast("double")
     x = F.when(~F.isnan(x), x)
-    if mode == "aggregate":
-        aggs = [F.percentile(x, float(p)).alias(nm) for p, nm in zip(probs, names)]
-    elif mode == "approx":
-        aggs = [F.percentile_approx(x, float(p), accuracy).cast("double").alias(nm) for p, nm in zip(probs, names)]
-    else:
-        raise ValueError(f"unknown quantile mode {mode!r}")
-    g = df.groupBy(*keys).agg(*aggs, F.count(x).alias("_nn"))
-    return g.where(F.col("_nn") > 0).drop("_nn")
+    g = df.groupBy(*keys).agg(F.percentile_approx(x, [float(p) for p in probs], accuracy).alias("_q"), F.count(x).alias("_nn"))
+    return g.where(F.col("_nn") > 0).select(*keys, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
-def attach_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                     names: Sequence[str] | None = None, mode: str = "auto") -> DataFrame:
-    """Left-join group quantiles of ``df`` onto a per-group ``stats`` table
-    (null-safe on keys; groups without values get nulls)."""
+def attach_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[tuple[float, str]]],
+                     mode: str = "exact") -> DataFrame:
+    """Left-join group quantiles of ``df`` (columns, probabilities and names in
+    ``wanted``) onto a per-group ``stats`` table (null-safe on keys; groups
+    without values get nulls)."""
     keys = list(keys)
-    q = group_quantiles(df, keys, value, probs, names, mode)
-    if not keys:
-        return stats.join(F.broadcast(q), how="left")
-    qr = q.select(*[F.col(k).alias(f"_qk_{k}") for k in keys], *[c for c in q.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = stats[k].eqNullSafe(qr[f"_qk_{k}"])
-        cond = c if cond is None else cond & c
-    return stats.join(qr, cond, "left").drop(*[f"_qk_{k}" for k in keys])
+    if not wanted:
+        return stats
+    if mode == "exact":
+        tables = [quantile_table(df, keys, wanted)]
+    else:
+        tables = [group_quantiles(df, keys, c, [p for p, _ in w], [n for _, n in w], mode) for c, w in wanted.items()]
+    for q in tables:
+        if not keys:
+            stats = stats.join(F.broadcast(q), how="left")
+            continue
+        qr = q.select(*[F.col(k).alias(f"_qk_{k}") for k in keys], *[c for c in q.columns if c not in keys])
+        cond = None
+        for k in keys:
+            c = stats[k].eqNullSafe(qr[f"_qk_{k}"])
+            cond = c if cond is None else cond & c
+        stats = stats.join(qr, cond, "left").drop(*[f"_qk_{k}" for k in keys])
+    return stats
 
 
 def scalar_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str] | None = None,
-                     mode: str = "auto") -> DataFrame:
+                     mode: str = "exact") -> DataFrame:
     """A one-row DataFrame of whole-column quantiles (to cross-join as a scalar)."""
     return group_quantiles(df, [], value, probs, names, mode)
 

@@ -15,23 +15,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearth.functions.dist import t_quantile
 from hearth.functions.quantile import attach_quantiles
 
 QUANTILE_FNS = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q10": 0.10, "q90": 0.90, "q33": 1 / 3, "q67": 2 / 3}
 
-# The t quantile t(0.975, nu) by its Cornish-Fisher expansion around
-# z = 1.959963984540054 (exact to ~1e-9 for nu >= 30, ~1e-4 for nu = 5).
+# For the SQL oracle only: the Cornish-Fisher expansion of t(0.975, nu) around the normal
+# quantile (exact to ~1e-9 for nu >= 30). The engine solves the tail probability instead.
 Z975 = 1.959963984540054
 
 
 def t975(nu: Column) -> Column:
-    z = Z975
-    nu = nu.cast("double")
-    g1 = (z ** 3 + z) / 4
-    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96
-    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
-    g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160
-    return F.lit(z) + F.lit(g1) / nu + F.lit(g2) / (nu * nu) + F.lit(g3) / (nu * nu * nu) + F.lit(g4) / (nu * nu * nu * nu)
+    """t(0.975, nu) on aggregated rows; NULL below one degree of freedom."""
+    return t_quantile(F.lit(0.05), nu)
 
 
 def t975_sql(nu: str) -> str:
@@ -66,7 +62,7 @@ def _agg(fn: str, c: str) -> Column:
 
 
 def grouped_stats(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, str, str]],
-                  mode: str = "auto") -> DataFrame:
+                  mode: str = "exact") -> DataFrame:
     """specs: (output name, function, column). Functions: count (non-null),
     size (rows), mean, std, var, min, max, sum, median, q25, q75, q10, q90,
     q33, q67, or ``qNN.NNN`` for any probability."""
@@ -80,8 +76,7 @@ def grouped_stats(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str,
         if _is_q(f):
             quants.setdefault(c, []).append((_prob(f), n))
     out = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[_agg(f, c).alias(n) for n, f, c in plain])
-    for c, lst in quants.items():
-        out = attach_quantiles(out, src, keys, c, [p for p, _ in lst], [n for _, n in lst], mode)
+    out = attach_quantiles(out, src, keys, quants, mode)
     return out.select(*keys, *[n for n, _, _ in specs])
 
 
@@ -119,3 +114,10 @@ def sql_grouped_stats(src: str, keys: Sequence[str], specs: Sequence[tuple[str,
     cols = ", ".join([*keys, *[f"{sql_agg(f, c)} AS {n}" for n, f, c in specs]])
     grp = f" GROUP BY {', '.join(keys)}" if keys else ""
     return f"(SELECT {cols} FROM {src} WHERE {where}{grp})"
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson's r over the rows where both are there; NULL (not an error) if one of them is constant."""
+    x, y = x.cast("double"), y.cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.functions.quantile import scalar_quantiles
-from hearth.functions.stats import grouped_stats, t975
+from hearth.functions.stats import grouped_stats, safe_corr, t975
 
 # --- fixed values (reference labels and thresholds) --------------------------
 MARKET_SIZE_CLASSES = (("Principal", 5.0), ("Secundario", 2.0), ("Terciario", 0.5))
@@ -36,7 +36,7 @@ def _bround(df: DataFrame, cols: Sequence[str], d: int = 0) -> DataFrame:
     return df.withColumns({c: F.bround(F.col(c).cast("double"), d) for c in cols})
 
 
-def price_stats(df: DataFrame, group: str = "region", value: str = PRICE, mode: str = "auto") -> DataFrame:
+def price_stats(df: DataFrame, group: str = "region", value: str = PRICE, mode: str = "exact") -> DataFrame:
     """Count, mean, median, std, q25, q75, min, max (rounded to 0) and the
     95 % t confidence interval of the mean per group, sorted by mean desc."""
     specs = [("transactions", "count", value), ("mean", "mean", value), ("median", "median", value),
@@ -44,12 +44,12 @@ def price_stats(df: DataFrame, group: str = "region", value: str = PRICE, mode:
              ("maximum", "max", value)]
     st = grouped_stats(df, [group], specs, mode)
     n = F.col("transactions")
-    half = t975(n - 1) * F.col("std") / F.sqrt(n.cast("double"))
+    half = F.try_divide(t975(n - 1) * F.col("std"), F.sqrt(n.cast("double")))
     st = st.withColumns({"ci_lower": F.bround(F.col("mean") - half, 0), "ci_upper": F.bround(F.col("mean") + half, 0)})
     return _bround(st, ["mean", "median", "std", "q1", "q3", "minimum", "maximum"]).orderBy(F.desc("mean"), group)
 
 
-def sqm_price_stats(df: DataFrame, group: str = "region", mode: str = "auto") -> DataFrame:
+def sqm_price_stats(df: DataFrame, group: str = "region", mode: str = "exact") -> DataFrame:
     """Sqm-price stats per group, premium flag (mean above the national
     q75) and coefficient of variation (%)."""
     specs = [("transactions", "count", SQMP), ("mean_m2", "mean", SQMP), ("median_m2", "median", SQMP),
@@ -107,7 +107,7 @@ def concentration_summary(df: DataFrame, group: str = "region", top_n: int = 10)
         F.count(F.lit(1)).alias("n_groups"),
         F.count_if(F.col("cumulative_share") <= 80).alias("groups_to_80pct"),
         F.sum(F.when(F.col("_rk") <= top_n, F.col("market_share"))).alias(f"top{top_n}_share"),
-        F.corr(F.col("n_transactions").cast("double"), F.col("mean_sqm_price")).alias("corr_volume_sqm_price"),
+        safe_corr(F.col("n_transactions"), F.col("mean_sqm_price")).alias("corr_volume_sqm_price"),
         F.percentile(F.col("n_transactions").cast("double"), 0.8).alias("high_liquidity_threshold"),
         F.count_if(F.col("high_liquidity")).alias("n_high_liquidity"),
     ]
@@ -117,7 +117,7 @@ def concentration_summary(df: DataFrame, group: str = "region", top_n: int = 10)
     return v.agg(*aggs)
 
 
-def cv_ranking(df: DataFrame, group: str = "region", top: int = 15, mode: str = "auto") -> DataFrame:
+def cv_ranking(df: DataFrame, group: str = "region", top: int = 15, mode: str = "exact") -> DataFrame:
     """A10 + K2: coefficient of variation (%) of price per group from the
     rounded stats, top ``top`` by CV."""
     st = df.where(F.col(group).isNotNull()).groupBy(group).agg(
@@ -126,7 +126,7 @@ def cv_ranking(df: DataFrame, group: str = "region", top: int = 15, mode: str =
     return st.orderBy(F.desc("cv_pct"), group).limit(top)
 
 
-def house_type_price_stats(df: DataFrame, mode: str = "auto") -> DataFrame:
+def house_type_price_stats(df: DataFrame, mode: str = "exact") -> DataFrame:
     """Price stats by house type, cv (%) rounded to 2, sorted by median."""
     specs = [(n, n, PRICE) for n in ("count", "mean", "median", "std", "min", "max")]
     st = _bround(grouped_stats(df, ["house_type"], specs, mode), ["mean", "median", "std", "min", "max"])
@@ -134,7 +134,7 @@ def house_type_price_stats(df: DataFrame, mode: str = "auto") -> DataFrame:
         F.desc("median"), "house_type")
 
 
-def house_type_physical_stats(df: DataFrame, mode: str = "auto") -> DataFrame:
+def house_type_physical_stats(df: DataFrame, mode: str = "exact") -> DataFrame:
     """Mean / median / std of sqm, rooms and sqm price by type (round 2)."""
     specs = [(f"{c}_{fn}", fn, c) for c in ("sqm", "no_rooms", SQMP) for fn in ("mean", "median", "std")]
     return _bround(grouped_stats(df, ["house_type"], specs, mode), [n for n, _, _ in specs], 2)
@@ -151,7 +151,7 @@ def region_type_distribution(df: DataFrame, top: int = 3) -> DataFrame:
     return c.withColumn("rank_in_type", rk).withColumn("is_top", F.col("rank_in_type") <= top)
 
 
-def sales_type_stats(df: DataFrame, mode: str = "auto") -> DataFrame:
+def sales_type_stats(df: DataFrame, mode: str = "exact") -> DataFrame:
     """Price and sqm-price stats by sales channel (round 0)."""
     specs = [("price_count", "count", PRICE), ("price_mean", "mean", PRICE), ("price_median", "median", PRICE),
              ("price_std", "std", PRICE), ("sqm_price_mean", "mean", SQMP), ("sqm_price_median", "median", SQMP)]
@@ -178,14 +178,14 @@ def offer_change_distribution(df: DataFrame, col: str = "%_change_between_offer_
     return c.select("change_category", "n", (F.col("n") / F.col("_tot") * 100.0).alias("pct"))
 
 
-def describe_column(df: DataFrame, col: str, mode: str = "auto") -> DataFrame:
+def describe_column(df: DataFrame, col: str, mode: str = "exact") -> DataFrame:
     """pandas ``describe`` of one numeric column (count, mean, std, min, quartiles, max)."""
     specs = [("count", "count", col), ("mean", "mean", col), ("std", "std", col), ("min", "min", col),
              ("q25", "q25", col), ("median", "median", col), ("q75", "q75", col), ("max", "max", col)]
     return grouped_stats(df, [], specs, mode)
 
 
-def quarter_of_year_stats(df: DataFrame, mode: str = "auto") -> DataFrame:
+def quarter_of_year_stats(df: DataFrame, mode: str = "exact") -> DataFrame:
     """By calendar quarter of the sale date (round 0)."""
     d = df.withColumn("quarter_from_date", F.quarter("date"))
     specs = [("price_count", "count", PRICE), ("price_mean", "mean", PRICE), ("price_median", "median", PRICE),
@@ -193,14 +193,14 @@ def quarter_of_year_stats(df: DataFrame, mode: str = "auto") -> DataFrame:
     return _bround(grouped_stats(d, ["quarter_from_date"], specs, mode), [n for n, _, _ in specs[1:]])
 
 
-def month_stats(df: DataFrame, mode: str = "auto") -> DataFrame:
+def month_stats(df: DataFrame, mode: str = "exact") -> DataFrame:
     """By calendar month (round 0)."""
     d = df.withColumn("month", F.month("date"))
     specs = [("count", "count", PRICE), ("mean", "mean", PRICE), ("median", "median", PRICE)]
     return _bround(grouped_stats(d, ["month"], specs, mode), ["mean", "median"])
 
 
-def seasonal_extremes(df: DataFrame, mode: str = "auto") -> DataFrame:
+def seasonal_extremes(df: DataFrame, mode: str = "exact") -> DataFrame:
     """Months of highest / lowest median price and volume, and the
     seasonal variation (max - min) / mean in % (one row)."""
     d = df.withColumn("month", F.month("date"))
@@ -215,7 +215,7 @@ def seasonal_extremes(df: DataFrame, mode: str = "auto") -> DataFrame:
     )
 
 
-def yearly_trend(df: DataFrame, mode: str = "auto") -> DataFrame:
+def yearly_trend(df: DataFrame, mode: str = "exact") -> DataFrame:
     """A18 + W9: yearly stats (round 0) and growth (%) of the rounded means."""
     d = df.withColumn("year", F.year("date"))
     specs = [("transactions", "count", PRICE), ("price_mean", "mean", PRICE), ("price_median", "median", PRICE),
@@ -228,7 +228,7 @@ def yearly_trend(df: DataFrame, mode: str = "auto") -> DataFrame:
     })
 
 
-def temporal_insights(df: DataFrame, mode: str = "auto") -> DataFrame:
+def temporal_insights(df: DataFrame, mode: str = "exact") -> DataFrame:
     """Years of the largest and smallest growth and the mean growth (one row)."""
     y = yearly_trend(df, mode).where(F.col("price_growth_pct").isNotNull())
     return y.agg(
@@ -241,7 +241,7 @@ def temporal_insights(df: DataFrame, mode: str = "auto") -> DataFrame:
     )
 
 
-def price_segments(df: DataFrame, value: str = PRICE, mode: str = "auto") -> DataFrame:
+def price_segments(df: DataFrame, value: str = PRICE, mode: str = "exact") -> DataFrame:
     """Cut price at q25 / q75 / q90 into four labelled segments; stats per segment (round 0)."""
     thr = scalar_quantiles(df, value, [0.25, 0.75, 0.90], ["_q25", "_q75", "_q90"], mode)
     d = df.crossJoin(F.broadcast(thr))
@@ -252,7 +252,7 @@ def price_segments(df: DataFrame, value: str = PRICE, mode: str = "auto") -> Dat
     return _bround(grouped_stats(d, ["price_segment"], specs, mode), [n for n, _, _ in specs[1:]])
 
 
-def age_segments(df: DataFrame, current_year: int = 2024, value: str = PRICE, mode: str = "auto") -> DataFrame:
+def age_segments(df: DataFrame, current_year: int = 2024, value: str = PRICE, mode: str = "exact") -> DataFrame:
     """Property age = current_year - year_build (year_build > 1800 only),
     five right-closed age bins from 0; stats per bin (round 0)."""
     d = df.where(F.col("year_build") > 1800).withColumn("property_age", F.lit(current_year) - F.col("year_build"))
@@ -263,7 +263,7 @@ def age_segments(df: DataFrame, current_year: int = 2024, value: str = PRICE, mo
     return _bround(grouped_stats(d, ["age_category"], specs, mode), [n for n, _, _ in specs[1:]])
 
 
-def niche_markets(df: DataFrame, niche_types: Sequence[str], value: str = PRICE, mode: str = "auto") -> DataFrame:
+def niche_markets(df: DataFrame, niche_types: Sequence[str], value: str = PRICE, mode: str = "exact") -> DataFrame:
     """Per niche house type: count, mean and median price, mean size, mean sqm price."""
     d = df.where(F.col("house_type").isin(list(niche_types)))
     specs = [("count", "size", value), ("avg_price", "mean", value), ("median_price", "median", value),
@@ -289,7 +289,7 @@ def niche_seasonality(df: DataFrame, niche_types: Sequence[str], top: int = 3) -
     return c.withColumn("rank", rk).withColumn("is_peak", F.col("rank") <= top)
 
 
-def urban_rural(df: DataFrame, urban_regions: Sequence[str], value: str = PRICE, mode: str = "auto") -> DataFrame:
+def urban_rural(df: DataFrame, urban_regions: Sequence[str], value: str = PRICE, mode: str = "exact") -> DataFrame:
     """Urban vs rural stats (round 0)."""
     d = df.withColumn("area_type", F.when(F.col("region").isin(list(urban_regions)), AREA_LABELS[0]).otherwise(AREA_LABELS[1]))
     specs = [(f"{value}_count", "count", value), (f"{value}_mean", "mean", value), (f"{value}_median", "median", value),
@@ -298,7 +298,7 @@ def urban_rural(df: DataFrame, urban_regions: Sequence[str], value: str = PRICE,
     return _bround(grouped_stats(d, ["area_type"], specs, mode), [n for n, _, _ in specs[1:]])
 
 
-def urban_premium(df: DataFrame, urban_regions: Sequence[str], mode: str = "auto") -> DataFrame:
+def urban_premium(df: DataFrame, urban_regions: Sequence[str], mode: str = "exact") -> DataFrame:
     """urban/rural ratio of median price and gap of median sqm price (unrounded, one row)."""
     d = df.withColumn("area_type", F.when(F.col("region").isin(list(urban_regions)), AREA_LABELS[0]).otherwise(AREA_LABELS[1]))
     m = grouped_stats(d, ["area_type"], [("mp", "median", PRICE), ("ms", "median", SQMP)], mode)
@@ -310,7 +310,7 @@ def urban_premium(df: DataFrame, urban_regions: Sequence[str], mode: str = "auto
 
 
 def niche_vs_regular(df: DataFrame, niche_types: Sequence[str], regular_types: Sequence[str],
-                     mode: str = "auto") -> DataFrame:
+                     mode: str = "exact") -> DataFrame:
     """Niche mean size over regular mean size, niche median price over regular median price."""
     reg = df.where(F.col("house_type").isin(list(regular_types)))
     rstats = grouped_stats(reg, [], [("_reg_sqm", "mean", "sqm"), ("_reg_median", "median", PRICE)], mode)
@@ -324,17 +324,17 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
     """One-way ANOVA F statistic from per-group n / mean / variance (one row)."""
     g = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group).agg(
         F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
-    tot = g.agg(F.sum("n").alias("_N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_gm"),
+    tot = g.agg(F.sum("n").alias("_N"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("_gm"),
                 F.count(F.lit(1)).alias("_k"))
     j = g.crossJoin(F.broadcast(tot))
     s = j.agg(F.sum(F.col("n") * (F.col("m") - F.col("_gm")) ** 2).alias("ssb"),
               F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw"),
               F.first("_k").alias("k"), F.first("_N").alias("N"))
     return s.select((F.col("k") - 1).alias("df_between"), (F.col("N") - F.col("k")).alias("df_within"),
-                    F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k"))).alias("f_stat"))
+                    F.try_divide(F.try_divide("ssb", F.col("k") - 1), F.try_divide("ssw", F.col("N") - F.col("k"))).alias("f_stat"))
 
 
 def type_correlations(df: DataFrame, value: str = PRICE) -> DataFrame:
     """Correlation of price with size and with rooms per house type."""
     return df.where(F.col("house_type").isNotNull()).groupBy("house_type").agg(
-        F.corr(value, "sqm").alias("size_correlation"), F.corr(value, F.col("no_rooms").cast("double")).alias("rooms_correlation"))
+        safe_corr(F.col(value), F.col("sqm")).alias("size_correlation"), safe_corr(F.col(value), F.col("no_rooms")).alias("rooms_correlation"))

@@ -109,7 +109,7 @@ def average_rank_pct(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(ties, _c(col) == F.col("_tv"), "left").drop("_tv")
 
 
-def size_features(df: DataFrame, sqm_col: str = "sqm", rooms_col: str = "no_rooms", mode: str = "auto",
+def size_features(df: DataFrame, sqm_col: str = "sqm", rooms_col: str = "no_rooms", mode: str = "exact",
                   with_percentile: bool = True) -> DataFrame:
     s, r = _c(sqm_col), _c(rooms_col)
     thr = scalar_quantiles(df, sqm_col, [0.33, 0.67], ["_s33", "_s67"], mode)
@@ -218,7 +218,7 @@ def global_lags(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], l
 # W13 / W14 / W15 -------------------------------------------------------------
 def rolling_regional_stats(df: DataFrame, region_col: str = "region", price_col: str = "purchase_price",
                            year_col: str = "year", window_years: int = 3, min_obs: int = 20,
-                           mode: str = "auto") -> DataFrame:
+                           mode: str = "exact") -> DataFrame:
     """For every (region, year) present, stats of the prices of years
     [year - k, year - 1]: each sale is sent to the k later reference years
     (``explode(sequence)``, k is a parameter, not data-driven), kept only where
@@ -247,7 +247,7 @@ def rolling_regional_stats(df: DataFrame, region_col: str = "region", price_col:
 
 
 def add_rolling_features(df: DataFrame, region_col: str = "region", price_col: str = "purchase_price",
-                         year_col: str = "year", window_years: int = 3, min_obs: int = 20, mode: str = "auto") -> DataFrame:
+                         year_col: str = "year", window_years: int = 3, min_obs: int = 20, mode: str = "exact") -> DataFrame:
     """W13 + J7 + W15: rolling stats joined on (region, year), the causal
     premium flag and the deviation from the rolling median."""
     base = df.drop(*[c for c in ROLLING_COLUMNS if c in df.columns])
@@ -327,7 +327,7 @@ def group_rare(df: DataFrame, col: str, threshold: float = RARE_CATEGORY_THRESHO
 
 
 # E7-E9 / E14 -----------------------------------------------------------------
-def fit_scaler(fit_df: DataFrame, cols: Sequence[str], kind: str = "standard", mode: str = "auto") -> DataFrame:
+def fit_scaler(fit_df: DataFrame, cols: Sequence[str], kind: str = "standard", mode: str = "exact") -> DataFrame:
     """One-row table of fitted statistics (standard: mean, population std;
     minmax: min, max; robust: median, q25, q75)."""
     if kind == "standard":
@@ -362,7 +362,7 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], kind: str
 
 
 def median_imputation(df: DataFrame, cols: Sequence[str], year_col: str = "year", holdout_start: int = 2023,
-                      mode: str = "auto") -> DataFrame:
+                      mode: str = "exact") -> DataFrame:
     """Medians from pre-holdout rows only (0 when a column has none), filled into NULL / NaN."""
     fit = df.where(_c(year_col) < holdout_start)
     specs = [(f"{c}__med", "median", c) for c in cols]
@@ -373,10 +373,6 @@ def median_imputation(df: DataFrame, cols: Sequence[str], year_col: str = "year"
     return out.drop(*[f"{c}__med" for c in cols])
 
 
-def nan_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """+/-inf and NaN become NULL."""
-    return df.withColumns({c: F.when(~F.isnan(_c(c)) & (F.abs(_c(c)) != float("inf")), _c(c)) for c in cols})
-
 
 # E15 / E16 -------------------------------------------------------------------
 def temporal_split_summary(df: DataFrame, year_col: str = "year", last_train_year: int = 2017,
@@ -418,20 +414,9 @@ def walk_forward_sizes(df: DataFrame, folds: DataFrame, year_col: str = "year")
         F.sum(F.when(F.col("_y") == F.col("val_year"), F.col("_k")).otherwise(0)).alias("val_size"))
 
 
-def fold_rows(df: DataFrame, folds: DataFrame, fold_id: int, year_col: str = "year") -> tuple[DataFrame, DataFrame]:
-    f = folds.where(F.col("fold_id") == fold_id).first()
-    return df.where(_c(year_col) <= f.train_end), df.where(_c(year_col) == f.val_year)
-
 
 # P16 / P17 -------------------------------------------------------------------
-def unique_columns(cols: Sequence[str]) -> list[str]:
-    """First occurrence of each column name."""
-    seen, out = set(), []
-    for c in cols:
-        if c not in seen:
-            seen.add(c)
-            out.append(c)
-    return out
+
 
 
 class LeakageError(ValueError):
@@ -473,7 +458,7 @@ def encode_categoricals(df: DataFrame, cols: Sequence[str], target: str, region_
 ROOM_SIZE_LABELS = ("Small", "Medium", "Large", "XLarge")
 
 
-def size_features_b(df: DataFrame, sqm_col: str = "sqm", rooms_col: str = "no_rooms", mode: str = "auto") -> DataFrame:
+def size_features_b(df: DataFrame, sqm_col: str = "sqm", rooms_col: str = "no_rooms", mode: str = "exact") -> DataFrame:
     """rooms cut at 2 / 4 / 6 (right-closed), size tertiles at q33 / q67,
     or, when those coincide, equal-count tertiles of the row order by size
     (ties by position, via the skew-proof global rank); sqm per room and

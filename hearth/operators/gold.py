@@ -132,13 +132,10 @@ def bond_elasticity(volume: DataFrame, silver_df: DataFrame, cfg: EngineConfig =
     yq = group_quantiles(silver_df.where(F.col("quarter_id").isNotNull()), ["quarter_id"],
                          "yield_on_mortgage_credit_bonds%", [0.5], ["yield_median"], cfg.quantile_mode)
     vol = volume.groupBy("quarter_id").agg(F.sum("n_transactions").alias("n_transactions"))
-    m = vol.join(yq, "quarter_id")  # inner, one row per quarter
-    w = Window.orderBy("quarter_id")
-    m = m.withColumns({
-        "delta_pct_volume": (F.try_divide(F.col("n_transactions"), F.lag("n_transactions").over(w)) - 1) * 100.0,
-        "delta_bps_yield": (F.col("yield_median") - F.lag("yield_median").over(w)) * 100.0,
-    })
-    m = m.withColumn("_r", F.row_number().over(w))
+    w = Window.orderBy("quarter_id")  # one row per quarter
+    vol = vol.withColumn("delta_pct_volume", (F.try_divide(F.col("n_transactions"), F.lag("n_transactions").over(w)) - 1) * 100.0)
+    yq = yq.withColumn("delta_bps_yield", (F.col("yield_median") - F.lag("yield_median").over(w)) * 100.0)
+    m = vol.join(yq, "quarter_id").withColumn("_r", F.row_number().over(w))  # each series is differenced on its own first
     # lag k of the yield change: shift by k rows in quarter order (one row per quarter and lag)
     shifted = m.select(F.col("_r").alias("_rs"), F.col("delta_bps_yield").alias("_yl"))
     pairs = (m.withColumn("lag_quarters", F.explode(F.array(*[F.lit(int(k)) for k in cfg.elasticity_lags])))
@@ -149,7 +146,7 @@ def bond_elasticity(volume: DataFrame, silver_df: DataFrame, cfg: EngineConfig =
         F.regr_slope(y, xx).alias("_b"), F.regr_r2(y, xx).alias("_r2"), F.regr_sxx(y, xx).alias("_sxx"),
         F.regr_syy(y, xx).alias("_syy"), F.count(F.lit(1)).alias("n_observations"),
         F.min("quarter_id").alias("_q0"), F.max("quarter_id").alias("_q1"))
-    se = F.sqrt((F.lit(1.0) - F.col("_r2")) * F.col("_syy") / ((F.col("n_observations") - 2) * F.col("_sxx")))
+    se = F.sqrt(F.try_divide((F.lit(1.0) - F.col("_r2")) * F.col("_syy"), (F.col("n_observations") - 2) * F.col("_sxx")))
     return res.where(F.col("n_observations") >= 10).select(
         F.lit("National").alias("region"), "lag_quarters",
         F.bround("_b", 4).alias("beta_ols"), F.bround(se, 4).alias("beta_ols_se"), F.bround("_r2", 4).alias("r2"),

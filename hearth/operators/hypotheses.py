@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.functions.quantile import group_quantiles
+from hearth.functions.stats import safe_corr
 
 
 def _c(n: str) -> Column:
@@ -28,7 +29,7 @@ def map_with_fallback(col: str, mapping: Mapping[str, str]) -> Column:
 
 def prepare(df: DataFrame, region_map: Mapping[str, str], type_map: Mapping[str, str],
             regular_sale: str = "Alm. Salg", yield_col: str = "yield_on_mortgage_credit_bonds%",
-            infl_col: str = "dk_ann_infl_rate%", cpi_base_year: int = 2024, mode: str = "auto") -> DataFrame:
+            infl_col: str = "dk_ann_infl_rate%", cpi_base_year: int = 2024, mode: str = "exact") -> DataFrame:
     """P12 + P15 + F17 + CPI deflation of the study: regular sales with date,
     sqm price, region and type; cleaned labels; quarter start; real prices
     with missing quarterly inflation counted as 0 %."""
@@ -53,7 +54,7 @@ def prepare(df: DataFrame, region_map: Mapping[str, str], type_map: Mapping[str,
                           "real_sqm_price": F.col("sqm_price") * F.col("deflator")})
 
 
-def quarterly_by_region_type(d: DataFrame, mode: str = "auto") -> DataFrame:
+def quarterly_by_region_type(d: DataFrame, mode: str = "exact") -> DataFrame:
     """Median real sqm price, count and mean yield per quarter x region x type."""
     keys = ["quarter_date", "year", "quarter_num", "region_clean", "house_type_clean"]
     g = d.groupBy(*keys).agg(F.count("real_sqm_price").alias("transactions"), F.avg("bond_yield").alias("bond_yield"))
@@ -61,7 +62,7 @@ def quarterly_by_region_type(d: DataFrame, mode: str = "auto") -> DataFrame:
     return g.join(med, keys, "left")
 
 
-def national_macro(d: DataFrame, norm_from: str = "1992-01-01", mode: str = "auto") -> DataFrame:
+def national_macro(d: DataFrame, norm_from: str = "1992-01-01", mode: str = "exact") -> DataFrame:
     """A27 + W16: national quarterly median real sqm price, volume, mean
     yield, the year, and the price normalised to its first quarter on or
     after ``norm_from``."""
@@ -81,7 +82,7 @@ def normalise(df: DataFrame, value: str, out: str, keys: Sequence[str], norm_fro
     return df.withColumn(out, F.col(value) / base * 100.0)
 
 
-def national_by_type(agg: DataFrame, norm_from: str = "1992-01-01", mode: str = "auto") -> DataFrame:
+def national_by_type(agg: DataFrame, norm_from: str = "1992-01-01", mode: str = "exact") -> DataFrame:
     """Per type and quarter, the median of the regional medians and the
     summed transactions, normalised per type."""
     s = agg.groupBy("house_type_clean", "quarter_date").agg(F.sum("transactions").alias("transactions"))
@@ -100,7 +101,7 @@ def cross_correlation(macro: DataFrame, max_lag: int = 12) -> DataFrame:
     b = m.select(F.col("_i").alias("_ib"), F.col("total_vol").cast("double").alias("_v"))
     pairs = a.join(b, F.col("_ib") == F.col("_ia") + F.col("lag"))
     n = m.agg(F.count(F.lit(1)).alias("n"))
-    r = pairs.groupBy("lag").agg(F.corr("_b", "_v").alias("r"))
+    r = pairs.groupBy("lag").agg(safe_corr(F.col("_b"), F.col("_v")).alias("r"))
     return r.crossJoin(F.broadcast(n)).withColumn("ci95", 1.96 / F.sqrt(F.col("n").cast("double")))
 
 

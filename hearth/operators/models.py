@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.functions.quantile import group_quantiles, rank_within_groups
+from hearth.functions.stats import safe_corr
 
 # --- fixed values (reference search space and guards) -----------------------
 SEARCH_SPACE = {
     "ntrees": (100, 600), "max_depth": (3, 12), "learn_rate": (0.005, 0.3),
     "sample_rate": (0.5, 1.0), "col_sample_rate": (0.5, 1.0), "min_rows": (1, 10),
 }
-LEAK_SAMPLE_ROWS = 50_000
 LEAK_R2_LIMIT = 0.95
 SUSPECT_FEATURES = ("region_price_mean", "region_frequency")
 # -----------------------------------------------------------------------------
@@ -49,7 +49,7 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def impute_with_train_medians(train: DataFrame, other: DataFrame, cols: Sequence[str], mode: str = "auto"):
+def impute_with_train_medians(train: DataFrame, other: DataFrame, cols: Sequence[str], mode: str = "exact"):
     """Medians of the training rows (NaN / inf as missing, 0 when none) filled into both frames."""
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), _c(c).cast("double").alias("v")) for c in cols])).alias("_kv"))
     long = long.select("_kv.k", F.when(~F.isnan("_kv.v") & (F.abs("_kv.v") != float("inf")), F.col("_kv.v")).alias("v"))
@@ -90,7 +90,7 @@ def draw_trials(n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction", mode: str = "auto") -> DataFrame:
+def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction", mode: str = "exact") -> DataFrame:
     """M3/M4 (one row): r2, rmse, mae, mape (%), medae, n, plus rmse / mae after expm1."""
     y, p = _c(label), _c(prediction)
     d = pred.select(y.cast("double").alias("y"), p.cast("double").alias("p"))
@@ -103,12 +103,12 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     sst = d.crossJoin(F.broadcast(m.select("_ym"))).agg(F.sum((F.col("y") - F.col("_ym")) ** 2).alias("_sst"))
     med = group_quantiles(d.select(F.abs(F.col("y") - F.col("p")).alias("ae")), [], "ae", [0.5], ["medae"], mode)
     j = m.crossJoin(sst).crossJoin(med)
-    return j.select("n", (1 - F.col("_sse") / F.col("_sst")).alias("r2"), F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"),
+    return j.select("n", (1 - F.try_divide("_sse", "_sst")).alias("r2"), F.sqrt(F.try_divide("_sse", "n")).alias("rmse"),
                     "mae", (F.col("_mape") * 100.0).alias("mape"), "medae", "rmse_expm1", "mae_expm1")
 
 
 def walk_forward_search(df: DataFrame, folds: DataFrame, features: Sequence[str], label: str, n_trials: int = 1,
-                        seed: int = 42, year_col: str = "year", mode: str = "auto") -> DataFrame:
+                        seed: int = 42, year_col: str = "year", mode: str = "exact") -> DataFrame:
     """M2: each trial is fitted on every fold's training years (medians
     imputed from them) and scored by RMSE on the validation year."""
     spark = df.sparkSession
@@ -149,7 +149,7 @@ def regressors(label: str, seed: int = 42) -> dict:
 
 
 def leaderboard(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, names: Sequence[str] | None = None,
-                mode: str = "auto") -> DataFrame:
+                mode: str = "exact") -> DataFrame:
     """M5: holdout metrics of each algorithm (fitted concurrently), best RMSE first."""
     todo = [(n, e) for n, e in regressors(label).items() if not names or n in names]
 
@@ -179,18 +179,14 @@ def importance_guard(importances: DataFrame, suspects: Sequence[str] = SUSPECT_F
     return not any(s in topf for s in suspects)
 
 
-def leak_test(df: DataFrame, features: Sequence[str], label: str, seed: int = 42, sample_rows: int = LEAK_SAMPLE_ROWS,
-              limit: float = LEAK_R2_LIMIT) -> DataFrame:
-    """Q21: linear regression on a deterministic hash sample of at most
-    ``sample_rows`` rows (the sample is the feature), 80/20 by hash;
-    holdout R^2 above ``limit`` means a leak."""
+def leak_test(df: DataFrame, features: Sequence[str], label: str, seed: int = 42, limit: float = LEAK_R2_LIMIT) -> DataFrame:
+    """Q21: linear regression on all complete rows, 80/20 by hash (one pass of
+    normal equations); holdout R^2 above ``limit`` means a leak."""
     # materialize the narrow projection first: filters over many derived
     # columns otherwise make the optimizer's constraint inference blow up
     base = df.select(*[_c(c) for c in features], _c(label)).checkpoint(eager=True)
-    n = base.count()
-    frac = min(1.0, sample_rows / max(n, 1))
     d = base.withColumn("_h", F.xxhash64(*[_c(c) for c in base.columns], F.lit(seed)))
-    d = d.where((F.abs(F.col("_h")) % 1_000_000) < int(frac * 1_000_000)).na.drop()
+    d = d.na.drop()
     tr, te = d.where(F.abs(F.col("_h") % 5) != 0), d.where(F.abs(F.col("_h") % 5) == 0)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"),
                             StandardScaler(inputCol="raw", outputCol="features"),
@@ -220,13 +216,6 @@ def oversample_minority(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(f), label).withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_f")))).drop("_f", "_r")
 
 
-def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """M9 alternative: balanced class weights n / (k * n_class)."""
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_k"))
-    tot = c.agg(F.sum("_k").alias("_n"), F.count(F.lit(1)).alias("_kk"))
-    w = c.crossJoin(tot).select(label, (F.col("_n") / (F.col("_kk") * F.col("_k"))).alias(out))
-    return df.join(F.broadcast(w), label)
-
 
 def classifiers(label: str, seed: int = 42) -> dict:
     return {
@@ -262,7 +251,7 @@ def auc_mann_whitney(pred: DataFrame, label: str, score: str) -> DataFrame:
                                F.count_if(F.col("_y") == 1).alias("_pos"))
     agg = ties.agg(F.sum(F.col("_avg") * F.col("_pos")).alias("_rs"))
     n = s.agg(F.count_if(F.col("_y") == 1).alias("_n1"), F.count_if(F.col("_y") == 0).alias("_n0"))
-    return agg.crossJoin(n).select(((F.col("_rs") - F.col("_n1") * (F.col("_n1") + 1) / 2.0) / (F.col("_n1") * F.col("_n0"))).alias("auc"))
+    return agg.crossJoin(n).select(F.try_divide(F.col("_rs") - F.col("_n1") * (F.col("_n1") + 1) / 2.0, F.col("_n1") * F.col("_n0")).alias("auc"))
 
 
 def confusion_matrix(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
@@ -321,7 +310,7 @@ def feature_scores(df: DataFrame, cols: Sequence[str], target: str, bins: int =
     r^2 (n-2) / (1 - r^2), and binned mutual information (equal-width bins of
     feature and target); each score min-max normalised and averaged."""
     d = df.select(*[_c(c).cast("double").alias(c) for c in cols], _c(target).cast("double").alias("_y")).na.drop()
-    st = d.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(c, "_y").alias(f"r::{c}") for c in cols],
+    st = d.agg(F.count(F.lit(1)).alias("_n"), *[safe_corr(F.col(c), F.col("_y")).alias(f"r::{c}") for c in cols],
                *[F.min(c).alias(f"lo::{c}") for c in cols], *[F.max(c).alias(f"hi::{c}") for c in cols],
                F.min("_y").alias("_ylo"), F.max("_y").alias("_yhi"))
     j = d.crossJoin(F.broadcast(st))

@@ -9,7 +9,6 @@ bias-adjusted G1 / G2 of pandas, derived from Spark's population moments.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.functions.quantile import group_quantiles, rank_within_groups, running_sum
+from hearth.functions.stats import safe_corr
 from hearth.functions.stats import grouped_stats
 
 # --- fixed values (reference thresholds) ------------------------------------
@@ -160,7 +160,7 @@ def dagostino_k2(g1: Column, g2: Column, n: Column) -> Column:
     return zs * zs + zk * zk
 
 
-def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, mode: str = "auto") -> DataFrame:
+def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, mode: str = "exact") -> DataFrame:
     """Q5 + Q6 + Q7: per numeric column: describe() figures, adjusted skewness
     and kurtosis, CV %, IQR outliers, concentration (p90 - p10) / range,
     D'Agostino K^2 and Jarque-Bera with chi^2(2) p-values, and the flags."""
@@ -257,7 +257,7 @@ def word_frequency(df: DataFrame, col: str, top: int = 100) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(top)
 
 
-def outlier_extremes(df: DataFrame, col: str, k: int = 3, mode: str = "auto") -> DataFrame:
+def outlier_extremes(df: DataFrame, col: str, k: int = 3, mode: str = "exact") -> DataFrame:
     """K4: the k largest and k smallest IQR outliers of a column."""
     q = group_quantiles(df, [], col, [0.25, 0.75], ["_q1", "_q3"], mode)
     d = df.select(_c(col).cast("double").alias("value")).crossJoin(F.broadcast(q))
@@ -281,7 +281,7 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
                     (F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_end"), "n")
 
 
-def percentile_vector(df: DataFrame, col: str, probs: Sequence[float] = PERCENTILES, mode: str = "auto") -> DataFrame:
+def percentile_vector(df: DataFrame, col: str, probs: Sequence[float] = PERCENTILES, mode: str = "exact") -> DataFrame:
     """Q17: percentile vector (one row, columns p1 ... p99) and boxplot numbers."""
     names = [f"p{int(round(p * 100))}" for p in probs]
     return group_quantiles(df, [], col, probs, names, mode)
@@ -290,7 +290,7 @@ def percentile_vector(df: DataFrame, col: str, probs: Sequence[float] = PERCENTI
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Q16: Pearson r of every column pair in one aggregation, long form (a < b)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(_c(a).cast("double"), _c(b).cast("double")).alias(f"{a}||{b}") for a, b in pairs])
+    row = df.agg(*[safe_corr(_c(a), _c(b)).alias(f"{a}||{b}") for a, b in pairs])
     stack = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{a}||{b}`").alias("r"))
                       for a, b in pairs])
     return row.select(F.explode(stack).alias("_s")).select("_s.*").withColumn("abs_r", F.abs("r"))
@@ -298,15 +298,11 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def correlation_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """Q16 / Q20: r of each column with the target."""
-    row = df.agg(*[F.corr(_c(c).cast("double"), _c(target).cast("double")).alias(c) for c in cols])
+    row = df.agg(*[safe_corr(_c(c), _c(target)).alias(c) for c in cols])
     stack = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("r")) for c in cols])
     return row.select(F.explode(stack).alias("_s")).select("_s.*").withColumn("abs_r", F.abs("r"))
 
 
 def correlation_gate(df: DataFrame, cols: Sequence[str], target: str, limit: float = 0.90) -> DataFrame:
-    """Q20: features whose |r| with the target exceeds ``limit`` (must be empty to pass)."""
-    return correlation_with_target(df, cols, target).where(F.col("abs_r") > limit)
-
-
-def chi2_2df_p(stat: float) -> float:
-    return math.exp(-stat / 2.0)
+    """Q20: every feature's |r| with the target and whether it exceeds ``limit``."""
+    return correlation_with_target(df, cols, target).withColumn("too_correlated", F.coalesce(F.col("abs_r") > limit, F.lit(False)))

@@ -29,7 +29,7 @@ def _kv(section: str, pairs: Sequence[tuple[str, Column]]) -> Column:
                                for k, v in pairs]))
 
 
-def business_insights(df: DataFrame, mode: str = "auto") -> DataFrame:
+def business_insights(df: DataFrame, mode: str = "exact") -> DataFrame:
     """Q13 (one row): price median / mean / cv, sqm median and q75, most
     common room count, share of the top region, build-year quartiles."""
     st = grouped_stats(df, [], [("price_median", "median", "purchase_price"), ("price_mean", "mean", "purchase_price"),
@@ -46,7 +46,7 @@ def business_insights(df: DataFrame, mode: str = "auto") -> DataFrame:
         "rooms_mode", "top_region", "top_region_share", "year_build_q25", "year_build_median", "year_build_q75")
 
 
-def executive_summary(df: DataFrame, mode: str = "auto") -> DataFrame:
+def executive_summary(df: DataFrame, mode: str = "exact") -> DataFrame:
     """Long KPI table: totals, median price by house type and by
     region with their share of sales, and the sales channels by volume."""
     tot = df.agg(F.count(F.lit(1)).alias("n"))
@@ -88,8 +88,10 @@ def recommendations(num_profile: DataFrame, cat_profile: DataFrame, null_pct: Da
     outl = num_profile.select(
         F.when(F.col("n_outliers") / (F.col("count") + F.col("n_missing")) * 100.0 > OUTLIER_PCT, "treat_outliers").alias("kind"),
         "column_name", F.format_string("%d IQR outliers", F.col("n_outliers")).alias("detail"))
-    rng = num_profile.select(F.when(F.try_divide(F.col("max"), F.col("min")) > RANGE_RATIO, "scale_wide_range").alias("kind"),
-                             "column_name", F.format_string("max/min %.1f", F.try_divide(F.col("max"), F.col("min"))).alias("detail"))
+    # one rule over all columns: the widest column's range against the narrowest one's
+    span = num_profile.agg(F.max(F.col("max") - F.col("min")).alias("hi"), F.min(F.col("max") - F.col("min")).alias("lo"), F.count(F.lit(1)).alias("k"))
+    rng = span.select(F.when((F.col("k") > 1) & (F.col("hi") > RANGE_RATIO * F.col("lo")), "scale_different_ranges").alias("kind"),
+                      F.lit("*").alias("column_name"), F.format_string("widest range %.1f, narrowest %.1f", F.col("hi"), F.col("lo")).alias("detail"))
     card = cat_profile.select(F.when(F.col("n_unique") > CARD_HIGH, "encode_high_cardinality")
                               .when(F.col("n_unique") > CARD_MEDIUM, "group_rare_categories").alias("kind"),
                               "column_name", F.format_string("%d categories", F.col("n_unique")).alias("detail"))
@@ -104,7 +106,7 @@ def column_null_pct(df: DataFrame) -> DataFrame:
     return allc.join(s.select("column_name", F.col("null_percentage").alias("null_pct")), "column_name", "left").fillna(0.0, ["null_pct"])
 
 
-def complete_analysis(df: DataFrame, mode: str = "auto") -> dict[str, DataFrame]:
+def complete_analysis(df: DataFrame, mode: str = "exact") -> dict[str, DataFrame]:
     """Q15: the analysis facade: quality, profiles, summary, recommendations."""
     num = P.numeric_profile(df, mode=mode)
     cat = P.categorical_profile(df)

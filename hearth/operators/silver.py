@@ -105,7 +105,7 @@ def silver(bronze_df: DataFrame, cfg: EngineConfig = EngineConfig(), centroids:
     return out
 
 
-def report_flags(df: DataFrame, iqr_factor: float = 3.0, mode: str = "auto") -> DataFrame:
+def report_flags(df: DataFrame, iqr_factor: float = 3.0, mode: str = "exact") -> DataFrame:
     """P10: the profiling report's flags, none of which drops a row: city
     NULL -> 'Unknown', macro rates missing, sales type classifiable, build
     year before 1800, preliminary period (before 1995) and extreme price /

@@ -125,7 +125,7 @@ def hyp_level_ols_pvalue(spark, sf_dir):
     """Two-sided p of the level OLS slope (t with n - 2 df; no SQL form)."""
     m = H.national_macro(_prep(spark, sf_dir), NORM_FROM, M)
     o = H.level_ols(m, H.best_negative_lag(H.cross_correlation(m, MAX_LAG)))
-    t = F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
+    t = F.sqrt(F.try_divide(F.col("r2") * (F.col("n") - 2), 1 - F.col("r2")))  # NULL at r2 = 1
     return o.withColumn("p_value", t_pvalue(t, F.col("n") - 2))
 
 

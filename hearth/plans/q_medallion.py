@@ -148,10 +148,9 @@ yq AS (SELECT quarter_id, quantile_cont("yield_on_mortgage_credit_bonds%", 0.5)
        WHERE quarter_id IS NOT NULL GROUP BY quarter_id),
 vq AS (SELECT quarter_id, count(*) AS n_transactions FROM silver
        WHERE region IS NOT NULL AND quarter_id IS NOT NULL AND house_type IS NOT NULL GROUP BY quarter_id),
-m AS (SELECT v.quarter_id, v.n_transactions, y.yield_median FROM vq v JOIN yq y ON v.quarter_id = y.quarter_id),
-m2 AS (SELECT quarter_id, row_number() OVER (ORDER BY quarter_id) AS rn,
-              (CAST(n_transactions AS DOUBLE) / lag(n_transactions) OVER (ORDER BY quarter_id) - 1) * 100.0 AS dv,
-              (yield_median - lag(yield_median) OVER (ORDER BY quarter_id)) * 100.0 AS dy FROM m),
+vd AS (SELECT quarter_id, (CAST(n_transactions AS DOUBLE) / lag(n_transactions) OVER (ORDER BY quarter_id) - 1) * 100.0 AS dv FROM vq),
+yd AS (SELECT quarter_id, (yield_median - lag(yield_median) OVER (ORDER BY quarter_id)) * 100.0 AS dy FROM yq WHERE yield_median IS NOT NULL),
+m2 AS (SELECT v.quarter_id, row_number() OVER (ORDER BY v.quarter_id) AS rn, dv, dy FROM vd v JOIN yd y ON v.quarter_id = y.quarter_id),
 lags AS (SELECT unnest({list(CFG.elasticity_lags)}) AS lag_quarters),
 pairs AS (SELECT l.lag_quarters, a.quarter_id, a.dv, b.dy AS yl FROM m2 a CROSS JOIN lags l
           LEFT JOIN m2 b ON b.rn = a.rn - l.lag_quarters

@@ -20,10 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        read_table(spark, sf_dir, t).createOrReplaceTempView(t)
-
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x orders x customer x nation x region x part -> raw sales rows.

@@ -8,26 +8,41 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hearth.functions.quantile import group_quantiles, rank_within_groups
+from hearth.functions.quantile import group_quantiles, quantile_table, rank_within_groups
 from hearth.operators import features as X
 from hearth.operators import text as TX
 from hearth.operators.stl import stl_decompose
 
 
-def test_sorted_quantiles_match_exact_aggregate_under_skew(spark):
+def test_quantiles_are_exact_under_skew_ties_and_odd_values(spark):
     rng = np.random.default_rng(3)
     keys = np.where(rng.random(3000) < 0.34, "hot", rng.choice(list("abcdefgh"), 3000))
     vals = np.round(rng.normal(0, 10, 3000), 1)  # rounded: many ties
-    df = spark.createDataFrame(pd.DataFrame({"k": keys, "v": vals}))
+    vals[::50] *= 1e12
+    vals[::70] = 0.0
+    df = spark.createDataFrame(pd.DataFrame({"k": keys, "v": vals, "w": -vals / 7}))
+    odd = spark.createDataFrame([(None, 5.0, None), (None, 7.0, float("nan")), ("only nulls", None, float("nan")), ("one", -1e-300, float("inf"))], "k string, v double, w double")
     probs = [0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0]
-    a = {r.k: r for r in group_quantiles(df, ["k"], "v", probs, mode="sorted").collect()}
-    b = {r.k: r for r in group_quantiles(df, ["k"], "v", probs, mode="aggregate").collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        for x, y in zip(a[k], b[k]):
-            assert x == y or abs(x - y) < 1e-9
+    want = {"v": [(p, f"v{i}") for i, p in enumerate(probs)], "w": [(p, f"w{i}") for i, p in enumerate(probs)]}
+    got = {r.k: r for r in quantile_table(df.union(odd), ["k"], want).collect()}
     pdf = df.toPandas()
-    assert abs(a["hot"]["q_0_25"] - pdf[pdf.k == "hot"].v.quantile(0.25)) < 1e-9
+    assert set(got) == set(keys) | {None, "one"}
+    for k, g in pdf.groupby("k"):
+        for c in "vw":
+            assert [got[k][f"{c}{i}"] for i in range(len(probs))] == pytest.approx(list(g[c].quantile(probs)), rel=1e-12)
+    assert got[None].v3 == 6.0 and got[None].w3 is None and got["one"].v0 == -1e-300 and got["one"].w6 == float("inf")
+    whole = group_quantiles(df, [], "v", [0.5]).collect()
+    assert len(whole) == 1 and whole[0].q_0_5 == pytest.approx(pdf.v.median())
+    assert group_quantiles(df.where("false"), [], "v", [0.5]).collect() == []
+
+
+def test_a_value_that_fills_the_table_is_one_row_of_the_quantile_plan(spark):
+    df = spark.range(0, 20000, 1, 4).select(F.when(F.col("id") % 10 == 0, F.col("id") * 1.0).otherwise(7.0).alias("v"))
+    seen = df.groupBy("v").count()
+    assert seen.count() == 2001 and group_quantiles(df, [], "v", [0.5]).first()[0] == 7.0
+    ranks = rank_within_groups(df, [], ["v"])  # equal values are split over partitions
+    sizes = [r["count"] for r in ranks.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * 20000 / 8 and ranks.agg(F.count_distinct("_rank")).first()[0] == 20000
 
 
 def test_rank_within_groups_is_a_permutation(spark):
