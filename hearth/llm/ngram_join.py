@@ -12,12 +12,15 @@
    few shared ones can have no partner and drops out (exact). Shingles in hot
    cells are taken as shared without being shuffled, so no key is hot there.
 4. The remaining classes with identical prefix and size form a group. Each
-   group proposes the one neighbour that it shares most prefix shingles with;
-   proposals are verified on whole sets and joined to components, which folds
-   large groups of near copies at linear cost.
+   prefix shingle has a centre, the group whose prefix is most common; each group
+   proposes the centre that it shares most prefix shingles with. Proposals are
+   verified on whole sets and joined to components, which folds large families
+   of near copies at linear cost.
 5. Then every group pair whose members are not yet known to be together is
-   filtered by size, position and shared count, expanded to its members and
-   verified. What is skipped is already connected, so the components are exact.
+   filtered, expanded to its members and verified. Two sets of known sizes need
+   an overlap of 3/7 of both sizes together, so their first shared shingle must
+   lie within the short prefixes that this overlap leaves, and its position must
+   leave room for it. What is skipped is already connected, so the components are exact.
 """
 
 from __future__ import annotations
@@ -169,10 +172,11 @@ def _group_entries(magnitude) -> Callable[[Batches], Batches]:
                     continue
                 seen.add(gid)
                 s = np.frombuffer(raw.as_py(), dtype=_U64)
-                p, _ = _prefix(s, magnitude.value)
+                p, size = _prefix(s, magnitude.value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(p.view(np.int64)), pa.array(np.full(len(p), gid, np.int64)), pa.array(np.full(len(p), len(s), np.int64)),
-                     pa.array(np.arange(len(p), dtype=np.int64))], names=["token", "gid", "n", "pos"])
+                     pa.array(np.arange(len(p), dtype=np.int64)), pa.array(np.full(len(p), round(1000 * float(size.mean())), np.int32))],
+                    names=["token", "gid", "n", "pos", "common"])
 
     return run
 
@@ -205,11 +209,6 @@ def _sized(x: str, y: str):
     return 4 * F.least(F.col(x), F.col(y)) >= 3 * F.greatest(F.col(x), F.col(y))
 
 
-def _extra_sql(n: str):
-    n_ = F.col(n)
-    return F.least(1 + F.floor(n_ / 20), F.floor((3 * n_ + 3) / 4))
-
-
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                              counters: int = COUNTERS) -> DataFrame:
     """``(<id>, n_shingles, component_id)`` per row of ``docs``.
@@ -265,9 +264,10 @@ def _candidate_sets(d: DataFrame, classes: DataFrame, width: int, magnitude, hot
 
 def _components(sets: DataFrame, magnitude) -> DataFrame:
     """``(cls, component, linked)`` of every class that has a link."""
-    entries = cut(sets.select("gid", "shingles").mapInArrow(_group_entries(magnitude), "token bigint, gid bigint, n bigint, pos bigint"))
-    of = entries.groupBy("token").agg(F.min("gid").alias("first"), F.max("gid").alias("last")).where("first < last")
-    live = cut(entries.join(of.select("token", "first"), "token"))
+    entries = cut(sets.select("gid", "shingles").mapInArrow(_group_entries(magnitude), "token bigint, gid bigint, n bigint, pos bigint, common int"))
+    # a shingle's centre is its group with the most common prefix: in a family of copies, the text that the others were made from
+    of = entries.groupBy("token").agg(F.max_by("gid", F.struct("common", "gid")).alias("first"), F.min("gid").alias("lo"), F.max("gid").alias("hi"))
+    live = cut(entries.join(of.where("lo < hi").select("token", "first"), "token").select("token", "gid", "n", "pos", "first"))
 
     head = cut(sets.groupBy("gid").agg(F.min("cls").alias("head"), F.any_value("n").alias("n")))
     near = (live.where("gid <> first").groupBy("gid", F.col("first").alias("other")).agg(F.count(F.lit(1)).alias("k"), F.any_value("n").alias("n"))
@@ -291,12 +291,11 @@ def _components(sets: DataFrame, magnitude) -> DataFrame:
     b = x.select("token", "minor", *(F.col(c).alias(f"b_{c}") for c in ("gid", "n", "pos", "lo", "hi")))
     apart = (F.col("a_lo") != F.col("b_lo")) | (F.col("a_lo") != F.col("a_hi")) | (F.col("b_lo") != F.col("b_hi"))
     reach = (F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1))
+    asked = F.floor((3 * (F.col("a_n") + F.col("b_n")) + 6) / 7)  # the overlap that these two sizes need
     pairs = a.join(b, "token").where(
         (F.col("a_gid") != F.col("b_gid")) & (~F.col("minor") | (F.col("a_gid") < F.col("b_gid"))) & apart & _sized("a_n", "b_n")
-        & (reach * 7 >= 3 * (F.col("a_n") + F.col("b_n"))))
-    pairs = pairs.select(F.least("a_gid", "b_gid").alias("g"), F.greatest("a_gid", "b_gid").alias("h"),
-                         F.least(_extra_sql("a_n"), _extra_sql("b_n")).alias("need"))
-    pairs = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("g", "h")
+        & (F.col("a_pos") <= F.col("a_n") - asked) & (F.col("b_pos") <= F.col("b_n") - asked) & (reach >= asked))
+    pairs = pairs.select(F.least("a_gid", "b_gid").alias("g"), F.greatest("a_gid", "b_gid").alias("h")).distinct()
     mixed = group.where("lo < hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     ma = member.select(F.col("gid").alias("g"), F.col("cls").alias("a"), F.col("comp").alias("ca"))
     mb = member.select(F.col("gid").alias("h"), F.col("cls").alias("b"), F.col("comp").alias("cb"))
