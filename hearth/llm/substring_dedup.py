@@ -27,6 +27,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,31 +109,50 @@ def anchors(words: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS) -> tupl
     return key, pos
 
 
-def _segments(words: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first window, keys, positions) of a text in parts; a window's anchor is its own matter, so parts agree."""
-    for a in range(0, len(words) - width + 1, _SEGMENT):
-        key, pos = anchors(words[a:a + _SEGMENT + width - 1], width)
-        yield a, key, pos + a
+def _sequences(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """One hash of each text's word sequence; 0 for no word."""
+    n = np.diff(of)
+    place = (np.arange(len(hashes)) - np.repeat(of[:-1], n)).astype(_U64) * _K[0]
+    total = np.concatenate([np.zeros(1, _U64), np.cumsum(W.mix64(hashes + place))])
+    return np.where(n > 0, W.mix64(total[of[1:]] - total[of[:-1]] + n.astype(_U64)), _U64(0)).view(np.int64)
 
 
-def _heads(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Where the anchor changes from one window to the next."""
-    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])]))
+def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, word hashes, n+1 offsets of each text's words) of bounded groups of texts."""
+    data, offsets = W.texts_of(column)
+    for a, b in W.chunks(offsets, 1 << 20):
+        part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        starts, ends, of = W.word_bounds(part, at)
+        yield a, W.word_hashes(part, starts, ends, lower=False), of
 
 
-def _sequence(words: np.ndarray) -> int:
-    place = np.arange(len(words), dtype=_U64) * _K[0]
-    return int(W.mix64(W.mix64(words + place).sum(keepdims=True) + _U64(len(words))).view(np.int64)[0]) if len(words) else 0
+class Windows:
+    """All windows of a chunk of texts: flat arrays over windows, text by text.
 
+    The texts go through together, one made-up word after each. No window that
+    holds it is used, and a window's anchor is its own matter, so neither
+    neighbours nor the cut of a very long text into parts changes one.
+    """
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    data, offsets = W.texts_of(column)
-    for a, b in W.chunks(offsets):
-        part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-        starts, ends, of = W.word_bounds(part, at)
-        hashes = W.word_hashes(part, starts, ends, lower=False)
-        for i in range(b - a):
-            yield a + i, hashes[of[i]:of[i + 1]]
+    def __init__(self, hashes: np.ndarray, of: np.ndarray, width: int):
+        n = len(of) - 1
+        text = np.repeat(np.arange(n), np.diff(of))
+        words = np.empty(len(hashes) + n, dtype=_U64)
+        words[np.arange(len(hashes)) + text] = hashes
+        ends, begins = of[1:] + np.arange(n), of[:-1] + np.arange(n)
+        words[ends] = W.mix64(np.arange(n, dtype=_U64) + _K[4])
+        parts = [(a, *anchors(words[a:a + _SEGMENT + width - 1], width)) for a in range(0, len(words) - width + 1, _SEGMENT)]
+        made = np.zeros(len(words) + 1, dtype=np.int64)
+        made[ends + 1] = 1
+        made = np.cumsum(made)
+        start = np.flatnonzero(made[width:] == made[:-width]) if len(words) >= width else np.zeros(0, np.int64)
+        self.text = made[start]
+        self.at = start - begins[self.text]
+        self.key = np.concatenate([p[1] for p in parts] or [np.zeros(0, _U64)])[start]
+        self.pos = np.concatenate([p[0] + p[2] for p in parts] or [np.zeros(0, np.int64)])[start] - begins[self.text]
+        self.hash = lambda: W.window_hashes(words, width)[start]
+        change = (self.text[1:] != self.text[:-1]) | (self.key[1:] != self.key[:-1]) | (self.pos[1:] != self.pos[:-1])
+        self.head = np.flatnonzero(np.concatenate([[True], change])) if len(start) else start  # first window of each block
 
 
 def _digest(words: Iterator[bytes]) -> str:
@@ -145,16 +165,16 @@ def _documents(width: int, counters: int, schema: pa.Schema) -> Callable[[Batche
     def run(batches: Batches) -> Batches:
         counts = C.CellCounts(counters)
         for batch in batches:
-            n, seq, sha = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
-            for i, words in _texts(batch.column("text")):
-                n[i], seq[i] = len(words), _sequence(words)
-                for _, key, pos in _segments(words, width):
-                    counts.add(key[_heads(key, pos)])
-            for t in batch.column("text"):
-                sha.append(_digest((t.as_py() or "").encode().split()))
+            n, seq = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, hashes, of in _chunks(batch.column("text")):
+                n.append(np.diff(of))
+                seq.append(_sequences(hashes, of))
+                w = Windows(hashes, of, width)
+                counts.add(w.key[w.head])
+            sha = [_digest((t.as_py() or "").encode().split()) for t in batch.column("text")]
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(schema.field("id").type), pa.array(seq), pa.array(n), pa.array(sha, pa.string()),
-                                              none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(schema.field("id").type), pa.array(np.concatenate(seq)), pa.array(np.concatenate(n).astype(np.int64)),
+                                              pa.array(sha, pa.string()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         rows = counts.rows()
         none = pa.nulls(len(rows))
         yield pa.RecordBatch.from_arrays([none.cast(schema.field("id").type), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()),
@@ -168,56 +188,41 @@ def _anchor_rows(width: int, magnitude, hot: int) -> Callable[[Batches], Batches
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            held = 0
-            for _, words in _texts(batch.column("text")):
-                seq, warm = _sequence(words) if len(words) >= width else 0, False
-                for _, key, pos in _segments(words, width):
-                    at = _heads(key, pos)
-                    key, pos = key[at], pos[at]
-                    cold = magnitude.value[C.cells(key, len(magnitude.value))] < hot
-                    warm |= not cold.all()
-                    out.append((key[cold].view(np.int64), np.full(int(cold.sum()), seq, np.int64), pos[cold]))
-                    held += len(at)
-                if warm:
-                    out.append((np.array([seq]), np.array([seq]), np.array([-1])))
-                if held > 1 << 18:
-                    yield _batch(out, ["key", "seq", "pos"])
-                    out, held = [], 0
-            if out:
-                yield _batch(out, ["key", "seq", "pos"])
+            for _, hashes, of in _chunks(batch.column("text")):
+                seq, w = _sequences(hashes, of), Windows(hashes, of, width)
+                key, text = w.key[w.head], w.text[w.head]
+                cold = magnitude.value[C.cells(key, len(magnitude.value))] < hot
+                warm = seq[np.unique(text[~cold])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([key[cold].view(np.int64), warm])), pa.array(np.concatenate([seq[text[cold]], warm])),
+                     pa.array(np.concatenate([w.pos[w.head][cold], np.full(len(warm), -1)]).astype(np.int32))], names=["key", "seq", "pos"])
 
     return run
 
 
-def _batch(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=names)
-
-
 def _block_rows(width: int, magnitude, hot: int, kind: pa.DataType) -> Callable[[Batches], Batches]:
     """(block, id, seq, first, windows) for every block whose anchor is hot or listed in ``found``."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            ids, seqs, found = batch.column("id"), batch.column("seq").to_pylist(), batch.column("found")
-            for i, words in _texts(batch.column("text")):
-                if len(words) < width or _sequence(words) != seqs[i]:
+            ids, wanted, found = batch.column("id").cast(kind), batch.column("seq").to_numpy(), batch.column("found")
+            for a, hashes, of in _chunks(batch.column("text")):
+                n = len(of) - 1
+                mine = _sequences(hashes, of) == wanted[a:a + n]
+                w = Windows(hashes, of, width)
+                part = found.slice(a, n)
+                listed = (np.repeat(np.arange(n), pc.list_value_length(part).to_numpy(zero_copy_only=False)) << 40) + part.flatten().to_numpy().astype(np.int64)
+                text, end = w.text[w.head], np.append(w.head[1:], len(w.text))[:len(w.head)]
+                warm = magnitude.value[C.cells(w.key[w.head], len(magnitude.value))] >= hot
+                keep = mine[text] & (warm | np.isin((text << 40) + w.pos[w.head], listed))
+                head, size, text = w.head[keep], (end - w.head)[keep], text[keep]
+                if not len(head):
                     continue
-                listed = np.array(found[i].as_py(), dtype=np.int64)
-                rows, block, first = [], [], []
-                for a, key, pos in _segments(words, width):
-                    at = _heads(key, pos)
-                    ends = np.concatenate([at[1:], [len(key)]])
-                    keep = np.isin(pos[at], listed) | (magnitude.value[C.cells(key[at], len(magnitude.value))] >= hot)
-                    windows = W.window_hashes(words[a:a + len(key) + width - 1], width)
-                    for x, y in zip(at[keep].tolist(), ends[keep].tolist()):
-                        rows.append(windows[x:y].view(np.int64))
-                        block.append(_sequence(windows[x:y]))
-                        first.append(a + x)
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(block, pa.int64()), pa.repeat(ids[i], len(rows)).cast(kind), pa.array([seqs[i]] * len(rows), pa.int64()),
-                         pa.array(first, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["block", "id", "seq", "first", "windows"])
+                bounds = np.concatenate([[0], np.cumsum(size)])
+                values = w.hash()[np.arange(bounds[-1]) + np.repeat(head - bounds[:-1], size)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_sequences(values, bounds)), ids.take(pa.array(a + text)), pa.array(wanted[a + text]), pa.array(w.at[head].astype(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))], names=["block", "id", "seq", "first", "windows"])
 
     return run
 
@@ -227,11 +232,15 @@ def _kept_rows(width: int, schema: pa.Schema) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            sizes, shas, same, texts = [], [], [], []
-            for t, seq, ranges, (_, words) in zip(batch.column("text"), batch.column("seq").to_pylist(), batch.column("gone"), _texts(batch.column("text"))):
-                edge = np.zeros(len(words) + 1, np.int64)
-                same.append(_sequence(words) == seq)
-                if same[-1]:
+            sizes, shas, texts = [], [], []
+            seq, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, hashes, of in _chunks(batch.column("text")):
+                seq.append(_sequences(hashes, of))
+                n.append(np.diff(of))
+            same = (np.concatenate(seq) == batch.column("seq").to_numpy()).tolist()
+            for t, ranges, words, ok in zip(batch.column("text"), batch.column("gone"), np.concatenate(n).tolist(), same):
+                edge = np.zeros(words + 1, np.int64)
+                if ok:
                     r = np.array([(x["first"], x["n"]) for x in ranges.as_py()], dtype=np.int64)
                     np.add.at(edge, r[:, 0], 1)
                     np.add.at(edge, r[:, 0] + r[:, 1] + width - 1, -1)
@@ -281,28 +290,30 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, width: int, counters:
     # anchors that occur at two places
     of = Window.partitionBy("key")
     spot = F.struct("seq", "pos")
-    found = d.select("text").mapInArrow(_anchor_rows(width, magnitude, hot), "key bigint, seq bigint, pos bigint")
+    found = d.select("text").mapInArrow(_anchor_rows(width, magnitude, hot), "key bigint, seq bigint, pos int")
     found = found.withColumn("again", F.min(spot).over(of) != F.max(spot).over(of)).where("again OR pos < 0")
     found = found.groupBy("seq").agg(F.collect_set("pos").alias("found"))
     wanted = cut(found.join(first.select("seq", "first_id"), "seq").select(F.col("first_id").alias("wid"), "seq", "found"))
-    wanted = fitting(wanted, size=F.size("found") * 8 + 64)
+    wanted = fitting(wanted, size=F.size("found") * 4 + 32)
     blocks = cut(d.join(wanted, d.id.eqNullSafe(wanted.wid)).select("id", "text", "seq", "found").mapInArrow(
         _block_rows(width, magnitude, hot, arrow), f"block bigint, id {sql}, seq bigint, first bigint, windows array<bigint>"))
 
     # blocks: all but the first of equal ones go; windows of the first ones are compared
     where = F.struct("id", "seq", "first")
-    same = cut(blocks.groupBy("block").agg(F.min(where).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1"))
-    known = spread_join(blocks, same, "block", F.col("k") * HOT_SHARE >= blocks.count()).withColumn("later", F.col("top").isNotNull() & ~where.eqNullSafe(F.col("top")))
-    gone = known.where("later").select("seq", "first", F.size("windows").cast("long").alias("n"))
-    windows = cut(known.where("NOT later").select("id", "seq", F.posexplode("windows").alias("p", "window"), "first").select(
+    distinct = cut(blocks.groupBy("block").agg(F.min(where).alias("top"), F.min_by("windows", where).alias("windows"), F.count(F.lit(1)).alias("k")))
+    same = distinct.where("k > 1").select("block", "top", "k")
+    narrow = blocks.select("block", "id", "seq", "first", F.size("windows").alias("n"))
+    later = spread_join(narrow, same, "block", F.col("k") * HOT_SHARE >= blocks.count()).where(F.col("top").isNotNull() & ~where.eqNullSafe(F.col("top")))
+    gone = later.select("seq", F.col("first").cast("int").alias("first"), "n")
+    windows = cut(distinct.select("top.*", F.posexplode("windows").alias("p", "window")).select(
         "window", "id", "seq", (F.col("first") + F.col("p")).alias("first")))
     same = cut(windows.groupBy("window").agg(F.min(where).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1"))
     later = spread_join(windows, same, "window", F.col("k") * HOT_SHARE >= windows.count()).where(F.col("top").isNotNull() & ~where.eqNullSafe(F.col("top")))
-    gone = gone.union(later.select("seq", "first", F.lit(1).cast("long")))
+    gone = gone.union(later.select("seq", F.col("first").cast("int"), F.lit(1)))
 
     # words
     gone = gone.groupBy("seq").agg(F.collect_set(F.struct("first", "n")).alias("gone")).join(first.select("seq", "first_id"), "seq")
-    gone = fitting(cut(gone.select(F.col("first_id").alias("wid"), "seq", "gone")), size=F.size("gone") * 24 + 64)
+    gone = cut(gone.select(F.col("first_id").alias("wid"), "seq", "gone"))
     out = pa.schema([("id", arrow), ("seq", pa.int64()), ("removed", pa.int64()), ("kept", pa.string()), ("kept_text", pa.string())])
     some = cut(d.join(gone, d.id.eqNullSafe(gone.wid)).select("id", "text", "seq", "gone").mapInArrow(
         _kept_rows(width, out), f"id {sql}, seq bigint, removed bigint, kept string, kept_text string").dropDuplicates(["seq"]))
