@@ -498,3 +498,32 @@ def save_stats(stats: DataFrame, path: str) -> None:
 
 def load_stats(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+# E10 -------------------------------------------------------------------------
+def strategy_scale(df: DataFrame, fit_df: DataFrame, cols: Sequence[str], cyclic: Sequence[str] = (), skew_limit: float = 1.0,
+                   suffix: str = "_scaled", mode: str = "exact") -> DataFrame:
+    """Each column by its skewness in ``fit_df`` (bias-corrected, as pandas):
+    standard up to ``skew_limit``, robust beyond; columns in ``cyclic`` go
+    through min-max to [0, 1] after that, which undoes the first step's shift
+    and scale. A column without a skewness (constant, fewer than three values)
+    stays as it is. One row of statistics is broadcast."""
+    specs = []
+    for c in cols:
+        specs += [(f"{c}__n", "count", c), (f"{c}__m", "mean", c), (f"{c}__lo", "min", c), (f"{c}__hi", "max", c),
+                  (f"{c}__q50", "median", c), (f"{c}__q25", "q25", c), (f"{c}__q75", "q75", c)]
+    fit = fit_df.select(*[_c(c).cast("double").alias(c) for c in cols])
+    st = grouped_stats(fit, [], specs, mode).crossJoin(F.broadcast(fit.agg(
+        *[F.stddev_pop(_c(c)).alias(f"{c}__s") for c in cols], *[F.skewness(F.when(~F.isnan(_c(c)), _c(c))).alias(f"{c}__g") for c in cols])))
+    out = df.crossJoin(F.broadcast(st))
+    exprs = {}
+    for c in cols:
+        n, m, s, lo, hi, q25, q50, q75, g = (F.col(f"`{c}__{k}`") for k in ("n", "m", "s", "lo", "hi", "q25", "q50", "q75", "g"))
+        skew = F.try_divide(F.sqrt(n * (n - 1.0)) * g, n - 2.0)
+        one = lambda x: F.when((x == 0) | x.isNull(), F.lit(1.0)).otherwise(x)
+        if c in cyclic:
+            exprs[f"{c}{suffix}"] = (_c(c) - lo) / one(hi - lo)
+        else:
+            exprs[f"{c}{suffix}"] = F.when(F.abs(skew) <= skew_limit, (_c(c) - m) / one(s)).when(
+                F.abs(skew) > skew_limit, (_c(c) - q50) / one(q75 - q25)).otherwise(_c(c))
+    return out.withColumns(exprs).drop(*st.columns)

@@ -205,8 +205,8 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, n, proportion) with proportions over non-null values (Q9)."""
     long = long_strings(df, cols).where(F.col("value").isNotNull())
     c = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    tot = F.sum("n").over(Window.partitionBy("column_name"))
-    return c.withColumn("proportion", F.col("n") / tot)
+    total = F.broadcast(c.groupBy("column_name").agg(F.sum("n").alias("_all")))  # one row per name in cols
+    return c.join(total, "column_name").select("column_name", "value", "n", (F.col("n") / F.col("_all")).alias("proportion"))
 
 
 def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

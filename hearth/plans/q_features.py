@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from hearth.config import DRIVER_CONFIG as CFG
@@ -247,24 +249,48 @@ def _scaled(spark, sf_dir, kind):
     return d.select(*KEY, f"sqm{suffix}", f"sqm_price{suffix}")
 
 
-@register("standard_scaling", ("E7", "E10"), _scale_sql("standard"))
+@register("standard_scaling", ("E7",), _scale_sql("standard"))
 def standard_scaling(spark, sf_dir):
     """Standard scaling (population std) fitted on training years only."""
     return _scaled(spark, sf_dir, "standard")
 
 
-@register("minmax_scaling", ("E8", "E10"), _scale_sql("minmax"))
+@register("minmax_scaling", ("E8",), _scale_sql("minmax"))
 def minmax_scaling(spark, sf_dir):
     """Min-max scaling fitted on training years only."""
     return _scaled(spark, sf_dir, "minmax")
 
 
-@register("robust_scaling", ("E9", "E10"), _scale_sql("robust"))
+@register("robust_scaling", ("E9",), _scale_sql("robust"))
 def robust_scaling(spark, sf_dir):
     """Robust scaling (median / IQR) fitted on training years only."""
     return _scaled(spark, sf_dir, "robust")
 
 
+_STRATEGY_COLS = ("sqm", "sqm_price", "no_rooms", "year_build", "purchase_price", "month_sin")
+
+
+def _strategy_sql() -> str:
+    stats = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}, min({c}) AS lo{i}, max({c}) AS hi{i}, skewness({c}) AS g{i}, quantile_cont({c}, 0.5) AS q{i}, "
+                      f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS r{i}" for i, c in enumerate(_STRATEGY_COLS))
+    one = lambda x: f"CASE WHEN {x} = 0 OR {x} IS NULL THEN 1.0 ELSE {x} END"
+    out = ", ".join(f"({c} - lo{i}) / {one(f'(hi{i} - lo{i})')} AS {c}_scaled" if c == "month_sin" else
+                    f"CASE WHEN abs(g{i}) <= 1 THEN ({c} - m{i}) / {one(f's{i}')} WHEN abs(g{i}) > 1 THEN ({c} - q{i}) / {one(f'r{i}')} ELSE {c} END AS {c}_scaled"
+                    for i, c in enumerate(_STRATEGY_COLS))
+    return with_ctes(f"b AS (SELECT house_id, date, year_sale, sqm, sqm_price, purchase_price, CAST(no_rooms AS DOUBLE) AS no_rooms, CAST(year_build AS DOUBLE) AS year_build, "
+                     f"sin(2 * pi() * month(date) / 12.0) AS month_sin, no_rooms AS rooms FROM bronze), "
+                     f"fit AS (SELECT {stats} FROM b WHERE year_sale <= {CFG.split_last_train_year})",
+                     f"SELECT house_id, rooms AS no_rooms, date, purchase_price, {out} FROM b CROSS JOIN fit")
+
+
+@register("strategy_scaling", ("E10",), _strategy_sql())
+def strategy_scaling(spark, sf_dir):
+    """Standard or robust scaling by each column's skewness, min-max for the cyclic column; fitted on training years."""
+    b = _b(spark, sf_dir).withColumn("month_sin", F.sin(2 * math.pi * F.month("date") / 12.0))
+    d = X.strategy_scale(b, b.where(F.col("year") <= CFG.split_last_train_year), _STRATEGY_COLS, ("month_sin",), mode=M)
+    return d.select(*KEY, *[f"{c}_scaled" for c in _STRATEGY_COLS])
+
+
 @register("median_imputation", ("E14", "P18"), with_ctes(
     f"med AS (SELECT quantile_cont(sqm, 0.5) AS m FROM bronze WHERE year_sale < {CFG.holdout_start_year})",
     "SELECT house_id, no_rooms, date, purchase_price, coalesce(sqm, m, 0.0) AS sqm FROM bronze CROSS JOIN med"))
