@@ -18,8 +18,8 @@
    of near copies at linear cost.
 5. Then every group pair whose members are not yet known to be together is
    filtered, expanded to its members and verified. Two sets of known sizes need
-   an overlap of 3/7 of both sizes together, so their first shared shingle must
-   lie within the short prefixes that this overlap leaves, and its position must
+   an overlap of 3/7 of both sizes together, so enough shared shingles must lie
+   within the short prefixes that this overlap leaves, and their positions must
    leave room for it. What is skipped is already connected, so the components are exact.
 """
 
@@ -37,7 +37,7 @@ from hearth.llm import words as W
 from hearth.llm.graph import HOT_SHARE, connected_components, cut, fitting, spread_join
 
 WIDTH = 5
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 _U64 = np.uint64
 
 Batches = Iterator[pa.RecordBatch]
@@ -266,12 +266,14 @@ def _components(sets: DataFrame, magnitude) -> DataFrame:
     """``(cls, component, linked)`` of every class that has a link."""
     entries = cut(sets.select("gid", "shingles").mapInArrow(_group_entries(magnitude), "token bigint, gid bigint, n bigint, pos bigint, common int"))
     # a shingle's centre is its group with the most common prefix: in a family of copies, the text that the others were made from
-    of = entries.groupBy("token").agg(F.max_by("gid", F.struct("common", "gid")).alias("first"), F.min("gid").alias("lo"), F.max("gid").alias("hi"))
-    live = cut(entries.join(of.where("lo < hi").select("token", "first"), "token").select("token", "gid", "n", "pos", "first"))
+    # (its commonness in the high bits, 47 bits of its id in the low ones)
+    short = F.shiftrightunsigned("gid", 17)
+    of = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.shiftleft(F.col("common").cast("long"), 47) + short).alias("best")).where("k > 1")
+    live = cut(entries.join(of, "token").select("token", "gid", "n", "pos", F.col("best").bitwiseAND(F.lit((1 << 47) - 1)).alias("first")))
 
     head = cut(sets.groupBy("gid").agg(F.min("cls").alias("head"), F.any_value("n").alias("n")))
-    near = (live.where("gid <> first").groupBy("gid", F.col("first").alias("other")).agg(F.count(F.lit(1)).alias("k"), F.any_value("n").alias("n"))
-            .join(fitting(head.select(F.col("gid").alias("other"), F.col("head").alias("b"), F.col("n").alias("m"))), "other")
+    near = (live.where(short != F.col("first")).groupBy("gid", F.col("first").alias("other")).agg(F.count(F.lit(1)).alias("k"), F.any_value("n").alias("n"))
+            .join(fitting(head.select(short.alias("other"), F.col("head").alias("b"), F.col("n").alias("m"))), "other")
             .where(_sized("n", "m")).groupBy("gid").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
     near = near.join(head.select("gid", F.col("head").alias("a")), "gid").select("a", "b")
     inside = sets.select("gid", "cls").distinct().join(head.select("gid", "head"), "gid").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
@@ -292,10 +294,12 @@ def _components(sets: DataFrame, magnitude) -> DataFrame:
     apart = (F.col("a_lo") != F.col("b_lo")) | (F.col("a_lo") != F.col("a_hi")) | (F.col("b_lo") != F.col("b_hi"))
     reach = (F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1))
     asked = F.floor((3 * (F.col("a_n") + F.col("b_n")) + 6) / 7)  # the overlap that these two sizes need
+    more = F.floor(F.least("a_n", "b_n") / 50)  # so much longer prefixes share so many more shingles
     pairs = a.join(b, "token").where(
         (F.col("a_gid") != F.col("b_gid")) & (~F.col("minor") | (F.col("a_gid") < F.col("b_gid"))) & apart & _sized("a_n", "b_n")
-        & (F.col("a_pos") <= F.col("a_n") - asked) & (F.col("b_pos") <= F.col("b_n") - asked) & (reach >= asked))
-    pairs = pairs.select(F.least("a_gid", "b_gid").alias("g"), F.greatest("a_gid", "b_gid").alias("h")).distinct()
+        & (F.col("a_pos") <= F.col("a_n") - asked + more) & (F.col("b_pos") <= F.col("b_n") - asked + more) & (reach >= asked))
+    pairs = pairs.select(F.least("a_gid", "b_gid").alias("g"), F.greatest("a_gid", "b_gid").alias("h"), more.alias("more"))
+    pairs = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more")).where("k > more").select("g", "h")
     mixed = group.where("lo < hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     ma = member.select(F.col("gid").alias("g"), F.col("cls").alias("a"), F.col("comp").alias("ca"))
     mb = member.select(F.col("gid").alias("h"), F.col("cls").alias("b"), F.col("comp").alias("cb"))
