@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.graph import HOT_SHARE, cut, spread_join
+from hearth.llm.graph import HOT_SHARE, cut, fitting, spread_join
 
 DEPTH = 3
 MIN_TEXTS = 5
@@ -27,7 +27,7 @@ _BLANK = r"[\x20\x09-\x0D]+"
 
 
 def _tokens(line: Column) -> Column:
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(line)
     return F.filter(F.split(masked, _BLANK), lambda t: t != "")
 
 
@@ -49,8 +49,10 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
 
     leaves = (slim.where(F.col("n") >= MIN_TOKENS).select("leaf", "th", "tpl").distinct().groupBy("leaf")
               .agg(F.count_distinct("th").alias("texts"), F.count_distinct("tpl").alias("shapes")).where((F.col("texts") >= min_texts) & (F.col("shapes") > 1)))
-    leaves = cut(leaves.select("leaf", "texts"))
-    inside = cut(_lines(d).where(F.col("n") >= MIN_TOKENS).join(leaves, "leaf").select("th", "i", "leaf", "n", "texts", "tokens"))
+    leaves = fitting(cut(leaves.select("leaf", "texts")))
+    inside = cut(slim.where(F.col("n") >= MIN_TOKENS).join(leaves, "leaf").select("th", "i", "leaf", "n", "texts").distinct())
+    again = d.select("th", F.posexplode(F.split("text", "\n")).alias("i", "line")).join(fitting(inside, 48), ["th", "i"])
+    inside = cut(again.select("th", "i", "leaf", "n", "texts", _tokens(F.col("line")).alias("tokens")))
     at = inside.select("leaf", "texts", "th", F.posexplode("tokens").alias("p", "token")).distinct()
     constant = (at.groupBy("leaf", "texts", "p", "token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 2 > F.col("texts"))
                 .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("constant")))
