@@ -1,8 +1,9 @@
 """Licence scans by sentence rules.
 
-A text's sentences are normalised (lower case, everything but a-z and 0-9 as
-one space) and mapped to identifiers of known licence sentences. The sequence of
-a document's identifiers is then matched, left to right, against the ordered
+A text is normalised as a whole (lower case, everything but a-z and 0-9 as one
+space) and known licence sentences are found in it wherever they stand, across
+line ends and punctuation. The sequence of a document's sentence identifiers is
+then matched, left to right, against the ordered
 licence rules: the first rule whose identifiers come next names a licence and
 uses them up; an identifier that no rule takes is reported as unmatched.
 Everything happens within a document's row; nothing is shuffled.
@@ -18,7 +19,12 @@ from pyspark.sql import DataFrame
 
 Batches = Iterator[pa.RecordBatch]
 
-# Fixed values: (sentence identifier, pattern on the normalised sentence).
+# Words up to the next "either version", or a name, but not past another opening of the same notice.
+_TERMS = r"(?: (?!either version |redistribute it )[a-z0-9]++)*? either"
+_NAME = r"(?: (?!neither the name )[a-z0-9]++)*? may"
+_NC, _SA, _ND = r"(?:nc|non ?commercial)\b", r"(?:sa|share ?alike)\b", r"(?:nd|no ?deriv(?:ative)?s?)\b"
+
+# Fixed values: (sentence identifier, pattern on the normalised text).
 SENTENCES = (
     ("ApacheRef", r"licensed under (?:the )?apache licen[sc]e,? version 2(?: 0)?"),
     ("ApacheFile", r"you may not use this (?:file|work) except in compliance with the licen[sc]e"),
@@ -34,19 +40,19 @@ SENTENCES = (
     ("GplRef2", r"licensed under the gnu general public licen[sc]e version 2"),
     ("LgplRef3", r"licensed under the gnu lesser general public licen[sc]e version 3"),
     ("AgplRef3", r"licensed under the gnu affero general public licen[sc]e version 3"),
-    ("Gpl3Plus", r"redistribute it and or modify it under the terms of the gnu general public licen[sc]e .*either version 3 of the licen[sc]e or at your option any later version"),
-    ("Gpl2Plus", r"redistribute it and or modify it under the terms of the gnu general public licen[sc]e .*either version 2 of the licen[sc]e or at your option any later version"),
+    ("Gpl3Plus", rf"redistribute it and or modify it under the terms of the gnu general public licen[sc]e{_TERMS} version 3 of the licen[sc]e or at your option any later version"),
+    ("Gpl2Plus", rf"redistribute it and or modify it under the terms of the gnu general public licen[sc]e{_TERMS} version 2 of the licen[sc]e or at your option any later version"),
     ("GplNoWarranty", r"distributed in the hope that it will be useful but without any warranty"),
     ("GplCopy", r"you should have received a copy of the gnu general public licen[sc]e"),
     ("BsdGrant", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("BsdSource", r"redistributions of source code must retain the above copyright notice"),
     ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("BsdEndorse", r"neither the name of .* may be used to endorse or promote products"),
+    ("BsdEndorse", rf"neither the name of{_NAME} be used to endorse or promote products"),
     ("BsdAsIs", r"this software is provided by the copyright holders and contributors as is"),
     ("BsdLiable", r"in no event shall the copyright (?:holder|owner)s? or contributors be liable"),
-    ("CcByNcRef", r"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by nc|attribution noncommercial)(?: 4 0)?(?! (?:sa|nd))"),
-    ("CcBySaRef", r"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by sa|attribution sharealike)(?: 4 0)?"),
-    ("CcByRef", r"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by|attribution)(?: 4 0)?(?! (?:nc|sa|nd|non|share))"),
+    ("CcByNcRef", rf"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by|attribution) {_NC}(?: 4 0)?(?! (?:{_SA}|{_ND}))"),
+    ("CcBySaRef", rf"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by|attribution) {_SA}(?: 4 0)?"),
+    ("CcByRef", rf"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by|attribution)(?: 4 0)?(?! (?:{_NC}|{_SA}|{_ND}))"),
     ("Cc0Ref", r"(?:licensed|released) under (?:a )?(?:the )?(?:cc0|creative commons zero)"),
     ("MplRef2", r"subject to the terms of the mozilla public licen[sc]e v(?:ersion)? ?2 0"),
     ("AllRights", r"all rights reserved"),
@@ -72,23 +78,30 @@ RULES = (
     ("MPL-2.0", ("MplRef2",)),
 )
 
-_HINT = re.compile(r"licen[sc]e|permission|redistribut|warranty|liable|mozilla|neither the name|creative|rights|provided|useful", re.IGNORECASE)
-_END = re.compile(r"(?<=[.!?:;])\s+|\n\s*\n")
 _OTHER = re.compile(r"[^a-z0-9]+")
-_KNOWN = [(name, re.compile(rf"\b{p}\b")) for name, p in SENTENCES]
+
+
+def _literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of ``pattern`` (no choice outside of groups) contains."""
+    last = None
+    while last != pattern:
+        last, pattern = pattern, re.sub(r"\((?:[^()])*\)[?*+]*", "\n", pattern)
+    return max(re.sub(r"\\.|\[[^]]*\][?*+]*|.[?*]", "\n", pattern).split("\n"), key=len)
+
+
+_KNOWN = [(name, _literal(p), re.compile(rf"\b{p}\b")) for name, p in SENTENCES]
+# A word of every pattern's literal: a text with none of them holds no sentence.
+_HINTS = sorted({max(literal.split(), key=len) for _, literal, _ in _KNOWN})
 
 
 def sentence_ids(text: str) -> list[str]:
     """Identifiers of a whole text's licence sentences, in the order of the text."""
-    if not _HINT.search(text):
+    text = text.lower()
+    if not any(w in text for w in _HINTS):
         return []
-    out = []
-    for sentence in _END.split(text):
-        if _HINT.search(sentence):
-            norm = _OTHER.sub(" ", sentence.lower()).strip()
-            found = sorted((m.start(), i, name) for i, (name, p) in enumerate(_KNOWN) for m in p.finditer(norm))
-            out += [name for _, _, name in found]
-    return out
+    norm = _OTHER.sub(" ", text).strip()
+    found = sorted((m.start(), i, name) for i, (name, literal, p) in enumerate(_KNOWN) if literal in norm for m in p.finditer(norm))
+    return [name for _, _, name in found]
 
 
 def match_rules(ids: list[str]) -> tuple[list[str], list[str]]:

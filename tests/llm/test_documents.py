@@ -267,3 +267,23 @@ def test_license_scan_over_the_table(spark):
              "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
     for r in QUERIES["op10_license_scan"](spark, SF).collect():
         assert set(r.licenses.split(",")) - {""} == {x for line, x in lines.items() if line in texts[r.doc_id]}
+
+
+GPL = ("This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU {0}General Public License as published by\n"
+       " * the Free Software Foundation; either version {1} of the License, or\n * (at your option) any later version.\n *\n"
+       " * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY.\n"
+       " * You should have received a copy of the GNU {0}General Public License along\n * with this program. If not, see <https://www.gnu.org/licenses/>.")
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def test_license_notices_across_punctuation_and_lines():
+    from hearth.llm.license_scan import _HINTS, _KNOWN, match_rules, sentence_ids
+
+    want = {GPL.format("", 2): "GPL-2.0-or-later", GPL.format("", 3): "GPL-3.0-or-later", MPL: "MPL-2.0", "This data is released under CC0.": "CC0-1.0",
+            "Licensed under CC BY 4.0.\n\nShare this page.": "CC-BY-4.0", "Licensed under the\nApache License, Version 2.0": "Apache-2.0"}
+    for text, licence in want.items():
+        assert match_rules(sentence_ids(text)) == ([licence], [])
+    both = GPL.format("", 2) + " words " * 50 + GPL.format("", 3)
+    assert match_rules(sentence_ids(both)) == (["GPL-2.0-or-later", "GPL-3.0-or-later"], [])
+    assert sentence_ids("Neither the name of Foo Inc. nor its staff may be used to endorse or promote products") == ["BsdEndorse"]
+    assert all(literal and any(w in literal for w in _HINTS) for _, literal, _ in _KNOWN)
