@@ -5,8 +5,15 @@ depth: token count, then the leading ``DEPTH`` tokens; its leaves are hash keys.
 Within a leaf a token is constant at its position if more than half of the
 leaf's texts have it there. A line of which at least half of the tokens, and
 half of those after the leading ones, are constant belongs to the leaf's
-template with the other tokens generalised; any other line is a template of its
-own. Templates that recur in ``min_texts`` different texts are dropped.
+template with the other tokens generalised. The other lines are split into
+clusters by the most frequent token, with its position, that each has and that
+isn't constant, and the same is done in each cluster, until no such token is in
+``min_texts`` texts: a leaf yields as many templates as it has. A cluster has at
+most half of the texts of the one before, so the rounds are few. A line that
+fits nowhere is a template of its own. Templates that recur in ``min_texts``
+different texts are dropped.
+
+A line needs two tokens after the leading ones: of one, half is the whole line.
 
 Counts are of different texts, so exact copies of one document do not make its
 lines recur. All sums are grouped with map-side combination.
@@ -21,7 +28,6 @@ from hearth.llm.graph import HOT_SHARE, cut, fitting, spread_join
 
 DEPTH = 3
 MIN_TEXTS = 5
-MIN_TOKENS = 5  # shorter lines are templates only as they are
 FIELD = "<*>"
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -42,27 +48,53 @@ def _own(tokens: Column) -> Column:
     return F.xxhash64(F.lit("line"), tokens)
 
 
+def _templates(inside: DataFrame, depth: int, min_texts: int) -> DataFrame:
+    """``(th, i, wide)`` for the lines that belong to a generalised template; ``node`` is a line's cluster and ``texts`` counts its texts."""
+    found = None
+    while True:
+        at = inside.select("node", "texts", "th", F.posexplode("tokens").alias("p", "token")).distinct()
+        counts = cut(at.groupBy("node", "texts", "p", "token").agg(F.count(F.lit(1)).alias("k")).where((F.col("k") * 2 > F.col("texts")) | (F.col("k") >= min_texts)))
+        constant = cut(counts.where("k * 2 > texts").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("constant"),
+                                                                         F.sum(F.length("token") * 2 + 32).alias("bytes")))
+        constant = fitting(constant, size=F.col("bytes") + 32).select("node", "constant")
+        judged = (inside.join(constant, "node", "left")
+                  .withColumn("shape", F.transform("tokens", lambda t, p: F.when(F.try_element_at("constant", p) == t, t).otherwise(F.lit(FIELD))))
+                  .withColumn("same", F.aggregate(F.transform("tokens", lambda t, p: F.when(F.try_element_at("constant", p) == t, F.struct(
+                      F.lit(1).alias("a"), (p >= depth).cast("int").alias("b"))).otherwise(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))),
+                      F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), lambda x, y: F.struct((x.a + y.a).alias("a"), (x.b + y.b).alias("b"))))
+                  .withColumn("fits", (F.col("same.a") * 2 >= F.col("n")) & (F.col("same.b") * 2 >= F.col("n") - depth)))
+        judged = cut(judged.select("th", "i", "leaf", "node", "n", F.when(F.col("fits"), F.xxhash64(F.lit("leaf"), "leaf", "shape")).alias("wide"),
+                                   F.when(~F.col("fits"), F.col("tokens")).alias("tokens")))
+        fit = judged.where("wide IS NOT NULL").select("th", "i", "wide")
+        found = fit if found is None else found.unionByName(fit)
+
+        cell = F.xxhash64("node", "p", "token")
+        often = cut(counts.where("k * 2 <= texts").select(cell.alias("cell"), "k"))
+        if often.isEmpty():
+            return found
+        rest = judged.where("wide IS NULL")
+        fields = rest.select("th", "i", "node", F.posexplode("tokens").alias("p", "token")).select("th", "i", "p", cell.alias("cell"))
+        fields = spread_join(fields, often, "cell", F.col("k") * HOT_SHARE >= rest.count()).where("k IS NOT NULL")
+        best = cut(fields.groupBy("th", "i").agg(F.max(F.struct("k", (-F.col("p")).alias("p"), "cell")).alias("best")).select("th", "i", F.col("best.cell").alias("node")))
+        sizes = cut(best.select("node", "th").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts))
+        best = cut(best.join(fitting(sizes), "node"))
+        inside = cut(rest.drop("node").join(fitting(best, 48), ["th", "i"]).select("th", "i", "leaf", "node", "n", "texts", "tokens"))
+        if inside.isEmpty():
+            return found
+
+
 def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``(th, dropped)``: for each text hash the positions of its lines whose template recurs."""
     d = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").select(F.xxhash64("text").alias("th"), "text")
     slim = cut(_lines(d).select("th", "i", "n", "leaf", _own(F.col("tokens")).alias("tpl")))
 
-    leaves = (slim.where(F.col("n") >= MIN_TOKENS).select("leaf", "th", "tpl").distinct().groupBy("leaf")
+    leaves = (slim.where(F.col("n") >= depth + 2).select("leaf", "th", "tpl").distinct().groupBy("leaf")
               .agg(F.count_distinct("th").alias("texts"), F.count_distinct("tpl").alias("shapes")).where((F.col("texts") >= min_texts) & (F.col("shapes") > 1)))
     leaves = fitting(cut(leaves.select("leaf", "texts")))
-    inside = cut(slim.where(F.col("n") >= MIN_TOKENS).join(leaves, "leaf").select("th", "i", "leaf", "n", "texts").distinct())
+    inside = cut(slim.where(F.col("n") >= depth + 2).join(leaves, "leaf").select("th", "i", "leaf", "n", "texts").distinct())
     again = d.select("th", F.posexplode(F.split("text", "\n")).alias("i", "line")).join(fitting(inside, 48), ["th", "i"])
-    inside = cut(again.select("th", "i", "leaf", "n", "texts", _tokens(F.col("line")).alias("tokens")))
-    at = inside.select("leaf", "texts", "th", F.posexplode("tokens").alias("p", "token")).distinct()
-    constant = (at.groupBy("leaf", "texts", "p", "token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 2 > F.col("texts"))
-                .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("p", "token"))).alias("constant")))
-    general = (inside.join(constant, "leaf")
-               .withColumn("shape", F.transform("tokens", lambda t, p: F.when(F.try_element_at("constant", p) == t, t).otherwise(F.lit(FIELD))))
-               .withColumn("same", F.aggregate(F.transform("tokens", lambda t, p: F.when(F.try_element_at("constant", p) == t, F.struct(
-                   F.lit(1).alias("a"), (p >= depth).cast("int").alias("b"))).otherwise(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))),
-                   F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), lambda x, y: F.struct((x.a + y.a).alias("a"), (x.b + y.b).alias("b"))))
-               .where((F.col("same.a") * 2 >= F.col("n")) & (F.col("same.b") * 2 >= F.col("n") - depth))
-               .select("th", "i", F.xxhash64(F.lit("leaf"), "leaf", "shape").alias("wide")).distinct())
+    inside = cut(again.select("th", "i", "leaf", F.col("leaf").alias("node"), "n", "texts", _tokens(F.col("line")).alias("tokens")))
+    general = _templates(inside, depth, min_texts)
     lines = cut(slim.select("th", "i", "tpl").distinct().join(general, ["th", "i"], "left").select("th", "i", F.explode(F.filter(F.array("tpl", "wide"), lambda t: t.isNotNull())).alias("tpl")))
 
     total = lines.count()

@@ -287,3 +287,20 @@ def test_license_notices_across_punctuation_and_lines():
     assert match_rules(sentence_ids(both)) == (["GPL-2.0-or-later", "GPL-3.0-or-later"], [])
     assert sentence_ids("Neither the name of Foo Inc. nor its staff may be used to endorse or promote products") == ["BsdEndorse"]
     assert all(literal and any(w in literal for w in _HINTS) for _, literal, _ in _KNOWN)
+
+
+def test_line_dedup_with_several_templates_in_a_leaf(spark):
+    from hearth.llm.line_dedup import drop_recurring_lines
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    say = lambda n: " ".join(word() for _ in range(n))
+    first = [f"this is a note that {word()} has joined our {word()} channel again" for _ in range(30)]
+    second = [f"this is a list of every {word()} which they {word()} sold yesterday" for _ in range(30)]
+    third = [f"this is a {word()} for members only so {word()} must wait outside" for _ in range(12)]
+    other = [f"this is a {say(9)}" for _ in range(90)]
+    rows = [(k, f"{x}\n{say(6)}") for k, x in enumerate(first + second + third + other)]
+    out = {x.doc_id: x for x in drop_recurring_lines(spark.createDataFrame(rows, "doc_id int, text string").repartition(3)).collect()}
+    for k, text in rows:
+        gone = k < 72
+        assert (out[k].n_lines, out[k].n_dropped, out[k].kept_text) == (2, int(gone), text.split("\n")[1] if gone else text)
