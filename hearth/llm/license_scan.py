@@ -5,12 +5,17 @@ space) and known licence sentences are found in it wherever they stand, across
 line ends and punctuation. The sequence of a document's sentence identifiers is
 then matched, left to right, against the ordered
 licence rules: the first rule whose identifiers come next names a licence and
-uses them up; an identifier that no rule takes is reported as unmatched.
+uses them up; an identifier that no rule takes is reported as unmatched. Where a
+sentence states a version, the identifier and the licence carry it, and only there.
+The tables are in ``licenses.json``: references (patterns that follow "licensed
+under" and the like), sentences, and rules.
 Everything happens within a document's row; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -19,65 +24,12 @@ from pyspark.sql import DataFrame
 
 Batches = Iterator[pa.RecordBatch]
 
-# Words up to the next "either version", or a name, but not past another opening of the same notice.
-_TERMS = r"(?: (?!either version |redistribute it )[a-z0-9]++)*? either"
-_NAME = r"(?: (?!neither the name )[a-z0-9]++)*? may"
-_NC, _SA, _ND = r"(?:nc|non ?commercial)\b", r"(?:sa|share ?alike)\b", r"(?:nd|no ?deriv(?:ative)?s?)\b"
-
-# Fixed values: (sentence identifier, pattern on the normalised text).
-SENTENCES = (
-    ("ApacheRef", r"licensed under (?:the )?apache licen[sc]e,? version 2(?: 0)?"),
-    ("ApacheFile", r"you may not use this (?:file|work) except in compliance with the licen[sc]e"),
-    ("ApacheCopy", r"you may obtain a copy of the licen[sc]e at"),
-    ("ApacheAsIs", r"distributed under the licen[sc]e is distributed on an as is basis"),
-    ("ApacheLimits", r"see the licen[sc]e for the specific language governing permissions"),
-    ("MitRef", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit licen[sc]e"),
-    ("MitGrant", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("MitNotice", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("MitAsIs", r"the software is provided as is without warranty of any kind"),
-    ("MitLiable", r"in no event shall the authors or copyright holders be liable"),
-    ("GplRef3", r"licensed under the gnu general public licen[sc]e version 3"),
-    ("GplRef2", r"licensed under the gnu general public licen[sc]e version 2"),
-    ("LgplRef3", r"licensed under the gnu lesser general public licen[sc]e version 3"),
-    ("AgplRef3", r"licensed under the gnu affero general public licen[sc]e version 3"),
-    ("Gpl3Plus", rf"redistribute it and or modify it under the terms of the gnu general public licen[sc]e{_TERMS} version 3 of the licen[sc]e or at your option any later version"),
-    ("Gpl2Plus", rf"redistribute it and or modify it under the terms of the gnu general public licen[sc]e{_TERMS} version 2 of the licen[sc]e or at your option any later version"),
-    ("GplNoWarranty", r"distributed in the hope that it will be useful but without any warranty"),
-    ("GplCopy", r"you should have received a copy of the gnu general public licen[sc]e"),
-    ("BsdGrant", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("BsdSource", r"redistributions of source code must retain the above copyright notice"),
-    ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("BsdEndorse", rf"neither the name of{_NAME} be used to endorse or promote products"),
-    ("BsdAsIs", r"this software is provided by the copyright holders and contributors as is"),
-    ("BsdLiable", r"in no event shall the copyright (?:holder|owner)s? or contributors be liable"),
-    ("CcByNcRef", rf"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by|attribution) {_NC}(?: 4 0)?(?! (?:{_SA}|{_ND}))"),
-    ("CcBySaRef", rf"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by|attribution) {_SA}(?: 4 0)?"),
-    ("CcByRef", rf"licensed under (?:a )?(?:the )?(?:cc|creative commons) (?:by|attribution)(?: 4 0)?(?! (?:{_NC}|{_SA}|{_ND}))"),
-    ("Cc0Ref", r"(?:licensed|released) under (?:a )?(?:the )?(?:cc0|creative commons zero)"),
-    ("MplRef2", r"subject to the terms of the mozilla public licen[sc]e v(?:ersion)? ?2 0"),
-    ("AllRights", r"all rights reserved"),
-)
-# Fixed values: (licence, its sentence identifiers in order; "?" marks one that may be missing). Earlier rules win.
-RULES = (
-    ("Apache-2.0", ("ApacheRef", "ApacheFile", "ApacheCopy?", "ApacheAsIs?", "ApacheLimits?")),
-    ("Apache-2.0", ("ApacheRef",)),
-    ("MIT", ("MitGrant", "MitNotice", "MitAsIs", "MitLiable?")),
-    ("MIT", ("MitRef",)),
-    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs", "BsdLiable?")),
-    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs", "BsdLiable?")),
-    ("GPL-3.0-or-later", ("Gpl3Plus", "GplNoWarranty?", "GplCopy?")),
-    ("GPL-2.0-or-later", ("Gpl2Plus", "GplNoWarranty?", "GplCopy?")),
-    ("GPL-3.0", ("GplRef3",)),
-    ("GPL-2.0", ("GplRef2",)),
-    ("LGPL-3.0", ("LgplRef3",)),
-    ("AGPL-3.0", ("AgplRef3",)),
-    ("CC-BY-NC-4.0", ("CcByNcRef",)),
-    ("CC-BY-SA-4.0", ("CcBySaRef",)),
-    ("CC-BY-4.0", ("CcByRef",)),
-    ("CC0-1.0", ("Cc0Ref",)),
-    ("MPL-2.0", ("MplRef2",)),
-)
+_TABLES = json.loads(pkgutil.get_data(__package__, "licenses.json"))
+# (licence, its sentence identifiers in order; "?" marks one that may be missing). Earlier rules win.
+RULES = [(licence, tuple(rule)) for licence, rule in _TABLES["rules"]]
 
+_UNDER = re.compile(r" under (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?")
+_VERBS = ("licensed", "licenced", "released", "distributed", "available", "published")
 _OTHER = re.compile(r"[^a-z0-9]+")
 
 
@@ -89,9 +41,19 @@ def _literal(pattern: str) -> str:
     return max(re.sub(r"\\.|\[[^]]*\][?*+]*|.[?*]", "\n", pattern).split("\n"), key=len)
 
 
-_KNOWN = [(name, _literal(p), re.compile(rf"\b{p}\b")) for name, p in SENTENCES]
+_KNOWN = [(name, _literal(p), re.compile(rf"\b{p}\b")) for name, p in _TABLES["sentences"]]
+_NAMED = [(name, re.compile(rf"{p}\b")) for name, p in _TABLES["references"]]
 # A word of every pattern's literal: a text with none of them holds no sentence.
-_HINTS = sorted({max(literal.split(), key=len) for _, literal, _ in _KNOWN})
+_HINTS = sorted({*_VERBS} | {max(literal.split(), key=len) for _, literal, _ in _KNOWN})
+
+
+def _stated(name: str, m: re.Match) -> str:
+    """The identifier with the version that the match states: ``GplRef:3.0``, ``GplRef:3.0-or-later``."""
+    said = m.groupdict()
+    version = (said.get("v") or said.get("w") or "").replace(" ", ".")
+    if not version:
+        return name
+    return f"{name}:{version}{'' if '.' in version else '.0'}{'-or-later' if said.get('plus') else ''}"
 
 
 def sentence_ids(text: str) -> list[str]:
@@ -100,8 +62,11 @@ def sentence_ids(text: str) -> list[str]:
     if not any(w in text for w in _HINTS):
         return []
     norm = _OTHER.sub(" ", text).strip()
-    found = sorted((m.start(), i, name) for i, (name, literal, p) in enumerate(_KNOWN) if literal in norm for m in p.finditer(norm))
-    return [name for _, _, name in found]
+    found = [(m.start(), i, _stated(name, m)) for i, (name, literal, p) in enumerate(_KNOWN) if literal in norm for m in p.finditer(norm)]
+    for under in _UNDER.finditer(norm):
+        if norm.endswith(_VERBS, 0, under.start()):
+            found += [(under.start(), len(_KNOWN) + i, _stated(name, m)) for i, (name, p) in enumerate(_NAMED) if (m := p.match(norm, under.end()))]
+    return [name for _, _, name in sorted(found)]
 
 
 def match_rules(ids: list[str]) -> tuple[list[str], list[str]]:
@@ -112,13 +77,14 @@ def match_rules(ids: list[str]) -> tuple[list[str], list[str]]:
             at = i
             for part in rule:
                 name = part.removesuffix("?")
-                if at < len(ids) and ids[at] == name:
+                if at < len(ids) and ids[at].partition(":")[0] == name:
                     at += 1
                 elif name == part:
                     at = -1
                     break
             if at > i:
-                licences.append(licence)
+                version = next((v for x in ids[i:at] if (v := x.partition(":")[2])), "")
+                licences.append(licence.replace("{v}", version and f"-{version}"))
                 i = at
                 break
         else:

@@ -304,3 +304,29 @@ def test_line_dedup_with_several_templates_in_a_leaf(spark):
     for k, text in rows:
         gone = k < 72
         assert (out[k].n_lines, out[k].n_dropped, out[k].kept_text) == (2, int(gone), text.split("\n")[1] if gone else text)
+
+
+def test_license_names_and_versions():
+    from hearth.llm.license_scan import match_rules, sentence_ids
+
+    isc = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{} "
+           'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE')
+    zlib_ = ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages.\n"
+             "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to:\n"
+             "1. The origin of this software must not be misrepresented;\n2. Altered source versions must be plainly marked as such.\n3. This notice may not be removed or altered from any source distribution.")
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted. 1. Redistributions of source code must retain the above copyright notice. "
+           "2. Redistributions in binary form must reproduce the above copyright notice. 3. Neither the name of the University nor the names of its contributors\nmay be used to endorse or promote products. "
+           "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS''. IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT")
+    want = {isc.format(", provided that the above copyright notice and this permission notice appear in all copies."): "ISC", isc.format("."): "0BSD", zlib_: "Zlib", bsd: "BSD-3-Clause",
+            'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND': "Unlicense",
+            GPL.format("Lesser ", 2.1): "LGPL-2.1-or-later", GPL.format("Affero ", 3): "AGPL-3.0-or-later", GPL.format("", 2): "GPL-2.0-or-later",
+            "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0": "EPL-2.0",
+            "Licensed under GPL v3.": "GPL-3.0", "Released under the GPLv2 or later.": "GPL-2.0-or-later", "Licensed under the GNU GPL.": "GPL",
+            "Distributed under version 2 of the GNU General Public License.": "GPL-2.0", "Licensed under CC BY-SA 3.0": "CC-BY-SA-3.0", "licensed under CC BY-SA": "CC-BY-SA",
+            "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "GPL-2.0",
+            "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0", "Licensed under CC BY-ND 2.5": "CC-BY-ND-2.5",
+            "Licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0", "Licensed under the Apache License, Version 1.1": "Apache-1.1", "Released under the 3-clause BSD license": "BSD-3-Clause", MPL: "MPL-2.0"}
+    for text, licence in want.items():
+        assert match_rules(sentence_ids(text)) == ([licence], []), text
+    assert sentence_ids("In no event shall the copyright owner or contributors be liable.") == ["BsdLiable"]
+    assert sentence_ids("The ship came under the Apache hills and was distributed under a tree.") == []
