@@ -10,8 +10,10 @@ clusters by the most frequent token, with its position, that each has and that
 isn't constant, and the same is done in each cluster, until no such token is in
 ``min_texts`` texts: a leaf yields as many templates as it has. A cluster has at
 most half of the texts of the one before, so the rounds are few. A line that
-fits nowhere is a template of its own. Templates that recur in ``min_texts``
-different texts are dropped.
+fits nowhere is a template of its own. Templates with a variable field that recur
+in ``min_texts`` different texts are dropped, and lines that recur as they are in
+``literal_texts``. Two texts are recurrence; a generalised template needs more
+because unrelated lines can share one by chance.
 
 A line needs two tokens after the leading ones: of one, half is the whole line.
 
@@ -28,6 +30,7 @@ from hearth.llm.graph import HOT_SHARE, cut, fitting, spread_join
 
 DEPTH = 3
 MIN_TEXTS = 5
+LITERAL_TEXTS = 2
 FIELD = "<*>"
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -38,10 +41,10 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(th, i, tokens, n, leaf) for every line with a token; ``th`` names the text, ``i`` counts lines from 0."""
+    """(th, i, line, tokens, n, leaf) for every line with a token; ``th`` names the text, ``i`` counts lines from 0."""
     rows = docs.select("th", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("tokens", _tokens(F.col("line")))
     return rows.withColumn("n", F.size("tokens")).where("n > 0").withColumn(
-        "leaf", F.xxhash64("n", F.slice("tokens", 1, DEPTH))).select("th", "i", "tokens", "n", "leaf")
+        "leaf", F.xxhash64("n", F.slice("tokens", 1, DEPTH))).select("th", "i", "line", "tokens", "n", "leaf")
 
 
 def _own(tokens: Column) -> Column:
@@ -83,10 +86,12 @@ def _templates(inside: DataFrame, depth: int, min_texts: int) -> DataFrame:
             return found
 
 
-def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """``(th, dropped)``: for each text hash the positions of its lines whose template recurs."""
+def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS, literal_texts: int | None = None) -> DataFrame:
+    """``(th, dropped)``: for each text hash the positions of its lines whose template recurs; ``literal_texts`` is ``min_texts`` if not given."""
+    literal_texts = min_texts if literal_texts is None else literal_texts
     d = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").select(F.xxhash64("text").alias("th"), "text")
-    slim = cut(_lines(d).select("th", "i", "n", "leaf", _own(F.col("tokens")).alias("tpl")))
+    slim = cut(_lines(d).select("th", "i", "n", "leaf", _own(F.col("tokens")).alias("tpl"),
+                                F.when(F.col("line").rlike("[0-9]"), F.xxhash64(F.lit("literal"), F.filter(F.split("line", _BLANK), lambda t: t != ""))).alias("literal")))
 
     leaves = (slim.where(F.col("n") >= depth + 2).select("leaf", "th", "tpl").distinct().groupBy("leaf")
               .agg(F.count_distinct("th").alias("texts"), F.count_distinct("tpl").alias("shapes")).where((F.col("texts") >= min_texts) & (F.col("shapes") > 1)))
@@ -95,15 +100,19 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     again = d.select("th", F.posexplode(F.split("text", "\n")).alias("i", "line")).join(fitting(inside, 48), ["th", "i"])
     inside = cut(again.select("th", "i", "leaf", F.col("leaf").alias("node"), "n", "texts", _tokens(F.col("line")).alias("tokens")))
     general = _templates(inside, depth, min_texts)
-    lines = cut(slim.select("th", "i", "tpl").distinct().join(general, ["th", "i"], "left").select("th", "i", F.explode(F.filter(F.array("tpl", "wide"), lambda t: t.isNotNull())).alias("tpl")))
+    need = lambda tpl, texts: F.struct(tpl.alias("tpl"), texts.cast("int").alias("need"))
+    own = need(F.col("tpl"), F.when(F.col("literal").isNull(), F.lit(literal_texts)).otherwise(F.lit(min_texts)))
+    every = F.array(own, need(F.col("literal"), F.lit(literal_texts)), need(F.col("wide"), F.lit(min_texts)))
+    lines = cut(slim.select("th", "i", "tpl", "literal").distinct().join(general, ["th", "i"], "left").select("th", "i", F.explode(F.filter(every, lambda t: t.tpl.isNotNull())).alias("of"))
+                .select("th", "i", "of.tpl", "of.need"))
 
     total = lines.count()
-    known = cut(lines.select("tpl", "th").distinct().groupBy("tpl").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts))
-    gone = spread_join(lines, known, "tpl", F.col("texts") * HOT_SHARE >= total).where("texts IS NOT NULL")
+    known = cut(lines.select("tpl", "need", "th").distinct().groupBy("tpl", "need").agg(F.count(F.lit(1)).alias("texts")).where("texts >= need").select("tpl", "texts"))
+    gone = spread_join(lines.drop("need"), known, "tpl", F.col("texts") * HOT_SHARE >= total).where("texts IS NOT NULL")
     return gone.groupBy("th").agg(F.collect_set("i").alias("dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS, literal_texts: int | None = None) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Lines are what ``\\n`` separates; lines without a token always stay. A null
@@ -111,7 +120,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = D
     Repeated rows get equal results. Columns named like the new ones are
     replaced. Whole texts are read; no line or document is too long.
     """
-    gone = cut(recurring_lines(docs, text_col, depth, min_texts))
+    gone = cut(recurring_lines(docs, text_col, depth, min_texts, literal_texts))
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     sizes = docs.select(F.xxhash64(F.col(text_col)).alias("th")).groupBy("th").agg(F.count(F.lit(1)).alias("rows"))

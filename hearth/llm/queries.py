@@ -13,7 +13,7 @@ from hearth.llm.embedding_dedup import embedding_near_duplicates
 from hearth.llm.exact_dedup import LOWER, UPPER, exact_groups
 from hearth.llm.langid import fit_profiles, identify_language
 from hearth.llm.license_scan import scan_licenses
-from hearth.llm.line_dedup import drop_recurring_lines
+from hearth.llm.line_dedup import LITERAL_TEXTS, drop_recurring_lines
 from hearth.llm.mixing import mix_sources
 from hearth.llm.ngram_join import ngram_jaccard_components
 from hearth.llm.substring_dedup import remove_repeated_windows
@@ -136,8 +136,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines whose template recurs in five texts or more."""
-    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without the lines that recur in two texts or more, or whose generalised template recurs in five."""
+    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), literal_texts=LITERAL_TEXTS)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

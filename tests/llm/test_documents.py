@@ -330,3 +330,12 @@ def test_license_names_and_versions():
         assert match_rules(sentence_ids(text)) == ([licence], []), text
     assert sentence_ids("In no event shall the copyright owner or contributors be liable.") == ["BsdLiable"]
     assert sentence_ids("The ship came under the Apache hills and was distributed under a tree.") == []
+
+
+def test_line_dedup_of_literal_lines(spark):
+    from hearth.llm.line_dedup import LITERAL_TEXTS, drop_recurring_lines
+
+    rows = [(1, "shared line\nown one"), (2, "shared line\nown two"), (3, "call 555 now\nown three"), (4, "call 555 now\nown four"), (5, "call 556 now\nown five"), (6, "copied\nwhole"), (7, "copied\nwhole")]
+    d = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    dropped = {x.doc_id: x.n_dropped for x in drop_recurring_lines(d, literal_texts=LITERAL_TEXTS).collect()}
+    assert dropped == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
