@@ -26,11 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearth.llm import graph
 from hearth.llm.graph import HOT_SHARE, cut, fitting, spread_join
 
 DEPTH = 3
 MIN_TEXTS = 5
 LITERAL_TEXTS = 2
+SALTS = 64
 FIELD = "<*>"
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -112,6 +114,22 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     return gone.groupBy("th").agg(F.collect_set("i").alias("dropped"))
 
 
+def _labelled(rows: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
+    """Left join of ``rows`` to ``label`` (th, dropped, rows), which is broadcast only if its line numbers fit.
+
+    Otherwise both are shuffled. A hot text's rows are dealt over ``SALTS``
+    parts, each with its copy of the label; only the names of hot texts,
+    ``HOT_SHARE`` at most, are broadcast.
+    """
+    held = label.agg(F.sum(F.size("dropped").cast("long") * 4 + 32)).first()[0] or 0
+    if held <= graph.BROADCAST_BYTES:
+        return rows.join(F.broadcast(label), "th", "left")
+    hot = F.broadcast(label.where(F.col("rows") * HOT_SHARE >= docs.count()).select("th", F.lit(SALTS).alias("salts")))
+    rows = rows.join(hot, "th", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.monotonically_increasing_id() % SALTS).cast("int"))
+    label = label.join(hot, "th", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return rows.drop("salts").join(label.hint("merge"), ["th", "salt"], "left")
+
+
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_texts: int = MIN_TEXTS, literal_texts: int | None = None) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
@@ -125,7 +143,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = D
     rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     sizes = docs.select(F.xxhash64(F.col(text_col)).alias("th")).groupBy("th").agg(F.count(F.lit(1)).alias("rows"))
     label = cut(gone.join(sizes, "th"))
-    out = spread_join(rows, label, "th", F.col("rows") * HOT_SHARE >= docs.count())
+    out = _labelled(rows, label, docs)
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("dropped", i), F.lit(False))), "\n")
     return out.select("row.*", F.when(F.col("text").isNotNull(), kept).alias("kept_text"),

@@ -339,3 +339,17 @@ def test_line_dedup_of_literal_lines(spark):
     d = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
     dropped = {x.doc_id: x.n_dropped for x in drop_recurring_lines(d, literal_texts=LITERAL_TEXTS).collect()}
     assert dropped == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
+
+
+def test_line_dedup_never_broadcasts_line_numbers_beyond_the_bound(spark, monkeypatch):
+    from hearth.llm import graph
+    from hearth.llm.line_dedup import drop_recurring_lines
+
+    seen, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: seen.append(df.columns) or broadcast(df))
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 1000)
+    same_lines = "\n".join(f"{a}{b} line" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop")
+    rows = [(k, f"{same_lines}\nown {'xyz'[k % 3]}") for k in range(9)] + [(9, None), (10, "lonely")]
+    out = {x.doc_id: x for x in drop_recurring_lines(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), literal_texts=2).collect()}
+    assert [out[k].n_dropped for k in range(11)] == [256] * 9 + [0, 0] and out[4].kept_text == "own y" and out[10].kept_text == "lonely"
+    assert len(out) == 11 and seen and not any("dropped" in c for c in seen)
