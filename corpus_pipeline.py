@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hearth.llm.bpe import bpe_decode, bpe_encode
 from hearth.llm.exact_dedup import drop_exact_copies
+from hearth.llm.graph import cut
 from hearth.llm.langid import UNKNOWN, fit_profiles, identify_language
 from hearth.llm.mixing import mixed_documents
 from hearth.llm.ngram_join import ngram_jaccard_components
@@ -34,12 +35,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate component stays, the one with the smallest doc_id.
+    """One row of every near-duplicate component stays, the one with the smallest doc_id (a null one only if there is no other).
 
-    Rows that share a doc_id are one document: it goes if none of them is the smallest of its component.
+    Rows are told apart by a key of their own, so null and shared ids are decided like any others.
     """
-    gone = ngram_jaccard_components(docs).groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    keyed = cut(docs.withColumn("_row_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))))
+    gone = ngram_jaccard_components(keyed, id_col="_row_key").where(F.col("component_id") != F.col("_row_key")).select("_row_key")
+    return keyed.join(gone, "_row_key", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

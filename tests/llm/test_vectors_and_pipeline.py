@@ -111,3 +111,14 @@ def test_registration():
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    say = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
+    near = lambda w: [say(w, 60), say(w, 60) + " x", say(w, 60) + " y"]
+    rows = [(None, t) for t in near("a")] + [(7, t) for t in near("b")] + [(9, near("c")[0]), (None, near("c")[1]), (3, near("c")[2])] + [(None, None), (11, "alone here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, docs, SF).collect()]
+    assert sorted(i for i, _ in out if i is not None) == [3, 7, 11]
+    assert sorted(t is None for i, t in out if i is None) == [False, True] and [t for i, t in out if i is None and t][0] in near("a")
