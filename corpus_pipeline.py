@@ -23,8 +23,13 @@ from hearth.session import ensure_checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; profiles are learned on those not held out."""
+    """Documents without a recognisable language go; profiles are learned on those not held out.
+
+    If no language could be learned there, nothing can be judged and every document stays.
+    """
     profiles = fit_profiles(docs.where(~held_out()))
+    if not profiles:
+        return docs
     found = identify_language(docs, profiles)
     return found.where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
 

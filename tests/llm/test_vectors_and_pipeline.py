@@ -122,3 +122,9 @@ def test_near_duplicates_with_null_and_shared_ids(spark):
     out = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, docs, SF).collect()]
     assert sorted(i for i, _ in out if i is not None) == [3, 7, 11]
     assert sorted(t is None for i, t in out if i is None) == [False, True] and [t for i, t in out if i is None and t][0] in near("a")
+
+
+def test_language_stage_without_any_language_keeps_documents(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(k, f"some words {k}", None, "s", 9) for k in range(12)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert corpus_pipeline.language_id(spark, docs, SF).count() == 12
