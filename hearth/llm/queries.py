@@ -18,6 +18,9 @@ from hearth.llm.mixing import mix_sources
 from hearth.llm.ngram_join import ngram_jaccard_components
 from hearth.llm.substring_dedup import remove_repeated_windows
 from hearth.llm.token_counts import count_tokens
+from hearth.llm.vector_codes import books_sha256, encode_vectors, with_label_errors
+from hearth.llm.whitening import whiten
+from hearth.llm.word_bpe import word_bpe_decode, word_bpe_encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -166,3 +169,45 @@ FROM w LEFT JOIN r ON r.doc_id = w.doc_id""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 20-word windows that also start earlier."""
     return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first 16 whitened components of their distinct integer vectors."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_word_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text to word-level BPE ids and back; digests of both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    back = word_bpe_decode(word_bpe_encode(docs, path).select("doc_id", "n_tokens", "ids"), path)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of the codebooks, written out one after the other."""
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, x[part * (len(x) // {parts}) + 1:(part + 1) * (len(x) // {parts})] AS s FROM v, range({parts}) AS r(part)),
+k0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, s FROM p QUALIFY entry < {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT vec_id, label, part, entry, p.s, CAST(list_sum(list_transform(range(1, len(p.s) + 1), lambda j: (p.s[j] - k.s[j]) * (p.s[j] - k.s[j]))) AS BIGINT) AS d
+  FROM p JOIN k{i} k USING (part)),
+a{i} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, part, min(s) AS s, min((d, entry))[1] AS d, min((d, entry))[2] AS entry FROM d{i} GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT part, entry, j, sum(s[j]) AS t, count(*) AS n FROM a{i}, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS j) GROUP BY part, entry, j),
+k{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(any_value(q.s), any_value(k.s)) AS s FROM k{i} k
+  LEFT JOIN (SELECT part, entry, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY j) AS s FROM m{i} GROUP BY part, entry) q USING (part, entry) GROUP BY part, entry)""")
+    return f"""WITH {", ".join(steps)},
+c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM k{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h"""
+
+
+@query("op13_vector_codes", codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of 8 parts over codebooks of 16 entries, after 6 rounds."""
+    coded, books = encode_vectors(table(spark, sf_dir, "embeddings"))
+    return with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
