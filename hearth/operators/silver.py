@@ -2,8 +2,9 @@
 (A1, W1, W2, J2) and the postal-centroid join (J3).
 
 Per-group statistics (zip counts, house-type price quantiles, quarterly
-inflation medians) are aggregated first and joined back, so no group is ever
-buffered by a window over the fact table.
+inflation medians) are aggregated first, written, measured and joined back by
+broadcast if they fit, so no group is ever buffered by a window over the fact
+table and the fact isn't shuffled for them.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from hearth.config import EngineConfig
 from hearth.functions.quantile import group_quantiles
 from hearth.functions.scalar import all_false_if_null
+from hearth.sources.scratch import attach
 
 FLAG_PREFIX = "is_"
+FLAGS = ("is_pre_1995_record", "is_family_sale", "is_unclassified_sale", "is_missing_sqm", "is_missing_year_build",
+         "is_low_sample_cell", "is_outlier_price")
 
 
 def add_quality_flags(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -31,12 +35,12 @@ def add_quality_flags(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> Data
     # zip cell size over the whole history: aggregate, then join back
     zc = (df.where(F.col("zip_code").isNotNull()).groupBy("zip_code")
           .agg(F.count(F.lit(1)).alias("_zip_n")))
-    out = out.join(zc, "zip_code", "left").withColumn(
+    out = attach(out, zc, "zip_code").withColumn(
         "is_low_sample_cell", all_false_if_null(F.col("_zip_n") < cfg.low_sample_threshold)).drop("_zip_n")
     lo_p, hi_p = cfg.outlier_quantiles
     pq = group_quantiles(df.where(F.col("house_type").isNotNull()), ["house_type"], "purchase_price",
                          [lo_p, hi_p], ["_p_lo", "_p_hi"], cfg.quantile_mode)
-    out = out.join(pq, "house_type", "left")
+    out = attach(out, pq, "house_type")
     price = F.col("purchase_price")
     out = out.withColumn("is_outlier_price", all_false_if_null((price < F.col("_p_lo")) | (price > F.col("_p_hi"))))
     return out.drop("_p_lo", "_p_hi")
@@ -86,14 +90,18 @@ def deflate(df: DataFrame, cpi: DataFrame, base_year: int) -> DataFrame:
     }).drop("_deflator")
 
 
+def one_centroid_per_zip(centroids: DataFrame) -> DataFrame:
+    """The centroid of each zip code, of several the one with the first municipality name (none comes last)."""
+    return (centroids.where(F.col("zip_code").isNotNull())
+            .groupBy("zip_code")
+            .agg(F.min(F.struct(F.col("municipality_name").isNull(), "municipality_name", "lat", "lon")).alias("_g"))
+            .select("zip_code", "_g.lat", "_g.lon", "_g.municipality_name"))
+
+
 def join_postal_centroids(df: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Left join on zip_code; one centroid row per zip first, so sales rows
-    cannot multiply. ``geo_join_status`` = matched / unmatched by lat."""
-    dim = (centroids.where(F.col("zip_code").isNotNull())
-           .groupBy("zip_code")
-           .agg(F.min_by(F.struct("lat", "lon", "municipality_name"), F.col("municipality_name")).alias("_g"))
-           .select("zip_code", "_g.lat", "_g.lon", "_g.municipality_name"))
-    out = df.join(dim, "zip_code", "left")
+    """Left join of one centroid row per zip (``one_centroid_per_zip``); ``geo_join_status`` = matched / unmatched by
+    lat. A table with repeated zips multiplies sales; writing the result with its expected rows fails then."""
+    out = attach(df, centroids, "zip_code")
     return out.withColumn("geo_join_status", F.when(F.col("lat").isNull(), "unmatched").otherwise("matched"))
 
 
@@ -101,7 +109,7 @@ def silver(bronze_df: DataFrame, cfg: EngineConfig = EngineConfig(), centroids:
     out = add_quality_flags(bronze_df, cfg)
     out = deflate(out, cpi_chain(bronze_df, cfg), cfg.cpi_base_year)
     if centroids is not None:
-        out = join_postal_centroids(out, centroids)
+        out = join_postal_centroids(out, one_centroid_per_zip(centroids))
     return out
 
 

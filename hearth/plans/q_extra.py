@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from hearth.config import DRIVER_CONFIG as CFG
 from hearth.operators import features as X
-from hearth.operators import gold, report
-from hearth.operators.silver import complete_cases, join_postal_centroids, report_flags
-from hearth.plans.layers import _root, bronze_table, silver_table
+from hearth.operators import gold, report, stl
+from hearth.operators.silver import FLAGS, complete_cases, join_postal_centroids, one_centroid_per_zip, report_flags
+from hearth.plans.layers import _root, bronze_table, figures, price_index_table, silver_table
+from hearth.plans.q_medallion import DRAWDOWN_SQL_CTES, ELASTICITY_SQL_CTES
 from hearth.plans.registry import register
 from hearth.plans.sql import with_ctes, with_layers
 from hearth.sources import io
@@ -51,53 +52,118 @@ def _landed_postal_json(spark, sf_dir) -> str:
     return path
 
 
-@register("postal_geo_join", ("S4", "J3"), with_ctes("""
+CENTROIDS_SQL = """
 cz AS (SELECT CAST(c.c_custkey % 1000 AS VARCHAR) AS nr, min(c.c_acctbal) AS lo, max(c.c_acctbal) AS hi
        FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1),
 cent AS (SELECT CASE WHEN length(nr) < 4 THEN lpad(nr, 4, '0') ELSE nr END AS zip_code,
-                CAST(lo / 100.0 AS FLOAT) AS lon, CAST(hi / 100.0 AS FLOAT) AS lat FROM cz)""",
-    """SELECT CASE WHEN c.lat IS NULL THEN 'unmatched' ELSE 'matched' END AS geo_join_status, count(*) AS n,
+                CAST(lo / 100.0 AS FLOAT) AS lon, CAST(hi / 100.0 AS FLOAT) AS lat FROM cz)"""
+
+
+@register("postal_geo_join", ("S4", "J3"), with_ctes(CENTROIDS_SQL, """SELECT CASE WHEN c.lat IS NULL THEN 'unmatched' ELSE 'matched' END AS geo_join_status, count(*) AS n,
        round(CAST(avg(c.lat) AS DOUBLE), 2) AS mean_lat, round(CAST(avg(c.lon) AS DOUBLE), 2) AS mean_lon
 FROM silver s LEFT JOIN cent c ON s.zip_code = c.zip_code GROUP BY 1"""))
 def postal_geo_join(spark, sf_dir):
     """S4 + J3: parse the landed postal JSON and left-join the centroids on zip code; coverage."""
     cent = io.postal_centroids(spark, _landed_postal_json(spark, sf_dir))
-    g = join_postal_centroids(silver_table(spark, sf_dir, CFG), cent)
+    g = join_postal_centroids(silver_table(spark, sf_dir, CFG), one_centroid_per_zip(cent))
     return g.groupBy("geo_join_status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("lat").cast("double")), 2).alias("mean_lat"),
                                             F.round(F.avg(F.col("lon").cast("double")), 2).alias("mean_lon"))
 
 
-@register("layer_manifests", ("S6", "S7", "S8", "S10", "S11", "S12", "J11"))
+SILVER_CAVEATS = ("inflation is an annual rate given per quarter; the index compounds (1 + r)^0.25 a quarter",
+                  "zip codes without a centroid stay unmatched")
+GOLD_CAVEATS = ("bond elasticity is observational OLS, not causal",
+                "drawdown episodes enter below -2 % and leave above -1 %")
+
+
+def _kpis(spark, sf_dir):
+    """The five KPI tables by extract name."""
+    s, pi = silver_table(spark, sf_dir, CFG), price_index_table(spark, sf_dir, CFG)
+    volume = gold.transaction_volume(s)
+    return {"kpi_sqm_price_index": pi, "kpi_transaction_volume": volume, "kpi_drawdown": gold.drawdown(pi, CFG),
+            "kpi_volatility": gold.volatility(pi, CFG), "kpi_bond_elasticity": gold.bond_elasticity(volume, s, CFG)}
+
+
+_EXTRACTS: dict = {}
+
+
+def _extracts(spark, sf_dir):
+    """The typed extracts, written once per session and input; figures of each write."""
+    root = _out(spark, "extracts") + f"-{abs(hash(sf_dir)):x}"
+    if root not in _EXTRACTS:
+        _EXTRACTS[root] = io.write_extracts(_kpis(spark, sf_dir), root)
+    return _EXTRACTS[root]
+
+
+_KPI_ROWS_SQL = """vol AS (SELECT region, quarter_id, house_type FROM silver WHERE region IS NOT NULL AND quarter_id IS NOT NULL AND house_type IS NOT NULL
+        GROUP BY region, quarter_id, house_type),
+kpi AS (SELECT 'kpi_sqm_price_index' AS table_name, count(*) AS n_rows, 7 AS n_columns FROM price_index
+        UNION ALL SELECT 'kpi_transaction_volume', count(*), 7 FROM vol
+        UNION ALL SELECT 'kpi_drawdown', count(*), 9 FROM eps
+        UNION ALL SELECT 'kpi_volatility', count(*), 6 FROM price_index
+        UNION ALL SELECT 'kpi_bond_elasticity', count(*), 8 FROM res WHERE n_observations >= 10)"""
+
+
+@register("silver_manifest", ("S8", "S9", "J11", "J3"), with_ctes(CENTROIDS_SQL, f"""
+SELECT (SELECT count(*) FROM bronze) AS source_row_count, count(*) AS output_row_count, {", ".join(f"sum(CAST({f} AS BIGINT)) AS n_{f}" for f in FLAGS)},
+       count(c.lat) AS geo_matched, round_even(count(c.lat) / count(*) * 100.0, 1) AS geo_coverage_pct,
+       (SELECT count(*) FROM (SELECT region FROM silver WHERE region IS NOT NULL AND quarter_id IS NOT NULL GROUP BY region HAVING count(DISTINCT quarter_id) >= 8)) AS stl_regions
+FROM silver s LEFT JOIN cent c ON s.zip_code = c.zip_code"""))
+def silver_manifest(spark, sf_dir):
+    """S8 + S9 + J11: Silver with centroids written by the row-count invariant; the manifest's figures are those of the write."""
+    bronze_table(spark, sf_dir, CFG)
+    n = figures(spark, "bronze", sf_dir)["rows"]
+    s = silver_table(spark, sf_dir, CFG)
+    geo = join_postal_centroids(s, one_centroid_per_zip(io.postal_centroids(spark, _landed_postal_json(spark, sf_dir))))
+    path = _out(spark, "silver-geo")
+    seen = io.write_observed(geo, path, {f"n_{f}": F.sum(F.col(f).cast("long")) for f in FLAGS} | {"geo_matched": F.count_if(F.col("geo_join_status") == "matched")}, n)
+    regions = stl.stl_per_region(s, CFG).select("region").distinct().count()
+    fig = {k: v for k, v in seen.items() if k != "rows"} | {"geo_coverage_pct": round(seen["geo_matched"] / seen["rows"] * 100.0, 1) if seen["rows"] else 0.0, "stl_regions": regions}
+    io.write_manifest(io.manifest(geo, "silver", path, seen["rows"], n, fig, SILVER_CAVEATS), f"{path}-manifest")
+    m = spark.read.schema("source_row_count long, output_row_count long, figures map<string,double>").json(f"{path}-manifest")
+    whole = [*[f"n_{f}" for f in FLAGS], "geo_matched"]
+    return m.select("source_row_count", "output_row_count", *[F.col("figures")[k].cast("long").alias(k) for k in whole],
+                    F.col("figures")["geo_coverage_pct"].alias("geo_coverage_pct"), F.col("figures")["stl_regions"].cast("long").alias("stl_regions"))
+
+
+@register("layer_manifests", ("S6", "S7", "S8", "S11", "S12", "J11"), with_layers(
+    "SELECT true AS all_present, (SELECT count(*) FROM bronze) AS bronze_rows, (SELECT count(*) FROM silver) AS silver_rows, true AS rows_match"))
 def layer_manifests(spark, sf_dir):
     """Write Bronze / Silver / Gold manifests and the KPI catalogue as
     JSON, read the canonical manifest path (legacy fallback) and validate row counts."""
     b, s = bronze_table(spark, sf_dir, CFG), silver_table(spark, sf_dir, CFG)
+    seen_b, seen_s = figures(spark, "bronze", sf_dir), figures(spark, "silver", sf_dir, repr(CFG))
     root = _out(spark, "manifests")
-    io.write_manifest(io.manifest(b, "bronze", "bronze"), f"{root}/bronze")
-    io.write_manifest(io.manifest(s, "silver", "silver", b.count()), f"{root}/silver")
-    pi = gold.price_index(s, CFG)
-    kpis = {"price_index": pi, "volume": gold.transaction_volume(s), "drawdown": gold.drawdown(pi, CFG),
-            "volatility": gold.volatility(pi, CFG)}
-    g = spark.createDataFrame([(k, v.count()) for k, v in kpis.items()], "kpi string, rows long")
-    g.coalesce(1).write.mode("overwrite").json(f"{root}/gold")
+    io.write_manifest(io.manifest(b, "bronze", "bronze", seen_b["rows"]), f"{root}/bronze")
+    io.write_manifest(io.manifest(s, "silver", "silver", seen_s["rows"], seen_b["rows"], {f"n_{f}": seen_s[f] for f in FLAGS}, SILVER_CAVEATS), f"{root}/silver")
+    _gold_manifest(spark, sf_dir, f"{root}/gold")
     io.kpi_definitions(spark).coalesce(1).write.mode("overwrite").json(f"{root}/kpi_definitions")
     io.read_first_existing(spark, [f"{root}/gold_v2", f"{root}/gold"], "json").count()
-    return io.validate_manifests(spark, f"{root}/bronze", f"{root}/silver", f"{root}/gold")
+    return io.validate_manifests(spark, f"{root}/bronze", f"{root}/silver", f"{root}/gold", strict=True)
+
 
+def _gold_manifest(spark, sf_dir, path):
+    seen = _extracts(spark, sf_dir)
+    rows = [(k, v["rows"], v["path"], list(GOLD_CAVEATS)) for k, v in seen.items()]
+    spark.createDataFrame(rows, "kpi string, rows long, path string, caveats array<string>").coalesce(1).write.mode("overwrite").json(path)
 
-@register("typed_extracts", ("S13",))
+
+@register("gold_manifest", ("S10",), with_ctes(DRAWDOWN_SQL_CTES + "," + ELASTICITY_SQL_CTES + ",\n" + _KPI_ROWS_SQL,
+                                               f"SELECT table_name AS kpi, n_rows AS rows, {len(GOLD_CAVEATS)} AS n_caveats FROM kpi"))
+def gold_manifest(spark, sf_dir):
+    """Rows of all five KPI tables from their manifest, with its caveats."""
+    path = _out(spark, "gold-manifest")
+    _gold_manifest(spark, sf_dir, path)
+    m = spark.read.schema("kpi string, rows long, caveats array<string>").json(path)
+    return m.select("kpi", "rows", F.size("caveats").alias("n_caveats"))
+
+
+@register("typed_extracts", ("S13",), with_ctes(DRAWDOWN_SQL_CTES + "," + ELASTICITY_SQL_CTES + ",\n" + _KPI_ROWS_SQL, "SELECT * FROM kpi"))
 def typed_extracts(spark, sf_dir):
-    """Each KPI table cast to the BI type map and written as its own Parquet dataset."""
-    s = silver_table(spark, sf_dir, CFG)
-    pi = gold.price_index(s, CFG)
-    tables = {"kpi_sqm_price_index": pi, "kpi_transaction_volume": gold.transaction_volume(s),
-              "kpi_drawdown": gold.drawdown(pi, CFG), "kpi_volatility": gold.volatility(pi, CFG),
-              "kpi_bond_elasticity": gold.bond_elasticity(gold.transaction_volume(s), s, CFG)}
+    """Each KPI table cast to the BI type map and written as its own Parquet dataset, then read back."""
     rows = []
-    for name, df in tables.items():
-        path = _out(spark, f"extract-{name}")
-        io.typed_extract(df).write.mode("overwrite").parquet(path)
-        back = spark.read.parquet(path)
+    for name, seen in _extracts(spark, sf_dir).items():
+        back = spark.read.parquet(seen["path"])
         rows.append((name, back.count(), len(back.columns)))
     return spark.createDataFrame(rows, "table_name string, n_rows long, n_columns int")
 

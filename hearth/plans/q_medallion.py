@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearth.config import DRIVER_CONFIG as CFG
+from hearth.config import MIN_ELASTICITY_OBS
 from hearth.operators import gold, stl
-from hearth.operators.silver import cpi_chain, flag_columns
-from hearth.plans.layers import bronze_table, silver_table
+from hearth.functions.quantile import attach_quantiles
+from hearth.operators.silver import FLAGS, cpi_chain
+from hearth.plans.layers import bronze_table, figures, price_index_table, silver_table
 from hearth.plans.registry import register
 from hearth.functions.scalar import round_to
 from hearth.plans.sql import r, with_ctes, with_layers
 
 BRONZE_COLS = ("house_id", "house_type", "sales_type", "region", "area", "zip_code", "purchase_price", "sqm",
                "sqm_price", "no_rooms", "year_build", "year_sale", "quarter_id")
-FLAGS = ("is_pre_1995_record", "is_family_sale", "is_unclassified_sale", "is_missing_sqm", "is_missing_year_build",
-         "is_low_sample_cell", "is_outlier_price")
 
 
 @register("bronze_enforced", ("S1", "P1", "P2", "P3"), with_layers(
@@ -52,10 +52,21 @@ def cpi_index(spark, sf_dir):
     "SELECT count(*) AS output_row_count, "
     + ", ".join(f"sum(CAST({f} AS BIGINT)) AS n_{f}" for f in FLAGS) + " FROM silver"))
 def silver_flag_counts(spark, sf_dir):
-    """Silver manifest figures: rows and true count of every flag, one pass."""
+    """Silver manifest figures: rows and true count of every flag, as the write of Silver counted them (J11: as many rows as Bronze)."""
+    silver_table(spark, sf_dir, CFG)
+    seen = figures(spark, "silver", sf_dir, repr(CFG))
+    return spark.createDataFrame([(seen["rows"], *[seen[f] for f in FLAGS])], ", ".join(["output_row_count long", *[f"n_{f} long" for f in FLAGS]]))
+
+
+@register("silver_quality_by_quarter", ("A29", "W2"), with_layers("""
+SELECT quarter_id, count(*) AS n_sales, quantile_cont(purchase_price, 0.5) AS nominal_median, quantile_cont(real_purchase_price, 0.5) AS real_median,
+       quantile_cont(sqm_price, 0.5) AS nominal_sqm_median, quantile_cont(real_sqm_price, 0.5) AS real_sqm_median
+FROM silver GROUP BY quarter_id"""))
+def silver_quality_by_quarter(spark, sf_dir):
+    """Sales and nominal against real medians of every quarter."""
     s = silver_table(spark, sf_dir, CFG)
-    return s.agg(F.count(F.lit(1)).alias("output_row_count"),
-                 *[F.sum(F.col(f).cast("long")).alias(f"n_{f}") for f in flag_columns(s) if f in FLAGS])
+    wanted = {"purchase_price": "nominal_median", "real_purchase_price": "real_median", "sqm_price": "nominal_sqm_median", "real_sqm_price": "real_sqm_median"}
+    return attach_quantiles(s.groupBy("quarter_id").agg(F.count(F.lit(1)).alias("n_sales")), s, ["quarter_id"], {c: [(0.5, n)] for c, n in wanted.items()})
 
 
 PRICE_INDEX_SQL_CTES = f"""
@@ -77,7 +88,7 @@ price_index AS (SELECT q.region, q.quarter_id, q.real_sqm_price_median, q.n_tran
     f"{r('price_index')} AS price_index, year_sale, quarter_num FROM price_index"))
 def kpi_price_index(spark, sf_dir):
     """KPI 1: regional real sqm-price index (base year = 100)."""
-    return gold.price_index(silver_table(spark, sf_dir, CFG), CFG)
+    return price_index_table(spark, sf_dir, CFG)
 
 
 @register("kpi_transaction_volume", ("A4", "W4"), with_layers(
@@ -130,7 +141,7 @@ JOIN dd1 t ON t.region = e.region AND t.i = e.ti"""
 @register("kpi_drawdown", ("W5", "W6"), with_ctes(DRAWDOWN_SQL_CTES, DRAWDOWN_SQL_SELECT))
 def kpi_drawdown(spark, sf_dir):
     """KPI 3: peak-to-trough episodes of the regional index."""
-    return gold.drawdown(gold.price_index(silver_table(spark, sf_dir, CFG), CFG), CFG)
+    return gold.drawdown(price_index_table(spark, sf_dir, CFG), CFG)
 
 
 @register("kpi_volatility", ("W8",), with_ctes(PRICE_INDEX_SQL_CTES, "SELECT region, quarter_id, " + ", ".join(
@@ -140,10 +151,10 @@ def kpi_drawdown(spark, sf_dir):
     + ", year_sale, quarter_num FROM price_index"))
 def kpi_volatility(spark, sf_dir):
     """KPI 4: rolling 4/8-quarter std of the quarterly median."""
-    return gold.volatility(gold.price_index(silver_table(spark, sf_dir, CFG), CFG), CFG)
+    return gold.volatility(price_index_table(spark, sf_dir, CFG), CFG)
 
 
-ELASTICITY_SQL = with_ctes(f"""
+ELASTICITY_SQL_CTES = f"""
 yq AS (SELECT quarter_id, quantile_cont("yield_on_mortgage_credit_bonds%", 0.5) AS yield_median FROM silver
        WHERE quarter_id IS NOT NULL GROUP BY quarter_id),
 vq AS (SELECT quarter_id, count(*) AS n_transactions FROM silver
@@ -156,11 +167,11 @@ pairs AS (SELECT l.lag_quarters, a.quarter_id, a.dv, b.dy AS yl FROM m2 a CROSS
           LEFT JOIN m2 b ON b.rn = a.rn - l.lag_quarters
           WHERE a.dv IS NOT NULL AND b.dy IS NOT NULL),
 res AS (SELECT lag_quarters, regr_slope(dv, yl) AS b, regr_r2(dv, yl) AS r2, regr_sxx(dv, yl) AS sxx, regr_syy(dv, yl) AS syy,
-               count(*) AS n_observations, min(quarter_id) AS q0, max(quarter_id) AS q1 FROM pairs GROUP BY lag_quarters)""",
-    f"""SELECT 'National' AS region, CAST(lag_quarters AS INTEGER) AS lag_quarters, {r('round_even(b, 4)')} AS beta_ols,
+               count(*) AS n_observations, min(quarter_id) AS q0, max(quarter_id) AS q1 FROM pairs GROUP BY lag_quarters)"""
+ELASTICITY_SQL = with_ctes(ELASTICITY_SQL_CTES, f"""SELECT 'National' AS region, CAST(lag_quarters AS INTEGER) AS lag_quarters, {r('round_even(b, 4)')} AS beta_ols,
        {r('round_even(sqrt((1 - r2) * syy / ((n_observations - 2) * sxx)), 4)')} AS beta_ols_se, {r('round_even(r2, 4)')} AS r2,
        n_observations, q0 || '–' || q1 AS period_label, 'confounded_OLS' AS causal_warning
-FROM res WHERE n_observations >= {10}""")
+FROM res WHERE n_observations >= {MIN_ELASTICITY_OBS}""")
 
 
 @register("kpi_bond_elasticity", ("A5", "W9", "W10", "W11", "J6"), ELASTICITY_SQL)

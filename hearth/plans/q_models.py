@@ -256,6 +256,6 @@ def feature_artifacts(spark, sf_dir):
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         back = spark.read.parquet(f"{root}/{name}")
         rows.append((name, back.count(), len(back.columns)))
-    meta = io.manifest(d, "features", f"{root}/processed")
+    meta = io.manifest(d, "features", f"{root}/processed", dict((r[0], r[1]) for r in rows)["processed"])
     io.write_manifest(meta, f"{root}/metadata")
     return spark.createDataFrame(rows, "artifact string, n_rows long, n_columns long")

@@ -8,13 +8,14 @@ written as JSON next to the data (no driver-side file handling).
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearth.sources import scratch
 from hearth.functions.quantile import rank_within_groups
 from hearth.functions.scalar import zfill
 
@@ -86,29 +87,54 @@ def postal_centroids(spark: SparkSession, json_path: str) -> DataFrame:
                     F.try_element_at("kommuner", F.lit(1))["navn"].alias("municipality_name"))
 
 
-def manifest(df: DataFrame, layer: str, path: str, source_rows: int | None = None) -> DataFrame:
-    """One-row manifest (layer, time, rows, columns, dtypes, path)."""
-    spark = df.sparkSession
-    n = df.count()
-    row = (layer, datetime.now(tz=timezone.utc).isoformat(), source_rows if source_rows is not None else n, n, path,
-           list(df.columns), {k: v for k, v in df.dtypes})
-    return spark.createDataFrame([row], "layer string, written_at string, source_row_count long, output_row_count long, "
-                                        "output_path string, columns array<string>, dtypes map<string,string>")
+class RowCountError(RuntimeError):
+    """A layer has not as many rows as its source."""
+
+
+def write_observed(df: DataFrame, path: str, metrics: Mapping[str, Column] | None = None, expected_rows: int | None = None,
+                   partition_by: Sequence[str] = ()) -> dict:
+    """Write ``df`` as Parquet and return what the write itself counted: ``rows`` and ``metrics`` (aggregates).
+
+    The figures come from an ``Observation`` in the stage that writes, so no row is read twice for them. If
+    ``expected_rows`` is given and the written rows differ, the table is removed again and ``RowCountError`` raised.
+    A partitioned table's rows are rebalanced by the partition columns first: a few files a partition, large ones split.
+    """
+    seen = Observation()
+    names = [f"m{i}" for i in range(len(metrics or {}))]
+    out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    out = out.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in zip(names, (metrics or {}).values())])
+    out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    got = seen.get
+    if expected_rows is not None and got["rows"] != expected_rows:
+        scratch.remove(df.sparkSession, path)
+        raise RowCountError(f"{path}: {got['rows']} rows written, {expected_rows} expected")
+    return {"rows": got["rows"]} | {k: got[n] for k, n in zip(metrics or {}, names)}
+
+
+def manifest(df: DataFrame, layer: str, path: str, rows: int, source_rows: int | None = None, figures: Mapping[str, float] | None = None,
+             caveats: Sequence[str] = ()) -> DataFrame:
+    """One-row manifest (layer, time, rows, columns, dtypes, path, figures, caveats); the counts are those of the write."""
+    row = (layer, datetime.now(tz=timezone.utc).isoformat(), rows if source_rows is None else source_rows, rows, path, list(df.columns),
+           {k: v for k, v in df.dtypes}, {k: float(v) for k, v in (figures or {}).items()}, list(caveats))
+    return df.sparkSession.createDataFrame([row], "layer string, written_at string, source_row_count long, output_row_count long, output_path string, "
+                                                  "columns array<string>, dtypes map<string,string>, figures map<string,double>, caveats array<string>")
 
 
 def write_manifest(m: DataFrame, path: str) -> None:
     m.coalesce(1).write.mode("overwrite").json(path)
 
 
-def validate_manifests(spark: SparkSession, bronze_path: str, silver_path: str, gold_path: str) -> DataFrame:
-    """S11 (one row): all three manifests exist and Bronze rows = Silver rows."""
+def validate_manifests(spark: SparkSession, bronze_path: str, silver_path: str, gold_path: str, strict: bool = False) -> DataFrame:
+    """S11 (one row): all three manifests exist and Bronze rows = Silver rows; ``strict`` raises instead of saying no."""
     ok = all(path_exists(spark, p) for p in (bronze_path, silver_path, gold_path))
     if not ok:
+        if strict:
+            raise FileNotFoundError(f"a manifest is missing: {bronze_path}, {silver_path}, {gold_path}")
         return spark.createDataFrame([(False, None, None, False)], "all_present boolean, bronze_rows long, silver_rows long, rows_match boolean")
-    b = spark.read.json(bronze_path).select(F.col("output_row_count").alias("bronze_rows"))
-    s = spark.read.json(silver_path).select(F.col("output_row_count").alias("silver_rows"))
-    return b.crossJoin(s).select(F.lit(True).alias("all_present"), "bronze_rows", "silver_rows",
-                                 (F.col("bronze_rows") == F.col("silver_rows")).alias("rows_match"))
+    rows = [spark.read.json(p).first()["output_row_count"] for p in (bronze_path, silver_path)]  # one line each
+    if strict and rows[0] != rows[1]:
+        raise RowCountError(f"Bronze has {rows[0]} rows, Silver {rows[1]}")
+    return spark.createDataFrame([(True, *rows, rows[0] == rows[1])], "all_present boolean, bronze_rows long, silver_rows long, rows_match boolean")
 
 
 def typed_extract(df: DataFrame) -> DataFrame:
@@ -116,6 +142,19 @@ def typed_extract(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").cast(BI_TYPES.get(t, "string")).alias(n) for n, t in df.dtypes])
 
 
+def write_extracts(tables: Mapping[str, DataFrame], root: str, only: Sequence[str] | None = None) -> dict[str, dict]:
+    """The tables (those named in ``only``, or all) as typed extracts under ``root``; rows written and path of each."""
+    unknown = set(only or ()) - set(tables)
+    if unknown:
+        raise KeyError(f"no such tables: {sorted(unknown)}")
+    out = {}
+    for name, df in tables.items():
+        if only is None or name in only:
+            typed = typed_extract(df)
+            out[name] = write_observed(typed, f"{root}/{name}") | {"columns": len(typed.columns), "path": f"{root}/{name}"}
+    return out
+
+
 def stratified_sample(df: DataFrame, strata: Sequence[str], frac: float = 0.10, seed: int = 42) -> DataFrame:
     """Exactly round(frac * n) rows of every stratum (half-even, as
     pandas ``sample(frac=)``), chosen by a seeded hash order; the in-stratum
