@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hearth.config import DRIVER_CONFIG as CFG
 from hearth.operators import features as X
-from hearth.plans.layers import bronze_table
+from hearth.plans.layers import _root, bronze_table
 from hearth.plans.registry import register
 from hearth.plans.sql import with_ctes, with_layers
 
@@ -328,3 +328,62 @@ def walk_forward_folds(spark, sf_dir):
     """Expanding walk-forward folds and their sizes."""
     folds = X.fold_table(spark, CFG.cv_min_train_end, CFG.cv_max_train_end, CFG.holdout_start_year)
     return X.walk_forward_sizes(_b(spark, sf_dir), folds, "year")
+
+
+# Fitted once, stored, applied to later rows --------------------------
+HOUSE_TYPES = ("Economy", "Large", "Medium", "Promo", "Small", "Standard")
+RARE_AREA_SHARE = 0.04
+_STORED: dict = {}
+
+
+def fitted_steps():
+    """The steps of the holdout query, unfitted."""
+    from pyspark.ml import Pipeline
+
+    from hearth.operators import fitted as S
+
+    return Pipeline(stages=[
+        S.SizeCategories(cols=["sqm", "sqm_price"]), S.MedianImputer(cols=["sqm"]), S.RareCategories(cols=["area"], threshold=RARE_AREA_SHARE),
+        S.TargetEncoder(cols=["house_type"], target="purchase_price"), S.RegionEncoder(cols=["region"], target="purchase_price"),
+        S.OneHot(cols=["house_type", "zip_code"]), S.Scaler(cols=["sqm", "no_rooms"], kind="standard"), S.Scaler(cols=["sqm_price"], kind="robust"),
+        S.Scaler(cols=["year_build"], kind="minmax")])
+
+
+def stored_steps(spark, sf_dir) -> str:
+    """The folder of the steps fitted on the training years (fitted once per session and input)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{_root(spark)}/fitted-steps-{spark.sparkContext.applicationId}-{len(_STORED)}"
+        fitted_steps().fit(_b(spark, sf_dir).where(F.col("year") <= CFG.split_last_train_year)).write().overwrite().save(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+@register("fitted_features_holdout", ("E18", "S16", "E2", "E3", "E4", "E5", "E6", "E7", "E8", "E9", "E14", "F5", "J8", "J10"), with_ctes(f"""
+fit AS (SELECT * FROM bronze WHERE year_sale <= {CFG.split_last_train_year}),
+fs AS (SELECT quantile_cont(sqm, 0.33) AS s33, quantile_cont(sqm, 0.67) AS s67, quantile_cont(sqm_price, 0.25) AS p25, quantile_cont(sqm_price, 0.5) AS p50,
+         quantile_cont(sqm_price, 0.75) AS p75, quantile_cont(sqm, 0.5) AS med, avg(purchase_price) AS gm, count(*) AS n, avg(no_rooms) AS ra, stddev_pop(no_rooms) AS rb,
+         min(year_build) AS ya, max(year_build) AS yb FROM fit),
+fi AS (SELECT avg(coalesce(sqm, med)) AS sa, stddev_pop(coalesce(sqm, med)) AS sb FROM fit CROSS JOIN fs),
+fa AS (SELECT area FROM fit WHERE area IS NOT NULL GROUP BY area HAVING count(*) / (SELECT n FROM fs) >= {RARE_AREA_SHARE}),
+fh AS (SELECT house_type, (count(purchase_price) * avg(purchase_price) + 10.0 * (SELECT gm FROM fs)) / (count(purchase_price) + 10.0) AS enc FROM fit
+       WHERE house_type IS NOT NULL GROUP BY house_type),
+fr AS (SELECT region, avg(purchase_price) AS m, count(*) AS n FROM fit WHERE region IS NOT NULL GROUP BY region)""", f"""
+SELECT house_id, b.no_rooms, date, b.purchase_price,
+       CASE WHEN b.sqm <= s33 THEN 'Small' WHEN b.sqm <= s67 THEN 'Medium' ELSE 'Large' END AS size_category,
+       CASE WHEN sqm_price <= p25 THEN 'Very Efficient' WHEN sqm_price <= p50 THEN 'Efficient' WHEN sqm_price <= p75 THEN 'Average' ELSE 'Premium' END AS sqm_price_category,
+       CASE WHEN fa.area IS NOT NULL THEN b.area WHEN b.area IS NOT NULL THEN 'Other' END AS area_grouped,
+       coalesce(fh.enc, gm) AS house_type_target_encoded, fr.m AS region_price_mean, fr.n AS region_frequency,
+       CASE WHEN fr.n >= 100 THEN fr.m ELSE fr.n / 100.0 * fr.m + (1 - fr.n / 100.0) * gm END AS region_target_encoded,
+       {", ".join(f"CASE WHEN b.house_type = '{h}' THEN 1 ELSE 0 END AS house_type_{h}" for h in HOUSE_TYPES[1:])},
+       (coalesce(b.sqm, med) - sa) / sb AS sqm_scaled, (b.no_rooms - ra) / rb AS no_rooms_scaled, (sqm_price - p50) / (p75 - p25) AS sqm_price_robust,
+       (year_build - ya) / CAST(yb - ya AS DOUBLE) AS year_build_minmax
+FROM bronze b CROSS JOIN fs CROSS JOIN fi LEFT JOIN fa ON b.area = fa.area LEFT JOIN fh ON b.house_type = fh.house_type LEFT JOIN fr ON b.region = fr.region
+WHERE year_sale > {CFG.split_last_train_year}"""))
+def fitted_features_holdout(spark, sf_dir):
+    """E18 + S16: encoders, thresholds, imputation and scalers fitted on the training years, stored, read back and applied to the later years."""
+    from pyspark.ml import PipelineModel
+
+    out = PipelineModel.load(stored_steps(spark, sf_dir)).transform(_b(spark, sf_dir).where(F.col("year") > CFG.split_last_train_year))
+    return out.select(*KEY, "size_category", "sqm_price_category", "area_grouped", "house_type_target_encoded", "region_price_mean", "region_frequency",
+                      "region_target_encoded", *[f"house_type_{h}" for h in HOUSE_TYPES[1:]], "sqm_scaled", "no_rooms_scaled", "sqm_price_robust", "year_build_minmax")
