@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from hearth.llm import words as W
 
 Batches = Iterator[pa.RecordBatch]
-MAX_WORDS = 800_000  # words in a task's table, then it starts anew
+TABLE_BYTES = 48 << 20  # words and packed ids in a worker's table, with an entry's own cost; then it starts anew
+_ENTRY = 190
 _LONG_WORD = 64
 _LONG_TEXT, _WORDS_AT_ONCE = 1 << 20, 1 << 17
 # The characters with Unicode's White_Space property.
@@ -69,6 +70,7 @@ class Codec:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _check(vocabulary: str, by_bytes: dict[bytes, int]) -> None:
@@ -87,17 +89,19 @@ class Codec:
 
     def _pack(self, lists: list[list[str]]) -> list[bytes]:
         new = set().union(*lists).difference(self.known)
-        if len(self.known) + len(new) > MAX_WORDS:
-            self.known.clear()
+        if self.held + len(new) * _ENTRY > TABLE_BYTES:
+            self.known, self.held = {}, 0
             new = set().union(*lists)
         words, got = list(new), {}
         for i in range(0, len(words), 4096):
             got |= self._learn(words[i:i + 4096])
         self.known.update(got)
         out = [b"".join(map(self.known.__getitem__, words)) for words in lists]
-        for w in got:
+        for w, ids in got.items():
             if len(w) > _LONG_WORD:
                 del self.known[w]
+            else:
+                self.held += _ENTRY + len(w) + len(ids)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

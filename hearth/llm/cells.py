@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 Batches = Iterator[pa.RecordBatch]
 _CELLS_PER_ROW = 1 << 14
-_HELD = 1 << 20
+_HELD = 1 << 19
 
 
 def cells(hashes: np.ndarray, counters: int) -> np.ndarray:
@@ -27,10 +27,10 @@ def cells(hashes: np.ndarray, counters: int) -> np.ndarray:
 
 
 class CellCounts:
-    """One task's counts."""
+    """One task's counts, in 32 bits (a task has fewer than 2^32 hashes)."""
 
     def __init__(self, counters: int):
-        self.table, self.held, self.size = np.zeros(counters, dtype=np.int64), [], 0
+        self.table, self.held, self.size = np.zeros(counters, dtype=np.uint32), [], 0
 
     def add(self, hashes: np.ndarray) -> None:
         self.held.append(hashes)
@@ -40,7 +40,8 @@ class CellCounts:
 
     def _flush(self) -> None:
         if self.size:
-            self.table += np.bincount(cells(np.concatenate(self.held), len(self.table)), minlength=len(self.table))
+            at, n = np.unique((np.concatenate(self.held) & np.uint64(len(self.table) - 1)).astype(np.uint32), return_counts=True)
+            self.table[at] += n.astype(np.uint32)
         self.held, self.size = [], 0
 
     def rows(self) -> list[bytes]:
@@ -55,8 +56,8 @@ def _add_up(batches: Batches) -> Batches:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for cell, raw in zip(batch.column("cell").to_pylist(), batch.column("counts")):
-            part = np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.int64)
-            total[cell] = total[cell] + part if cell in total else part
+            part = np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.uint32)
+            total[cell] = total[cell] + part if cell in total else part.astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())],
                                      names=["cell", "counts"])
 
