@@ -228,7 +228,7 @@ def _block_rows(width: int, magnitude, hot: int, kind: pa.DataType) -> Callable[
 
 
 def _kept_rows(width: int, schema: pa.Schema) -> Callable[[Batches], Batches]:
-    """(id, seq, n_removed, kept_sha256, kept_text) of texts with windows to remove."""
+    """(id, seq, n_removed, kept_sha256) of texts with windows to remove, and the text that stays if the schema asks for it."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -248,9 +248,9 @@ def _kept_rows(width: int, schema: pa.Schema) -> Callable[[Batches], Batches]:
                 kept = b" ".join(compress((t.as_py() or "").encode().split(), keep.tolist()))
                 sizes.append(int((~keep).sum()))
                 shas.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(schema.field("id").type), batch.column("seq"), pa.array(sizes, pa.int64()),
-                                              pa.array(shas, pa.string()), pa.array(texts, pa.string())], schema=schema).filter(pa.array(same, pa.bool_()))
+                texts.append(kept.decode("utf-8", "replace") if len(schema) > 4 else None)
+            arrays = [batch.column("id").cast(schema.field("id").type), batch.column("seq"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays[:len(schema)], schema=schema).filter(pa.array(same, pa.bool_()))
 
     return run
 
@@ -269,7 +269,12 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return _removed(docs, id_col, text_col, width, counters)[0]
 
 
-def _removed(docs: DataFrame, id_col: str, text_col: str, width: int, counters: int) -> tuple[DataFrame, DataFrame]:
+def shortened_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, counters: int = COUNTERS) -> DataFrame:
+    """``(<id>, kept_text)`` of the first document of every word sequence that loses some words, by the same rule."""
+    return _removed(docs, id_col, text_col, width, counters, texts=True)[1].select(F.col("id").alias(id_col), "kept_text")
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, width: int, counters: int, texts: bool = False) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
@@ -305,18 +310,19 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, width: int, counters:
     narrow = blocks.select("block", "id", "seq", "first", F.size("windows").alias("n"))
     later = spread_join(narrow, same, "block", F.col("k") * HOT_SHARE >= blocks.count()).where(F.col("top").isNotNull() & ~where.eqNullSafe(F.col("top")))
     gone = later.select("seq", F.col("first").cast("int").alias("first"), "n")
-    windows = cut(distinct.select("top.*", F.posexplode("windows").alias("p", "window")).select(
-        "window", "id", "seq", (F.col("first") + F.col("p")).alias("first")))
+    windows = distinct.select("top.*", F.posexplode("windows").alias("p", "window")).select(
+        "window", "id", "seq", (F.col("first") + F.col("p")).alias("first"))
+    total_windows = distinct.agg(F.sum(F.size("windows").cast("long"))).first()[0] or 0
     same = cut(windows.groupBy("window").agg(F.min(where).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1"))
-    later = spread_join(windows, same, "window", F.col("k") * HOT_SHARE >= windows.count()).where(F.col("top").isNotNull() & ~where.eqNullSafe(F.col("top")))
+    later = spread_join(windows, same, "window", F.col("k") * HOT_SHARE >= total_windows).where(F.col("top").isNotNull() & ~where.eqNullSafe(F.col("top")))
     gone = gone.union(later.select("seq", F.col("first").cast("int"), F.lit(1)))
 
     # words
     gone = gone.groupBy("seq").agg(F.collect_set(F.struct("first", "n")).alias("gone")).join(first.select("seq", "first_id"), "seq")
-    gone = cut(gone.select(F.col("first_id").alias("wid"), "seq", "gone"))
-    out = pa.schema([("id", arrow), ("seq", pa.int64()), ("removed", pa.int64()), ("kept", pa.string()), ("kept_text", pa.string())])
+    gone = fitting(cut(gone.select(F.col("first_id").alias("wid"), "seq", "gone")), size=F.size("gone") * 12 + 32)
+    out = pa.schema([("id", arrow), ("seq", pa.int64()), ("removed", pa.int64()), ("kept", pa.string())] + [("kept_text", pa.string())] * texts)
     some = cut(d.join(gone, d.id.eqNullSafe(gone.wid)).select("id", "text", "seq", "gone").mapInArrow(
-        _kept_rows(width, out), f"id {sql}, seq bigint, removed bigint, kept string, kept_text string").dropDuplicates(["seq"]))
+        _kept_rows(width, out), f"id {sql}, seq bigint, removed bigint, kept string" + ", kept_text string" * texts).dropDuplicates(["seq"]))
 
     label = cut(first.join(some.select("seq", "removed", "kept"), "seq", "left"))
     placed = spread_join(own.where(F.col("n") >= width), label, "seq", F.col("rows") * HOT_SHARE >= total)
