@@ -38,6 +38,7 @@ from hearth.llm.graph import HOT_SHARE, connected_components, cut, fitting, spre
 
 WIDTH = 5
 COUNTERS = 1 << 22
+HOT_GROUPS = 64  # groups that share a prefix shingle from which it is joined within the strict prefixes only
 _U64 = np.uint64
 
 Batches = Iterator[pa.RecordBatch]
@@ -209,6 +210,50 @@ def _sized(x: str, y: str):
     return 4 * F.least(F.col(x), F.col(y)) >= 3 * F.greatest(F.col(x), F.col(y))
 
 
+def _asked(n, m):
+    """The overlap that sets of these sizes need: 3/7 of both together, rounded up."""
+    return F.floor((3 * (n + m) + 6) / 7)
+
+
+def _by_role(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``x`` (prefix shingles of groups) as the larger and as the smaller set of a pair.
+
+    A set of n takes part as the larger one up to the position that its smallest partner allows, as the smaller one only up to
+    the one that an equal partner allows. ``more`` further positions let the count of shared shingles tell pairs apart; a
+    shingle of many groups (``HOT_GROUPS``) isn't joined there. ``spare`` is how many of them a group has: so many shared ones
+    may be missing from the count. A common passage lies at the end of the prefixes of sets that are not mostly made of it, so
+    it is never in the smaller role there and meets nothing.
+    """
+    n = F.col("n")
+    more = F.floor(n / 50)
+    large, small = n - _asked(n, F.ceil(3 * n / 4)), n - _asked(n, n)
+    many = x.groupBy("token").agg((F.count(F.lit(1)) > HOT_GROUPS).alias("hot"))
+    x = x.join(fitting(cut(many)), "token")
+    beyond = F.when(F.col("hot"), 0).otherwise(more)
+    hidden = x.where("hot").groupBy("gid").agg(F.count_if((F.col("pos") > small) & (F.col("pos") <= large + more)).cast("int").alias("spare"))
+    x = x.join(fitting(cut(hidden)), "gid", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
+    keep = ["token", "gid", "n", "pos", "lo", "hi", "minor", "spare"]
+    return x.where(F.col("pos") <= large + beyond).select(*keep), x.where(F.col("pos") <= small + beyond).select(*keep)
+
+
+def _close_pairs(x: DataFrame) -> DataFrame:
+    """Pairs of groups (g, h) that share enough prefix shingles and may hold members of different components."""
+    large, small = _by_role(x)
+    a = large.select("token", *(F.col(c).alias(f"a_{c}") for c in ("gid", "n", "pos", "lo", "hi", "minor", "spare")))
+    b = small.select("token", *(F.col(c).alias(f"b_{c}") for c in ("gid", "n", "pos", "lo", "hi", "minor", "spare")))
+    apart = (F.col("a_lo") != F.col("b_lo")) | (F.col("a_lo") != F.col("a_hi")) | (F.col("b_lo") != F.col("b_hi"))
+    reach = (F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1))
+    asked = _asked(F.col("a_n"), F.col("b_n"))
+    more = F.floor(F.least("a_n", "b_n") / 50)  # so much longer prefixes share so many more shingles
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_gid") > F.col("b_gid")))
+    fits = (larger & apart & _sized("a_n", "b_n") & (F.col("a_pos") <= F.col("a_n") - asked + more) & (F.col("b_pos") <= F.col("b_n") - asked + more) & (reach >= asked))
+    # two groups within their shingle's main component need no look, so one of the two is always a minor one
+    pairs = a.where("a_minor").join(b, "token").where(fits).union(a.where("NOT a_minor").join(b.where("b_minor"), "token").where(fits))
+    pairs = pairs.select(F.least("a_gid", "b_gid").alias("g"), F.greatest("a_gid", "b_gid").alias("h"), more.alias("more"), (F.col("a_spare") + F.col("b_spare")).alias("spare"))
+    pairs = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more"), F.max("spare").alias("spare"))
+    return pairs.where("k + spare > more").select("g", "h")
+
+
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                              counters: int = COUNTERS) -> DataFrame:
     """``(<id>, n_shingles, component_id)`` per row of ``docs``.
@@ -289,17 +334,7 @@ def _components(sets: DataFrame, magnitude) -> DataFrame:
     open_ = by_comp.groupBy("token").agg(F.max_by("lo", F.struct("k", "lo")).alias("main"), F.min("lo").alias("least"),
                                          F.max("hi").alias("most")).where("least < most").select("token", "main")
     x = cut(placed.join(fitting(cut(open_)), "token").withColumn("minor", (F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("main"))))
-    a = x.where("minor").select("token", *(F.col(c).alias(f"a_{c}") for c in ("gid", "n", "pos", "lo", "hi")))
-    b = x.select("token", "minor", *(F.col(c).alias(f"b_{c}") for c in ("gid", "n", "pos", "lo", "hi")))
-    apart = (F.col("a_lo") != F.col("b_lo")) | (F.col("a_lo") != F.col("a_hi")) | (F.col("b_lo") != F.col("b_hi"))
-    reach = (F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1))
-    asked = F.floor((3 * (F.col("a_n") + F.col("b_n")) + 6) / 7)  # the overlap that these two sizes need
-    more = F.floor(F.least("a_n", "b_n") / 50)  # so much longer prefixes share so many more shingles
-    pairs = a.join(b, "token").where(
-        (F.col("a_gid") != F.col("b_gid")) & (~F.col("minor") | (F.col("a_gid") < F.col("b_gid"))) & apart & _sized("a_n", "b_n")
-        & (F.col("a_pos") <= F.col("a_n") - asked + more) & (F.col("b_pos") <= F.col("b_n") - asked + more) & (reach >= asked))
-    pairs = pairs.select(F.least("a_gid", "b_gid").alias("g"), F.greatest("a_gid", "b_gid").alias("h"), more.alias("more"))
-    pairs = pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more")).where("k > more").select("g", "h")
+    pairs = _close_pairs(x)
     mixed = group.where("lo < hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     ma = member.select(F.col("gid").alias("g"), F.col("cls").alias("a"), F.col("comp").alias("ca"))
     mb = member.select(F.col("gid").alias("h"), F.col("cls").alias("b"), F.col("comp").alias("cb"))

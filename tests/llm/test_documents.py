@@ -353,3 +353,33 @@ def test_line_dedup_never_broadcasts_line_numbers_beyond_the_bound(spark, monkey
     out = {x.doc_id: x for x in drop_recurring_lines(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), literal_texts=2).collect()}
     assert [out[k].n_dropped for k in range(11)] == [256] * 9 + [0, 0] and out[4].kept_text == "own y" and out[10].kept_text == "lonely"
     assert len(out) == 11 and seen and not any("dropped" in c for c in seen)
+
+
+def test_a_common_passage_meets_nothing_in_the_pair_join(spark, monkeypatch):
+    """Ten own words and one passage of sixty words in every text: no link, and no row pairs that grow with the square."""
+    from hearth.llm import ngram_join as N
+
+    met, by_role = [], N._by_role
+
+    def spy(x):
+        large, small = by_role(x)
+        met.append(large.select("token").join(small.select("token"), "token").count())
+        return large, small
+
+    monkeypatch.setattr(N, "_by_role", spy)
+    r = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, " ".join(f"w{r.randrange(10**9)}" for _ in range(10)) + " " + passage) for k in range(600)]
+    rows += [(10_000 + k, rows[k][1][:-1]) for k in range(5)]  # one word changed: these do link
+    out = N.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert all(x.component_id == x.doc_id % 10_000 for x in out)
+    assert len(met) == 1 and met[0] < 20 * len(rows)
+
+
+def test_shortened_texts(spark):
+    from hearth.llm.substring_dedup import shortened_texts
+
+    say = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
+    rows = [(1, say("a", 30)), (2, "own  start " + say("a", 30) + "\nown end"), (3, say("a", 30)), (4, None)]
+    out = shortened_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [tuple(r) for r in out] == [(2, "own start own end")]
