@@ -152,19 +152,20 @@ def log_transform(df: DataFrame, cols: Sequence[str], add_constant: float = 1.0)
     return out.drop(*[f"_min_{i}" for i in range(len(cols))])
 
 
-def interactions(df: DataFrame, pairs: Sequence[tuple[str, str]], operation: str = "multiply") -> DataFrame:
+def interactions(df: DataFrame, pairs: Sequence[tuple[str, str]], operation: str = "multiply", sep: str = "_x_") -> DataFrame:
+    """``<a><sep><b>`` of every pair whose columns are there; dividing adds 1e-8 to the divisor."""
     ops = {"multiply": lambda a, b: a * b, "add": lambda a, b: a + b,
            "divide": lambda a, b: a / (b + 1e-8), "subtract": lambda a, b: a - b}
     f = ops[operation]
-    return df.withColumns({f"{a}_x_{b}": f(_c(a), _c(b)) for a, b in pairs if a in df.columns and b in df.columns})
+    return df.withColumns({f"{a}{sep}{b}": f(_c(a), _c(b)) for a, b in pairs if a in df.columns and b in df.columns})
 
 
-def safe_interactions(df: DataFrame) -> DataFrame:
-    """age x type dummies, sqm_per_room squared, rooms x sqm."""
+def safe_interactions(df: DataFrame, house_types: Sequence[str] = ("Villa", "Apartment")) -> DataFrame:
+    """age x dummies of the given house types, sqm_per_room squared, rooms x sqm."""
     cols = {}
     if "property_age" in df.columns and "house_type" in df.columns:
-        cols["age_x_villa"] = F.col("property_age") * (F.col("house_type") == "Villa").cast("int")
-        cols["age_x_apartment"] = F.col("property_age") * (F.col("house_type") == "Apartment").cast("int")
+        for h in house_types:
+            cols[f"age_x_{h.lower()}"] = F.col("property_age") * (F.col("house_type") == h).cast("int")
     if "sqm_per_room" in df.columns:
         cols["sqm_per_room_sq"] = F.col("sqm_per_room") ** 2
     if "no_rooms" in df.columns and "sqm" in df.columns:
@@ -363,17 +364,14 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], kind: str
 
 def median_imputation(df: DataFrame, cols: Sequence[str], year_col: str = "year", holdout_start: int = 2023,
                       mode: str = "exact") -> DataFrame:
-    """Medians from pre-holdout rows only (0 when a column has none), filled into NULL / NaN."""
-    fit = df.where(_c(year_col) < holdout_start)
-    specs = [(f"{c}__med", "median", c) for c in cols]
-    med = grouped_stats(fit, [], specs, mode)
-    out = df.crossJoin(F.broadcast(med))
-    out = out.withColumns({c: F.coalesce(F.when(~F.isnan(_c(c).cast("double")), _c(c)), F.col(f"`{c}__med`"), F.lit(0.0))
-                           for c in cols})
+    """E14 + P18: medians from pre-holdout rows only (0 when a column has none), filled into NULL, NaN and infinite values."""
+    clean = lambda c: F.when(F.abs(_c(c).cast("double")) < float("inf"), _c(c))
+    fit = df.where(_c(year_col) < holdout_start).select(*[clean(c).alias(c) for c in cols])
+    med = grouped_stats(fit, [], [(f"{c}__med", "median", c) for c in cols], mode)
+    out = df.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(clean(c), F.col(f"`{c}__med`"), F.lit(0.0)) for c in cols})
     return out.drop(*[f"{c}__med" for c in cols])
 
 
-
 # E15 / E16 -------------------------------------------------------------------
 def temporal_split_summary(df: DataFrame, year_col: str = "year", last_train_year: int = 2017,
                            test_start_year: int | None = None) -> DataFrame:

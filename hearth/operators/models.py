@@ -25,11 +25,13 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearth.functions.quantile import group_quantiles, rank_within_groups
+from hearth.functions.quantile import group_quantiles, rank_within_groups, running_sum
 from hearth.functions.stats import safe_corr
+from hearth.operators.neighbours import mutual_information, nearest_rows
+from hearth.sources.scratch import attach, stored
 
 # --- fixed values (reference search space and guards) -----------------------
 SEARCH_SPACE = {
@@ -209,12 +211,36 @@ def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], fraction
 
 
 def oversample_minority(df: DataFrame, label: str) -> DataFrame:
-    """M9: replicate minority rows round(n_major / n_minor) times (binary label)."""
+    """Replicate minority rows round(n_major / n_minor) times (binary label)."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_k"))
     mx = c.agg(F.max("_k").alias("_mx"))
-    f = c.crossJoin(mx).select(label, F.greatest(F.lit(1), F.round(F.col("_mx") / F.col("_k")).cast("int")).alias("_f"))
-    return df.join(F.broadcast(f), label).withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_f")))).drop("_f", "_r")
-
+    f = c.crossJoin(F.broadcast(mx)).select(label, F.greatest(F.lit(1), F.round(F.col("_mx") / F.col("_k")).cast("int")).alias("_f"))
+    return attach(df, f, label, "inner").withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_f")))).drop("_f", "_r")
+
+
+def smote(df: DataFrame, id_col: str, features: Sequence[str], label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """M9: ``(<label>, base_id, neighbour_id, gap, <features>)``: all rows (gap null) and as many synthetic ones as every smaller class lacks.
+
+    A synthetic row lies at ``gap`` (0 to 1) on the way from a row to one of its ``k`` nearest rows of the same class. A class of
+    n rows gets floor(lack / n) or one more from each row; which rows give one more, the neighbour and the gap follow from hashes
+    of id, count and seed, so a rerun agrees. A class of one row has no neighbour and stays as it is. Labels come as strings;
+    rows with a missing feature or label are left out.
+    """
+    near = stored(nearest_rows(df, id_col, features, label, k))
+    sizes = near.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.max("_n").alias("_most"))
+    lack = sizes.crossJoin(F.broadcast(most)).where("_n > 1 AND _n < _most").withColumn("_lack", F.col("_most") - F.col("_n")).drop("_most", "_n")
+    rows = attach(near, lack, label, "inner").withColumn("_h", F.xxhash64(id_col, F.lit(seed)))
+    rows = rank_within_groups(rows, [label], ["_h", id_col])
+    times = F.floor(F.col("_lack") / F.col("_n")) + (F.col("_rank") < F.col("_lack") % F.col("_n")).cast("int")
+    rows = rows.withColumn("_times", times).where("_times > 0").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    rows = rows.select(label, F.col(id_col).alias("base_id"), "vec", F.element_at("near", (F.pmod(F.xxhash64(id_col, "_c", F.lit(seed + 1)), F.size("near")) + 1).cast("int"))["id"].alias("neighbour_id"),
+                       (F.pmod(F.xxhash64(id_col, "_c", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)).alias("gap"))
+    other = near.select(F.col(id_col).alias("neighbour_id"), F.col("vec").alias("_to"))
+    made = rows.join(other, "neighbour_id").select(
+        label, "base_id", "neighbour_id", "gap", F.zip_with("vec", "_to", lambda a, b: a + (b - a) * F.col("gap")).alias("vec"))
+    plain = near.select(label, F.col(id_col).alias("base_id"), F.lit(None).cast("long").alias("neighbour_id"), F.lit(None).cast("double").alias("gap"), "vec")
+    return plain.unionByName(made).select(label, "base_id", "neighbour_id", "gap", *[F.col("vec")[i].alias(f) for i, f in enumerate(features)])
 
 
 def classifiers(label: str, seed: int = 42) -> dict:
@@ -259,17 +285,34 @@ def confusion_matrix(pred: DataFrame, label: str, prediction: str = "prediction"
         F.count(F.lit(1)).alias("n"))
 
 
-def roc_points(pred: DataFrame, label: str, score: str = "score", bins: int = 100) -> DataFrame:
-    """ROC curve at ``bins`` equal score thresholds (cumulative counts over the bins)."""
-    from pyspark.sql import Window
+def roc_points(pred: DataFrame, label: str, score: str = "score") -> DataFrame:
+    """The ROC curve at every distinct score: (threshold, tpr, fpr) of "positive from this score on".
 
-    s = pred.select(F.least(F.floor(_c(score) * bins), F.lit(bins - 1)).cast("int").alias("b"), _c(label).cast("int").alias("y"))
-    c = s.groupBy("b").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    w = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    Scores are counted first (equal ones are one row) and summed from the top by a distributed running sum.
+    """
+    s = pred.select(_c(score).cast("double").alias("threshold"), _c(label).cast("int").alias("y")).where("threshold IS NOT NULL")
+    c = s.groupBy("threshold").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     tot = c.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
-    c = c.crossJoin(tot)
-    return c.select((F.col("b") / bins).alias("threshold"), (F.sum("pos").over(w) / F.col("_p")).alias("tpr"),
-                    (F.sum("neg").over(w) / F.col("_q")).alias("fpr"))
+    up = running_sum(c.select("threshold", "pos", "neg"), [], [F.desc("threshold")], "pos", "tp")
+    up = running_sum(up, [], [F.desc("threshold")], "neg", "fp")
+    return up.crossJoin(F.broadcast(tot)).select("threshold", F.try_divide("tp", "_p").alias("tpr"), F.try_divide("fp", "_q").alias("fpr"))
+
+
+def classification_report(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
+    """Precision, recall, F1 and support by class, and their macro and weighted averages (0 where undefined)."""
+    c = pred.groupBy(_c(label).cast("int").alias("a"), _c(prediction).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    side = F.explode(F.array(F.struct(F.col("a").alias("c"), F.lit(1).alias("is_a")), F.struct(F.col("p").alias("c"), F.lit(0).alias("is_a"))))
+    per = c.withColumn("s", side).groupBy("s.c").agg(F.sum(F.when(F.col("s.is_a") == 1, F.col("n")).otherwise(0)).alias("support"),
+                                                     F.sum(F.when(F.col("s.is_a") == 0, F.col("n")).otherwise(0)).alias("said"),
+                                                     F.sum(F.when((F.col("a") == F.col("p")) & (F.col("s.is_a") == 1), F.col("n")).otherwise(0)).alias("hit"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    per = per.select(F.col("c").cast("string").alias("class"), zero(F.try_divide("hit", "said")).alias("precision"), zero(F.try_divide("hit", "support")).alias("recall"),
+                     zero(F.try_divide(2.0 * F.col("hit"), F.col("said") + F.col("support"))).alias("f1"), "support")
+    names = ("precision", "recall", "f1")
+    macro = per.agg(*[F.avg(x).alias(x) for x in names], F.sum("support").alias("support")).select(F.lit("macro avg").alias("class"), *names, "support")
+    weighted = per.agg(*[(F.sum(F.col(x) * F.col("support")) / F.sum("support")).alias(x) for x in names], F.sum("support").alias("support")).select(
+        F.lit("weighted avg").alias("class"), *names, "support")
+    return per.unionByName(macro).unionByName(weighted)
 
 
 def classifier_leaderboard(train: DataFrame, test: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -305,38 +348,18 @@ def low_variance_columns(df: DataFrame, cols: Sequence[str], threshold: float =
     return [c for c in cols if row[c] is not None and row[c] < threshold]
 
 
-def feature_scores(df: DataFrame, cols: Sequence[str], target: str, bins: int = 10) -> DataFrame:
-    """Per feature |r| with the target, F-regression statistic
-    r^2 (n-2) / (1 - r^2), and binned mutual information (equal-width bins of
-    feature and target); each score min-max normalised and averaged."""
-    d = df.select(*[_c(c).cast("double").alias(c) for c in cols], _c(target).cast("double").alias("_y")).na.drop()
-    st = d.agg(F.count(F.lit(1)).alias("_n"), *[safe_corr(F.col(c), F.col("_y")).alias(f"r::{c}") for c in cols],
-               *[F.min(c).alias(f"lo::{c}") for c in cols], *[F.max(c).alias(f"hi::{c}") for c in cols],
-               F.min("_y").alias("_ylo"), F.max("_y").alias("_yhi"))
-    j = d.crossJoin(F.broadcast(st))
-
-    def b(x, lo, hi):
-        return F.when(hi == lo, 0).otherwise(F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))).cast("int")
-
-    yb = b(F.col("_y"), F.col("_ylo"), F.col("_yhi"))
-    long = j.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), b(F.col(c), F.col(f"`lo::{c}`"), F.col(f"`hi::{c}`")).alias("xb"))
-                                         for c in cols])).alias("_f"), yb.alias("yb"))
-    long = long.select("_f.feature", "_f.xb", "yb")
-    joint = long.groupBy("feature", "xb", "yb").agg(F.count(F.lit(1)).alias("nxy"))
-    px = long.groupBy("feature", "xb").agg(F.count(F.lit(1)).alias("nx"))
-    py = long.groupBy("feature", "yb").agg(F.count(F.lit(1)).alias("ny"))
-    tot = d.agg(F.count(F.lit(1)).alias("N"))
-    mi = (joint.join(px, ["feature", "xb"]).join(py, ["feature", "yb"]).crossJoin(F.broadcast(tot))
-          .groupBy("feature").agg(F.sum(F.col("nxy") / F.col("N") * F.log(F.col("nxy") * F.col("N") / (F.col("nx") * F.col("ny")))).alias("mutual_info")))
+def feature_scores(df: DataFrame, cols: Sequence[str], target: str, k: int = 3) -> DataFrame:
+    """Per feature |r| with the target, F-regression statistic r^2 (n-2) / (1 - r^2), and mutual information by
+    the ``k`` nearest neighbours over all rows; F and information min-max normalised and averaged. Rows with a missing value
+    are left out."""
+    d = stored(df.select(*[_c(c).cast("double").alias(c) for c in cols], _c(target).cast("double").alias("_y")).na.drop())
+    st = d.agg(F.count(F.lit(1)).alias("_n"), *[safe_corr(_c(c), F.col("_y")).alias(f"r::{c}") for c in cols])
     rs = st.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`r::{c}`").alias("r")) for c in cols])).alias("_s"), "_n")
-    rs = rs.select("_s.feature", "_s.r", "_n")
-    sc = rs.join(mi, "feature").withColumns({
+    sc = rs.select("_s.feature", "_s.r", "_n").join(mutual_information(d, cols, "_y", k), "feature").withColumns({
         "abs_r": F.abs("r"),
         "f_stat": F.try_divide(F.col("r") ** 2 * (F.col("_n") - 2), 1 - F.col("r") ** 2),
     }).drop("_n")
-    from pyspark.sql import Window
-
-    allw = Window.partitionBy()
+    allw = Window.partitionBy()  # one row per feature
 
     def norm(c):
         lo, hi = F.min(c).over(allw), F.max(c).over(allw)
@@ -346,6 +369,13 @@ def feature_scores(df: DataFrame, cols: Sequence[str], target: str, bins: int =
     return sc.withColumn("score", (F.col("f_norm") + F.col("mi_norm")) / 2.0)
 
 
+def forest_importance(df: DataFrame, cols: Sequence[str], target: str, trees: int = 100, seed: int = 42) -> DataFrame:
+    """(feature, forest_importance) of a random forest on all complete rows."""
+    d = df.select(*[_c(c).cast("double").alias(c) for c in cols], _c(target).cast("double").alias("_y")).na.drop()
+    model = RandomForestRegressor(labelCol="_y", numTrees=trees, seed=seed).fit(assemble(d, cols))
+    return feature_importance(model, cols, df.sparkSession, len(cols)).withColumnRenamed("importance", "forest_importance")
+
+
 def select_features(scores: DataFrame, critical: Sequence[str], max_features: int = 30) -> list[str]:
     """The best-scored features up to ``max_features``, critical ones always kept."""
     ranked = [r.feature for r in scores.orderBy(F.desc("score"), "feature").collect()]  # one row per feature

@@ -296,6 +296,25 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(stack).alias("_s")).select("_s.*").withColumn("abs_r", F.abs("r"))
 
 
+def high_correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> DataFrame:
+    """The column pairs whose absolute correlation is above ``threshold``."""
+    return correlation_pairs(df, cols).where(F.col("abs_r") > threshold).select(F.col("col_a").alias("var1"), F.col("col_b").alias("var2"), F.col("abs_r").alias("correlation"))
+
+
+class GateError(ValueError):
+    """A feature set that must not reach a model."""
+
+
+def check_features(df: DataFrame, features: Sequence[str], target: str, limit: float, required: Sequence[str] = (), forbidden: Sequence[str] = ()) -> None:
+    """Q20: raise unless every required column is there, no forbidden one is, and no feature's |r| with the target is above ``limit``."""
+    missing, bad = sorted(set(required) - set(features)), sorted(set(forbidden) & set(features))
+    if missing or bad:
+        raise GateError(f"missing: {missing}; forbidden: {bad}")
+    close = correlation_gate(df, features, target, limit).where("too_correlated").select("feature", "r").collect()  # one row a feature at most
+    if close:
+        raise GateError("too close to the target: " + ", ".join(f"{r['feature']} ({r['r']:.4f})" for r in close))
+
+
 def correlation_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """Q16 / Q20: r of each column with the target."""
     row = df.agg(*[safe_corr(_c(c), _c(target)).alias(c) for c in cols])

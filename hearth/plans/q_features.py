@@ -82,7 +82,9 @@ def size_features(spark, sf_dir):
        CASE WHEN mchg <= 0 THEN (CASE WHEN "%_change_between_offer_and_purchase" > -1 THEN ln(1 + "%_change_between_offer_and_purchase") END)
             ELSE ln("%_change_between_offer_and_purchase" + 1.0) END
          AS "%_change_between_offer_and_purchase_log",
-       sqm * no_rooms AS sqm_x_no_rooms, sqm / (no_rooms + 1e-8) AS sqm_x_no_rooms_div,
+       sqm * no_rooms AS sqm_x_no_rooms, sqm / (no_rooms + 1e-8) AS sqm_div_no_rooms, sqm + year_build AS sqm_plus_year_build, sqm - no_rooms AS sqm_minus_no_rooms,
+       (2024 - year_build) * CASE WHEN house_type = 'Economy' THEN 1 ELSE 0 END AS age_x_economy,
+       (2024 - year_build) * CASE WHEN house_type = 'Standard' THEN 1 ELSE 0 END AS age_x_standard,
        sqm / CASE WHEN no_rooms = 0 THEN 1 ELSE no_rooms END AS sqm_per_room,
        power(sqm / CASE WHEN no_rooms = 0 THEN 1 ELSE no_rooms END, 2) AS sqm_per_room_sq,
        no_rooms * sqm AS rooms_x_sqm
@@ -93,10 +95,12 @@ def log_and_interactions(spark, sf_dir):
     d = X.log_target(b)
     d = X.log_transform(d, ["sqm", "%_change_between_offer_and_purchase"])
     d = X.interactions(d, [("sqm", "no_rooms")], "multiply")
-    d = d.withColumn("sqm_x_no_rooms_div", F.col("sqm") / (F.col("no_rooms") + 1e-8))
-    d = X.safe_interactions(X.sqm_per_room_safe(d))
+    d = X.interactions(d, [("sqm", "no_rooms")], "divide", "_div_")
+    d = X.interactions(X.interactions(d, [("sqm", "year_build")], "add", "_plus_"), [("sqm", "no_rooms")], "subtract", "_minus_")
+    d = X.safe_interactions(X.sqm_per_room_safe(X.property_age_features(d)), ("Economy", "Standard"))
     return d.select(*KEY, "log_price", "sqm_log", "%_change_between_offer_and_purchase_log", "sqm_x_no_rooms",
-                    "sqm_x_no_rooms_div", "sqm_per_room", "sqm_per_room_sq", "rooms_x_sqm")
+                    "sqm_div_no_rooms", "sqm_plus_year_build", "sqm_minus_no_rooms", "age_x_economy", "age_x_standard",
+                    "sqm_per_room", "sqm_per_room_sq", "rooms_x_sqm")
 
 
 @register("market_phase_features", ("F13",), with_layers("""
@@ -105,12 +109,14 @@ SELECT house_id, no_rooms, date, purchase_price,
        CAST(year_sale IN (2008, 2009, 2020, 2021) AS INTEGER) AS crisis_period,
        CASE WHEN year_sale BETWEEN 0 AND 2000 THEN 'growth_90s' WHEN year_sale BETWEEN 2001 AND 2007 THEN 'boom_2000s'
             WHEN year_sale BETWEEN 2008 AND 2012 THEN 'crisis_post2008' WHEN year_sale BETWEEN 2013 AND 2019 THEN 'recovery_2010s'
-            WHEN year_sale BETWEEN 2020 AND 2024 THEN 'covid_era' ELSE 'other' END AS market_phase
+            WHEN year_sale BETWEEN 2020 AND 2024 THEN 'covid_era' ELSE 'other' END AS market_phase,
+       year_sale BETWEEN 0 AND 2000 AS phase_growth_90s, year_sale BETWEEN 2001 AND 2007 AS phase_boom_2000s, year_sale NOT BETWEEN 0 AND 2024 AS phase_other
 FROM bronze"""))
 def market_phase_features(spark, sf_dir):
     """time trend, crisis flag, market phase."""
     d = X.market_phase_features(_b(spark, sf_dir), "year")
-    return d.select(*KEY, "time_trend", "crisis_period", "market_phase")
+    return d.select(*KEY, "time_trend", "crisis_period", "market_phase",
+                    "phase_growth_90s", "phase_boom_2000s", "phase_other")
 
 
 _RATES = ("dk_ann_infl_rate%", "yield_on_mortgage_credit_bonds%")
@@ -292,12 +298,14 @@ def strategy_scaling(spark, sf_dir):
 
 
 @register("median_imputation", ("E14", "P18"), with_ctes(
-    f"med AS (SELECT quantile_cont(sqm, 0.5) AS m FROM bronze WHERE year_sale < {CFG.holdout_start_year})",
-    "SELECT house_id, no_rooms, date, purchase_price, coalesce(sqm, m, 0.0) AS sqm FROM bronze CROSS JOIN med"))
+    f"""x AS (SELECT *, CASE WHEN no_rooms <> 1 THEN sqm / (no_rooms - 1) END AS extra FROM bronze),
+med AS (SELECT quantile_cont(sqm, 0.5) AS m, quantile_cont(extra, 0.5) AS me FROM x WHERE year_sale < {CFG.holdout_start_year})""",
+    """SELECT house_id, no_rooms, date, purchase_price, coalesce(sqm, m, 0.0) AS sqm, coalesce(extra, me, 0.0) AS sqm_per_extra_room FROM x CROSS JOIN med"""))
 def median_imputation(spark, sf_dir):
-    """Sqm imputed with the pre-holdout median."""
-    d = X.median_imputation(_b(spark, sf_dir), ["sqm"], "year", CFG.holdout_start_year, M)
-    return d.select(*KEY, "sqm")
+    """E14 + P18: sqm and a ratio that is infinite for one room, imputed with the pre-holdout medians."""
+    extra = F.when(F.col("no_rooms") == 1, F.lit(math.inf)).otherwise(F.col("sqm") / (F.col("no_rooms") - 1))
+    d = X.median_imputation(_b(spark, sf_dir).withColumn("sqm_per_extra_room", extra), ["sqm", "sqm_per_extra_room"], "year", CFG.holdout_start_year, M)
+    return d.select(*KEY, "sqm", "sqm_per_extra_room")
 
 
 @register("temporal_split", ("E15",), with_layers(f"""

@@ -9,24 +9,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearth.config import DRIVER_CONFIG as CFG
-from hearth.config import FORBIDDEN_FEATURES
+from hearth.config import FORBIDDEN_FEATURES, VARIANCE_THRESHOLD
 from hearth.operators import features as X
 from hearth.operators import models as ML
+from hearth.operators.fitted import MedianImputer
+from hearth.operators.neighbours import nearest_rows
 from hearth.plans.layers import bronze_table, materialize
 from hearth.plans.registry import register
 from hearth.session import ensure_checkpoint_dir
+from hearth.sources.scratch import stored
 from hearth.sources.tables import read_table
 
 M = CFG.quantile_mode
 LABEL = "log_price"
-# Candidate numeric features of the housing frame; the selection step keeps the best.
-CANDIDATES = ("sqm", "no_rooms", "year_build", "property_age", "sqm_per_room", "month_sin", "month_cos", "quarter_sin",
-              "quarter_cos", "dayofweek_sin", "dayofweek_cos", "years_since_start", "time_trend", "crisis_period",
-              "dk_ann_infl_rate%", "yield_on_mortgage_credit_bonds%", "rolling_regional_mean", "rolling_regional_median",
-              "rolling_regional_std", "rolling_regional_cv", "rolling_regional_count", "rolling_regional_p90",
-              "region_frequency", "house_type_Large", "house_type_Medium", "house_type_Promo",
-              "house_type_Small", "house_type_Standard")
-CRITICAL = ("sqm", "no_rooms", "year_build", "property_age")
+HOUSE_TYPE_PAIR = ("Economy", "Standard")  # study parameter: the two types that age interacts with
+# --- fixed values: scaled columns, columns kept whatever their score, and columns that are no candidates ---
+SCALED = ("sqm", "no_rooms", "year_build", "property_age", "sqm_per_room", "rooms_sqm_ratio", "region_target_encoded", "region_frequency")
+SCALED_CYCLIC = ("month_sin", "month_cos", "quarter_sin", "quarter_cos")
+CRITICAL = ("month_sin", "month_cos", "quarter_sin", "quarter_cos", "rolling_regional_mean", "rolling_regional_median", "rolling_regional_std",
+            "rolling_regional_cv", "rolling_regional_count", "rolling_regional_p90", "is_premium_causal", "price_deviation_from_rolling_median")
+EXCLUDED = ("date", "region", "house_id", "area", "zip_code", "house_type", "sales_type", "market_phase", "rooms_category", "size_category", "year_build",
+            "purchase_price", "region_target_encoded", "region_count", "rolling_regional_median_v2", "sqm_price", "%_change_between_offer_and_purchase",
+            "dk_ann_infl_rate%", "yield_on_mortgage_credit_bonds%", "time_trend")
+# ------------------------------------------------------------------------------
 # Study parameter: density / distance lookups per region of the driver data (the
 # reference keys them by city, which the data does not have).
 URBAN_DENSITY = {"Europe": 5.0, "America": 4.0, "Asia": 4.0, "Africa": 2.0, "Middle East": 3.0}
@@ -34,38 +39,59 @@ DISTANCE_TO_CENTER = {"Europe": 5.0, "America": 15.0, "Asia": 20.0, "Africa": 40
 
 
 def feature_frame(spark, sf_dir):
-    """The full feature pipeline over the Bronze sales (written once per session)."""
+    """The full feature pipeline over the Bronze sales (written once per session).
+
+    Calendar, size and age features, encoded categories, scaling by skewness (fitted before the holdout), causal rolling
+    statistics and advanced features of the raw price; then forbidden and excluded columns go.
+    """
 
     def build():
         b = bronze_table(spark, sf_dir, CFG).withColumn("year", F.col("year_sale"))
         d = X.log_target(b)
         d = X.cyclic_features(X.date_features(d))
         d = X.property_age_features(d)
-        d = X.size_features(d, mode=M, with_percentile=False)
-        d = X.market_phase_features(d, "year")
-        d = X.one_hot(d, "house_type")
-        d = X.encode_categoricals(d, [], LABEL)  # region: target + frequency encoding
-        d = X.add_rolling_features(d, "region", LABEL, "year", CFG.rolling_window_years, CFG.min_obs_per_window, M)
-        keep = [c for c in CANDIDATES if c in d.columns]
-        return d.select("year", LABEL, *keep)
+        d = X.size_features_b(d, mode=M)
+        d = X.encode_categoricals(d, ["house_type"], "purchase_price")  # house type one-hot, region by target and frequency
+        d = stored(d.drop("season_sale", "dayname_sale", "_bronze_ingest_ts", "_source_file"))
+        d = X.strategy_scale(d, d.where(F.col("year") < CFG.holdout_start_year), [*SCALED, *SCALED_CYCLIC], SCALED_CYCLIC, mode=M)
+        for c in (*SCALED, *SCALED_CYCLIC):
+            d = d.drop(c).withColumnRenamed(f"{c}_scaled", c)
+        d = X.add_rolling_features(d, "region", "purchase_price", "year", CFG.rolling_window_years, CFG.min_obs_per_window, M)
+        d = X.safe_interactions(X.market_phase_features(d, "year"), HOUSE_TYPE_PAIR)
+        numeric = [n for n, t in d.dtypes if t in ("int", "bigint", "double", "float", "boolean")]
+        keep = [n for n in numeric if n not in EXCLUDED and n not in FORBIDDEN_FEATURES and n not in ("year", LABEL)]
+        return d.select("year", LABEL, *[F.col(f"`{n}`").cast("double").alias(n) for n in keep])
 
     return materialize(spark, "features", build, (sf_dir, repr(CFG)))
 
 
 def _candidates(df):
-    return [c for c in CANDIDATES if c in df.columns and c not in FORBIDDEN_FEATURES]
+    return [c for c in df.columns if c not in ("year", LABEL)]
 
 
 @register("feature_scores", ("E12", "E13", "E11", "E17", "P17", "P16", "J9"))
 def feature_scores(spark, sf_dir):
-    """Low-variance filter, then correlation / F / binned-MI scores on training years."""
+    """Low-variance filter, then correlation, F and nearest-neighbour information scores on training years (all rows)."""
+    return materialize(spark, "feature-scores", lambda: _scores(spark, sf_dir), (sf_dir, repr(CFG)))
+
+
+def _scores(spark, sf_dir):
     d = feature_frame(spark, sf_dir)
     cols = _candidates(d)
     X.leak_guard(cols)
-    low = set(ML.low_variance_columns(d, cols))
+    low = set(ML.low_variance_columns(d, cols, VARIANCE_THRESHOLD))
     cols = [c for c in cols if c not in low]
     tr = d.where(F.col("year") < CFG.holdout_start_year)
-    return ML.feature_scores(tr, cols, LABEL)
+    return ML.feature_scores(MedianImputer(cols=cols).fit(tr).transform(tr), cols, LABEL)
+
+
+@register("preliminary_importance", ("E12",))
+def preliminary_importance(spark, sf_dir):
+    """Forest importance, nearest-neighbour information and |r| of every candidate feature."""
+    sc = feature_scores(spark, sf_dir).select("feature", "mutual_info", "abs_r")
+    cols = sorted(r.feature for r in sc.select("feature").collect())
+    d = feature_frame(spark, sf_dir).where(F.col("year") < CFG.holdout_start_year)
+    return sc.join(ML.forest_importance(MedianImputer(cols=cols).fit(d).transform(d), cols, LABEL), "feature", "left")
 
 
 _SELECTED: dict = {}
@@ -84,7 +110,7 @@ def _selected(spark, sf_dir):
 
 @register("leak_test", ("Q21",))
 def leak_test(spark, sf_dir):
-    """Q21: linear model on a <= 50k-row hash sample must stay below R^2 0.95."""
+    """Q21: a linear model on all complete rows must stay below R^2 0.95."""
     d, feats = _selected(spark, sf_dir)
     tr, _ = ML.impute_with_train_medians(d, d.limit(0), feats, M)
     return ML.leak_test(tr, feats, LABEL)
@@ -182,25 +208,117 @@ def oversampled_counts(spark, sf_dir):
     return o.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("classifier_leaderboard", ("M7", "M10", "M11"))
+SMOTE_FEATURES = ("n_chars", "n_lines", "n_words")
+_SMOTE_SQL = """ld AS (SELECT l.doc_id, CAST(l.quality AS VARCHAR) AS quality, CAST(d.n_chars AS DOUBLE) AS a, CAST(len(string_split(coalesce(text, ''), chr(10))) AS DOUBLE) AS b,
+         CAST(len(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')) AS DOUBLE) AS c FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+       WHERE l.quality IS NOT NULL AND d.n_chars IS NOT NULL)"""
+
+
+def _smote_frame(spark, sf_dir):
+    return doc_frame(spark, sf_dir).select("doc_id", "quality", *SMOTE_FEATURES)
+
+
+@register("smote_neighbours", ("M9",), f"""WITH {_SMOTE_SQL},
+p AS (SELECT x.quality, x.doc_id, y.doc_id AS near_id, power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2) AS squared_distance
+      FROM ld x JOIN ld y ON x.quality = y.quality AND x.doc_id <> y.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY squared_distance, near_id) AS rank FROM p)
+SELECT * FROM r WHERE rank <= 5""")
+def smote_neighbours(spark, sf_dir):
+    """M9: the 5 nearest documents of the same class of every labelled document."""
+    near = nearest_rows(_smote_frame(spark, sf_dir), "doc_id", SMOTE_FEATURES, "quality", 5)
+    return near.select("quality", "doc_id", F.posexplode("near").alias("_i", "_x")).select(
+        "quality", "doc_id", (F.col("_i") + 1).alias("rank"), F.col("_x.id").alias("near_id"), F.col("_x.d").alias("squared_distance"))
+
+
+@register("smote_balance", ("M9",), f"""WITH {_SMOTE_SQL}, k AS (SELECT quality, count(*) AS n FROM ld GROUP BY quality)
+SELECT quality, n AS n_rows, CASE WHEN n > 1 THEN (SELECT max(n) FROM k) - n ELSE 0 END AS n_synthetic, true AS between_true_neighbours FROM k""")
+def smote_balance(spark, sf_dir):
+    """M9: rows and synthetic rows by class; each synthetic row lies between a row and one of its 5 nearest."""
+    d = _smote_frame(spark, sf_dir)
+    made = stored(ML.smote(d, "doc_id", SMOTE_FEATURES, "quality", 5))
+    near = nearest_rows(d, "doc_id", SMOTE_FEATURES, "quality", 5).select(F.col("doc_id").alias("base_id"), "vec", F.transform("near", lambda x: x["id"]).alias("ids"))
+    other = near.select(F.col("base_id").alias("neighbour_id"), F.col("vec").alias("to"))
+    x = made.where("gap IS NOT NULL").join(near, "base_id").join(other, "neighbour_id")
+    inside = F.array_contains("ids", F.col("neighbour_id")) & F.col("gap").between(0, 1)
+    for i, f in enumerate(SMOTE_FEATURES):
+        a, b = F.col("vec")[i], F.col("to")[i]
+        inside = inside & (F.abs(F.col(f) - (a + (b - a) * F.col("gap"))) <= 1e-9 * (1 + F.abs(a) + F.abs(b)))
+    good = x.groupBy("quality").agg(F.min(inside.cast("int")).alias("ok"), F.count(F.lit(1)).alias("n_synthetic"))
+    rows = made.where("gap IS NULL").groupBy("quality").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.join(good, "quality", "left").select("quality", "n_rows", F.coalesce("n_synthetic", F.lit(0).cast("long")).alias("n_synthetic"),
+                                                     (F.coalesce("ok", F.lit(1)) == 1).alias("between_true_neighbours"))
+
+
+def _split_frame(spark, sf_dir):
+    d = doc_frame(spark, sf_dir)
+    return materialize(spark, "doc-split", lambda: ML.stratified_split(d, "quality", ["doc_id"], (0.70, 0.15, 0.15), 42), (sf_dir,)), _doc_features(d)
+
+
+@register("classifier_leaderboard", ("M7", "M10"))
 def classifier_leaderboard(spark, sf_dir):
     """M7 + M10: logistic regression, random forest and boosting on the
     stratified split (train / test), with accuracy, F1 and exact AUC."""
-    d = doc_frame(spark, sf_dir)
-    feats = _doc_features(d)
-    s = ML.stratified_split(d, "quality", ["doc_id"], (0.70, 0.15, 0.15), 42)
+    s, feats = _split_frame(spark, sf_dir)
     return ML.classifier_leaderboard(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), feats, "quality")
 
 
+def _logistic(spark, sf_dir):
+    """Test predictions of the logistic model, written once per session and input."""
+    s, feats = _split_frame(spark, sf_dir)
+
+    def build():
+        pred, _ = ML.fit_predict(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), feats, "quality", ML.classifiers("quality")["logistic_regression"])
+        return ML.with_score(pred).select("doc_id", "quality", "prediction", "score")
+
+    return materialize(spark, "doc-logistic", build, (sf_dir,))
+
+
 @register("classifier_confusion", ("M10",))
 def classifier_confusion(spark, sf_dir):
-    """Confusion matrix and ROC points of the logistic model."""
-    d = doc_frame(spark, sf_dir)
-    feats = _doc_features(d)
-    s = ML.stratified_split(d, "quality", ["doc_id"], (0.70, 0.15, 0.15), 42)
-    pred, _ = ML.fit_predict(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), feats, "quality",
-                             ML.classifiers("quality")["logistic_regression"])
-    return ML.confusion_matrix(pred, "quality")
+    """Confusion matrix of the logistic model."""
+    return ML.confusion_matrix(_logistic(spark, sf_dir), "quality")
+
+
+# A stated rule instead of a fitted model, so that SQL can say the same.
+_RULE = "least(n_words, 400) / 400.0"
+
+
+def _rule(spark, sf_dir):
+    """Labelled documents scored by a rule on their length: longer means better."""
+    d = _smote_frame(spark, sf_dir).where("quality IS NOT NULL AND n_chars IS NOT NULL")
+    return d.withColumn("score", F.expr(_RULE)).withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+
+
+_RULE_SQL = f"""{_SMOTE_SQL}, s AS (SELECT CAST(quality AS INTEGER) AS y, least(c, 400) / 400.0 AS score FROM ld), q AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS p FROM s)"""
+
+
+@register("roc_curve", ("M10",), f"""WITH {_RULE_SQL}, c AS (SELECT score AS threshold, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM q GROUP BY score)
+SELECT threshold, sum(pos) OVER w / (SELECT sum(pos) FROM c) AS tpr, sum(neg) OVER w / (SELECT sum(neg) FROM c) AS fpr FROM c WINDOW w AS (ORDER BY threshold DESC)""")
+def roc_curve(spark, sf_dir):
+    """The ROC curve at every distinct score of a length rule on the labelled documents."""
+    return ML.roc_points(_rule(spark, sf_dir), "quality")
+
+
+@register("classification_report", ("M10",), f"""WITH {_RULE_SQL},
+per AS (SELECT CAST(c AS VARCHAR) AS class, coalesce(count(*) FILTER (WHERE y = c AND p = c) / nullif(count(*) FILTER (WHERE p = c), 0), 0) AS precision,
+         coalesce(count(*) FILTER (WHERE y = c AND p = c) / nullif(count(*) FILTER (WHERE y = c), 0), 0) AS recall,
+         2.0 * count(*) FILTER (WHERE y = c AND p = c) / (count(*) FILTER (WHERE y = c) + count(*) FILTER (WHERE p = c)) AS f1, count(*) FILTER (WHERE y = c) AS support
+  FROM q, (SELECT unnest([0, 1]) AS c) GROUP BY c)
+SELECT * FROM per UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM per""")
+def classification_report(spark, sf_dir):
+    """Precision, recall, F1 and support by class of a length rule on the labelled documents."""
+    return ML.classification_report(_rule(spark, sf_dir), "quality")
+
+
+@register("rule_metrics", ("M10",), f"""WITH {_RULE_SQL}, k AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
+  count(*) FILTER (WHERE y = 1 AND p = 0) AS fn, count(*) FILTER (WHERE y = 0 AND p = 0) AS tn FROM q),
+a AS (SELECT sum(CASE WHEN x.score > z.score THEN 1.0 WHEN x.score = z.score THEN 0.5 ELSE 0.0 END) / count(*) AS auc FROM q x, q z WHERE x.y = 1 AND z.y = 0)
+SELECT n, tp, fp, fn, tn, (tp + tn) / n AS accuracy, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall,
+       2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0) AS f1, auc FROM k, a""")
+def rule_metrics(spark, sf_dir):
+    """Accuracy, precision, recall, F1 and exact AUC of a length rule on the labelled documents."""
+    return ML.classification_metrics(_rule(spark, sf_dir), "quality")
 
 
 @register("geo_clusters", ("F15", "E19", "E20", "P15"))

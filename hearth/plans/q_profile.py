@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearth.config import DRIVER_CONFIG as CFG
+from hearth.operators import normality as N
 from hearth.operators import profile as P
 from hearth.plans.layers import bronze_table
 from hearth.plans.registry import register
@@ -270,3 +271,31 @@ def layer_assertions(spark, sf_dir):
         F.bool_and(F.col("year_sale").between(1990, 2030)).alias("year_range_ok"),
         F.count_distinct("region").alias("n_regions"), F.min("year_sale").alias("min_year"),
         F.max("year_sale").alias("max_year"))
+
+
+_SW_COLS = ("purchase_price", "sqm", "sqm_price", "year_build", "%_change_between_offer_and_purchase")
+
+
+@register("shapiro_wilk", ("Q7",), with_ctes(N.shapiro_wilk_sql("bronze", _SW_COLS), "SELECT * FROM sw"), digits=8)
+def shapiro_wilk(spark, sf_dir):
+    """Q7: Shapiro-Wilk statistic of the numeric columns over all rows."""
+    return N.shapiro_wilk(bronze_table(spark, sf_dir, CFG), _SW_COLS)
+
+
+@register("shapiro_wilk_pvalue", ("Q7",))
+def shapiro_wilk_pvalue(spark, sf_dir):
+    """Q7: the statistic's p-value and verdict."""
+    return N.shapiro_wilk_p(N.shapiro_wilk(bronze_table(spark, sf_dir, CFG), _SW_COLS))
+
+
+_T7_COLS = ("purchase_price", "sqm", "sqm_price", "no_rooms", "year_build", "year_sale", "age_at_sale", "property_age")
+_T7_SQL = "x AS (SELECT *, year_sale - year_build AS age_at_sale, 2024 - year_build AS property_age FROM bronze)"
+
+
+@register("high_correlation_pairs", ("T7",), with_ctes(_T7_SQL, "SELECT * FROM (" + _union(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, abs(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))) AS correlation FROM x"
+    for i, a in enumerate(_T7_COLS) for b in _T7_COLS[i + 1:]) + ") WHERE correlation > 0.95"))
+def high_correlation_pairs(spark, sf_dir):
+    """Pairs of numeric columns with an absolute correlation above 0.95."""
+    b = bronze_table(spark, sf_dir, CFG).withColumns({"age_at_sale": F.col("year_sale") - F.col("year_build"), "property_age": 2024 - F.col("year_build")})
+    return P.high_correlation_pairs(b, _T7_COLS)
