@@ -3,13 +3,12 @@
 Training is Spark ML (distributed tree / linear learners on assembled
 vectors); every metric is a plain aggregation over the prediction table, so it
 scales with the rows and has an SQL form given the predictions. Hyper-parameter
-search draws seeded trials from the reference's space and scores each by mean
-RMSE over the walk-forward folds.
+search takes seeded trials from the reference's space (``search.py``) and scores
+each by mean RMSE over the walk-forward folds.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -31,7 +30,8 @@ from pyspark.sql import functions as F
 from hearth.functions.quantile import group_quantiles, rank_within_groups, running_sum
 from hearth.functions.stats import safe_corr
 from hearth.operators.neighbours import mutual_information, nearest_rows
-from hearth.sources.scratch import attach, stored
+from hearth.operators.search import Space, search, suggest
+from hearth.sources.scratch import attach, new_path, stored
 
 # --- fixed values (reference search space and guards) -----------------------
 SEARCH_SPACE = {
@@ -76,20 +76,8 @@ def gbt_from_reference_params(p: dict, label: str, seed: int = 42) -> GBTRegress
                         minInstancesPerNode=int(p["min_rows"]), seed=seed)
 
 
-def draw_trials(n: int, seed: int = 42) -> list[dict]:
-    """Seeded random draws from the search space (learning rate log-uniform)."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(n):
-        out.append({
-            "ntrees": int(rng.integers(SEARCH_SPACE["ntrees"][0], SEARCH_SPACE["ntrees"][1] + 1)),
-            "max_depth": int(rng.integers(SEARCH_SPACE["max_depth"][0], SEARCH_SPACE["max_depth"][1] + 1)),
-            "learn_rate": float(np.exp(rng.uniform(np.log(SEARCH_SPACE["learn_rate"][0]), np.log(SEARCH_SPACE["learn_rate"][1])))),
-            "sample_rate": float(rng.uniform(*SEARCH_SPACE["sample_rate"])),
-            "col_sample_rate": float(rng.uniform(*SEARCH_SPACE["col_sample_rate"])),
-            "min_rows": int(rng.integers(SEARCH_SPACE["min_rows"][0], SEARCH_SPACE["min_rows"][1] + 1)),
-        })
-    return out
+#: The reference's search space as ranges of the sampler (learning rate on a log scale).
+SPACE = Space({n: (*r, {"learn_rate": "log"}.get(n, "int" if n in ("ntrees", "max_depth", "min_rows") else "float")) for n, r in SEARCH_SPACE.items()})
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction", mode: str = "exact") -> DataFrame:
@@ -109,31 +97,34 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
                     "mae", (F.col("_mape") * 100.0).alias("mape"), "medae", "rmse_expm1", "mae_expm1")
 
 
-def walk_forward_search(df: DataFrame, folds: DataFrame, features: Sequence[str], label: str, n_trials: int = 1,
+def walk_forward_search(df: DataFrame, folds: DataFrame, features: Sequence[str], label: str, path: str, n_trials: int = 1,
                         seed: int = 42, year_col: str = "year", mode: str = "exact") -> DataFrame:
-    """M2: each trial is fitted on every fold's training years (medians
-    imputed from them) and scored by RMSE on the validation year."""
-    spark = df.sparkSession
-    rows = []
-    fold_list = folds.orderBy("fold_id").collect()  # a handful of (train_end, val_year) rows
+    """M2: each trial is fitted on a fold's training years (medians imputed from them) and scored by RMSE on the
+    validation year; trials come from the Parzen sampler and are kept in the table at ``path`` (see ``search``)."""
+    fold_list = {f.fold_id: f for f in folds.orderBy("fold_id").collect()}  # a handful of (train_end, val_year) rows
 
-    def score(params, f):
+    def score(params: dict, fold: int) -> float:
+        f = fold_list[fold]
         tr, va = impute_with_train_medians(df.where(_c(year_col) <= f.train_end), df.where(_c(year_col) == f.val_year), features, mode)
         model = gbt_from_reference_params(params, label).fit(assemble(tr, features))
-        pr = model.transform(assemble(va, features))
-        return pr.agg(F.sqrt(F.avg((_c(label) - F.col("prediction")) ** 2))).first()[0]
+        return model.transform(assemble(va, features)).agg(F.sqrt(F.avg((_c(label) - F.col("prediction")) ** 2))).first()[0]
+
+    out = search(df.sparkSession, path, SPACE, score, list(fold_list), n_trials, seed)
+    return out.withColumnsRenamed({"mean_score": "mean_rmse", "scores": "rmse_per_fold"})
+
 
-    # the folds are independent Spark jobs: submit them together so the
-    # scheduler interleaves their many small per-tree stages
-    with ThreadPoolExecutor(max_workers=max(1, len(fold_list))) as pool:
-        for t, params in enumerate(draw_trials(n_trials, seed)):
-            rmses = list(pool.map(lambda f: score(params, f), fold_list))
-            rows.append((t, json.dumps(params), float(np.mean(rmses)), [float(x) for x in rmses]))
-    return spark.createDataFrame(rows, "trial int, params string, mean_rmse double, rmse_per_fold array<double>")
+def without_summary(model, spark: SparkSession):
+    """The model without its training summary, by writing and reading it: the summary holds the session, which can't go to
+    the executors once the session has observed a write."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = new_path(spark)
+    model.save(path)
+    return type(model).load(path)
 
 
 def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, estimator) -> tuple[DataFrame, object]:
-    model = estimator.fit(assemble(train, features))
+    model = without_summary(estimator.fit(assemble(train, features)), train.sparkSession)
     return model.transform(assemble(test, features)), model
 
 
@@ -325,6 +316,78 @@ def classifier_leaderboard(train: DataFrame, test: DataFrame, features: Sequence
     return out
 
 
+# stacking -----------------------------------------------------------------------
+def hash_folds(df: DataFrame, id_col: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """``df`` with ``fold`` (0 to folds - 1): rows in a seeded hash order are dealt out in turn, so folds differ by one row at most."""
+    r = rank_within_groups(df.withColumn("_h", F.xxhash64(id_col, F.lit(seed))), [], ["_h", id_col])
+    return r.withColumn("fold", (F.col("_rank") % folds).cast("int")).drop("_h", "_rank", "_n")
+
+
+def out_of_fold_scores(train: DataFrame, id_col: str, features: Sequence[str], label: str, estimators: dict, folds: int = 5) -> DataFrame:
+    """(id, label, fold, model, fitted_without, score): every row scored by each learner fitted on the other folds only.
+
+    ``fitted_without`` is the fold that the scoring model had not seen. Fits are independent Spark jobs; each part is written.
+    """
+
+    def run(item):
+        (name, est), k = item
+        pred, _ = fit_predict(train.where(F.col("fold") != k), train.where(F.col("fold") == k), features, label, est.copy())
+        return stored(with_score(pred).select(id_col, label, "fold", F.lit(name).alias("model"), F.lit(k).alias("fitted_without"), "score"))
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(run, [(e, k) for e in estimators.items() for k in range(folds)]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def nonnegative_weights(scores: DataFrame, id_col: str, label: str, names: Sequence[str]) -> dict[str, float]:
+    """M11 meta model: non-negative least squares of the label on the learners' scores, normalised to sum 1.
+
+    The driver gets the learners' Gram matrix, a few numbers; of all active sets the best feasible one is taken, which is
+    exact. If all weights are zero, the learners count alike.
+    """
+    wide = scores.groupBy(id_col).pivot("model", list(names)).agg(F.first("score")).join(scores.select(id_col, _c(label).cast("double").alias("_y")).distinct(), id_col)
+    cols = [*names, "_y"]
+    row = wide.agg(*[F.sum(_c(a) * _c(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]).first()
+    g = np.array([[row[f"{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))], dtype=np.float64)
+    best, weights = g[-1, -1], np.zeros(len(names))
+    for pick in range(1, 1 << len(names)):
+        s = [i for i in range(len(names)) if pick >> i & 1]
+        w = np.linalg.lstsq(g[np.ix_(s, s)], g[s, -1], rcond=None)[0]
+        loss = g[-1, -1] - 2 * w @ g[s, -1] + w @ g[np.ix_(s, s)] @ w
+        if (w >= 0).all() and loss < best - 1e-12 * abs(g[-1, -1]):
+            best, weights = loss, np.zeros(len(names))
+            weights[s] = w
+    total = weights.sum()
+    return dict(zip(names, (weights / total if total > 0 else np.full(len(names), 1 / len(names))).tolist()))
+
+
+def stacked_leaderboard(train: DataFrame, test: DataFrame, oof: DataFrame, id_col: str, features: Sequence[str], label: str, estimators: dict) -> DataFrame:
+    """Test metrics of every learner fitted on all of ``train``, and of their mix by the out-of-fold weights; best AUC first."""
+    names = list(estimators)
+    weights = nonnegative_weights(oof, id_col, label, names)
+
+    def run(name):
+        pred, _ = fit_predict(train, test, features, label, estimators[name].copy())
+        return stored(with_score(pred).select(id_col, label, F.lit(name).alias("model"), "score"))
+
+    with ThreadPoolExecutor(max_workers=len(names)) as pool:
+        parts = list(pool.map(run, names))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("model"))
+    mix = every.groupBy(id_col, label).agg(F.sum(F.col("score") * share).alias("score")).withColumn("model", F.lit("stacked"))
+    out = None
+    for name, part in [*zip(names, parts), ("stacked", mix)]:
+        m = classification_metrics(part.withColumn("prediction", (F.col("score") >= 0.5).cast("int")), label).withColumns(
+            {"model": F.lit(name), "weight": F.lit(weights.get(name)).cast("double")})
+        out = m if out is None else out.unionByName(m)
+    return out.orderBy(F.desc("auc"), "model")
+
+
 def kmeans_clusters(df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42, out: str = "geo_cluster") -> DataFrame:
     """KMeans cluster id on the given columns."""
     a = assemble(df, features, "_kf")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from hearth.functions.quantile import rank_within_groups, running_sum
 from hearth.sources.scratch import stored
 
-TILE = 1024
+TILE = 256
 MAX_TILES = 1_000_000  # tiles grow beyond it, so that their boxes (32 bytes each) can be sent to every task
 GRID = float(1 << 32)  # steps of a standard deviation
 _CHUNK = 1 << 22
@@ -81,7 +81,7 @@ def _own(boxes, k: int):
         sent = np.zeros(n, bool)
         sent[at] = True
         return pa.table({
-            "key": pa.array([key] * (n + m), pa.string()), "strip": pa.array(np.concatenate([np.full(n, strip), ids[to, 0]])), "tile": pa.array(np.concatenate([np.full(n, tile), ids[to, 1]])),
+            "key": pa.array([key] * (n + m), t.schema.field("key").type), "strip": pa.array(np.concatenate([np.full(n, strip), ids[to, 0]])), "tile": pa.array(np.concatenate([np.full(n, tile), ids[to, 1]])),
             "x": pa.array(np.concatenate([x, x[at]])), "y": pa.array(np.concatenate([y, y[at]])), "w": pa.array(np.concatenate([w, w[at]])),
             "reach": pa.array(np.concatenate([reach, reach[at]])), "home": pa.array(np.arange(n + m) < n), "sent": pa.array(np.concatenate([sent, np.ones(m, bool)])),
             "d": pa.chunked_array([_lists(d), empty]).combine_chunks(), "dw": pa.chunked_array([_lists(dw), empty]).combine_chunks()})
@@ -95,7 +95,7 @@ def _visited(k: int):
     def run(visitors: pa.Table, t: pa.Table) -> pa.Table:
         x, y = visitors.column("x").to_numpy(), visitors.column("y").to_numpy()
         if not visitors.num_rows or not t.num_rows:
-            return pa.table({"key": pa.array([], pa.string()), "x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()),
+            return pa.table({"key": visitors.column("key").slice(0, 0), "x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()),
                              "d": pa.array([], pa.list_(pa.int64())), "dw": pa.array([], pa.list_(pa.int64()))})
         d, dw = _nearest(x, y, *(t.column(c).to_numpy() for c in ("px", "py", "pw")), k + 1)
         return pa.table({"key": visitors.column("key"), "x": visitors.column("x"), "y": visitors.column("y"), "d": _lists(d), "dw": _lists(dw)})
@@ -106,7 +106,7 @@ def _visited(k: int):
 def neighbour_reach(points: DataFrame, k: int = 3) -> DataFrame:
     """``(key, x, y, w, reach)``: the distance to the ``k``-th nearest other point, in the maximum norm.
 
-    ``points`` are (key string, x, y, w): distinct integer points of a key with their numbers of rows. Copies are at
+    ``points`` are (key, x, y, w): distinct integer points of a key with their numbers of rows. Copies are at
     distance 0 of each other. A key with ``k`` rows or fewer has reach -1.
     """
     spark = points.sparkSession
@@ -121,11 +121,12 @@ def neighbour_reach(points: DataFrame, k: int = 3) -> DataFrame:
     for b in tiles.groupBy(*place).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).toLocalIterator():  # MAX_TILES at most, about
         held.setdefault(b[0], []).append(tuple(b)[1:])
     boxes = spark.sparkContext.broadcast({key: ((a := np.array(rows, dtype=np.int64))[:, :2], a[:, 2:]) for key, rows in held.items()})
-    kind = "key string, strip bigint, tile bigint, x bigint, y bigint, w bigint, reach bigint, home boolean, sent boolean, d array<bigint>, dw array<bigint>"
+    keys = dict(points.dtypes)["key"]
+    kind = f"key {keys}, strip bigint, tile bigint, x bigint, y bigint, w bigint, reach bigint, home boolean, sent boolean, d array<bigint>, dw array<bigint>"
     own = stored(tiles.groupBy(*place).applyInArrow(_own(boxes, k), kind))
     t = tiles.select(*[F.col(c).alias(f"p{c}") for c in (*place, "x", "y", "w")])
     met = own.where("NOT home").select(*place, "x", "y").groupBy(*place).cogroup(t.groupBy(*[f"p{c}" for c in place])).applyInArrow(
-        _visited(k), "key string, x bigint, y bigint, d array<bigint>, dw array<bigint>")
+        _visited(k), f"key {keys}, x bigint, y bigint, d array<bigint>, dw array<bigint>")
     near = own.where("home AND sent").select("key", "x", "y", "w", "d", "dw").unionByName(met.withColumn("w", F.lit(None).cast("long")))
     pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "dw"))))
     merged = near.groupBy("key", "x", "y").agg(F.max("w").alias("w"), pairs.alias("p"))
@@ -134,15 +135,18 @@ def neighbour_reach(points: DataFrame, k: int = 3) -> DataFrame:
     return own.where("home AND NOT sent").select("key", "x", "y", "w", "reach").unionByName(merged.select("key", "x", "y", "w", reach["r"].alias("reach")))
 
 
-def _within(rows: DataFrame, at: str) -> DataFrame:
-    """``rows`` with ``n_<at>``: how many rows of the key lie within ``r`` of it in this coordinate, by one sorted running sum."""
+def _information(rows: DataFrame, at: str) -> DataFrame:
+    """(key, s): the sum of psi(n) over the key's rows, n the rows within ``r`` of one in this coordinate, by one sorted running sum.
+
+    A point asks for the rows up to both ends of its range; only the ends and the distinct values are sorted.
+    """
     side = F.explode(F.array(F.struct((F.col(at) + F.col("r")).alias("v"), F.lit(1).alias("sign")), F.struct((F.col(at) - F.col("r") - 1).alias("v"), F.lit(-1).alias("sign"))))
-    ask = rows.select("key", F.col("x").alias("qx"), F.col("y").alias("qy"), side.alias("s")).select("key", "qx", "qy", "s.v", "s.sign", F.lit(1).alias("ask"), F.lit(0).cast("long").alias("w"))
-    have = rows.groupBy("key", F.col(at).alias("v")).agg(F.sum("w").alias("w")).select(
-        "key", F.lit(None).cast("long").alias("qx"), F.lit(None).cast("long").alias("qy"), "v", F.lit(0).alias("sign"), F.lit(0).alias("ask"), "w")
-    below = running_sum(ask.unionByName(have), ["key"], ["v", "ask"], "w", "below").where("ask = 1")
-    n = below.groupBy("key", F.col("qx").alias("x"), F.col("qy").alias("y")).agg(F.sum(F.col("sign") * F.col("below")).alias(f"n_{at}"))
-    return rows.join(n, ["key", "x", "y"])
+    ask = rows.withColumn("q", F.monotonically_increasing_id()).select("key", "q", F.col("w").alias("qw"), side.alias("s")).select("key", "q", "qw", "s.v", "s.sign", F.lit(0).cast("long").alias("w"))
+    none = F.lit(None).cast("long")
+    have = rows.groupBy("key", F.col(at).alias("v")).agg(F.sum("w").alias("w")).select("key", none.alias("q"), none.alias("qw"), "v", F.lit(0).alias("sign"), "w")
+    below = running_sum(ask.unionByName(have), ["key"], ["v", F.col("sign") != 0], "w", "below").where("sign <> 0")
+    n = below.groupBy("key", "q", "qw").agg(F.sum(F.col("sign") * F.col("below")).alias("n"))
+    return n.groupBy("key").agg(F.sum(F.col("qw") * _digamma(F.col("n"))).alias("s"))
 
 
 def _digamma(n: Column) -> Column:
@@ -176,13 +180,14 @@ def mutual_information(df: DataFrame, cols: Sequence[str], target: str, k: int =
     if not rest:
         return base
     grid = lambda c: F.round((F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"] * GRID).cast("long")
-    long = d.select(F.explode(F.array(*[F.struct(F.lit(cols[int(c[1:])]).alias("key"), grid(c).alias("x"), grid("t").alias("y")) for c in rest])).alias("p")).select("p.*")
+    long = d.select(F.explode(F.array(*[F.struct(F.lit(int(c[1:])).alias("key"), grid(c).alias("x"), grid("t").alias("y")) for c in rest])).alias("p")).select("p.*")
     points = long.groupBy("key", "x", "y").agg(F.count(F.lit(1)).alias("w"))
     rows = stored(neighbour_reach(points, k).withColumn("r", F.greatest(F.col("reach") - 1, F.lit(0))))
-    rows = _within(_within(rows, "x"), "y")
     psi = lambda v: float(spark.range(1).select(_digamma(F.lit(v))).first()[0])
     top = psi(n) + psi(k)
-    mi = rows.groupBy(F.col("key").alias("feature")).agg(F.greatest(F.lit(top) - F.sum(F.col("w") * (_digamma(F.col("n_x")) + _digamma(F.col("n_y")))) / n, F.lit(0.0)).alias("mutual_info"))
+    both = _information(rows, "x").unionByName(_information(rows, "y")).groupBy("key").agg(F.sum("s").alias("s"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("key") + 1)
+    mi = both.select(name.alias("feature"), F.greatest(F.lit(top) - F.col("s") / n, F.lit(0.0)).alias("mutual_info"))
     return mi.unionByName(base)
 
 

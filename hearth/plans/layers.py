@@ -30,6 +30,11 @@ def _root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/hearth-layers"
 
 
+def _slug(sf_dir: str) -> str:
+    """A folder name for an input."""
+    return hashlib.sha1(sf_dir.encode()).hexdigest()[:8]
+
+
 def _path(spark: SparkSession, name: str, *parts) -> str:
     key = hashlib.sha1(repr((spark.sparkContext.applicationId, name, *parts)).encode()).hexdigest()[:16]
     return f"{_root(spark)}/{name}-{key}"

@@ -10,7 +10,7 @@ from hearth.config import DRIVER_CONFIG as CFG
 from hearth.operators import features as X
 from hearth.operators import gold, report, stl
 from hearth.operators.silver import FLAGS, complete_cases, join_postal_centroids, one_centroid_per_zip, report_flags
-from hearth.plans.layers import _root, bronze_table, figures, price_index_table, silver_table
+from hearth.plans.layers import _root, _slug, bronze_table, figures, price_index_table, silver_table
 from hearth.plans.q_medallion import DRAWDOWN_SQL_CTES, ELASTICITY_SQL_CTES
 from hearth.plans.registry import register
 from hearth.plans.sql import with_ctes, with_layers
@@ -89,7 +89,7 @@ _EXTRACTS: dict = {}
 
 def _extracts(spark, sf_dir):
     """The typed extracts, written once per session and input; figures of each write."""
-    root = _out(spark, "extracts") + f"-{abs(hash(sf_dir)):x}"
+    root = _out(spark, "extracts") + f"-{_slug(sf_dir)}"
     if root not in _EXTRACTS:
         _EXTRACTS[root] = io.write_extracts(_kpis(spark, sf_dir), root)
     return _EXTRACTS[root]
@@ -309,7 +309,7 @@ def scaler_roundtrip_holdout(spark, sf_dir):
         "house_id", "no_rooms", "date", "purchase_price", "sqm_scaled")
 
 
-@register("column_name_repair", ("S5",))
+@register("column_name_repair", ("S5",), with_layers('SELECT region, count(*) AS n, avg("dk_ann_infl_rate%") AS mean_infl FROM bronze GROUP BY region'))
 def column_name_repair(spark, sf_dir):
     """A CSV landed with record-set-prefixed, %25-encoded headers and
     byte-literal strings, repaired on read."""

@@ -14,7 +14,7 @@ from hearth.operators import features as X
 from hearth.operators import models as ML
 from hearth.operators.fitted import MedianImputer
 from hearth.operators.neighbours import nearest_rows
-from hearth.plans.layers import bronze_table, materialize
+from hearth.plans.layers import _root, _slug, bronze_table, materialize
 from hearth.plans.registry import register
 from hearth.session import ensure_checkpoint_dir
 from hearth.sources.scratch import stored
@@ -121,7 +121,8 @@ def walk_forward_search(spark, sf_dir):
     """M1 + M2: one seeded trial of the reference's boosting space, mean RMSE over the folds."""
     d, feats = _selected(spark, sf_dir)
     folds = X.fold_table(spark, CFG.cv_min_train_end, CFG.cv_max_train_end, CFG.holdout_start_year)
-    return ML.walk_forward_search(d, folds, feats, LABEL, n_trials=1, seed=42, mode=M)
+    path = f"{_root(spark)}/trials-{spark.sparkContext.applicationId}-{_slug(sf_dir)}"
+    return ML.walk_forward_search(d, folds, feats, LABEL, path, n_trials=1, seed=42, mode=M)
 
 
 _FINAL: dict = {}
@@ -133,7 +134,7 @@ def _final_model(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FINAL:
         d, feats = _selected(spark, sf_dir)
-        params = ML.draw_trials(1, 42)[0]
+        params = ML.suggest(ML.SPACE, [], 0, 42)
         tr, te = ML.impute_with_train_medians(d.where(F.col("year") < CFG.holdout_start_year),
                                               d.where(F.col("year") >= CFG.holdout_start_year), feats, M)
         pred, model = ML.fit_predict(tr, te, feats, LABEL, ML.gbt_from_reference_params(params, LABEL))
@@ -262,6 +263,38 @@ def classifier_leaderboard(spark, sf_dir):
     return ML.classifier_leaderboard(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), feats, "quality")
 
 
+def _stacking(spark, sf_dir):
+    """80/20 split, five folds of the larger part, and the out-of-fold scores, written once per session and input."""
+    d = doc_frame(spark, sf_dir)
+    feats = _doc_features(d)
+    split = materialize(spark, "stack-split", lambda: ML.hash_folds(ML.stratified_split(d, "quality", ["doc_id"], (0.8, 0.2, 0.0), 42), "doc_id"), (sf_dir,))
+    tr, te = split.where(F.col("split") == "train"), split.where(F.col("split") != "train")
+    learners = ML.classifiers("quality")
+    oof = materialize(spark, "stack-scores", lambda: ML.out_of_fold_scores(tr, "doc_id", feats, "quality", learners), (sf_dir,))
+    return tr, te, oof, feats, learners
+
+
+@register("stacking_folds", ("M11",), """
+WITH c AS (SELECT quality, count(*) AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY quality)
+SELECT CAST(sum(ceil(n * 0.8)) AS BIGINT) AS n_train, CAST(sum(n - ceil(n * 0.8)) AS BIGINT) AS n_test, CAST(3 * sum(ceil(n * 0.8)) AS BIGINT) AS n_scores, 5 AS n_folds,
+       0 AS n_scored_by_a_model_that_saw_them, 0 AS n_missing FROM c""")
+def stacking_folds(spark, sf_dir):
+    """The out-of-fold table: every training row scored once by each learner, never by a model that saw it."""
+    tr, te, oof, _, learners = _stacking(spark, sf_dir)
+    sizes = tr.agg(F.count(F.lit(1)).alias("n_train"), F.count_distinct("fold").alias("n_folds")).crossJoin(te.agg(F.count(F.lit(1)).alias("n_test")))
+    s = oof.agg(F.count(F.lit(1)).alias("n_scores"), F.count_if(F.col("fold") != F.col("fitted_without")).alias("n_scored_by_a_model_that_saw_them"))
+    per = oof.groupBy("doc_id").agg(F.count_distinct("model").alias("k"))
+    lost = tr.select("doc_id").join(per, "doc_id", "left").agg(F.count_if(F.coalesce("k", F.lit(0)) != len(learners)).alias("n_missing"))
+    return sizes.crossJoin(s).crossJoin(lost)
+
+
+@register("stacked_leaderboard", ("M11",))
+def stacked_leaderboard(spark, sf_dir):
+    """Logistic regression, forest, boosting and their stack by non-negative weights, on the 20 % held back."""
+    tr, te, oof, feats, learners = _stacking(spark, sf_dir)
+    return ML.stacked_leaderboard(tr, te, oof, "doc_id", feats, "quality", learners)
+
+
 def _logistic(spark, sf_dir):
     """Test predictions of the logistic model, written once per session and input."""
     s, feats = _split_frame(spark, sf_dir)
@@ -359,7 +392,6 @@ def feature_artifacts(spark, sf_dir):
     """Processed / train / test feature tables, fitted scaler statistics,
     the selected-feature list and a metadata record written under the shared
     folder; one summary row per artefact."""
-    from hearth.plans.layers import _root
     from hearth.sources import io
 
     d, feats = _selected(spark, sf_dir)

@@ -21,7 +21,8 @@ _ROOTS: set[str] = set()
 _FIXED = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
 
 
-def _new_path(spark: SparkSession) -> str:
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the application's scratch folder."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hearth-scratch/{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
@@ -39,7 +40,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read back."""
-    path = _new_path(df.sparkSession)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
