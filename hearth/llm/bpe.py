@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from hearth.llm import words as W
 
 Batches = Iterator[pa.RecordBatch]
-TABLE_BYTES = 48 << 20  # words and packed ids in a worker's table, with an entry's own cost; then it starts anew
+TABLE_BYTES = 24 << 20  # words and packed ids in a worker's table, with an entry's own cost; then it starts anew
 _ENTRY = 190
 _LONG_WORD = 64
 _LONG_TEXT, _WORDS_AT_ONCE = 1 << 20, 1 << 17

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 Batches = Iterator[pa.RecordBatch]
 UNKNOWN = "und"
 PROFILE = 300
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 _BLOCK = 1 << 20  # characters of a text counted at once
 _SPACE = 32
 

@@ -13,7 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BLOCK_BYTES = 1 << 21
+# Workers are kept between stages; the system's allocator gives freed batches back at once.
+pa.set_memory_pool(pa.system_memory_pool())
+
+_BLOCK_BYTES = 1 << 19  # a word takes some fifty bytes of arrays while it is hashed
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _U64 = np.uint64
