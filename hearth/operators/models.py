@@ -429,7 +429,7 @@ def feature_scores(df: DataFrame, cols: Sequence[str], target: str, k: int = 3)
         return F.when(hi == lo, F.lit(0.0)).otherwise((F.col(c) - lo) / (hi - lo))
 
     sc = sc.withColumns({"f_norm": norm("f_stat"), "mi_norm": norm("mutual_info")})
-    return sc.withColumn("score", (F.col("f_norm") + F.col("mi_norm")) / 2.0)
+    return sc.withColumn("score", (F.coalesce("f_norm", F.lit(0.0)) + F.col("mi_norm")) / 2.0)  # no F statistic: constant, or the target itself
 
 
 def forest_importance(df: DataFrame, cols: Sequence[str], target: str, trees: int = 100, seed: int = 42) -> DataFrame:
