@@ -145,7 +145,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = D
     label = cut(gone.join(sizes, "th"))
     out = _labelled(rows, label, docs)
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("dropped", i), F.lit(False))), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped").cast("array<int>"))  # by a hash set: linear in the lines
+    kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return out.select("row.*", F.when(F.col("text").isNotNull(), kept).alias("kept_text"),
                       F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).cast("long").alias("n_lines"),
                       F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))

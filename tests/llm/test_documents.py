@@ -383,3 +383,14 @@ def test_shortened_texts(spark):
     rows = [(1, say("a", 30)), (2, "own  start " + say("a", 30) + "\nown end"), (3, say("a", 30)), (4, None)]
     out = shortened_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert [tuple(r) for r in out] == [(2, "own start own end")]
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    """A text of 60,000 lines, a third of them in another text as well, in its order."""
+    from hearth.llm.line_dedup import drop_recurring_lines
+
+    lines = [f"own line {k} {k * 7919 % 104729}" if k % 3 else f"shared {k} words of both texts" for k in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(x for x in lines if x.startswith("shared"))), (3, "a\n\nb")]
+    out = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), literal_texts=2, min_texts=10**9).collect()}
+    assert (out[1].n_lines, out[1].n_dropped, out[1].kept_text) == (60_000, 20_000, "\n".join(x for x in lines if x.startswith("own")))
+    assert (out[2].n_dropped, out[2].kept_text, out[3].kept_text) == (20_000, "", "a\n\nb")
