@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from hearth.llm.graph import HOT_SHARE, connected_components, cut, spread_join
 
 THRESHOLD = 0.98
-FIT_ROWS = 20_000  # vectors at most, by hash, that the centres are fitted on
-MAX_CELLS = 256
+FIT_ROWS = 20_000  # vectors at most, by hash, that the centres are fitted on; an eighth as many centres at most
 MEMBERS, VISITORS = 1024, 4096  # rows of a block
 
 
@@ -31,7 +30,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     """``k`` unit centres of unit rows ``x``; an empty centre keeps its place."""
     centres = x[np.random.default_rng(seed).choice(len(x), size=min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        home = np.argmax(x @ centres.T, axis=1)
+        home = np.concatenate([np.argmax(x[a:a + 4096] @ centres.T, axis=1) for a in range(0, len(x), 4096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, x)
         norm = np.linalg.norm(sums, axis=1)
@@ -49,26 +48,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _fit(classes: DataFrame, total: int) -> dict[int, np.ndarray]:
-    """Centres by dimension, about ``sqrt(total) / 8`` of them."""
+    """Centres by dimension, about ``sqrt(total) / 8`` of them: cells grow with the rows, up to what the fit can place."""
     share = min(1.0, FIT_ROWS / max(total, 1))
     rows = classes.where(F.pmod(F.col("cid"), F.lit(1 << 30)) < share * (1 << 30)).select("vec").collect()
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(len(r.vec), []).append(r.vec)
-    k = max(1, min(MAX_CELLS, math.isqrt(total) // 8))
+    k = max(1, min(FIT_ROWS // 8, math.isqrt(total) // 8))
     return {d: spherical_kmeans(_unit(np.array(v, dtype=np.float64)), k) for d, v in by_dim.items()}
 
 
+def _parts(dims: np.ndarray):
+    """(length, row numbers) of at most 1,024 rows of one length, so that a row's distances to all centres stay small."""
+    for d in np.unique(dims):
+        rows = np.flatnonzero(dims == d)
+        for a in range(0, len(rows), 1024):
+            yield d, rows[a:a + 1024]
+
+
 def _assign(centres, threshold: float):
     """A class's home row (``member``) and a row for every cell that it visits, its own included."""
     reach = math.sqrt(1 - threshold * threshold) + 1e-9
 
     def run(batches):
         by_dim = centres.value
+        gaps = {d: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) + 1e-7 for d, c in by_dim.items()}  # a bit too far only adds visits
         for batch in batches:
             dims = np.array([len(v) for v in batch.column("vec")])
-            for d in np.unique(dims):
-                rows = np.flatnonzero(dims == d)
+            for d, rows in _parts(dims):
                 part = batch.take(pa.array(rows))
                 c = by_dim.get(int(d))
                 if c is None:
@@ -76,8 +83,7 @@ def _assign(centres, threshold: float):
                 else:
                     dots = _unit(_matrix(part.column("vec"))) @ c.T
                     home = np.argmax(dots, axis=1)
-                    gap = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2)
-                    visits = dots[np.arange(len(rows)), home][:, None] - dots <= reach * gap[home] + 1e-9
+                    visits = dots[np.arange(len(rows)), home][:, None] - dots <= reach * gaps[int(d)][home] + 1e-9
                     visits[np.arange(len(rows)), home] = True
                 at, cell = np.nonzero(visits)
                 take = np.concatenate([np.arange(len(rows)), at])
