@@ -12,8 +12,8 @@ symbols that the window alone decides. Equal windows have equal anchors, so only
 windows whose anchor occurs twice in the corpus can repeat; anchors are far
 fewer than windows. Neighbouring windows with one anchor form a block. Equal
 blocks are settled as a whole: all but the first repeat. The windows of the
-first ones are then compared by their own hash, which settles the ends of
-repeats. Exact copies of a document are settled before all that.
+first ones are then compared by their own hash in one sorted shuffle, which
+settles the ends of repeats. Exact copies of a document are settled before all that.
 
 Anchors in hot cells of a counted table of fixed size are taken as repeated
 without being shuffled; that only lets more windows into the exact comparison.
@@ -227,6 +227,23 @@ def _block_rows(width: int, magnitude, hot: int, kind: pa.DataType) -> Callable[
     return run
 
 
+def _runs(batches: Batches) -> Batches:
+    """Each text's removed windows as few runs: those that overlap or touch become one."""
+    for batch in batches:
+        firsts, sizes, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
+        for gone in batch.column("gone"):
+            a = gone.values.field("first").to_numpy().astype(np.int64)
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate((a + gone.values.field("n").to_numpy())[order])
+            start = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+            end = np.append(start[1:], len(a)) - 1
+            firsts.append(a[start].astype(np.int32))
+            sizes.append((b[end] - a[start]).astype(np.int32))
+            counts.append(len(start))
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(sizes))], names=["first", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), flat)], names=["seq", "gone"])
+
+
 def _kept_rows(width: int, schema: pa.Schema) -> Callable[[Batches], Batches]:
     """(id, seq, n_removed, kept_sha256) of texts with windows to remove, and the text that stays if the schema asks for it."""
 
@@ -312,13 +329,12 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, width: int, counters:
     gone = later.select("seq", F.col("first").cast("int").alias("first"), "n")
     windows = distinct.select("top.*", F.posexplode("windows").alias("p", "window")).select(
         "window", "id", "seq", (F.col("first") + F.col("p")).alias("first"))
-    total_windows = distinct.agg(F.sum(F.size("windows").cast("long"))).first()[0] or 0
-    same = cut(windows.groupBy("window").agg(F.min(where).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1"))
-    later = spread_join(windows, same, "window", F.col("k") * HOT_SHARE >= total_windows).where(F.col("top").isNotNull() & ~where.eqNullSafe(F.col("top")))
+    later = windows.withColumn("top", F.min(where).over(Window.partitionBy("window"))).where(~where.eqNullSafe(F.col("top")))
     gone = gone.union(later.select("seq", F.col("first").cast("int"), F.lit(1)))
 
     # words
-    gone = gone.groupBy("seq").agg(F.collect_set(F.struct("first", "n")).alias("gone")).join(first.select("seq", "first_id"), "seq")
+    gone = gone.groupBy("seq").agg(F.collect_set(F.struct("first", "n")).alias("gone")).mapInArrow(_runs, "seq bigint, gone array<struct<first: int, n: int>>")
+    gone = gone.join(first.select("seq", "first_id"), "seq")
     gone = fitting(cut(gone.select(F.col("first_id").alias("wid"), "seq", "gone")), size=F.size("gone") * 12 + 32)
     out = pa.schema([("id", arrow), ("seq", pa.int64()), ("removed", pa.int64()), ("kept", pa.string())] + [("kept_text", pa.string())] * texts)
     some = cut(d.join(gone, d.id.eqNullSafe(gone.wid)).select("id", "text", "seq", "gone").mapInArrow(
