@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.functions.quantile import group_quantiles, rank_within_groups, running_sum
-from hearth.functions.stats import safe_corr
-from hearth.functions.stats import grouped_stats
+from hearth.functions.stats import grouped_stats, safe_corr
+from hearth.sources.scratch import attach
 
 # --- fixed values (reference thresholds) ------------------------------------
 HIGH_VARIABILITY_CV = 50
@@ -296,6 +296,17 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(stack).alias("_s")).select("_s.*").withColumn("abs_r", F.abs("r"))
 
 
+def boxplot_table(df: DataFrame, value: str, by: str, mode: str = "exact") -> DataFrame:
+    """Q17: what a box plot shows of each group: quartiles, the values furthest out within 1.5 quartile ranges, and the rows beyond."""
+    d = df.select(F.col(by).alias(by), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    st = grouped_stats(d, [by], [("n", "count", "v"), ("low", "min", "v"), ("q1", "q25", "v"), ("median", "median", "v"), ("q3", "q75", "v"), ("high", "max", "v")], mode)
+    reach = IQR_FACTOR * (F.col("q3") - F.col("q1"))
+    inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
+    out = attach(d, st.select(by, "q1", "q3"), by, "inner").groupBy(by).agg(
+        F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.count_if(~inside).alias("n_beyond"))
+    return st.join(out, by)
+
+
 def high_correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> DataFrame:
     """The column pairs whose absolute correlation is above ``threshold``."""
     return correlation_pairs(df, cols).where(F.col("abs_r") > threshold).select(F.col("col_a").alias("var1"), F.col("col_b").alias("var2"), F.col("abs_r").alias("correlation"))

@@ -29,12 +29,13 @@ SELECT house_id, no_rooms, date, purchase_price, year(date) AS year_sale, month(
        sin(2 * pi() * month(date) / 12) AS month_sin, cos(2 * pi() * month(date) / 12) AS month_cos,
        sin(2 * pi() * (isodow(date) - 1) / 7) AS dayofweek_sin, cos(2 * pi() * (isodow(date) - 1) / 7) AS dayofweek_cos,
        sin(2 * pi() * quarter(date) / 4) AS quarter_sin, cos(2 * pi() * quarter(date) / 4) AS quarter_cos,
-       year(date) - (SELECT min(year(date)) FROM bronze) AS years_since_start
+       year(date) - (SELECT min(year(date)) FROM bronze) AS years_since_start,
+       2024 - year_build AS property_age, floor(year_build / 10.0) * 10 AS decade_built
 FROM bronze"""))
 def date_features(spark, sf_dir):
     """Calendar parts, season, day name, cyclic encodings."""
-    d = X.cyclic_features(X.date_features(_b(spark, sf_dir)))
-    return d.select(*KEY, "year_sale", "month_sale", "day_sale", "dayofweek_sale", "quarter_sale", "season_sale",
+    d = X.property_age_features(X.cyclic_features(X.date_features(_b(spark, sf_dir))))
+    return d.withColumn("decade_built", F.col("decade_built").cast("double")).select(*KEY, "property_age", "decade_built", "year_sale", "month_sale", "day_sale", "dayofweek_sale", "quarter_sale", "season_sale",
                     "dayname_sale", "month_sin", "month_cos", "dayofweek_sin", "dayofweek_cos", "quarter_sin",
                     "quarter_cos", "years_since_start")
 
@@ -143,13 +144,14 @@ def rate_features(spark, sf_dir):
                     *[F.col(f"`{c}_lag{k}`") for c in _RATES for k in (1, 2)])
 
 
-_ROLL_CTES = f"""
+def _roll_ctes(years: int) -> str:
+    return f"""
 keys AS (SELECT DISTINCT region, year_sale AS year FROM bronze WHERE region IS NOT NULL AND year_sale IS NOT NULL),
 rs AS (SELECT k.region, k.year, count(b.purchase_price) AS n, avg(b.purchase_price) AS mean,
               quantile_cont(b.purchase_price, 0.5) AS median, stddev_samp(b.purchase_price) AS std,
               quantile_cont(b.purchase_price, 0.9) AS p90
        FROM keys k LEFT JOIN bronze b ON b.region = k.region
-            AND b.year_sale BETWEEN k.year - {CFG.rolling_window_years} AND k.year - 1 AND b.purchase_price IS NOT NULL
+            AND b.year_sale BETWEEN k.year - {years} AND k.year - 1 AND b.purchase_price IS NOT NULL
        GROUP BY k.region, k.year),
 roll AS (SELECT region, year,
                 CASE WHEN n >= {CFG.min_obs_per_window} THEN mean END AS rolling_regional_mean,
@@ -161,6 +163,16 @@ roll AS (SELECT region, year,
          FROM rs)"""
 
 
+_ROLL_CTES = _roll_ctes(CFG.rolling_window_years)
+LONG_WINDOW_YEARS = 12
+
+
+@register("rolling_regional_stats_long", ("W14",), with_ctes(_roll_ctes(LONG_WINDOW_YEARS), "SELECT * FROM roll"))
+def rolling_regional_stats_long(spark, sf_dir):
+    """The same statistics over the twelve years before each (region, year)."""
+    return X.rolling_regional_stats(_b(spark, sf_dir), "region", "purchase_price", "year", LONG_WINDOW_YEARS, CFG.min_obs_per_window, M)
+
+
 @register("rolling_regional_stats", ("W13", "W14", "U3"), with_ctes(_ROLL_CTES, "SELECT * FROM roll"))
 def rolling_regional_stats(spark, sf_dir):
     """Causal rolling regional price statistics per (region, year)."""

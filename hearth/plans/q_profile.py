@@ -228,6 +228,19 @@ def price_percentiles(spark, sf_dir):
     return P.percentile_vector(_prof(spark, sf_dir), "purchase_price", mode=M)
 
 
+@register("price_boxplot", ("Q17",), with_ctes("""
+bx AS (SELECT house_type, count(purchase_price) AS n, min(purchase_price) AS low, quantile_cont(purchase_price, 0.25) AS q1, quantile_cont(purchase_price, 0.5) AS median,
+         quantile_cont(purchase_price, 0.75) AS q3, max(purchase_price) AS high FROM bronze WHERE house_type IS NOT NULL GROUP BY house_type)""", """
+SELECT x.*, w.whisker_low, w.whisker_high, w.n_beyond FROM bx x JOIN (
+  SELECT b.house_type, min(purchase_price) FILTER (WHERE purchase_price BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low,
+         max(purchase_price) FILTER (WHERE purchase_price BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high,
+         count(*) FILTER (WHERE purchase_price NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_beyond
+  FROM bronze b JOIN bx USING (house_type) WHERE purchase_price IS NOT NULL GROUP BY b.house_type) w USING (house_type)"""))
+def price_boxplot(spark, sf_dir):
+    """Q17: five numbers, whiskers and outliers of price by house type."""
+    return P.boxplot_table(bronze_table(spark, sf_dir, CFG), "purchase_price", "house_type", M)
+
+
 _CORR_COLS = ("purchase_price", "sqm", "sqm_price", "no_rooms", "year_build", "dk_ann_infl_rate%", "yield_on_mortgage_credit_bonds%")
 
 
