@@ -227,8 +227,8 @@ def _by_role(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.col("n")
     more = F.floor(n / 50)
     large, small = n - _asked(n, F.ceil(3 * n / 4)), n - _asked(n, n)
-    many = x.groupBy("token").agg((F.count(F.lit(1)) > HOT_GROUPS).alias("hot"))
-    x = x.join(fitting(cut(many)), "token")
+    many = x.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT_GROUPS).select("token", F.lit(True).alias("hot"))
+    x = x.join(fitting(cut(many)), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     beyond = F.when(F.col("hot"), 0).otherwise(more)
     hidden = x.where("hot").groupBy("gid").agg(F.count_if((F.col("pos") > small) & (F.col("pos") <= large + more)).cast("int").alias("spare"))
     x = x.join(fitting(cut(hidden)), "gid", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
