@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from hearth.functions.quantile import group_quantiles, rank_within_groups, running_sum
 from hearth.functions.stats import grouped_stats, safe_corr
-from hearth.sources.scratch import attach
+from hearth.sources.scratch import attach, stored
 
 # --- fixed values (reference thresholds) ------------------------------------
 HIGH_VARIABILITY_CV = 50
@@ -95,11 +95,19 @@ def column_profile(df: DataFrame) -> DataFrame:
 def duplicate_stats(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """A30 / A31 (one row): rows, distinct rows (or distinct keys), rows that
     repeat an earlier one (``duplicated()``), all members of duplicated
-    groups (``keep=False``) and the duplicate percentage (round 2)."""
+    groups (``keep=False``) and the duplicate percentage (round 2).
+
+    Only hashes of the rows are shuffled. A hash that comes once is a row of its own; the rows of the others are compared
+    by their values."""
     cols = list(keys) if keys else df.columns
-    g = df.groupBy(*[_c(c) for c in cols]).agg(F.count(F.lit(1)).alias("_k"))
-    s = g.agg(F.sum("_k").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
-              F.sum(F.when(F.col("_k") > 1, F.col("_k")).otherwise(0)).alias("n_in_duplicate_groups"))
+    plain = {n for n, t in df.dtypes if t in ("double", "float")}
+    d = df.select(*[_c(c) for c in cols]).withColumn("_row_hash", F.xxhash64(*[_c(c) + F.lit(0.0) if c in plain else _c(c) for c in cols]))
+    seen = stored(d.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_k")))
+    single = seen.where("_k = 1").agg(F.count(F.lit(1)).alias("_k")).select(F.col("_k"), F.col("_k").alias("_g"))
+    again = attach(d, seen.where("_k > 1").select("_row_hash"), "_row_hash", "left_semi").groupBy(*[_c(c) for c in cols]).agg(F.count(F.lit(1)).alias("_k"))
+    g = single.where("_k > 0").unionByName(again.select("_k", F.lit(1).cast("long").alias("_g")))
+    s = g.agg(F.sum("_k").alias("n_rows"), F.coalesce(F.sum("_g"), F.lit(0).cast("long")).alias("n_distinct"),
+              F.sum(F.when((F.col("_k") > 1) & (F.col("_g") == 1), F.col("_k")).otherwise(0)).alias("n_in_duplicate_groups"))
     s = s.withColumn("n_duplicated", F.col("n_rows") - F.col("n_distinct"))
     return s.withColumn("duplicate_pct", F.bround(F.col("n_duplicated") / F.col("n_rows") * 100.0, 2))
 
