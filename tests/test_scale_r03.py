@@ -44,7 +44,8 @@ def test_sample_sorts_only_the_range_of_the_cut(spark, monkeypatch):
     assert io.stratified_sample(d, ["s"], 0.0).count() == 0
 
 
-def test_lags_need_no_join_by_position(spark):
+def test_lags_need_no_join_by_position(spark, monkeypatch):
+    monkeypatch.setattr(features, "rank_within_groups", None)  # positions aren't asked for
     d = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     out = features.global_lags(d.repartition(7), ["v"], ["k"], (1, 2))
     assert "SortMergeJoin" not in _plan(out)
@@ -62,7 +63,9 @@ def test_duplicates_compare_only_rows_with_repeated_hashes(spark, monkeypatch):
     assert compared[0].count() == 5
 
 
-def test_rare_categories_do_not_shuffle_the_rows(spark):
+def test_rare_categories_do_not_shuffle_the_rows(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # the measured size decides
+    monkeypatch.setattr(features, "attach", lambda *a: (spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"), scratch.attach(*a))[1], raising=True)
     d = spark.range(1000).select(F.concat(F.lit("z"), (F.col("id") % 200).cast("string")).alias("z"))
     out = features.group_rare(d.union(d.limit(0)), "z", 0.5)
     assert "BroadcastHashJoin" in _plan(out) and out.where("z_grouped <> 'Other'").count() == 0
