@@ -53,3 +53,28 @@ def test_reach_of_few_and_equal_points(spark):
     few = spark.createDataFrame([(1.0, 2.0)], "a double, y double")
     assert [tuple(r) for r in N.mutual_information(few, ["a"], "y").collect()] == [("a", 0.0)]
     assert N.mutual_information(few.limit(0), ["a"], "y").first().mutual_info == 0.0
+
+
+def test_few_points_leave_their_tile():
+    """A tile among eight others sends only a margin on: one visit or so for every ten points, not one for each."""
+    import types
+
+    import pyarrow as pa
+
+    from hearth.operators import neighbours as N
+
+    r, side = np.random.default_rng(4), 1 << 40
+    x, y = r.integers(0, side, (2, N.TILE))
+    w = r.choice([1, 1, 2, 5], N.TILE)
+    ids = np.array([(i, j) for i in range(-1, 2) for j in range(-1, 2)])
+    box = np.array([(i * side, (i + 1) * side - 1, j * side, (j + 1) * side - 1) for i, j in ids])
+    tile = pa.table({"key": [7] * N.TILE, "strip": [0] * N.TILE, "tile": [0] * N.TILE, "x": x, "y": y, "w": w})
+    out = N._own(types.SimpleNamespace(value={7: (ids, box)}), 3)(tile).to_pylist()
+    visits = {(p["x"], p["y"], p["strip"], p["tile"]) for p in out if not p["home"]}
+    assert 0 < len(visits) < N.TILE / 5
+    for p in (p for p in out if p["home"]):
+        d = np.maximum(np.abs(x - p["x"]), np.abs(y - p["y"]))
+        order = np.argsort(d)
+        assert p["reach"] == d[order][(np.cumsum(w[order]) > 3).argmax()]
+        gap = np.maximum(np.maximum(box[:, 0] - p["x"], p["x"] - box[:, 1]), np.maximum(box[:, 2] - p["y"], p["y"] - box[:, 3]))
+        assert {(p["x"], p["y"], *map(int, at)) for at in ids[(gap < p["reach"]) & ids.any(axis=1)]} <= visits
