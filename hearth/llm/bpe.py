@@ -4,8 +4,9 @@ Texts are split by the tokenizer's pattern; each piece is encoded on its own by
 the ``tokenizers`` library, whose byte-level alphabet maps every byte to one
 visible character. The pattern's pieces hold no white space but one leading
 space, or nothing else, so texts are first cut into words with their space; a
-word that was met before in the task comes from a bounded table of its packed
-ids, only new ones go through the pattern and the library. Nothing is shuffled, and a batch gives out its rows in
+word that was met lately in the worker comes from a bounded table of its packed
+ids. Only new ones go through the pattern, and only pieces that were not met
+lately go through the library. Nothing is shuffled, and a batch gives out its rows in
 slices of bounded size.
 
 Ids are packed as little-endian unsigned 32-bit integers in one binary value.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from hearth.llm import words as W
 
 Batches = Iterator[pa.RecordBatch]
-TABLE_BYTES = 24 << 20  # words and packed ids in a worker's table, with an entry's own cost; then it starts anew
+TABLE_BYTES = 40 << 20  # strings and packed ids in one generation of a worker's tables, with an entry's own cost
 _ENTRY = 190
 _LONG_WORD = 64
 _LONG_TEXT, _WORDS_AT_ONCE = 1 << 20, 1 << 17
@@ -50,6 +51,38 @@ def byte_alphabet() -> list[str]:
     return [chars[b] for b in range(256)]
 
 
+class _Table:
+    """Packed ids of strings met lately. What a full generation holds stays until the next one is full."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.held = 0
+
+    def missing(self, strings: set[str]) -> set[str]:
+        """Those that are not there; the others are in ``young`` from now on."""
+        if self.held > TABLE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+        new = strings.difference(self.young)
+        met = [s for s in new if s in self.old]
+        for s in met:
+            self.put(s, self.old[s])
+        return new.difference(met)
+
+    def put(self, string: str, ids: bytes) -> None:
+        self.young[string] = ids
+        if len(string) > _LONG_WORD:
+            self.long.append(string)
+        else:
+            self.held += _ENTRY + len(string) + len(ids)
+
+    def forget_long(self) -> None:
+        for s in self.long:
+            del self.young[s]
+        self.long = []
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, held once per Python worker."""
 
@@ -69,8 +102,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.known, self.pieces = _Table(), _Table()
 
     @staticmethod
     def _check(vocabulary: str, by_bytes: dict[bytes, int]) -> None:
@@ -81,27 +113,26 @@ class Codec:
         if any(vocab.get("".join(alphabet[b] for b in token)) != rank for token, rank in by_bytes.items()):
             raise ValueError(f"{vocabulary} and the rank file differ")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        pieces = [self.split.findall(w) for w in words]
-        flat = [p for of in pieces for p in of]
-        ids = iter(self.tokenizer.encode_batch_fast(flat, add_special_tokens=False))
-        return {w: b"".join([array("I", next(ids).ids).tobytes() for _ in of]) for w, of in zip(words, pieces)}
+    def _learn(self, words: list[str]) -> list[bytes]:
+        split = [self.split.findall(w) for w in words]
+        pieces = self.pieces
+        new = list(pieces.missing(set().union(*split)))
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            pieces.put(p, array("I", e.ids).tobytes())
+        ids = pieces.young
+        out = [ids[of[0]] if len(of) == 1 else b"".join([ids[p] for p in of]) for of in split]
+        pieces.forget_long()
+        return out
 
     def _pack(self, lists: list[list[str]]) -> list[bytes]:
-        new = set().union(*lists).difference(self.known)
-        if self.held + len(new) * _ENTRY > TABLE_BYTES:
-            self.known, self.held = {}, 0
-            new = set().union(*lists)
-        words, got = list(new), {}
+        known = self.known
+        words = list(known.missing(set().union(*lists)))
         for i in range(0, len(words), 4096):
-            got |= self._learn(words[i:i + 4096])
-        self.known.update(got)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in lists]
-        for w, ids in got.items():
-            if len(w) > _LONG_WORD:
-                del self.known[w]
-            else:
-                self.held += _ENTRY + len(w) + len(ids)
+            some = words[i:i + 4096]
+            for w, ids in zip(some, self._learn(some)):
+                known.put(w, ids)
+        out = [b"".join(map(known.young.__getitem__, words)) for words in lists]
+        known.forget_long()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
