@@ -57,8 +57,8 @@ def _ask(rows: DataFrame, pages: DataFrame, bits: int) -> DataFrame:
     return rows.withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
 
 
-def _groups(asked: DataFrame) -> DataFrame:
-    return cut(asked.where("maybe").groupBy("sha").agg(F.max(F.struct("id", "row")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+def _groups(asked: DataFrame, total: int) -> DataFrame:
+    return cut(asked.where("maybe").groupBy("sha").agg(F.max(F.struct("id", "row")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), total)
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -75,7 +75,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _slim(docs, id_col, text_col)
     total = rows.count()
     asked = cut(_ask(rows, *_pages(rows, total)))
-    again = spread_join(asked.where("maybe"), _groups(asked), "sha", F.col("n") * HOT_SHARE >= total)
+    again = spread_join(asked.where("maybe"), _groups(asked, total), "sha", F.col("n") * HOT_SHARE >= total)
     one = F.lit(1).cast("long")
     return asked.where("NOT maybe").select(
         F.col("id").alias(id_col), F.col("id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"),
@@ -94,7 +94,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = rows.count()
     pages, bits = _pages(rows, total)
     pages = cut(pages)
-    groups = _groups(cut(_ask(rows, pages, bits)))
+    groups = _groups(cut(_ask(rows, pages, bits)), total)
     names = docs.columns
     full = docs.select(*(F.col(c).alias(f"c_{c}") for c in names), F.col(id_col).alias("id"), _sha(text_col).alias("sha"))
     asked = _ask(full, pages, bits)

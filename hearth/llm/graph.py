@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 
 from hearth.session import ensure_checkpoint_dir
 
+FILE_ROWS = 1 << 15
 
-def cut(df: DataFrame) -> DataFrame:
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the cluster's shared checkpoint folder and go on from there.
 
     Columnar and compressed in row groups of 16 MB, so it takes a fraction of a row checkpoint and little memory. The
-    tables of an application share one folder, which goes when Python exits.
+    tables of an application share one folder, which goes when Python exits. ``rows`` is about how many rows there are
+    at most: neighbouring partitions then go into one file until there is one for ``FILE_ROWS`` rows or for each core,
+    whichever are more.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hearth-llm/{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
@@ -49,7 +55,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     edges = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
+    last, rows = None, edges.count()
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -57,11 +63,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), rows)
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if mark == last:
             break
-        last = mark
+        last, rows = mark, mark[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return ids.join(edges.select(F.col("u").alias("id"), "v"), "id", "left").select(

@@ -195,12 +195,12 @@ def _verify(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold."""
-    pairs = cut(pairs.select("a", "b").distinct())
+def _linked(pairs: DataFrame, sets: DataFrame, rows: int | None = None) -> DataFrame:
+    """The pairs (a, b) of classes, ``rows`` at most if given, whose whole sets reach the threshold."""
+    pairs = cut(pairs.select("a", "b").distinct(), rows)
     s = sets.select("cls", "shingles")
     x = s.select(F.col("cls").alias("a"), F.col("shingles").alias("x")).join(fitting(pairs), "a")
-    y = s.join(fitting(cut(pairs.select(F.col("b").alias("cls")).distinct())), "cls", "left_semi")
+    y = s.join(fitting(cut(pairs.select(F.col("b").alias("cls")).distinct(), pairs.count())), "cls", "left_semi")
     both = x.join(y.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
 
@@ -225,13 +225,13 @@ def _by_role(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     it is never in the smaller role there and meets nothing.
     """
     n = F.col("n")
-    more = F.floor(n / 50)
+    more, rows = F.floor(n / 50), x.count()
     large, small = n - _asked(n, F.ceil(3 * n / 4)), n - _asked(n, n)
     many = x.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT_GROUPS).select("token", F.lit(True).alias("hot"))
-    x = x.join(fitting(cut(many)), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    x = x.join(fitting(cut(many, rows // HOT_GROUPS)), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     beyond = F.when(F.col("hot"), 0).otherwise(more)
     hidden = x.where("hot").groupBy("gid").agg(F.count_if((F.col("pos") > small) & (F.col("pos") <= large + more)).cast("int").alias("spare"))
-    x = x.join(fitting(cut(hidden)), "gid", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
+    x = x.join(fitting(cut(hidden, rows)), "gid", "left").withColumn("spare", F.coalesce("spare", F.lit(0)))
     keep = ["token", "gid", "n", "pos", "lo", "hi", "minor", "spare"]
     return x.where(F.col("pos") <= large + beyond).select(*keep), x.where(F.col("pos") <= small + beyond).select(*keep)
 
@@ -277,7 +277,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     table, hot = C.magnitudes(rows.where("cell IS NOT NULL").select("cell", "counts"), counters)
     magnitude = spark.sparkContext.broadcast(table)
 
-    classes = cut(own.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")))
+    classes = cut(own.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), own.count())
     sets = cut(_candidate_sets(d, classes, width, magnitude, hot))
     comps = _components(sets, magnitude)
 
@@ -285,7 +285,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     lowest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = (least.where((F.col("rows") > 1) | (F.col("component") != F.col("cls")) | F.col("linked").isNotNull())
              .join(lowest, "component").select("cls", "component_id", "rows"))
-    label = cut(label)
+    label = cut(label, classes.count())
     return spread_join(own.where("n > 0"), label, "cls", F.col("rows") * HOT_SHARE >= own.count()).select("id", "n", "component_id").union(
         own.where("n = 0").select("id", "n", F.col("id"))).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
@@ -302,7 +302,7 @@ def _candidate_sets(d: DataFrame, classes: DataFrame, width: int, magnitude, hot
             .select("token", "cls", F.when(F.col("surely") > 0, F.col("surely")).otherwise(1).alias("k")).distinct())
     shared = live.groupBy("cls").agg(F.sum("k").alias("k"))
     alive = classes.join(shared, "cls").where(F.col("k") >= F.least(1 + F.floor(F.floor((3 * F.col("n") + 3) / 4) / 20), F.col("n")))
-    alive = fitting(cut(alive.select("rep", "cls")), 48)
+    alive = fitting(cut(alive.select("rep", "cls"), classes.count()), 48)
     texts = d.join(alive, d.id.eqNullSafe(alive.rep)).select("cls", "text")
     return texts.mapInArrow(_set_rows(width, magnitude), "cls bigint, n bigint, gid bigint, shingles binary")
 
@@ -314,26 +314,27 @@ def _components(sets: DataFrame, magnitude) -> DataFrame:
     # (its commonness in the high bits, 47 bits of its id in the low ones)
     short = F.shiftrightunsigned("gid", 17)
     of = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.shiftleft(F.col("common").cast("long"), 47) + short).alias("best")).where("k > 1")
-    live = cut(entries.join(of, "token").select("token", "gid", "n", "pos", F.col("best").bitwiseAND(F.lit((1 << 47) - 1)).alias("first")))
+    live = cut(entries.join(of, "token").select("token", "gid", "n", "pos", F.col("best").bitwiseAND(F.lit((1 << 47) - 1)).alias("first")), entries.count())
+    n_live, n_sets = live.count(), sets.count()
 
-    head = cut(sets.groupBy("gid").agg(F.min("cls").alias("head"), F.any_value("n").alias("n")))
+    head = cut(sets.groupBy("gid").agg(F.min("cls").alias("head"), F.any_value("n").alias("n")), n_sets)
     near = (live.where(short != F.col("first")).groupBy("gid", F.col("first").alias("other")).agg(F.count(F.lit(1)).alias("k"), F.any_value("n").alias("n"))
             .join(fitting(head.select(short.alias("other"), F.col("head").alias("b"), F.col("n").alias("m"))), "other")
             .where(_sized("n", "m")).groupBy("gid").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
     near = near.join(head.select("gid", F.col("head").alias("a")), "gid").select("a", "b")
     inside = sets.select("gid", "cls").distinct().join(head.select("gid", "head"), "gid").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    first = cut(_linked(near.union(inside), sets))
-    comp = cut(connected_components(first))
+    first = cut(_linked(near.union(inside), sets, 2 * n_sets))
+    comp = cut(connected_components(first), n_sets)
 
     member = sets.select("cls", "gid", "n").distinct().join(comp, F.col("id") == F.col("cls"), "left").select(
         "cls", "gid", "n", F.coalesce("component", "cls").alias("comp"))
-    member = cut(member)
-    group = cut(member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    member = cut(member, n_sets)
+    group = cut(member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), n_sets)
     placed = live.select("token", "gid", "n", "pos").join(fitting(group), "gid")
     by_comp = placed.groupBy("token", "lo").agg(F.count(F.lit(1)).alias("k"), F.max("hi").alias("hi"))
     open_ = by_comp.groupBy("token").agg(F.max_by("lo", F.struct("k", "lo")).alias("main"), F.min("lo").alias("least"),
                                          F.max("hi").alias("most")).where("least < most").select("token", "main")
-    x = cut(placed.join(fitting(cut(open_)), "token").withColumn("minor", (F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("main"))))
+    x = cut(placed.join(fitting(cut(open_, n_live)), "token").withColumn("minor", (F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("main"))), n_live)
     pairs = _close_pairs(x)
     mixed = group.where("lo < hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     ma = member.select(F.col("gid").alias("g"), F.col("cls").alias("a"), F.col("comp").alias("ca"))
