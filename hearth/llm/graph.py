@@ -43,18 +43,18 @@ def _remove(spark: SparkSession, root: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``(id, component)`` for every id in ``links``; the component is its smallest id.
 
     Alternating large-star and small-star rounds: each round is two grouped
     minima and two joins over the links, which only get fewer. The frame is
     written every round and stays distributed; the driver sees one
     fingerprint of the round. Links with a null end and self links are ignored
-    (a self link still names its id).
+    (a self link still names its id). ``rows`` is the number of links, if known.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    edges = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     last, rows = None, edges.count()
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v"), F.col("u")))

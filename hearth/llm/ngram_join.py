@@ -39,6 +39,7 @@ from hearth.llm.graph import HOT_SHARE, connected_components, cut, fitting, spre
 WIDTH = 5
 COUNTERS = 1 << 22
 HOT_GROUPS = 64  # groups that share a prefix shingle from which it is joined within the strict prefixes only
+PAIR_ROWS = 16  # a pair comes with both sets, so it counts as so many rows of a written table
 _U64 = np.uint64
 
 Batches = Iterator[pa.RecordBatch]
@@ -196,13 +197,14 @@ def _verify(batches: Batches) -> Batches:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, rows: int | None = None) -> DataFrame:
-    """The pairs (a, b) of classes, ``rows`` at most if given, whose whole sets reach the threshold."""
+    """The pairs (a, b) of classes, ``rows`` at most if given, whose whole sets reach the threshold, as a written table."""
     pairs = cut(pairs.select("a", "b").distinct(), rows)
+    n_pairs = pairs.count()
     s = sets.select("cls", "shingles")
     x = s.select(F.col("cls").alias("a"), F.col("shingles").alias("x")).join(fitting(pairs), "a")
-    y = s.join(fitting(cut(pairs.select(F.col("b").alias("cls")).distinct(), pairs.count())), "cls", "left_semi")
+    y = s.join(fitting(cut(pairs.select(F.col("b").alias("cls")).distinct(), n_pairs)), "cls", "left_semi")
     both = x.join(y.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
+    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint"), PAIR_ROWS * n_pairs)
 
 
 def _sized(x: str, y: str):
@@ -323,8 +325,8 @@ def _components(sets: DataFrame, magnitude) -> DataFrame:
             .where(_sized("n", "m")).groupBy("gid").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
     near = near.join(head.select("gid", F.col("head").alias("a")), "gid").select("a", "b")
     inside = sets.select("gid", "cls").distinct().join(head.select("gid", "head"), "gid").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    first = cut(_linked(near.union(inside), sets, 2 * n_sets))
-    comp = cut(connected_components(first), n_sets)
+    first = _linked(near.union(inside), sets, 2 * n_sets)
+    comp = cut(connected_components(first, rows=first.count()), n_sets)
 
     member = sets.select("cls", "gid", "n").distinct().join(comp, F.col("id") == F.col("cls"), "left").select(
         "cls", "gid", "n", F.coalesce("component", "cls").alias("comp"))
@@ -343,4 +345,4 @@ def _components(sets: DataFrame, magnitude) -> DataFrame:
     second = _linked(wide, sets)
 
     links = first.union(second).select("a", "b")
-    return connected_components(cut(links)).select(F.col("id").alias("cls"), "component", F.lit(True).alias("linked"))
+    return connected_components(links, rows=links.count()).select(F.col("id").alias("cls"), "component", F.lit(True).alias("linked"))
