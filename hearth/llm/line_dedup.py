@@ -37,15 +37,18 @@ FIELD = "<*>"
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, _BLANK), "")
+
+
 def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(line)
-    return F.filter(F.split(masked, _BLANK), lambda t: t != "")
+    return _words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(line))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(th, i, line, tokens, n, leaf) for every line with a token; ``th`` names the text, ``i`` counts lines from 0."""
-    rows = docs.select("th", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("tokens", _tokens(F.col("line")))
-    return rows.withColumn("n", F.size("tokens")).where("n > 0").withColumn(
+    rows = docs.select("th", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.withColumn("tokens", _tokens(F.col("line"))).withColumn("n", F.size("tokens")).withColumn(
         "leaf", F.xxhash64("n", F.slice("tokens", 1, DEPTH))).select("th", "i", "line", "tokens", "n", "leaf")
 
 
@@ -93,7 +96,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     literal_texts = min_texts if literal_texts is None else literal_texts
     d = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").select(F.xxhash64("text").alias("th"), "text")
     slim = cut(_lines(d).select("th", "i", "n", "leaf", _own(F.col("tokens")).alias("tpl"),
-                                F.when(F.col("line").rlike("[0-9]"), F.xxhash64(F.lit("literal"), F.filter(F.split("line", _BLANK), lambda t: t != ""))).alias("literal")))
+                                F.when(F.col("line").rlike("[0-9]"), F.xxhash64(F.lit("literal"), _words(F.col("line")))).alias("literal")))
 
     leaves = (slim.where(F.col("n") >= depth + 2).select("leaf", "th", "tpl").distinct().groupBy("leaf")
               .agg(F.count_distinct("th").alias("texts"), F.count_distinct("tpl").alias("shapes")).where((F.col("texts") >= min_texts) & (F.col("shapes") > 1)))
@@ -143,8 +146,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = D
     rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     sizes = docs.select(F.xxhash64(F.col(text_col)).alias("th")).groupBy("th").agg(F.count(F.lit(1)).alias("rows"))
     label = cut(gone.join(sizes, "th"))
-    out = _labelled(rows, label, docs)
-    lines = F.split("text", "\n")
+    out = _labelled(rows, label, docs).withColumn("lines", F.split("text", "\n"))  # a column: in the function below it would be split anew for every line
+    lines = F.col("lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped").cast("array<int>"))  # by a hash set: linear in the lines
     kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return out.select("row.*", F.when(F.col("text").isNotNull(), kept).alias("kept_text"),

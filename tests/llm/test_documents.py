@@ -394,3 +394,13 @@ def test_line_dedup_of_a_text_of_many_lines(spark):
     out = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), literal_texts=2, min_texts=10**9).collect()}
     assert (out[1].n_lines, out[1].n_dropped, out[1].kept_text) == (60_000, 20_000, "\n".join(x for x in lines if x.startswith("own")))
     assert (out[2].n_dropped, out[2].kept_text, out[3].kept_text) == (20_000, "", "a\n\nb")
+
+
+def test_line_dedup_splits_a_text_once_not_once_a_line(spark):
+    from hearth.llm.line_dedup import drop_recurring_lines
+
+    rows = [(1, "own first line\nsame words here now\nown last line"), (2, "same words here now\n\nother \t words 7\n"), (3, None)]
+    out = drop_recurring_lines(spark.createDataFrame(rows, "doc_id int, text string"), literal_texts=2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "lambdafunction(" in plan and "lambdafunction(split(" not in plan
+    assert {r.doc_id: r.kept_text for r in out.collect()} == {1: "own first line\nown last line", 2: "\nother \t words 7\n", 3: None}
