@@ -63,3 +63,14 @@ def test_scaling_is_advised_when_ranges_differ_across_columns(spark):
     near = spark.createDataFrame([("a", 1.0, 400.0, 0.0, 0, 10, 0), ("b", 0.0, 500.0, 0.0, 0, 10, 0)], schema)
     assert [r.kind for r in recommendations(wide, cat, nulls).collect()] == ["scale_different_ranges"]
     assert recommendations(near, cat, nulls).collect() == [] and recommendations(wide.limit(1), cat, nulls).collect() == []
+
+
+def test_title_case_takes_plain_text_whole_and_cuts_the_rest_into_runs(spark):
+    from pyspark.sql import functions as F
+
+    from hearth.functions.scalar import title_case
+
+    texts = [None, "", " ", "-", "alm. salg", " MIDDLE  EAST ", "o'neill x-ray", "a.b", "\tab c\n", "3rd floor", "ÅRHUS ø", "end. ", "a, b. c"]
+    out = spark.createDataFrame([(t,) for t in texts], "s string").select("s", title_case("s").alias("t"))
+    assert [(r.s, r.t) for r in out.collect()] == [(t, None if t is None else t.strip(" ").title()) for t in texts]
+    assert "initcap" in out._jdf.queryExecution().optimizedPlan().toString().lower()
