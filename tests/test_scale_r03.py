@@ -84,6 +84,26 @@ def test_terms_are_counted_inside_each_row(spark):
     assert out == {(7, "x"): 2, (7, "y"): 2, (7, "x y"): 2, (7, "y x"): 1, (9, "y"): 1}
 
 
+def test_tokens_counted_at_once_are_few():
+    toks = [[f"w{(i * j) % 997}" for j in range(2000)] for i in range(1, 301)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(toks, pa.list_(pa.string()))], names=["_id", "_t"])
+    parts, rows = list(text._gram_counts(iter([batch]))), Counter()
+    assert len(parts) > 3 and max(b.num_rows for b in parts) <= 2 << 17
+    for b in parts:
+        rows.update(b.column("_id").to_pylist())
+    assert rows == {i: len(set(t)) + len(set(zip(t, t[1:]))) for i, t in enumerate(toks)}
+
+
+def test_totals_are_those_of_the_terms(spark):
+    rows = [(1, "a aa bb aa bb"), (2, None), (3, "cc"), (3, "cc aa"), (None, "ee"), (None, "ee bb"), (4, ". ."), (5, "bb cc aa bb")] * 2 + [(6, "aa bb"), (7, "AA bb cc")]
+    docs = spark.createDataFrame(rows, "i long, t string").repartition(3)
+    terms = text.terms(docs, "i", "t").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    got = text.term_totals(docs, "i", "t")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, terms.collect()))
+    one = {r.term: (r.df, r.total_tf) for r in text.term_totals(docs.where("i > 5"), "i", "t").collect()}
+    assert one == {"aa": (2, 2), "bb": (2, 2), "cc": (1, 1), "aa bb": (2, 2), "bb cc": (1, 1)}
+
+
 def test_search_for_some_documents_equals_the_search_for_all(spark, monkeypatch):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), ((F.col("id") * m + m) % 17).cast("string")) for m in (1, 3, 5, 30)]).alias("text"))
     _, dw = text.fit_tfidf(docs)
