@@ -104,6 +104,46 @@ def test_totals_are_those_of_the_terms(spark):
     assert one == {"aa": (2, 2), "bb": (2, 2), "cc": (1, 1), "aa bb": (2, 2), "bb cc": (1, 1)}
 
 
+def _topics(spark, n):
+    return spark.createDataFrame([(i, " ".join(f"w{(i * m + j) % 23} x{i % 5}" for j, m in enumerate((1, 3, 7, 7, 11)))) for i in range(n)] + [(3, "w1 w2 w1"), (None, "w4 w5"), (900, None)], "doc_id long, text string").repartition(3)
+
+
+def test_vectors_are_the_weights_of_each_text(spark):
+    docs = _topics(spark, 50)
+    vocab = scratch.stored(text.fit_vocabulary(text.term_totals(docs, "doc_id", "text"), docs.agg(F.count(F.lit(1)).alias("n")), 60))
+    want = {(r.doc_id, r.term): r.w for r in text.weights(text.terms(docs, "doc_id", "text"), vocab, "doc_id").collect()}
+    got = {(r.doc_id, r.term): r.w for r in text.text_weights(docs, "doc_id", "text", vocab).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and any(k[0] == 3 for k in got)
+    names = [r.term for r in vocab.orderBy(F.desc("df"), "term").collect()]
+    rows = text.text_vectors(docs, "doc_id", "text", vocab).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) and all(list(r.t) == sorted(r.t) for r in rows)
+    assert {(r.doc_id, names[t]) for r in rows for t in r.t} == want.keys()
+
+
+def test_recommendations_of_vectors_equal_those_of_joined_terms(spark, monkeypatch):
+    docs = _topics(spark, 90)
+    vocab, dw = text.fit_tfidf(docs, max_features=80)
+    asked = docs.where("doc_id % 9 = 0 OR doc_id = 900").withColumnRenamed("doc_id", "q")
+    dv, qv = (scratch.stored(text.text_vectors(d, i, "text", vocab)) for d, i in ((docs, "doc_id"), (asked, "q")))
+    key = lambda r: (r.q, r["rank"], r.doc_id, round(r.similarity, 9))
+    want = sorted(map(key, text.recommend(text.text_weights(asked, "q", "text", vocab), dw, "q", "doc_id", 3).collect()))
+    assert len(want) == 30
+    monkeypatch.setattr(text, "recommend", None)
+    for common, scores, products in ((1024, 1 << 18, 1 << 20), (5, 40, 3), (0, 1, 1 << 20)):
+        for name, v in (("COMMON", common), ("SCORES", scores), ("_PRODUCTS", products)):
+            monkeypatch.setattr(text, name, v)
+        rows = [r for b in text._by_queries(qv.withColumnRenamed("q", "id").toArrow(), 3)(iter(dv.withColumnRenamed("doc_id", "id").toArrow().to_batches())) for r in b.to_pylist()]
+        got = []
+        for q in {r["_q"] for r in rows}:
+            best = sorted((-r["similarity"], r["_d"]) for r in rows if r["_q"] == q)[:3]
+            got += [(q, i + 1, d, round(-s, 9)) for i, (s, d) in enumerate(best)]
+        assert sorted(got) == want
+    assert sorted(map(key, text.recommend_vectors(qv, dv, "q", "doc_id", 3).collect())) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(text, "BROADCAST_BYTES", 0)
+    assert sorted(map(key, text.recommend_vectors(qv, dv, "q", "doc_id", 3).collect())) == want
+
+
 def test_search_for_some_documents_equals_the_search_for_all(spark, monkeypatch):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), ((F.col("id") * m + m) % 17).cast("string")) for m in (1, 3, 5, 30)]).alias("text"))
     _, dw = text.fit_tfidf(docs)
