@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearth.functions.quantile import quantile_table
 from hearth.operators import features, models, profile, text
+from hearth.plans.registry import QUERIES, load_all
 from hearth.sources import io, scratch
 
 
@@ -120,6 +121,23 @@ def test_vectors_are_the_weights_of_each_text(spark):
     assert {(r.doc_id, names[t]) for r in rows for t in r.t} == want.keys()
 
 
+def test_norms_and_means_of_stored_vectors(spark, tmp_path):
+    docs = _topics(spark, 40)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.where("doc_id < 6").selectExpr("doc_id AS item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    load_all()
+    norms = QUERIES["tfidf_doc_norms"](spark, str(tmp_path))
+    assert "Exchange" not in _plan(norms)  # one row a document is there already
+    rows = {r.doc_id: r for r in norms.collect()}
+    want = Counter(r.doc_id for r in text.fit_tfidf(docs)[1].collect())
+    assert {i: r.n_terms for i, r in rows.items()} == want and all(abs(r.sum_w2 - 1) < 1e-4 for r in rows.values())
+    recs = QUERIES["text_recommendations"](spark, str(tmp_path)).collect()
+    mean = {r.item_id: r for r in QUERIES["text_mean_similarity"](spark, str(tmp_path)).collect()}
+    assert mean.keys() == {0, 1, 2, 3, 4, 5} and all(r.n_recommendations == 3 for r in mean.values())
+    assert all(abs(r.mean_similarity - sum(x.similarity for x in recs if x.item_id == i) / 3) < 2e-6 for i, r in mean.items())
+    assert all(any(x.doc_id == i and x.similarity == 1.0 for x in recs if x.item_id == i) for i in (0, 1, 2))
+
+
 def test_recommendations_of_vectors_equal_those_of_joined_terms(spark, monkeypatch):
     docs = _topics(spark, 90)
     vocab, dw = text.fit_tfidf(docs, max_features=80)
